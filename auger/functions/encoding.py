@@ -25,9 +25,9 @@ def encode_categorical(cols: Iterable[str], drop_last: bool = False,
                        handle_invalid: str = "keep") -> Pipeline:
     """Categorical features; all levels kept unless ``drop_last``."""
     cols = list(cols)
-    idx = StringIndexer(inputCols=cols, outputCols=[c + "_idx" for c in cols],
+    idx = StringIndexer(inputCols=cols, outputCols=[c + "_lvl" for c in cols],
                         stringOrderType="alphabetAsc", handleInvalid=handle_invalid)
-    ohe = OneHotEncoder(inputCols=[c + "_idx" for c in cols], outputCols=[c + "_vec" for c in cols],
+    ohe = OneHotEncoder(inputCols=[c + "_lvl" for c in cols], outputCols=[c + "_vec" for c in cols],
                         dropLast=drop_last, handleInvalid="keep" if handle_invalid == "keep" else "error")
     return Pipeline(stages=[idx, ohe])
 

@@ -1 +1,351 @@
-"""Placeholder."""
+"""Driver queries for learners, scoring and model inspection.
+
+Exact queries (naive Bayes, the two SGD trainers, the first-split gini table) carry DuckDB
+oracles. Queries over trained Spark ML models have none: the driver checks their row counts,
+and ``tests/`` checks that they beat the majority class where the data carries signal.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from auger.functions.features import hashing_tf, tokens
+from auger.functions.hashing import hash_bucket, hash_bucket_sql
+from auger.operators import scoring as S
+from auger.operators.learners import builtin as B
+from auger.operators.learners.bayes import naive_bayes_fit
+from auger.operators.learners.boosting import fit_boosting
+from auger.operators.learners.sgd import sgd_linear, sgd_linear_vector, sgd_oracle_sql, vector_features
+from auger.plans.catalog import query, table
+from auger.sources.models import tree_rules, tree_to_sql
+
+N_HASH = 100
+LANGS_SQL = "dense_rank() over (order by lang) - 1"
+
+# ---------------------------------------------------------------- events: exact learners
+
+_TRAIN = f"{hash_bucket_sql('event_id', 10)} < 8"
+_TEST = f"{hash_bucket_sql('event_id', 10)} >= 8"
+_NB_FEATS = ["value", "hour", "k"]
+
+
+def _event_features(spark, d) -> DataFrame:
+    ev = table(spark, d, "events")
+    return ev.select("event_id", "event_type",
+                     F.col("value").cast("double").alias("value"),
+                     F.hour("ts").cast("double").alias("hour"),
+                     F.get_json_object("props", "$.k").cast("double").alias("k"),
+                     hash_bucket("event_id", 10).alias("_b"))
+
+
+_EV_FEATS_SQL = """select event_id, event_type, value, cast(hour(ts) as double) as hour,
+       cast(json_extract_string(props, '$.k') as double) as k from events"""
+
+_NB_BASE_SQL = f"""
+with t as ({_EV_FEATS_SQL} where {_TRAIN}),
+c as (select event_type as label, count(*) as n_c, sum(value) as s0, sum(hour) as s1, sum(k) as s2 from t group by all),
+tot as (select sum(n_c) as n, count(*) as kk from c),
+m as (select label, ln(n_c + 1.0) - ln(n + kk) as lp, ln(s0 + 1.0) - ln(s0 + s1 + s2 + 3.0) as t0,
+             ln(s1 + 1.0) - ln(s0 + s1 + s2 + 3.0) as t1, ln(s2 + 1.0) - ln(s0 + s1 + s2 + 3.0) as t2 from c, tot)
+"""
+
+
+@query("naive_bayes_model", "H2", sql=_NB_BASE_SQL + """
+select label, 'value' as feature, round(lp, 8) as log_prior, round(t0, 8) as log_theta from m
+union all select label, 'hour', round(lp, 8), round(t1, 8) from m
+union all select label, 'k', round(lp, 8), round(t2, 8) from m
+""")
+def naive_bayes_model_q(spark, d):
+    ev = _event_features(spark, d)
+    m = naive_bayes_fit(ev.where(F.col("_b") < 8), _NB_FEATS, "event_type")
+    return m.to_frame(spark).select("label", "feature", F.round("log_prior", 8).alias("log_prior"),
+                                    F.round("log_theta", 8).alias("log_theta"))
+
+
+@query("naive_bayes_score", "H2 F1 F2", sql=_NB_BASE_SQL + f"""
+, te as ({_EV_FEATS_SQL} where {_TEST}),
+sc as (select te.event_id, m.label, lp + value * t0 + hour * t1 + k * t2 as s from te, m),
+r as (select event_id, label, row_number() over (partition by event_id order by s desc, label) as rn from sc)
+select event_id, label as prediction from r where rn = 1
+""")
+def naive_bayes_score_q(spark, d):
+    ev = _event_features(spark, d)
+    m = naive_bayes_fit(ev.where(F.col("_b") < 8), _NB_FEATS, "event_type")
+    return m.transform(ev.where(F.col("_b") >= 8)).select("event_id", "prediction")
+
+
+@query("flagship_confusion", "A1 D2 H2 F1 E3")
+def flagship_confusion(spark, d):
+    """Naive Bayes trained on the hash-split training part of events, confusion on the rest."""
+    ev = _event_features(spark, d)
+    m = naive_bayes_fit(ev.where(F.col("_b") < 8), _NB_FEATS, "event_type")
+    sc = m.transform(ev.where(F.col("_b") >= 8))
+    return sc.groupBy(F.col("event_type").alias("label"), "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SGD_TABLE = (f"select (case when event_type = 'purchase' then 1.0 else 0.0 end)::double as y, "
+              f"value / 100.0 as x0, hour(ts) / 24.0 as x1 from events where {_TRAIN}")
+
+
+def _sgd_history(spark, d, loss, reg):
+    ev = _event_features(spark, d).where(F.col("_b") < 8)
+    y = F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0)
+    m = sgd_linear(ev, [F.col("value") / 100.0, F.col("hour") / 24.0], y, loss, iterations=5, step=1.0, reg=reg)
+    h = m.history_frame(spark)
+    return h.select("iteration", F.round("w0", 8).alias("w0"), F.round("w1", 8).alias("w1"))
+
+
+@query("logistic_sgd", "H3 D5", sql=sgd_oracle_sql(_SGD_TABLE, 2, "logistic", 5))
+def logistic_sgd_q(spark, d):
+    return _sgd_history(spark, d, "logistic", 0.0)
+
+
+@query("svm_sgd", "H4", sql=sgd_oracle_sql(_SGD_TABLE, 2, "hinge", 5, 1.0, 0.01))
+def svm_sgd_q(spark, d):
+    return _sgd_history(spark, d, "hinge", 0.01)
+
+
+# ---------------------------------------------------------------- first-split gini
+
+_GINI_FEATS = {"hour": "hour", "value_bin": "value_bin", "k": "k"}
+
+
+@query("first_split_gini", "J3", sql="""
+with f as (
+  select event_type as c, 'hour' as feature, cast(hour(ts) as double) as v from events
+  union all select event_type, 'value_bin', floor(value / 50.0) from events
+  union all select event_type, 'k', cast(json_extract_string(props, '$.k') as double) from events),
+cells as (select feature, v, c, count(*) as n from f group by all),
+thr as (select distinct feature, v as t from cells),
+tot as (select feature, c, sum(n) as nc from cells group by all),
+nall as (select feature, sum(n) as nn from cells group by all),
+lc as (select thr.feature, thr.t, tot.c, tot.nc,
+              coalesce((select sum(n) from cells where cells.feature = thr.feature and cells.c = tot.c
+                        and cells.v <= thr.t), 0) as l
+       from thr join tot on thr.feature = tot.feature),
+g as (select lc.feature, t, cast(sum(l) as bigint) as nl, cast(sum(nc - l) as bigint) as nr,
+             cast(sum(l * l) as bigint) as sl2, cast(sum((nc - l) * (nc - l)) as bigint) as sr2
+      from lc group by all),
+s as (select g.feature, t, nl, 1.0 - (sl2 / nl + sr2 / nr) / nn as gini
+      from g join nall on g.feature = nall.feature where nr > 0)
+select feature, t as threshold, round(gini, 10) as gini, nl as n_left
+from (select *, row_number() over (partition by feature order by round(gini, 12), t) as rn from s) where rn = 1
+""")
+def first_split_gini_q(spark, d):
+    """Best first split per (binned) feature by weighted gini; one pass + per-feature windows.
+
+    Class counts are pivoted (the class list is the label domain, checked small), then running
+    sums over each feature's distinct values give the left side of every threshold.
+    """
+    ev = table(spark, d, "events").select(
+        F.col("event_type").alias("c"),
+        F.hour("ts").cast("double").alias("hour"),
+        F.floor(F.col("value") / 50.0).cast("double").alias("value_bin"),
+        F.get_json_object("props", "$.k").cast("double").alias("k"))
+    return first_split_table(ev, list(_GINI_FEATS), "c")
+
+
+def first_split_table(df: DataFrame, features: list[str], label: str, max_classes: int = 1000) -> DataFrame:
+    classes = [r[0] for r in df.select(label).distinct().limit(max_classes + 1).collect()]
+    if len(classes) > max_classes:
+        raise ValueError("label domain too large for a gini table")
+    classes = sorted(classes)
+    long = df.select(F.col(label).alias("_c"), F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features
+    ])).alias("kv")).select("kv.feature", "kv.v", "_c")
+    wide = long.groupBy("feature", "v").pivot("_c", classes).agg(F.count(F.lit(1))).na.fill(0)
+    cc = [f"`{c}`" for c in classes]
+    w = Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wall = Window.partitionBy("feature")
+    run = wide.select("feature", "v",
+                      *[F.sum(F.col(c)).over(w).alias(f"_l{i}") for i, c in enumerate(cc)],
+                      *[F.sum(F.col(c)).over(wall).alias(f"_t{i}") for i, c in enumerate(cc)])
+    k = len(classes)
+    nl = sum((F.col(f"_l{i}") for i in range(k)), F.lit(0)).cast("long")
+    nall = sum((F.col(f"_t{i}") for i in range(k)), F.lit(0)).cast("long")
+    nr = nall - nl
+    sl2 = sum((F.col(f"_l{i}") * F.col(f"_l{i}") for i in range(k)), F.lit(0)).cast("long")
+    sr2 = sum(((F.col(f"_t{i}") - F.col(f"_l{i}")) * (F.col(f"_t{i}") - F.col(f"_l{i}")) for i in range(k)),
+              F.lit(0)).cast("long")
+    g = run.select("feature", F.col("v").alias("threshold"), nl.alias("n_left"), nr.alias("_nr"),
+                   (F.lit(1.0) - (sl2 / nl + sr2 / nr) / nall).alias("gini")).where(F.col("_nr") > 0)
+    best = Window.partitionBy("feature").orderBy(F.round("gini", 12), "threshold")
+    return (g.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") == 1)
+            .select("feature", "threshold", F.round("gini", 10).alias("gini"), "n_left"))
+
+
+# ---------------------------------------------------------------- documents: trained models
+
+def doc_features(spark, d, n_features: int = N_HASH) -> DataFrame:
+    """Hashed whole-text token counts per document, language class index and split bucket."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars",
+                                              tokens("text").alias("tokens"))
+    levels = F.create_map(*[x for i, lv in enumerate(_lang_levels(spark, d)) for x in (F.lit(lv), F.lit(float(i)))])
+    out = hashing_tf("tokens", n_features, "features").transform(docs).drop("tokens")
+    return out.withColumn("lang_idx", F.element_at(levels, F.col("lang"))) \
+              .withColumn("_b", hash_bucket("doc_id", 10))
+
+
+def _lang_levels(spark, d) -> list[str]:
+    return [r[0] for r in table(spark, d, "documents").select("lang").distinct().orderBy("lang").limit(1001).collect()]
+
+
+def labelled_docs(spark, d, n_features: int = N_HASH) -> DataFrame:
+    """Documents joined to their quality labels (two classes, strong signal)."""
+    lab = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    return doc_features(spark, d, n_features).join(lab, "doc_id")
+
+
+def _split(df: DataFrame):
+    """Hash split; both sides are written once to the checkpoint folder so that iterative
+    learners re-read compact feature rows instead of re-tokenising whole texts every pass."""
+    return (df.where(F.col("_b") < 8).checkpoint(eager=True),
+            df.where(F.col("_b") >= 8).checkpoint(eager=True))
+
+
+def _scored(model, test, n_classes=2, label="label"):
+    return S.score(model, test, n_classes).select("doc_id", F.col(label).alias("label"), "prediction",
+                                                   *[f"p{i}" for i in range(n_classes)])
+
+
+@query("spam_text", "A4 G1 G2 H3 F3")
+def spam_text_q(spark, d):
+    """Hashed tokens -> logistic regression by SGD (20 iterations) -> test predictions."""
+    tr, te = _split(labelled_docs(spark, d))
+    m = sgd_linear_vector(tr, "features", "label", "logistic", iterations=20)
+    return m.transform(te, vector_features("features", N_HASH)).select("doc_id", "label", "prediction", "p1")
+
+
+@query("tree", "H1 F1")
+def tree_q(spark, d):
+    tr, te = _split(labelled_docs(spark, d))
+    return _scored(B.decision_tree().fit(tr), te)
+
+
+@query("glm_cv", "H5 D3")
+def glm_cv_q(spark, d):
+    tr, te = _split(labelled_docs(spark, d))
+    tr = tr.withColumn("fold", hash_bucket(F.concat(F.lit("f"), F.col("doc_id").cast("string")), 10))
+    cvm = B.glm_cv(fold_col="fold").fit(tr)
+    return _scored(cvm.bestModel, te)
+
+
+@query("glm_categorical", "H6 B10")
+def glm_categorical_q(spark, d):
+    """GLM over categorical inputs only, every level kept, no standardising."""
+    from pyspark.ml import Pipeline
+    from auger.functions.encoding import assembler, encode_categorical
+    df = labelled_docs(spark, d).withColumn("len_band", F.floor(F.log10(F.col("n_chars") + 1)).cast("string"))
+    tr, te = _split(df)
+    enc = encode_categorical(["source", "lang", "len_band"], drop_last=False)
+    pipe = Pipeline(stages=[*enc.getStages(),
+                            assembler(["source_vec", "lang_vec", "len_band_vec"], "cat_features"),
+                            B.glm(features="cat_features", standardization=False)])
+    return _scored(pipe.fit(tr), te)
+
+
+@query("gbm", "H7 F1")
+def gbm_q(spark, d):
+    tr, te = _split(labelled_docs(spark, d))
+    return _scored(B.gbm().fit(tr), te)
+
+
+@query("gbm_newton", "H7")
+def gbm_newton_q(spark, d):
+    """Two-class boosting with the original's start value and Newton leaf values."""
+    tr, te = _split(labelled_docs(spark, d))
+    m = fit_boosting(tr, "features", "label", 2, rounds=10, depth=5, bins=20, rate=1.0)
+    return m.transform(te).select("doc_id", "label", "prediction", "p0", "p1")
+
+
+@query("gbm_multiclass", "H8")
+def gbm_multiclass_q(spark, d):
+    tr, te = _split(doc_features(spark, d))
+    m = fit_boosting(tr, "features", "lang_idx", None, rounds=5, depth=5, bins=20, rate=1.0)
+    return m.transform(te).select("doc_id", F.col("lang_idx").alias("label"), "prediction",
+                                  *[f"p{i}" for i in range(m.n_classes)])
+
+
+@query("network", "H9")
+def network_q(spark, d):
+    tr, te = _split(doc_features(spark, d))
+    k = len(_lang_levels(spark, d))
+    m = B.network(N_HASH, k, hidden=(16,), epochs=30, label="lang_idx").fit(tr)
+    return _scored(m, te, k, label="lang_idx")
+
+
+@query("importances", "F4")
+def importances_q(spark, d):
+    tr, _ = _split(labelled_docs(spark, d))
+    m = B.gbm().fit(tr)
+    return S.importances(spark, m, [f"slot{i}" for i in range(N_HASH)])
+
+
+@query("permutation_importance", "F5")
+def permutation_importance_q(spark, d):
+    tr, te = _split(doc_features(spark, d))
+    k = len(_lang_levels(spark, d))
+    m = B.network(N_HASH, k, hidden=(16,), epochs=30, label="lang_idx").fit(tr)
+    return S.permutation_importance(spark, m, te, "features", "lang_idx", N_HASH,
+                                    [f"slot{i}" for i in range(N_HASH)])
+
+
+@query("describe_tree", "F6")
+def describe_tree_q(spark, d):
+    tr, _ = _split(labelled_docs(spark, d))
+    return S.describe(spark, B.decision_tree().fit(tr))
+
+
+@query("score_each_iteration", "F8")
+def score_each_iteration_q(spark, d):
+    tr, te = _split(labelled_docs(spark, d))
+    return S.score_each_iteration(spark, B.gbm().fit(tr), te)
+
+
+@query("tree_sql", "A11")
+def tree_sql_q(spark, d):
+    """The boosted ensemble exported as SQL scores the test part; both predictions side by side."""
+    tr, te = _split(labelled_docs(spark, d))
+    m = B.gbm().fit(tr)
+    exprs = tree_to_sql(spark, m)
+    te2 = te.withColumn("_features_arr", vector_to_array("features"))
+    return (m.transform(te2)
+            .withColumn("prediction_sql", F.expr(exprs["prediction"]))
+            .withColumn("p1_sql", F.expr(exprs["p1"]))
+            .withColumn("p1", vector_to_array("probability")[1])
+            .select("doc_id", "prediction", "prediction_sql", "p1", "p1_sql"))
+
+
+@query("patterns", "J3")
+def patterns_q(spark, d):
+    """Leaves of a depth-3 tree as rules: ``(leaf, rule, class, n, support, confidence)``."""
+    df = labelled_docs(spark, d)
+    names = [f"slot{i}" for i in range(N_HASH)]
+    m = B.decision_tree(max_depth=3).fit(df)
+    rules, leaf_sql, _ = tree_rules(spark, m, names)
+    tagged = (df.withColumn("_features_arr", vector_to_array("features"))
+              .withColumn("leaf", F.expr(leaf_sql)))
+    per = tagged.groupBy("leaf", "label").agg(F.count(F.lit(1)).alias("n_c"))
+    leaf = per.groupBy("leaf").agg(F.sum("n_c").alias("n"), F.max_by("label", "n_c").alias("class"),
+                                   F.max("n_c").alias("n_major"))
+    rule_map = F.create_map(*[x for k, v in sorted(rules.items()) for x in (F.lit(k), F.lit(v))])
+    wall = Window.partitionBy()  # one row per leaf: at most 2^depth rows
+    return leaf.select("leaf", F.element_at(rule_map, F.col("leaf")).alias("rule"), "class", "n",
+                       (F.col("n") / F.sum("n").over(wall)).alias("support"),
+                       (F.col("n_major") / F.col("n")).alias("confidence"))
+
+
+@query("linear_svc", "H4")
+def linear_svc_q(spark, d):
+    tr, te = _split(labelled_docs(spark, d))
+    m = B.linear_svc().fit(tr)
+    return m.transform(te).select("doc_id", "label", "prediction")
+
+
+@query("train_report", "F7 H10 A8")
+def train_report_q(spark, d):
+    from auger.plans.train_report import train_and_report
+    rep = train_and_report(spark, labelled_docs(spark, d), "GBM", key="doc_id")
+    return rep["metrics"]
