@@ -15,6 +15,7 @@ at the centred log priors.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_CLASSES = 1000
+MAX_PARALLEL_TREES = 8
 
 
 @dataclass
@@ -116,23 +118,26 @@ def fit_boosting(df: DataFrame, features: str = "features", label: str = "label"
         probs = probabilities(K, [F.col(f"_F{k}") for k in range(n_f)])
         work = cur.withColumns({f"_r{k}": F.when(F.col("_y") == k, 1.0).otherwise(0.0) - probs[k]
                                 for k in range(n_f)}).persist(StorageLevel.MEMORY_AND_DISK)
-        trees, gammas = [], []
-        nxt = work
-        for k in range(n_f):
+        # the K trees of one round are independent given the round's residuals: fit them as
+        # concurrent Spark jobs (the scheduler interleaves their tasks)
+        def fit_one(k: int):
             rk = f"_r{k}"
             tree = DecisionTreeRegressor(featuresCol="_x", labelCol=rk, maxDepth=depth, maxBins=bins,
                                          minInstancesPerNode=min_rows, seed=seed + 31 * i + k,
                                          predictionCol="_tp", leafCol="_leaf").fit(work)
-            tagged = tree.transform(work)
-            stats = (tagged.groupBy("_leaf")
+            stats = (tree.transform(work).groupBy("_leaf")
                      .agg(F.sum(rk).alias("sr"), F.sum(F.abs(F.col(rk)) * (1 - F.abs(F.col(rk)))).alias("sw"))
                      .collect())  # one row per leaf: at most 2^depth
-            gam = {float(r["_leaf"]): leaf_value(K, r["sr"], r["sw"]) for r in stats}
-            trees.append(tree)
-            gammas.append(gam)
-            t2 = tree.copy()
-            nxt = t2.transform(nxt).withColumn(f"_F{k}", F.col(f"_F{k}") + F.lit(rate) * _lookup(gam, F.col("_leaf"))) \
-                .drop("_leaf", "_tp")
+            return tree, {float(r["_leaf"]): leaf_value(K, r["sr"], r["sw"]) for r in stats}
+
+        with ThreadPoolExecutor(max_workers=min(n_f, MAX_PARALLEL_TREES)) as pool:
+            fitted = list(pool.map(fit_one, range(n_f)))
+        trees = [t for t, _ in fitted]
+        gammas = [g for _, g in fitted]
+        nxt = work
+        for k, (tree, gam) in enumerate(fitted):
+            nxt = tree.copy().transform(nxt).withColumn(
+                f"_F{k}", F.col(f"_F{k}") + F.lit(rate) * _lookup(gam, F.col("_leaf"))).drop("_leaf", "_tp")
         model.rounds.append(BoostRound(trees, gammas))
         new = nxt.drop(*[f"_r{k}" for k in range(n_f)]).checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
         work.unpersist()

@@ -73,16 +73,10 @@ def permuted_copies(df: DataFrame, features: str, n_features: int, seed: int = 7
             rng = np.random.default_rng(seed + len(pdf))
             out = []
             for j, g in pdf.groupby("_perm_j", sort=False):
-                g = g.copy()
                 if j >= 0 and len(g) > 1:
-                    col = np.array([a[j] for a in g["_farr"]])
-                    perm = col[rng.permutation(len(col))]
-                    arrs = []
-                    for a, v in zip(g["_farr"], perm):
-                        a = np.array(a, dtype=float)
-                        a[j] = v
-                        arrs.append(a)
-                    g["_farr"] = arrs
+                    X = np.stack(g["_farr"].to_numpy())
+                    X[:, j] = X[rng.permutation(len(X)), j]
+                    g = g.assign(_farr=list(X))
                 out.append(g)
             if out:
                 yield pd.concat(out)

@@ -228,7 +228,7 @@ def tree_q(spark, d):
 def glm_cv_q(spark, d):
     tr, te = _split(labelled_docs(spark, d))
     tr = tr.withColumn("fold", hash_bucket(F.concat(F.lit("f"), F.col("doc_id").cast("string")), 10))
-    cvm = B.glm_cv(fold_col="fold").fit(tr)
+    cvm = B.glm_cv(fold_col="fold", parallelism=4).fit(tr)
     return _scored(cvm.bestModel, te)
 
 

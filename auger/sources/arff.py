@@ -46,10 +46,9 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     if not attrs:
         raise ValueError(f"no @attribute lines in {path}")
     schema = T.StructType([T.StructField(n, _arff_type(t), True) for n, t in attrs])
-    raw_schema = T.StructType([T.StructField(n, T.StringType(), True) for n, _ in attrs])
     body = (spark.read.text(path)
             .where(~F.col("value").rlike(r"^\s*(@|%|$)"))
-            .select(F.from_csv(F.col("value"), raw_schema.simpleString(),
+            .select(F.from_csv(F.col("value"), ", ".join(f"`{n}` STRING" for n, _ in attrs),
                                {"quote": "'", "ignoreLeadingWhiteSpace": "true",
                                 "ignoreTrailingWhiteSpace": "true"}).alias("r"))
             .select("r.*"))
