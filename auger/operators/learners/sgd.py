@@ -97,9 +97,10 @@ def sgd_linear_vector(df: DataFrame, features: str, label: str | Column, loss: s
                       iterations: int = 5, step: float = 1.0, reg: float = 0.0) -> LinearSgdModel:
     """As :func:`sgd_linear` for a vector column (dense or sparse, e.g. hashed terms).
 
-    The gradient sum is two weighted vector sums (``Summarizer.sum`` with the positive and the
-    negative part of the multiplier as weights): one JVM aggregate that walks sparse vectors by
-    their non-zeros, whatever the width.
+    The gradient sum is the difference of two weighted vector sums (``Summarizer.sum`` with
+    ``1 + max(m, 0)`` and ``1 + max(-m, 0)`` as weights; the common ``sum(x)`` cancels, and no
+    weight is ever zero): one JVM aggregate that walks sparse vectors by their non-zeros,
+    whatever the width.
     """
     from pyspark.ml.stat import Summarizer
 
@@ -123,8 +124,8 @@ def sgd_linear_vector(df: DataFrame, features: str, label: str | Column, loss: s
                 ys = 2.0 * F.col("_y") - 1.0
                 mult = F.when(F.lit(1.0) > ys * m, -ys).otherwise(0.0)
             row = (base.withColumn("_m", mult)
-                   .select(Summarizer.sum(F.col("_v"), F.greatest(F.col("_m"), F.lit(0.0))).alias("gp"),
-                           Summarizer.sum(F.col("_v"), F.greatest(-F.col("_m"), F.lit(0.0))).alias("gn"),
+                   .select(Summarizer.sum(F.col("_v"), 1.0 + F.greatest(F.col("_m"), F.lit(0.0))).alias("gp"),
+                           Summarizer.sum(F.col("_v"), 1.0 + F.greatest(-F.col("_m"), F.lit(0.0))).alias("gn"),
                            F.count(F.lit(1)).alias("n"))
                    .first())
             n = row["n"]

@@ -349,3 +349,24 @@ def train_report_q(spark, d):
     from auger.plans.train_report import train_and_report
     rep = train_and_report(spark, labelled_docs(spark, d), "GBM", key="doc_id")
     return rep["metrics"]
+
+
+@query("stream_score", "A6 F1 streaming", sql=_NB_BASE_SQL + f"""
+, te as ({_EV_FEATS_SQL} where {_TEST}),
+sc as (select te.event_id, m.label, lp + value * t0 + hour * t1 + k * t2 as s from te, m),
+r as (select event_id, label, row_number() over (partition by event_id order by s desc, label) as rn from sc)
+select event_id, label as prediction from r where rn = 1
+""")
+def stream_score_q(spark, d):
+    """The test events arrive as CSV files; a Structured Streaming job cleans, scores (naive
+    Bayes fitted on the training part) and appends to parquet; the sink is read back."""
+    from auger.session import scratch_path
+    from auger.streaming.score_files import score_arrivals
+    ev = _event_features(spark, d)
+    m = naive_bayes_fit(ev.where(F.col("_b") < 8), _NB_FEATS, "event_type")
+    src, sink = scratch_path(spark, "arrivals"), scratch_path(spark, "scored")
+    names = ["event_id", *_NB_FEATS]
+    ev.where(F.col("_b") >= 8).select(*names).write.csv(src)
+    q = score_arrivals(spark, src, names, _NB_FEATS, lambda df: m.transform(df), sink)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select(F.col("event_id").cast("long"), "prediction")
