@@ -1,23 +1,28 @@
 """Exact k-nearest-neighbour join without all pairs, and the local outlier factor on top.
 
-Plan (pivot partitioning with triangle-inequality pruning):
+Plan:
 
-1. Pivots: a bounded, hash-chosen sample of points (size-checked before it is broadcast).
-2. Every point goes to its nearest pivot's cell; cells are cut into blocks of at most
-   ``block`` points (``hash(id) % n_blocks(cell)``), so no group is ever larger than a block,
-   however many points crowd into one cell.
+0. Exact copies are collapsed first (``groupBy(vector)``, map-side combined), so a group of
+   copies holding a third of the rows is one point for the search.
+1. Pivots: a bounded, hash-chosen sample of the distinct vectors (size-checked, broadcast).
+2. Every vector goes to its nearest pivot's cell; cells are cut into blocks of at most
+   ``block`` vectors (``hash(id) % n_blocks(cell)``), so no group is larger than a block.
 3. Phase 1, per block (``applyInPandas``): the k nearest inside the block. The k-th distance
-   ``theta`` is an upper bound of the true k-th neighbour distance; so is
-   ``d(q, pivot_c) + radius_c`` for any cell holding more than k points.
-4. Phase 2: a point is sent to another block only if the block can hold a point closer than
-   ``theta``: lower bounds ``d(q, pivot_c) - radius_block`` and the Voronoi bound
-   ``(d(q, p_c)^2 - d(q, p_own)^2) / (2 d(p_own, p_c))``. Queries for one block are cut into
-   chunks of at most ``block`` points; the block's points are copied to each chunk.
-5. Per query the candidates from both phases are reduced to the k nearest (ties by id).
-
-Only top-k candidates per query leave a task; no pair list is ever materialised. Work is
-exact for any data; it is near-linear when cells are spatially coherent, and for a cell that
-holds many near-identical points it degrades to blocked comparisons inside that cell.
+   ``theta`` bounds the true k-th neighbour distance from above; so does
+   ``d(q, pivot_c) + radius_c`` for any cell holding more than k vectors.
+4. Phase 2: a vector is routed to another cell only if the cell's ball bound
+   ``d(q, p_c) - radius_c`` and Voronoi bound ``(d(q,p_c)^2 - d(q,p_own)^2) / (2 d(p_own,p_c))``
+   allow a point within ``theta``; then to those of the cell's blocks whose own ball bound allows
+   it. Queries for one block are cut into chunks of at most ``block``; the block is copied to
+   each chunk.
+5. Per vector, candidates of both phases give the k nearest distinct vectors (all ties at the
+   k-th distance kept). Members of copy groups are expanded back: every group's k+1 smallest ids
+   are found by a salted tree reduction (bounded windows), and each point takes the k nearest
+   of (own copies at distance 0, neighbour groups' smallest ids) ordered by (distance, id).
+
+Only top-k candidates leave a task; no pair list is materialised. The result equals brute force
+with ties broken by id. Joins that attach group results to the members of a hot copy group are
+equi-joins on the group key; AQE's skew-join handling splits their hot partition.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from pyspark.sql import functions as F
 MAX_PIVOT_BYTES = 64 << 20
 MAX_BLOCK_TABLE = 500_000
 EPS = 1e-9
+_SCHEMA = "i long, j long, d double"
 
 
 def _dist_chunked(Q: np.ndarray, X: np.ndarray, chunk: int = 64) -> np.ndarray:
@@ -43,22 +49,29 @@ def _dist_chunked(Q: np.ndarray, X: np.ndarray, chunk: int = 64) -> np.ndarray:
     return out
 
 
+def _empty() -> pd.DataFrame:
+    return pd.DataFrame({"i": pd.Series([], dtype="int64"), "j": pd.Series([], dtype="int64"),
+                         "d": pd.Series([], dtype="float64")})
+
+
 def _topk(qids: np.ndarray, D: np.ndarray, xids: np.ndarray, k: int) -> pd.DataFrame:
-    """Per query row of D, the k smallest (distance, id) excluding the query itself."""
+    """Per query row of D: every candidate within the k-th smallest distance (ties kept),
+    the query itself excluded."""
     rows_i, rows_j, rows_d = [], [], []
     for r in range(len(qids)):
-        d = D[r]
         mask = xids != qids[r]
-        dj, jj = d[mask], xids[mask]
+        dj, jj = D[r][mask], xids[mask]
         if len(dj) == 0:
             continue
-        order = np.lexsort((jj, dj))[:k]
-        rows_i.append(np.full(len(order), qids[r]))
-        rows_j.append(jj[order])
-        rows_d.append(dj[order])
+        if len(dj) > k:
+            kth = np.partition(dj, k - 1)[k - 1]
+            sel = dj <= kth
+            dj, jj = dj[sel], jj[sel]
+        rows_i.append(np.full(len(dj), qids[r]))
+        rows_j.append(jj)
+        rows_d.append(dj)
     if not rows_i:
-        return pd.DataFrame({"i": pd.Series([], dtype="int64"), "j": pd.Series([], dtype="int64"),
-                             "d": pd.Series([], dtype="float64")})
+        return _empty()
     return pd.DataFrame({"i": np.concatenate(rows_i).astype("int64"), "j": np.concatenate(rows_j).astype("int64"),
                          "d": np.concatenate(rows_d)})
 
@@ -67,31 +80,17 @@ def _mat(series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in series]) if len(series) else np.zeros((0, 0))
 
 
-def knn_join(df: DataFrame, id_col: str, vec_col: str, k: int = 10, block: int = 256,
-             max_pivots: int = 2048, seed: int = 17) -> DataFrame:
-    """``(i, j, d, rank)``: the k nearest other points of every point, ties broken by id."""
-    spark = df.sparkSession
-    pts = (df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
-           .checkpoint(eager=True))
+def _distinct_knn(pts: DataFrame, k: int, block: int, max_pivots: int, seed: int) -> DataFrame:
+    """``(i, j, d)`` over distinct vectors ``(_id, _v)``: the k nearest, ties at the k-th kept."""
+    spark = pts.sparkSession
     n = pts.count()
-    if n == 0:
-        return spark.createDataFrame([], "i long, j long, d double, rank int")
+    if n <= 1:
+        return spark.createDataFrame([], _SCHEMA)
     dims = len(pts.select("_v").first()[0])
-    # keep the block table collectable at any scale: at most MAX_BLOCK_TABLE blocks
     block = max(block, math.ceil(n / MAX_BLOCK_TABLE), k + 1)
-    n_piv = int(min(max_pivots, max(1, n // block)))
-    if n_piv * dims * 8 > MAX_PIVOT_BYTES:
-        n_piv = max(1, MAX_PIVOT_BYTES // (dims * 8))
-    cand = (pts.orderBy(F.xxhash64(F.col("_id"), F.lit(seed)), "_id").limit(n_piv * 2)
-            .select("_v").collect())  # bounded: 2 x n_piv vectors
-    seen, piv = set(), []
-    for r in cand:
-        t = tuple(r[0])
-        if t not in seen:
-            seen.add(t)
-            piv.append(t)
-        if len(piv) == n_piv:
-            break
+    n_piv = int(min(max_pivots, max(1, n // block), max(1, MAX_PIVOT_BYTES // (dims * 8))))
+    piv = [r[0] for r in pts.orderBy(F.xxhash64(F.col("_id"), F.lit(seed)), "_id").limit(n_piv)
+           .select("_v").collect()]  # bounded: n_piv vectors (distinct by construction)
     P = np.asarray(piv, dtype=float)
     PP = _dist_chunked(P, P)
     bP = spark.sparkContext.broadcast(P)
@@ -112,75 +111,74 @@ def knn_join(df: DataFrame, id_col: str, vec_col: str, k: int = 10, block: int =
     nb_map = F.create_map(*[x for c, (nc, _) in cstat.items() for x in (F.lit(c), F.lit(max(1, math.ceil(nc / block))))])
     blocked = cells.withColumn("blk", F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.element_at(nb_map, F.col("cell")))
                                .cast("int")).checkpoint(eager=True)
-    bstat = blocked.groupBy("cell", "blk").agg(F.count(F.lit(1)).alias("n"), F.max("dp").alias("r")).collect()
-    B_cell = np.array([r["cell"] for r in bstat], dtype=np.int64)
-    B_blk = np.array([r["blk"] for r in bstat], dtype=np.int64)
-    B_r = np.array([r["r"] for r in bstat], dtype=float)
-    big_cells = np.array([c for c, (nc, _) in cstat.items() if nc > k], dtype=np.int64)
+    bstat = sorted((r["cell"], r["blk"], r["r"]) for r in
+                   blocked.groupBy("cell", "blk").agg(F.max("dp").alias("r")).collect())
+    B_cell = np.array([b[0] for b in bstat], dtype=np.int64)
+    B_blk = np.array([b[1] for b in bstat], dtype=np.int64)
+    B_r = np.array([b[2] for b in bstat], dtype=float)
+    # blocks are sorted by cell: cell c owns block rows start[c] .. start[c] + count[c] - 1
+    start = np.zeros(len(P), dtype=np.int64)
+    count = np.zeros(len(P), dtype=np.int64)
+    cs, first = np.unique(B_cell, return_index=True)
+    start[cs] = first
+    count[cs] = np.bincount(B_cell, minlength=len(P))[cs]
     U = np.zeros(len(P))
-    for c, (_, u) in cstat.items():
+    big = np.zeros(len(P), dtype=bool)
+    for c, (nc, u) in cstat.items():
         U[c] = u
-    bB = spark.sparkContext.broadcast((B_cell, B_blk, B_r, big_cells, U, PP))
+        big[c] = nc > k
+    bB = spark.sparkContext.broadcast((B_cell, B_blk, B_r, start, count, U, big, PP))
 
-    # phase 1: inside each block
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["_id"].to_numpy(dtype=np.int64)
         X = _mat(pdf["_v"])
         return _topk(ids, _dist_chunked(X, X), ids, k)
 
-    schema = "i long, j long, d double"
-    p1 = blocked.groupBy("cell", "blk").applyInPandas(local, schema).checkpoint(eager=True)
-    theta = p1.groupBy("i").agg(F.max("d").alias("theta"), F.count(F.lit(1)).alias("m"))
+    p1 = blocked.groupBy("cell", "blk").applyInPandas(local, _SCHEMA).checkpoint(eager=True)
+    theta = (p1.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy("d")))
+             .where(F.col("_r") == k).select("i", F.col("d").alias("theta")))
 
-    # phase 2: route each point to the other blocks that may hold a closer point
     q = (blocked.join(theta, blocked["_id"] == theta["i"], "left")
-         .select("_id", "_v", "cell", "blk",
-                 F.when(F.col("m") >= k, F.col("theta")).otherwise(F.lit(float("inf"))).alias("theta")))
+         .select("_id", "_v", "cell", "blk", F.coalesce(F.col("theta"), F.lit(float("inf"))).alias("theta")))
 
     def route(batches):
-        Bc, Bb, Br, big, Uc, PPm = bB.value
+        Bc, Bb, Br, st, cnt, Uc, bigc, PPm = bB.value
         Pv = bP.value
+        big_idx = np.nonzero(bigc)[0]
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            X = _mat(pdf["_v"])
-            Dp = _dist_chunked(X, Pv)
+            Dp = _dist_chunked(_mat(pdf["_v"]), Pv)
             own_c = pdf["cell"].to_numpy(dtype=np.int64)
             own_b = pdf["blk"].to_numpy(dtype=np.int64)
             th = pdf["theta"].to_numpy(dtype=float)
-            if len(big):
-                th = np.minimum(th, (Dp[:, big] + Uc[big][None, :]).min(axis=1))
-            out_i, out_c, out_b = [], [], []
-            step = max(1, 2_000_000 // max(1, len(Bc)))
-            for s in range(0, len(X), step):
-                sl = slice(s, s + step)
-                dq = Dp[sl][:, Bc]  # distance to the pivot of every block's cell
-                lb = np.maximum(dq - Br[None, :], 0.0)
-                own = Dp[sl][np.arange(dq.shape[0]), own_c[sl]][:, None]
-                sep = PPm[own_c[sl]][:, Bc]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    hyper = np.where(sep > 0, (dq * dq - own * own) / (2 * sep), 0.0)
-                lb = np.maximum(lb, hyper)
-                keep = lb <= th[sl][:, None] + EPS * (1 + th[sl][:, None])
-                keep &= ~((Bc[None, :] == own_c[sl][:, None]) & (Bb[None, :] == own_b[sl][:, None]))
-                r, cidx = np.nonzero(keep)
-                out_i.append(r + s)
-                out_c.append(Bc[cidx])
-                out_b.append(Bb[cidx])
-            ri = np.concatenate(out_i) if out_i else np.zeros(0, dtype=np.int64)
-            if len(ri) == 0:
+            if len(big_idx):
+                th = np.minimum(th, (Dp[:, big_idx] + Uc[big_idx][None, :]).min(axis=1))
+            tol = th + EPS * (1 + th)
+            own = Dp[np.arange(len(Dp)), own_c][:, None]
+            sep = PPm[own_c]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                hyper = np.where(sep > 0, (Dp * Dp - own * own) / (2 * sep), 0.0)
+            lb_cell = np.maximum(np.maximum(Dp - Uc[None, :], 0.0), hyper)
+            r, c = np.nonzero(lb_cell <= tol[:, None])  # surviving (point, cell) pairs
+            if len(r) == 0:
                 continue
-            yield pd.DataFrame({"_id": pdf["_id"].to_numpy(dtype=np.int64)[ri], "_v": pdf["_v"].to_numpy()[ri],
-                                "cell": np.concatenate(out_c).astype("int32"),
-                                "blk": np.concatenate(out_b).astype("int32")})
+            n_b = cnt[c]
+            rr = np.repeat(r, n_b)
+            bi = np.repeat(st[c] - np.concatenate([[0], np.cumsum(n_b)[:-1]]), n_b) + np.arange(n_b.sum())
+            lb = np.maximum(lb_cell[rr, Bc[bi]], Dp[rr, Bc[bi]] - Br[bi])
+            keep = (lb <= tol[rr]) & ~((Bc[bi] == own_c[rr]) & (Bb[bi] == own_b[rr]))
+            rr, bi = rr[keep], bi[keep]
+            if len(rr) == 0:
+                continue
+            yield pd.DataFrame({"_id": pdf["_id"].to_numpy(dtype=np.int64)[rr], "_v": pdf["_v"].to_numpy()[rr],
+                                "cell": Bc[bi].astype("int32"), "blk": Bb[bi].astype("int32")})
 
     routed = q.mapInPandas(route, "_id long, _v array<double>, cell int, blk int").checkpoint(eager=True)
-    w = Window.partitionBy("i").orderBy("d", "j")
     qcount = {(r["cell"], r["blk"]): r["n"] for r in routed.groupBy("cell", "blk").agg(
         F.count(F.lit(1)).alias("n")).collect()}  # one row per block at most
     if not qcount:
-        return (p1.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-                .select("i", "j", "d", F.col("rank").cast("int")))
+        return p1
     chunks = F.create_map(*[x for (c, b), m in qcount.items()
                             for x in (F.lit(f"{c}:{b}"), F.lit(max(1, math.ceil(m / block))))])
     bkey = F.concat_ws(":", F.col("cell").cast("string"), F.col("blk").cast("string"))
@@ -192,16 +190,66 @@ def knn_join(df: DataFrame, id_col: str, vec_col: str, k: int = 10, block: int =
                      F.lit(False).alias("is_q"), "_id", "_v"))
 
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-        qs = pdf[pdf["is_q"]]
-        xs = pdf[~pdf["is_q"]]
+        qs, xs = pdf[pdf["is_q"]], pdf[~pdf["is_q"]]
         if len(qs) == 0 or len(xs) == 0:
-            return _topk(np.zeros(0, dtype=np.int64), np.zeros((0, 0)), np.zeros(0, dtype=np.int64), k)
-        xid = xs["_id"].to_numpy(dtype=np.int64)
-        return _topk(qs["_id"].to_numpy(dtype=np.int64), _dist_chunked(_mat(qs["_v"]), _mat(xs["_v"])), xid, k)
+            return _empty()
+        return _topk(qs["_id"].to_numpy(dtype=np.int64), _dist_chunked(_mat(qs["_v"]), _mat(xs["_v"])),
+                     xs["_id"].to_numpy(dtype=np.int64), k)
 
-    p2 = qside.unionByName(dside).groupBy("cell", "blk", "qc").applyInPandas(cross, schema)
+    p2 = qside.unionByName(dside).groupBy("cell", "blk", "qc").applyInPandas(cross, _SCHEMA)
     allc = p1.unionByName(p2)
-    return (allc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    # all candidates within the k-th distance (rank keeps every tie at the k-th value)
+    return (allc.withColumn("_rk", F.rank().over(Window.partitionBy("i").orderBy("d")))
+            .where(F.col("_rk") <= k).drop("_rk"))
+
+
+def _smallest_ids(members: DataFrame, r: int, block: int, max_m: int, seed: int) -> DataFrame:
+    """``(_v, _id)``: the ``r`` smallest ids of every copy group, by a salted tree reduction.
+
+    Stage 0 splits each group over ``S`` salts (about ``block`` rows per window partition); each
+    later stage merges ``fan`` salts, whose survivors are at most ``fan * r`` rows. No window
+    partition ever holds more than about ``block`` rows, however large a group is.
+    """
+    fan = max(2, block // r)
+    S = max(1, math.ceil(max_m / block))
+    cur = members.select("_v", "_id", F.pmod(F.xxhash64("_id", F.lit(seed + 3)), F.lit(S)).alias("s"))
+    while True:
+        w = Window.partitionBy("_v", "s").orderBy("_id")
+        cur = cur.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= r).drop("_rn")
+        if S == 1:
+            return cur.drop("s")
+        S = max(1, math.ceil(S / fan))
+        cur = cur.withColumn("s", F.col("s") % F.lit(S))
+
+
+def knn_join(df: DataFrame, id_col: str, vec_col: str, k: int = 10, block: int = 256,
+             max_pivots: int = 2048, seed: int = 17) -> DataFrame:
+    """``(i, j, d, rank)``: the k nearest other points of every point; ties broken by id."""
+    spark = df.sparkSession
+    pts = (df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
+           .checkpoint(eager=True))
+    groups = (pts.groupBy("_v").agg(F.count(F.lit(1)).alias("m"), F.min("_id").alias("g"))
+              .checkpoint(eager=True))
+    max_m = groups.agg(F.max("m")).first()[0]
+    if max_m is None:
+        return spark.createDataFrame([], "i long, j long, d double, rank int")
+    dk = _distinct_knn(groups.select(F.col("g").alias("_id"), "_v"), k, block, max_pivots, seed)
+    by_dj = Window.partitionBy("i").orderBy("d", "j")
+    if max_m == 1:  # no copies: distinct vectors are the points
+        return (dk.withColumn("rank", F.row_number().over(by_dj)).where(F.col("rank") <= k)
+                .select("i", "j", "d", F.col("rank").cast("int")))
+    dk = dk.checkpoint(eager=True)
+    small = _smallest_ids(pts, k + 1, block, max_m, seed)
+    small_g = small.join(groups.select("_v", "g"), "_v").select("g", "_id")  # <= k+1 rows per group
+    own = small_g.select(F.col("g").alias("u"), F.col("_id").alias("j"), F.lit(0.0).alias("d"))
+    nbr = (dk.join(small_g.withColumnRenamed("g", "j_g"), dk["j"] == F.col("j_g"))
+           .select(F.col("i").alias("u"), F.col("_id").alias("j"), "d"))
+    by_u = Window.partitionBy("u").orderBy("d", "j")
+    lists = (own.unionByName(nbr).withColumn("_rn", F.row_number().over(by_u)).where(F.col("_rn") <= k + 1)
+             .join(groups.select(F.col("g").alias("u"), "_v"), "u").select("_v", "j", "d"))
+    out = (pts.join(lists, "_v").where(F.col("j") != F.col("_id"))
+           .select(F.col("_id").alias("i"), "j", "d"))
+    return (out.withColumn("rank", F.row_number().over(by_dj)).where(F.col("rank") <= k)
             .select("i", "j", "d", F.col("rank").cast("int")))
 
 

@@ -16,16 +16,22 @@ def brute(ids, X, k):
     return out
 
 
-@pytest.mark.parametrize("layout", ["clusters", "hot", "copies"])
+@pytest.mark.parametrize("layout", ["clusters", "hot", "copies", "grid", "hot_copies"])
 def test_knn_exact(spark, layout):
     rng = np.random.default_rng(3)
     if layout == "clusters":
         X = np.concatenate([rng.normal(c, 0.3, size=(150, 4)) for c in (0, 3, 9)])
     elif layout == "hot":  # a third of all points packed in one tiny region
         X = np.concatenate([rng.normal(0, 5, size=(300, 4)), rng.normal(50, 1e-3, size=(150, 4))])
-    else:  # exact copies
+    elif layout == "copies":
         base = rng.normal(0, 1, size=(60, 4))
         X = np.concatenate([base, base[:30], base[:10]])
+    elif layout == "grid":  # many exactly tied distances between distinct points
+        X = np.array([[float(a), float(b), 0.0, 0.0] for a in range(15) for b in range(12)])
+    else:  # one vector copied for a third of all rows, plus a grid with ties
+        grid = np.array([[float(a), float(b), 0.0, 0.0] for a in range(10) for b in range(10)])
+        X = np.concatenate([grid, np.repeat(grid[37:38], 60, axis=0), grid[:5]])
+        X = X[rng.permutation(len(X))]
     ids = np.arange(len(X)) * 7 + 1
     df = spark.createDataFrame([(int(i), [float(x) for x in row]) for i, row in zip(ids, X)], "id long, v array<double>")
     k = 5
