@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from auger.operators.learners import builtin
 from auger.operators.learners.boosting import fit_boosting
+from auger.operators.learners.glm import fit_glm
 from auger.operators.learners.sgd import sgd_linear_vector
 
 
@@ -61,6 +62,19 @@ class _BoostEstimator:
                             self.bins, self.rate)
 
 
+@dataclass
+class _GlmEstimator:
+    features: str = "features"
+    label: str = "label"
+    alpha: float = builtin.GLM_ALPHA
+    lam: float = builtin.GLM_LAMBDA
+    standardize: bool = True
+    max_iter: int = 50
+
+    def fit(self, df: DataFrame):
+        return fit_glm(df, self.features, self.label, self.alpha, self.lam, self.standardize, self.max_iter)
+
+
 _REGISTRY: dict[str, Callable[..., object]] = {}
 
 
@@ -84,12 +98,13 @@ register("naive_bayes", builtin.naive_bayes)
 register("logistic_sgd", lambda n_features, **kw: _SgdEstimator("logistic", n_features, **kw))
 register("svm_sgd", lambda n_features, **kw: _SgdEstimator("hinge", n_features, **{"reg": 0.01, **kw}))
 register("linear_svc", builtin.linear_svc)
-register("glm", builtin.glm)
+register("glm", lambda **kw: _GlmEstimator(**kw))
+register("glm_lbfgs", builtin.glm)
 register("glm_cv", builtin.glm_cv)
 register("gbm", builtin.gbm)
 register("gbm_newton", lambda **kw: _BoostEstimator(**kw))
 register("deep_learning", lambda n_in, n_classes, **kw: builtin.network(n_in, n_classes, **kw))
 # the original's enum names
-register("GLM", builtin.glm)
+register("GLM", lambda **kw: _GlmEstimator(**kw))
 register("GBM", builtin.gbm)
 register("DEEP_LEARNING", lambda n_in, n_classes, **kw: builtin.network(n_in, n_classes, **kw))

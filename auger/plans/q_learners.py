@@ -226,10 +226,12 @@ def tree_q(spark, d):
 
 @query("glm_cv", "H5 D3")
 def glm_cv_q(spark, d):
+    """Elastic-net GLM by IRLS, 10-fold cross-validated (fold = hash of the key), scored on test."""
+    from auger.operators.learners.glm import cross_validate_glm
     tr, te = _split(labelled_docs(spark, d))
     tr = tr.withColumn("fold", hash_bucket(F.concat(F.lit("f"), F.col("doc_id").cast("string")), 10))
-    cvm = B.glm_cv(fold_col="fold", parallelism=4).fit(tr)
-    return _scored(cvm.bestModel, te)
+    m, _, _ = cross_validate_glm(tr, "fold", 10, alpha=B.GLM_ALPHA, lam=B.GLM_LAMBDA)
+    return m.transform(te).select("doc_id", "label", "prediction", "p0", "p1")
 
 
 @query("glm_categorical", "H6 B10")
@@ -237,13 +239,14 @@ def glm_categorical_q(spark, d):
     """GLM over categorical inputs only, every level kept, no standardising."""
     from pyspark.ml import Pipeline
     from auger.functions.encoding import assembler, encode_categorical
+    from auger.operators.learners.glm import fit_glm
     df = labelled_docs(spark, d).withColumn("len_band", F.floor(F.log10(F.col("n_chars") + 1)).cast("string"))
     tr, te = _split(df)
     enc = encode_categorical(["source", "lang", "len_band"], drop_last=False)
-    pipe = Pipeline(stages=[*enc.getStages(),
-                            assembler(["source_vec", "lang_vec", "len_band_vec"], "cat_features"),
-                            B.glm(features="cat_features", standardization=False)])
-    return _scored(pipe.fit(tr), te)
+    prep = Pipeline(stages=[*enc.getStages(),
+                            assembler(["source_vec", "lang_vec", "len_band_vec"], "cat_features")]).fit(tr)
+    m = fit_glm(prep.transform(tr), "cat_features", standardize=False, alpha=B.GLM_ALPHA, lam=B.GLM_LAMBDA)
+    return m.transform(prep.transform(te)).select("doc_id", "label", "prediction", "p0", "p1")
 
 
 @query("gbm", "H7 F1")
