@@ -175,18 +175,15 @@ def _distinct_knn(pts: DataFrame, k: int, block: int, max_pivots: int, seed: int
                                 "cell": Bc[bi].astype("int32"), "blk": Bb[bi].astype("int32")})
 
     routed = q.mapInPandas(route, "_id long, _v array<double>, cell int, blk int").checkpoint(eager=True)
-    qcount = {(r["cell"], r["blk"]): r["n"] for r in routed.groupBy("cell", "blk").agg(
-        F.count(F.lit(1)).alias("n")).collect()}  # one row per block at most
-    if not qcount:
-        return p1
-    chunks = F.create_map(*[x for (c, b), m in qcount.items()
-                            for x in (F.lit(f"{c}:{b}"), F.lit(max(1, math.ceil(m / block))))])
-    bkey = F.concat_ws(":", F.col("cell").cast("string"), F.col("blk").cast("string"))
-    qside = routed.select("cell", "blk",
-                          F.pmod(F.xxhash64("_id", F.lit(seed + 2)), F.element_at(chunks, bkey)).cast("int").alias("qc"),
-                          F.lit(True).alias("is_q"), "_id", "_v")
-    dside = (blocked.where(F.element_at(chunks, bkey).isNotNull())
-             .select("cell", "blk", F.explode(F.sequence(F.lit(0), F.element_at(chunks, bkey) - 1)).alias("qc"),
+    # queries per target block -> number of query chunks; one row per block (<= MAX_BLOCK_TABLE),
+    # joined by broadcast instead of being shipped as a literal
+    chunks = F.broadcast(routed.groupBy("cell", "blk").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("nq")))
+    qside = (routed.join(chunks, ["cell", "blk"])
+             .select("cell", "blk", F.pmod(F.xxhash64("_id", F.lit(seed + 2)), F.col("nq")).cast("int").alias("qc"),
+                     F.lit(True).alias("is_q"), "_id", "_v"))
+    dside = (blocked.join(chunks, ["cell", "blk"])
+             .select("cell", "blk", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qc"),
                      F.lit(False).alias("is_q"), "_id", "_v"))
 
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
