@@ -70,3 +70,26 @@ def network(n_in: int, n_classes: int, hidden: tuple[int, ...] = NET_HIDDEN, epo
 def linear_svc(features: str = "features", label: str = "label", reg: float = 0.01, max_iter: int = 100) -> LinearSVC:
     """H4 alternative: Spark's OWL-QN linear SVM (with intercept; not the SGD trainer)."""
     return LinearSVC(featuresCol=features, labelCol=label, regParam=reg, maxIter=max_iter)
+
+
+def fit_network_keep_best(train, valid, n_in: int, n_classes: int, hidden: tuple[int, ...] = NET_HIDDEN,
+                          epochs: int = NET_EPOCHS, step: int = 1, features: str = "features",
+                          label: str = "label", seed: int = NET_SEED):
+    """H9 with "keep the best model": train in chunks of ``step`` iterations, each chunk starting
+    from the previous weights, score the validation rows after each chunk and keep the model with
+    the best validation accuracy. Returns (best model, [(iterations, accuracy), ...])."""
+    from pyspark.sql import functions as F
+
+    best, best_acc, weights, hist = None, -1.0, None, []
+    for done in range(step, epochs + 1, step):
+        est = network(n_in, n_classes, hidden, step, features, label, seed)
+        if weights is not None:
+            est.setInitialWeights(weights)
+        m = est.fit(train)
+        weights = m.weights
+        acc = (m.transform(valid).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")))
+               .first()[0] or 0.0)
+        hist.append((done, acc))
+        if acc > best_acc:
+            best, best_acc = m, acc
+    return best, hist

@@ -81,109 +81,169 @@ def _mat(series) -> np.ndarray:
 
 
 def _distinct_knn(pts: DataFrame, k: int, block: int, max_pivots: int, seed: int) -> DataFrame:
-    """``(i, j, d)`` over distinct vectors ``(_id, _v)``: the k nearest, ties at the k-th kept."""
+    """``(i, j, d)`` over distinct vectors ``(_id, _v)``: the k nearest, ties at the k-th kept.
+
+    Two pivot levels: coarse cells (at most ``max_pivots``) for cheap pruning, and inside every
+    cell sub-pivots sampled at rate 1/``block`` from the cell's own points, so sub-cells hold
+    about ``block`` points wherever the data is dense. A block is a sub-cell, hash-split further
+    only if it is still larger than ``block``.
+    """
     spark = pts.sparkSession
     n = pts.count()
     if n <= 1:
         return spark.createDataFrame([], _SCHEMA)
     dims = len(pts.select("_v").first()[0])
-    block = max(block, math.ceil(n / MAX_BLOCK_TABLE), k + 1)
-    n_piv = int(min(max_pivots, max(1, n // block), max(1, MAX_PIVOT_BYTES // (dims * 8))))
-    piv = [r[0] for r in pts.orderBy(F.xxhash64(F.col("_id"), F.lit(seed)), "_id").limit(n_piv)
-           .select("_v").collect()]  # bounded: n_piv vectors (distinct by construction)
-    P = np.asarray(piv, dtype=float)
+    max_subs = max(16, min(MAX_BLOCK_TABLE, MAX_PIVOT_BYTES // (dims * 8)))
+    block = max(block, math.ceil(n / max_subs), k + 1)
+    n_piv = int(min(max_pivots, max(1, math.ceil(math.sqrt(n / block)))))
+    piv = (pts.orderBy(F.xxhash64(F.col("_id"), F.lit(seed)), "_id").limit(n_piv)
+           .select("_id", "_v").collect())  # bounded: n_piv vectors (distinct by construction)
+    P = np.asarray([r["_v"] for r in piv], dtype=float)
     PP = _dist_chunked(P, P)
     bP = spark.sparkContext.broadcast(P)
 
-    def assign(batches):
+    def assign_cell(batches):
         Pv = bP.value
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             D = _dist_chunked(_mat(pdf["_v"]), Pv)
             c = D.argmin(axis=1)
-            yield pd.DataFrame({"_id": pdf["_id"].astype("int64"), "_v": pdf["_v"],
-                                "cell": c.astype("int32"), "dp": D[np.arange(len(c)), c]})
-
-    cells = pts.mapInPandas(assign, "_id long, _v array<double>, cell int, dp double").checkpoint(eager=True)
-    cstat = {r["cell"]: (r["n"], r["u"]) for r in
-             cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dp").alias("u")).collect()}
-    nb_map = F.create_map(*[x for c, (nc, _) in cstat.items() for x in (F.lit(c), F.lit(max(1, math.ceil(nc / block))))])
-    blocked = cells.withColumn("blk", F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.element_at(nb_map, F.col("cell")))
-                               .cast("int")).checkpoint(eager=True)
-    bstat = sorted((r["cell"], r["blk"], r["r"]) for r in
-                   blocked.groupBy("cell", "blk").agg(F.max("dp").alias("r")).collect())
-    B_cell = np.array([b[0] for b in bstat], dtype=np.int64)
+            yield pd.DataFrame({"_id": pdf["_id"].astype("int64"), "_v": pdf["_v"], "cell": c.astype("int32")})
+
+    cells = pts.mapInPandas(assign_cell, "_id long, _v array<double>, cell int").checkpoint(eager=True)
+    # sub-pivots: every level-1 pivot plus a hash sample at rate 1/block (density-adaptive)
+    sample = (cells.where((F.pmod(F.xxhash64("_id", F.lit(seed + 5)), F.lit(block)) == 0)
+                          | F.col("_id").isin([int(r["_id"]) for r in piv]))
+              .orderBy(F.xxhash64("_id", F.lit(seed + 6)), "_id").limit(max_subs + n_piv)
+              .select("_id", "_v", "cell").collect())  # bounded by max_subs + n_piv
+    sample.sort(key=lambda r: (r["cell"], r["_id"]))
+    S = np.asarray([r["_v"] for r in sample], dtype=float)
+    S_cell = np.array([r["cell"] for r in sample], dtype=np.int64)
+    s_start = np.zeros(len(P), dtype=np.int64)
+    s_cnt = np.bincount(S_cell, minlength=len(P)).astype(np.int64)
+    s_start[1:] = np.cumsum(s_cnt)[:-1]
+    bS = spark.sparkContext.broadcast((S, s_start, s_cnt))
+
+    def assign_sub(batches):
+        Sv, st, cn = bS.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X = _mat(pdf["_v"])
+            cell = pdf["cell"].to_numpy(dtype=np.int64)
+            g = np.zeros(len(X), dtype=np.int64)
+            ds = np.zeros(len(X))
+            for c in np.unique(cell):
+                rows = np.nonzero(cell == c)[0]
+                D = _dist_chunked(X[rows], Sv[st[c]:st[c] + cn[c]])
+                a = D.argmin(axis=1)
+                g[rows] = st[c] + a
+                ds[rows] = D[np.arange(len(rows)), a]
+            yield pd.DataFrame({"_id": pdf["_id"].astype("int64"), "_v": pdf["_v"], "g": g, "ds": ds})
+
+    subs = cells.mapInPandas(assign_sub, "_id long, _v array<double>, g long, ds double")
+    sub_n = F.broadcast(subs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("np")))
+    blocked = (subs.join(sub_n, "g")
+               .withColumn("blk", F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.col("np")).cast("int"))
+               .drop("np").checkpoint(eager=True))
+    bstat = sorted((r["g"], r["blk"], r["r"], r["n"]) for r in
+                   blocked.groupBy("g", "blk").agg(F.max("ds").alias("r"), F.count(F.lit(1)).alias("n")).collect())
+    Ns = len(S)
+    B_g = np.array([b[0] for b in bstat], dtype=np.int64)
     B_blk = np.array([b[1] for b in bstat], dtype=np.int64)
     B_r = np.array([b[2] for b in bstat], dtype=float)
-    # blocks are sorted by cell: cell c owns block rows start[c] .. start[c] + count[c] - 1
-    start = np.zeros(len(P), dtype=np.int64)
-    count = np.zeros(len(P), dtype=np.int64)
-    cs, first = np.unique(B_cell, return_index=True)
-    start[cs] = first
-    count[cs] = np.bincount(B_cell, minlength=len(P))[cs]
+    B_n = np.array([b[3] for b in bstat], dtype=np.int64)
+    b_start = np.zeros(Ns, dtype=np.int64)
+    b_cnt = np.bincount(B_g, minlength=Ns).astype(np.int64)
+    b_start[1:] = np.cumsum(b_cnt)[:-1]
+    R_sub = np.zeros(Ns)
+    n_sub = np.zeros(Ns, dtype=np.int64)
+    np.maximum.at(R_sub, B_g, B_r)
+    np.add.at(n_sub, B_g, B_n)
     U = np.zeros(len(P))
-    big = np.zeros(len(P), dtype=bool)
-    for c, (nc, u) in cstat.items():
-        U[c] = u
-        big[c] = nc > k
-    bB = spark.sparkContext.broadcast((B_cell, B_blk, B_r, start, count, U, big, PP))
+    n_cell = np.zeros(len(P), dtype=np.int64)
+    np.maximum.at(U, S_cell, R_sub + _dist_chunked(S, P)[np.arange(Ns), S_cell])  # ball about p_c
+    np.add.at(n_cell, S_cell, n_sub)
+    bB = spark.sparkContext.broadcast((B_g, B_blk, B_r, b_start, b_cnt, R_sub, n_sub, S_cell, U, n_cell, PP))
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["_id"].to_numpy(dtype=np.int64)
         X = _mat(pdf["_v"])
         return _topk(ids, _dist_chunked(X, X), ids, k)
 
-    p1 = blocked.groupBy("cell", "blk").applyInPandas(local, _SCHEMA).checkpoint(eager=True)
+    p1 = blocked.groupBy("g", "blk").applyInPandas(local, _SCHEMA).checkpoint(eager=True)
     theta = (p1.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy("d")))
              .where(F.col("_r") == k).select("i", F.col("d").alias("theta")))
-
     q = (blocked.join(theta, blocked["_id"] == theta["i"], "left")
-         .select("_id", "_v", "cell", "blk", F.coalesce(F.col("theta"), F.lit(float("inf"))).alias("theta")))
+         .select("_id", "_v", "g", "blk", F.coalesce(F.col("theta"), F.lit(float("inf"))).alias("theta")))
 
     def route(batches):
-        Bc, Bb, Br, st, cnt, Uc, bigc, PPm = bB.value
+        Bg, Bb, Br, bst, bcn, Rs, ns, Sc, Uc, nc, PPm = bB.value
+        Sv, sst, scn = bS.value
         Pv = bP.value
-        big_idx = np.nonzero(bigc)[0]
+        big_c = np.nonzero(nc > k)[0]
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            Dp = _dist_chunked(_mat(pdf["_v"]), Pv)
-            own_c = pdf["cell"].to_numpy(dtype=np.int64)
-            own_b = pdf["blk"].to_numpy(dtype=np.int64)
-            th = pdf["theta"].to_numpy(dtype=float)
-            if len(big_idx):
-                th = np.minimum(th, (Dp[:, big_idx] + Uc[big_idx][None, :]).min(axis=1))
-            tol = th + EPS * (1 + th)
-            own = Dp[np.arange(len(Dp)), own_c][:, None]
-            sep = PPm[own_c]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                hyper = np.where(sep > 0, (Dp * Dp - own * own) / (2 * sep), 0.0)
-            lb_cell = np.maximum(np.maximum(Dp - Uc[None, :], 0.0), hyper)
-            r, c = np.nonzero(lb_cell <= tol[:, None])  # surviving (point, cell) pairs
-            if len(r) == 0:
-                continue
-            n_b = cnt[c]
-            rr = np.repeat(r, n_b)
-            bi = np.repeat(st[c] - np.concatenate([[0], np.cumsum(n_b)[:-1]]), n_b) + np.arange(n_b.sum())
-            lb = np.maximum(lb_cell[rr, Bc[bi]], Dp[rr, Bc[bi]] - Br[bi])
-            keep = (lb <= tol[rr]) & ~((Bc[bi] == own_c[rr]) & (Bb[bi] == own_b[rr]))
-            rr, bi = rr[keep], bi[keep]
-            if len(rr) == 0:
-                continue
-            yield pd.DataFrame({"_id": pdf["_id"].to_numpy(dtype=np.int64)[rr], "_v": pdf["_v"].to_numpy()[rr],
-                                "cell": Bc[bi].astype("int32"), "blk": Bb[bi].astype("int32")})
-
-    routed = q.mapInPandas(route, "_id long, _v array<double>, cell int, blk int").checkpoint(eager=True)
-    # queries per target block -> number of query chunks; one row per block (<= MAX_BLOCK_TABLE),
+            for lo in range(0, len(pdf), 256):
+                part = pdf.iloc[lo:lo + 256]
+                X = _mat(part["_v"])
+                Dp = _dist_chunked(X, Pv)
+                own_g = part["g"].to_numpy(dtype=np.int64)
+                own_b = part["blk"].to_numpy(dtype=np.int64)
+                own_c = Sc[own_g]
+                th = part["theta"].to_numpy(dtype=float)
+                if len(big_c):
+                    th = np.minimum(th, (Dp[:, big_c] + Uc[big_c][None, :]).min(axis=1))
+                tol = th + EPS * (1 + th)
+                own = Dp[np.arange(len(Dp)), own_c][:, None]
+                sep = PPm[own_c]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    hyper = np.where(sep > 0, (Dp * Dp - own * own) / (2 * sep), 0.0)
+                lb_cell = np.maximum(np.maximum(Dp - Uc[None, :], 0.0), hyper)
+                r, c = np.nonzero(lb_cell <= tol[:, None])  # surviving (point, cell) pairs
+                if len(r) == 0:
+                    continue
+                # expand to the sub-cells of each surviving cell
+                k_s = scn[c]
+                rr = np.repeat(r, k_s)
+                gi = np.repeat(sst[c] - np.concatenate([[0], np.cumsum(k_s)[:-1]]), k_s) + np.arange(k_s.sum())
+                dq = np.sqrt(((X[rr] - Sv[gi]) ** 2).sum(axis=1))
+                lb = np.maximum(lb_cell[rr, Sc[gi]], dq - Rs[gi])
+                same = Sc[gi] == own_c[rr]
+                if same.any():
+                    so = Sv[own_g[rr[same]]]
+                    dso = np.sqrt(((X[rr[same]] - so) ** 2).sum(axis=1))
+                    sep2 = np.sqrt(((so - Sv[gi[same]]) ** 2).sum(axis=1))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        h2 = np.where(sep2 > 0, (dq[same] ** 2 - dso ** 2) / (2 * sep2), 0.0)
+                    lb[same] = np.maximum(lb[same], h2)
+                ok = lb <= tol[rr]
+                rr, gi, dq, lb = rr[ok], gi[ok], dq[ok], lb[ok]
+                if len(rr) == 0:
+                    continue
+                # expand to the blocks of each surviving sub-cell
+                k_b = bcn[gi]
+                r2 = np.repeat(rr, k_b)
+                bi = np.repeat(bst[gi] - np.concatenate([[0], np.cumsum(k_b)[:-1]]), k_b) + np.arange(k_b.sum())
+                lb2 = np.maximum(np.repeat(lb, k_b), np.repeat(dq, k_b) - Br[bi])
+                keep = (lb2 <= tol[r2]) & ~((Bg[bi] == own_g[r2]) & (Bb[bi] == own_b[r2]))
+                r2, bi = r2[keep], bi[keep]
+                if len(r2) == 0:
+                    continue
+                yield pd.DataFrame({"_id": part["_id"].to_numpy(dtype=np.int64)[r2],
+                                    "_v": part["_v"].to_numpy()[r2],
+                                    "g": Bg[bi], "blk": Bb[bi].astype("int32")})
+
+    routed = q.mapInPandas(route, "_id long, _v array<double>, g long, blk int").checkpoint(eager=True)
+    # queries per target block -> number of query chunks; one row per block (bounded table),
     # joined by broadcast instead of being shipped as a literal
-    chunks = F.broadcast(routed.groupBy("cell", "blk").agg(
+    chunks = F.broadcast(routed.groupBy("g", "blk").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("nq")))
-    qside = (routed.join(chunks, ["cell", "blk"])
-             .select("cell", "blk", F.pmod(F.xxhash64("_id", F.lit(seed + 2)), F.col("nq")).cast("int").alias("qc"),
+    qside = (routed.join(chunks, ["g", "blk"])
+             .select("g", "blk", F.pmod(F.xxhash64("_id", F.lit(seed + 2)), F.col("nq")).cast("int").alias("qc"),
                      F.lit(True).alias("is_q"), "_id", "_v"))
-    dside = (blocked.join(chunks, ["cell", "blk"])
-             .select("cell", "blk", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qc"),
+    dside = (blocked.join(chunks, ["g", "blk"])
+             .select("g", "blk", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qc"),
                      F.lit(False).alias("is_q"), "_id", "_v"))
 
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -193,7 +253,7 @@ def _distinct_knn(pts: DataFrame, k: int, block: int, max_pivots: int, seed: int
         return _topk(qs["_id"].to_numpy(dtype=np.int64), _dist_chunked(_mat(qs["_v"]), _mat(xs["_v"])),
                      xs["_id"].to_numpy(dtype=np.int64), k)
 
-    p2 = qside.unionByName(dside).groupBy("cell", "blk", "qc").applyInPandas(cross, _SCHEMA)
+    p2 = qside.unionByName(dside).groupBy("g", "blk", "qc").applyInPandas(cross, _SCHEMA)
     allc = p1.unionByName(p2)
     # all candidates within the k-th distance (rank keeps every tie at the k-th value)
     return (allc.withColumn("_rk", F.rank().over(Window.partitionBy("i").orderBy("d")))

@@ -252,3 +252,31 @@ select c_custkey, c_name, c_nationkey from customer
 def view_select(spark, d):
     v = C.as_view(table(spark, d, "customer"), "auger_customer_view")
     return C.slice_columns(v, 0, 3)
+
+
+@query("random_split_counts", "D1")
+def random_split_counts(spark, d):
+    """Seeded 80/20 random split of events: size of each side (random, so no oracle)."""
+    from auger.operators.splits import split
+    tr, te = split(table(spark, d, "events").select("event_id"), 0.8, seed=42)
+    return (tr.select(F.lit("train").alias("part")).unionByName(te.select(F.lit("test").alias("part")))
+            .groupBy("part").agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+@query("chi_square_select", "G6")
+def chi_square_select_q(spark, d):
+    """Top-4 categorical features of lineitem for the line status (selector over level indexes)."""
+    from pyspark.ml.feature import StringIndexer
+    from auger.functions.features import chi_square_select
+    cols = ["l_returnflag", "discount", "tax", "quantity", "lnum"]
+    li = table(spark, d, "lineitem").select(
+        "l_linestatus", "l_returnflag",
+        F.round(F.col("l_discount") * 100, 0).cast("long").cast("string").alias("discount"),
+        F.round(F.col("l_tax") * 100, 0).cast("long").cast("string").alias("tax"),
+        F.col("l_quantity").cast("long").cast("string").alias("quantity"),
+        F.col("l_linenumber").cast("string").alias("lnum"))
+    idx = StringIndexer(inputCols=cols + ["l_linestatus"], outputCols=[c + "_i" for c in cols] + ["label"],
+                        stringOrderType="alphabetAsc").fit(li)
+    v = assemble(idx.transform(li), [c + "_i" for c in cols])
+    m, _ = chi_square_select(v, "features", "label", 4)
+    return spark.createDataFrame([(cols[i],) for i in m.selectedFeatures], "feature string")

@@ -373,3 +373,15 @@ def stream_score_q(spark, d):
     q = score_arrivals(spark, src, names, _NB_FEATS, lambda df: m.transform(df), sink)
     q.awaitTermination()
     return spark.read.parquet(sink).select(F.col("event_id").cast("long"), "prediction")
+
+
+@query("network_keep_best", "H9")
+def network_keep_best_q(spark, d):
+    """Network trained in 10-iteration chunks; the chunk with the best validation accuracy wins.
+    Validation = the training part's bucket 7 (the test part is never looked at)."""
+    from auger.operators.learners.builtin import fit_network_keep_best
+    tr, te = _split(doc_features(spark, d))
+    fit, valid = tr.where(F.col("_b") < 7), tr.where(F.col("_b") == 7)
+    k = len(_lang_levels(spark, d))
+    m, _ = fit_network_keep_best(fit, valid, N_HASH, k, hidden=(16,), epochs=30, step=10, label="lang_idx")
+    return _scored(m, te, k, label="lang_idx")

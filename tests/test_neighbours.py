@@ -16,7 +16,7 @@ def brute(ids, X, k):
     return out
 
 
-@pytest.mark.parametrize("layout", ["clusters", "hot", "copies", "grid", "hot_copies"])
+@pytest.mark.parametrize("layout", ["clusters", "hot", "copies", "grid", "hot_copies", "dense"])
 def test_knn_exact(spark, layout):
     rng = np.random.default_rng(3)
     if layout == "clusters":
@@ -28,6 +28,8 @@ def test_knn_exact(spark, layout):
         X = np.concatenate([base, base[:30], base[:10]])
     elif layout == "grid":  # many exactly tied distances between distinct points
         X = np.array([[float(a), float(b), 0.0, 0.0] for a in range(15) for b in range(12)])
+    elif layout == "dense":  # distinct points, a third of them in a tiny dense ball
+        X = np.concatenate([rng.normal(0, 5, size=(400, 4)), rng.normal(20, 1e-2, size=(200, 4))])
     else:  # one vector copied for a third of all rows, plus a grid with ties
         grid = np.array([[float(a), float(b), 0.0, 0.0] for a in range(10) for b in range(10)])
         X = np.concatenate([grid, np.repeat(grid[37:38], 60, axis=0), grid[:5]])
