@@ -7,7 +7,7 @@ raw rows nor all scores ever meet in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auger.operators.running import running_totals
@@ -33,7 +33,7 @@ def mse(scored: DataFrame, prediction: str | Column = "prediction", label: str |
         name: str = "mse") -> DataFrame:
     """Mean squared error. Over class indexes this is the misclassification rate (``mse_class``)."""
     d = _c(label).cast("double") - _c(prediction).cast("double")
-    return scored.agg((F.sum(d * d) / F.count(F.lit(1))).alias(name),
+    return scored.agg(F.try_divide(F.sum(d * d), F.count(F.lit(1))).alias(name),
                       F.sum(d * d).alias("sse"), F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -69,8 +69,9 @@ def auc(scored: DataFrame, score: str = "p1", label: str = "label", positive: fl
     res = run.agg(
         F.sum(F.col("pos") * (F.col("cnt_run") - F.col("cnt") + (F.col("cnt") + 1) / 2.0)).alias("rs"),
         F.sum("pos").alias("np"), (F.sum("cnt") - F.sum("pos")).alias("nn"))
-    return res.select(((F.col("rs") - F.col("np") * (F.col("np") + 1) / 2.0)
-                       / (F.col("np") * F.col("nn"))).alias("auc"))
+    # null (not an error) when one class is absent
+    return res.select(F.try_divide(F.col("rs") - F.col("np") * (F.col("np") + 1) / 2.0,
+                                   F.col("np") * F.col("nn")).alias("auc"))
 
 
 def threshold_sweep(scored: DataFrame, score: str = "p1", label: str = "label", positive: float = 1.0) -> DataFrame:
@@ -83,7 +84,7 @@ def threshold_sweep(scored: DataFrame, score: str = "p1", label: str = "label",
     fn = np_ - tp
     tn = tot - np_ - fp
     return run.select(F.col("p").alias("thr"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"),
-                      (2.0 * tp / (pp + np_)).alias("f1"), ((tp + tn) / tot).alias("accuracy"))
+                      F.try_divide(2.0 * tp, pp + np_).alias("f1"), F.try_divide(tp + tn, tot).alias("accuracy"))
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:
@@ -94,7 +95,6 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 def class_priors(df: DataFrame, label: str = "label") -> DataFrame:
     """``(label, n, prior)``; the total comes from the same small grouped table."""
     g = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
     return g.withColumn("prior", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
@@ -105,11 +105,11 @@ def glm_validation(scored: DataFrame, prob: str = "p1", label: str = "label", n_
     y = F.col(label).cast("double")
     ll = y * F.log(p) + (1 - y) * F.log(1 - p)
     agg = scored.agg(F.sum(ll).alias("ll"), F.sum(y).alias("sy"), F.count(F.lit(1)).alias("n"))
-    ybar = F.col("sy") / F.col("n")
+    ybar = F.try_divide(F.col("sy"), F.col("n"))
     null_ll = F.col("sy") * F.log(ybar) + (F.col("n") - F.col("sy")) * F.log(1 - ybar)
     return agg.select(
         (-2 * null_ll).alias("null_deviance"),
         (-2 * F.col("ll")).alias("residual_deviance"),
-        (-F.col("ll") / F.col("n")).alias("logloss"),
+        F.try_divide(-F.col("ll"), F.col("n")).alias("logloss"),
         (-2 * F.col("ll") + 2 * F.lit(n_params)).alias("aic"),
         F.col("n").alias("n_rows"))

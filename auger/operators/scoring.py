@@ -6,8 +6,8 @@ written by the sinks, never collected.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,30 +59,28 @@ def score_each_iteration(spark: SparkSession, gbt_model, df: DataFrame) -> DataF
 
 
 def permuted_copies(df: DataFrame, features: str, n_features: int, seed: int = 7,
-                    which: list[int] | None = None) -> DataFrame:
-    """One copy of ``df`` per feature j (column ``_perm_j``) with slot j shuffled among the rows of
-    each Arrow batch. The copies are made by an in-stage explode, the shuffle inside each task
-    (numpy), so the work is spread like the input is; ``j = -1`` is the unpermuted baseline."""
+                    which: list[int] | None = None, group_rows: int = 1024) -> DataFrame:
+    """One copy of ``df`` per feature j (column ``_perm_j``; ``-1`` = unpermuted baseline) in
+    which slot j is permuted among the rows.
+
+    The copies come from an in-stage explode; the permutation is a cyclic shift inside random
+    groups of about ``group_rows`` rows (a window partitioned by copy and group), so the work is
+    JVM-side and no task ever holds more than one group.
+    """
     which = list(range(n_features)) if which is None else which
-    base = df.withColumn("_farr", vector_to_array(F.col(features)))
-    rep = base.withColumn("_perm_j", F.explode(F.array(*[F.lit(j) for j in [-1, *which]])))
-    schema = T.StructType([f for f in rep.schema])
-
-    def shuffle(batches):
-        for pdf in batches:
-            rng = np.random.default_rng(seed + len(pdf))
-            out = []
-            for j, g in pdf.groupby("_perm_j", sort=False):
-                if j >= 0 and len(g) > 1:
-                    X = np.stack(g["_farr"].to_numpy())
-                    X[:, j] = X[rng.permutation(len(X)), j]
-                    g = g.assign(_farr=list(X))
-                out.append(g)
-            if out:
-                yield pd.concat(out)
-
-    return (rep.mapInPandas(shuffle, schema)
-            .withColumn(features, array_to_vector("_farr")).drop("_farr"))
+    n = df.count()
+    n_groups = max(1, math.ceil(n / group_rows))
+    rep = (df.withColumn("_farr", vector_to_array(F.col(features)))
+           .withColumn("_perm_j", F.explode(F.array(*[F.lit(j) for j in [-1, *which]])))
+           .withColumn("_grp", F.floor(F.rand(seed) * n_groups).cast("int"))
+           .withColumn("_ord", F.rand(seed + 1)))
+    w = Window.partitionBy("_perm_j", "_grp").orderBy("_ord")
+    wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    slot = F.when(F.col("_perm_j") >= 0, F.element_at("_farr", F.col("_perm_j") + 1))
+    prev = F.coalesce(F.lag(slot, 1).over(w), F.last(slot).over(wall))
+    out = rep.withColumn("_pv", prev).withColumn(
+        "_farr", F.transform("_farr", lambda x, i: F.when(i == F.col("_perm_j"), F.col("_pv")).otherwise(x)))
+    return out.withColumn(features, array_to_vector("_farr")).drop("_farr", "_pv", "_grp", "_ord")
 
 
 def permutation_importance(spark: SparkSession, model, df: DataFrame, features: str = "features",

@@ -169,8 +169,9 @@ def first_split_table(df: DataFrame, features: list[str], label: str, max_classe
     sl2 = sum((F.col(f"_l{i}") * F.col(f"_l{i}") for i in range(k)), F.lit(0)).cast("long")
     sr2 = sum(((F.col(f"_t{i}") - F.col(f"_l{i}")) * (F.col(f"_t{i}") - F.col(f"_l{i}")) for i in range(k)),
               F.lit(0)).cast("long")
-    g = run.select("feature", F.col("v").alias("threshold"), nl.alias("n_left"), nr.alias("_nr"),
-                   (F.lit(1.0) - (sl2 / nl + sr2 / nr) / nall).alias("gini")).where(F.col("_nr") > 0)
+    g = (run.select("feature", F.col("v").alias("threshold"), nl.alias("n_left"), nr.alias("_nr"),
+                    (F.lit(1.0) - F.try_divide(F.try_divide(sl2, nl) + F.try_divide(sr2, nr), nall)).alias("gini"))
+         .where(F.col("_nr") > 0))
     best = Window.partitionBy("feature").orderBy(F.round("gini", 12), "threshold")
     return (g.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") == 1)
             .select("feature", "threshold", F.round("gini", 10).alias("gini"), "n_left"))
@@ -199,10 +200,11 @@ def labelled_docs(spark, d, n_features: int = N_HASH) -> DataFrame:
 
 
 def _split(df: DataFrame):
-    """Hash split; both sides are written once to the checkpoint folder so that iterative
-    learners re-read compact feature rows instead of re-tokenising whole texts every pass."""
-    return (df.where(F.col("_b") < 8).checkpoint(eager=True),
-            df.where(F.col("_b") >= 8).checkpoint(eager=True))
+    """Hash split. The feature rows are written once to the checkpoint folder (texts are
+    tokenised in one pass), so iterative learners re-read compact rows instead of re-tokenising
+    whole texts on every pass; both sides are filters over that one table."""
+    ck = df.checkpoint(eager=True)
+    return ck.where(F.col("_b") < 8), ck.where(F.col("_b") >= 8)
 
 
 def _scored(model, test, n_classes=2, label="label"):

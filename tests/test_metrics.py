@@ -35,3 +35,24 @@ def test_sweep_counts_add_up(spark):
     sw = M.threshold_sweep(df, "p1", "label").collect()
     assert all(r["tp"] + r["fp"] + r["fn"] + r["tn"] == 100 for r in sw)
     assert M.best_threshold(M.threshold_sweep(df, "p1", "label")).count() == 1
+
+
+def test_permuted_copies_keep_values(spark):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+    from auger.operators.scoring import permuted_copies
+    df = spark.createDataFrame([(i, Vectors.dense([float(i), float(i % 7), 5.0])) for i in range(3000)], ["id", "f"])
+    cp = permuted_copies(df, "f", 3, group_rows=100).withColumn("a", vector_to_array("f"))
+    rows = cp.select("id", "_perm_j", "a").collect()
+    by_j = {}
+    for r in rows:
+        by_j.setdefault(r["_perm_j"], []).append((r["id"], list(r["a"])))
+    assert sorted(by_j) == [-1, 0, 1, 2]
+    base = {i: a for i, a in by_j[-1]}
+    assert all(a == [float(i), float(i % 7), 5.0] for i, a in by_j[-1])
+    for j in (0, 1, 2):
+        got = by_j[j]
+        assert sorted(a[j] for _, a in got) == sorted(base[i][j] for i, _ in got)  # same multiset
+        assert all(a[o] == base[i][o] for i, a in got for o in range(3) if o != j)  # others untouched
+    moved = sum(1 for i, a in by_j[0] if a[0] != base[i][0])
+    assert moved > 2500
