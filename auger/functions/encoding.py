@@ -44,16 +44,36 @@ def assemble(df: DataFrame, cols: Iterable[str], out: str = "features") -> DataF
 def domains(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """Sorted distinct levels of each column -> ``(column, level, level_index)``.
 
-    One pass: the columns are unpivoted into (column, level) pairs, reduced by a partial +
-    final distinct aggregate, and ranked in text order per column.
+    The columns are unpivoted into (column, level) pairs and reduced by a partial + final
+    distinct aggregate; text-order positions come from :func:`ordered_positions`, so a column
+    with very many levels is ranked across many tasks, not in one window.
     """
     cols = list(cols)
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in cols
     ])).alias("kv")).select("kv.column", "kv.level")
     distinct = long.where(F.col("level").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("level")
-    return distinct.withColumn("level_index", (F.row_number().over(w) - 1).cast("int"))
+    return ordered_positions(distinct, "column", "level", "level_index")
+
+
+def ordered_positions(df: DataFrame, group: str, order: str, out: str = "pos",
+                      partitions: int | None = None) -> DataFrame:
+    """0-based position of each row within its ``group`` in ``order`` (values unique per group).
+
+    Range partitioning on (group, order) spreads a large group over consecutive partitions;
+    rows are numbered inside each (partition, group), and the counts of earlier partitions of the
+    same group (a table of groups x partitions) give the offsets. Exact, and no task holds more
+    than one range partition.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    r = df.repartitionByRange(n, group, order).withColumn("_p", F.spark_partition_id())
+    r = r.withColumn("_rn", F.row_number().over(Window.partitionBy("_p", group).orderBy(order)))
+    counts = r.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
+        Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (r.join(offs.select(group, "_p", "_off"), [group, "_p"])
+            .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("int"))
+            .drop("_p", "_rn", "_off"))
 
 
 def fit_pipeline(stages, df: DataFrame) -> PipelineModel:

@@ -147,7 +147,14 @@ def first_split_gini_q(spark, d):
     return first_split_table(ev, list(_GINI_FEATS), "c")
 
 
-def first_split_table(df: DataFrame, features: list[str], label: str, max_classes: int = 1000) -> DataFrame:
+def first_split_table(df: DataFrame, features: list[str], label: str, max_classes: int = 1000,
+                      max_bins: int = 256) -> DataFrame:
+    """Weighted gini of every candidate first split ``x <= t``, best per feature.
+
+    A feature with more than ``max_bins`` distinct values is first cut at approximate quantiles
+    (each value replaced by its bin's upper edge), as histogram trees do, so every per-feature
+    window holds at most ``max_bins`` rows."""
+    df = _bin_wide_features(df, features, max_bins)
     classes = [r[0] for r in df.select(label).distinct().limit(max_classes + 1).collect()]
     if len(classes) > max_classes:
         raise ValueError("label domain too large for a gini table")
@@ -177,6 +184,24 @@ def first_split_table(df: DataFrame, features: list[str], label: str, max_classe
             .select("feature", "threshold", F.round("gini", 10).alias("gini"), "n_left"))
 
 
+def _bin_wide_features(df: DataFrame, features: list[str], max_bins: int) -> DataFrame:
+    counts = df.agg(*[F.approx_count_distinct(f).alias(f) for f in features]).first()
+    wide = [f for f in features if counts[f] > max_bins]
+    if not wide:
+        return df
+    probs = [i / max_bins for i in range(1, max_bins)]
+    edges = df.approxQuantile(wide, probs, 1.0 / (4 * max_bins))  # max_bins numbers per feature
+    out = df
+    for f, e in zip(wide, edges):
+        ups = sorted(set(e))
+        # the bin's upper edge: the smallest edge >= x (a CASE over at most max_bins edges)
+        expr = F.lit(None).cast("double")
+        for u in reversed(ups):
+            expr = F.when(F.col(f) <= u, F.lit(float(u))).otherwise(expr)
+        out = out.withColumn(f, F.coalesce(expr, F.lit(float("inf"))))  # above the last edge
+    return out
+
+
 # ---------------------------------------------------------------- documents: trained models
 
 def doc_features(spark, d, n_features: int = N_HASH) -> DataFrame:

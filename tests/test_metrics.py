@@ -56,3 +56,23 @@ def test_permuted_copies_keep_values(spark):
         assert all(a[o] == base[i][o] for i, a in got for o in range(3) if o != j)  # others untouched
     moved = sum(1 for i, a in by_j[0] if a[0] != base[i][0])
     assert moved > 2500
+
+
+def test_ordered_positions_spans_partitions(spark):
+    from auger.functions.encoding import ordered_positions
+    rows = [("big", f"v{i:05d}") for i in range(5000)] + [("small", s) for s in ("b", "a", "c")]
+    df = spark.createDataFrame(rows, "g string, v string")
+    got = ordered_positions(df, "g", "v", "pos", partitions=16).collect()
+    pos = {(r["g"], r["v"]): r["pos"] for r in got}
+    assert [pos[("small", s)] for s in ("a", "b", "c")] == [0, 1, 2]
+    assert all(pos[("big", f"v{i:05d}")] == i for i in range(5000))
+
+
+def test_first_split_bins_wide_features(spark):
+    from auger.plans.q_learners import first_split_table
+    rows = [(float(i), "a" if i < 700 else "b") for i in range(1000)]
+    df = spark.createDataFrame(rows, "x double, c string")
+    exact = first_split_table(df, ["x"], "c", max_bins=5000).first()
+    binned = first_split_table(df, ["x"], "c", max_bins=50).first()
+    assert exact["threshold"] == 699.0 and exact["gini"] == 0.0
+    assert binned["gini"] <= 0.05 and binned["n_left"] > 600
