@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.ml.feature import HashingTF, Normalizer, StandardScaler, UnivariateFeatureSelector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,11 +71,13 @@ def chi_square_scores(df: DataFrame, features: Iterable[str], label: str) -> Dat
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("v")) for f in feats
     ])).alias("kv")).select("kv.feature", "kv.v", "_c")
     cells = long.groupBy("feature", "v", "_c").agg(F.count(F.lit(1)).alias("n"))
-    by_v = cells.groupBy("feature", "v").agg(F.sum("n").alias("nv"))
-    by_c = cells.groupBy("feature", "_c").agg(F.sum("n").alias("nc"))
-    tot = cells.groupBy("feature").agg(F.sum("n").alias("n_all"),
-                                       F.countDistinct("v").alias("kv"), F.countDistinct("_c").alias("kc"))
-    j = (cells.join(by_v, ["feature", "v"]).join(by_c, ["feature", "_c"]).join(tot, "feature"))
+    # margins by windows over the (small, domain-sized) cell table: one scan of the input
+    wf = Window.partitionBy("feature")
+    j = (cells.withColumn("nv", F.sum("n").over(Window.partitionBy("feature", "v")))
+         .withColumn("nc", F.sum("n").over(Window.partitionBy("feature", "_c")))
+         .withColumn("n_all", F.sum("n").over(wf))
+         .withColumn("kv", F.size(F.collect_set("v").over(wf)))
+         .withColumn("kc", F.size(F.collect_set("_c").over(wf))))
     return (j.groupBy("feature")
             .agg((F.sum(F.col("n") * F.col("n") * F.col("n_all") / (F.col("nv") * F.col("nc"))) - F.first("n_all"))
                  .alias("statistic"),

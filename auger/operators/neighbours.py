@@ -316,9 +316,11 @@ def local_outlier_factor(knn: DataFrame) -> DataFrame:
     A point whose reach distances are all zero (exact copies) has infinite density; its factor
     is defined as 1.
     """
+    knn = knn.select("i", "j", "d").checkpoint(eager=True)  # read three times below
     kd = knn.groupBy("i").agg(F.max("d").alias("kd"))
     reach = knn.join(kd.withColumnRenamed("i", "j").withColumnRenamed("kd", "kd_j"), "j")
-    lrd = reach.groupBy("i").agg((1.0 / F.nullif(F.avg(F.greatest("d", "kd_j")), F.lit(0.0))).alias("lrd"))
+    lrd = (reach.groupBy("i").agg((1.0 / F.nullif(F.avg(F.greatest("d", "kd_j")), F.lit(0.0))).alias("lrd"))
+           .checkpoint(eager=True))
     lj = knn.join(lrd.withColumnRenamed("i", "j").withColumnRenamed("lrd", "lrd_j"), "j")
     agg = lj.groupBy("i").agg(F.avg("lrd_j").alias("avg_lrd_j"), F.count("lrd_j").alias("n_fin"),
                               F.count(F.lit(1)).alias("n_all"))
