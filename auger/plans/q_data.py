@@ -110,15 +110,22 @@ def kfold_counts(spark, d):
     return ev.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("value"), 6).alias("sum_value"))
 
 
-@query("union_labelled", "A4 D4", sql="""
-select doc_id, cast(dense_rank() over (order by lang) - 1 as double) as label, n_chars from documents
+_TOK_SQL = ("case when text <> '' and rtrim(text, ' ') = '' then []::varchar[] "
+            "else string_split(rtrim(text, ' '), ' ') end")
+
+
+@query("union_labelled", "A4 D4 G1", sql=f"""
+select doc_id as src_id, 0.0::double as label, cast(len({_TOK_SQL}) as integer) as n_tokens from documents
+union all
+select item_id, 1.0::double, cast(len({_TOK_SQL}) as integer) from benchmark
 """)
 def union_labelled(spark, d):
-    """One labelled set per class (documents by language), unioned by name."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    levels = [r["level"] for r in domains(docs, ["lang"]).orderBy("level_index").collect()]
-    parts = [docs.where(F.col("lang") == lv).select("doc_id", F.lit(float(i)).alias("label"), "n_chars")
-             for i, lv in enumerate(levels)]
+    """One input per class, as the text jobs read one file per class: document texts are class 0,
+    benchmark passages class 1; each is scanned once, labelled, and the two are unioned by name."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("src_id"), "text")
+    bench = table(spark, d, "benchmark").select(F.col("item_id").alias("src_id"), "text")
+    parts = [p.select("src_id", F.lit(float(i)).alias("label"), F.size(tokens("text")).alias("n_tokens"))
+             for i, p in enumerate([docs, bench])]
     return tables.union_all(*parts)
 
 

@@ -22,11 +22,31 @@ def _arff_type(spec: str) -> T.DataType:
     return T.StringType()  # nominal {…}, string, date: kept as text
 
 
+MAX_HEADER_LINES = 100_000
+
+
+def _first_file(spark: SparkSession, path: str) -> str:
+    """The file an ARFF header lives in: ``path`` itself, or the first visible part by name."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.getFileStatus(p).isDirectory():
+        return path
+    names = sorted(st.getPath().toString() for st in fs.listStatus(p)
+                   if st.isFile() and not st.getPath().getName().startswith(("_", ".")))
+    if not names:
+        raise ValueError(f"no data files in {path}")
+    return names[0]
+
+
 def read_arff_header(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """Attribute (name, type spec) pairs in declaration order."""
-    lines = (spark.read.text(path)
-             .withColumn("_pos", F.monotonically_increasing_id())
-             .where(F.col("value").rlike(r"(?i)^\s*@attribute\s"))
+    """Attribute (name, type spec) pairs in declaration order.
+
+    Only the head of the first file is read (a LIMIT over its scan), not the data.
+    """
+    head = (spark.read.text(_first_file(spark, path)).limit(MAX_HEADER_LINES)
+            .withColumn("_pos", F.monotonically_increasing_id()))
+    lines = (head.where(F.col("value").rlike(r"(?i)^\s*@attribute\s"))
              .select("_pos",
                      F.regexp_extract("value", _ATTR, 1).alias("name"),
                      F.regexp_extract("value", _ATTR, 2).alias("spec"))
