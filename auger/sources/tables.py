@@ -37,9 +37,17 @@ def read_table(spark: SparkSession, path: str, names: Iterable[str], sep: str =
     return r.csv(path)
 
 
-def read_positional(spark: SparkSession, path: str, n_columns: int, sep: str = ",",
+def read_positional(spark: SparkSession, path: str, n_columns: int | None = None, sep: str = ",",
                     prefix: str = "c") -> DataFrame:
-    """A2: headerless CSV whose columns are known only by position: ``c0 … c{n-1}``."""
+    """A2: headerless CSV whose columns are known only by position: ``c0 … c{n-1}``.
+
+    Without ``n_columns`` the width is taken from the first line (a LIMIT 1 read).
+    """
+    if n_columns is None:
+        first = spark.read.text(path).limit(1).collect()
+        if not first:
+            raise ValueError(f"{path} is empty")
+        n_columns = len(first[0][0].replace("\r", "\n").split("\n")[0].split(sep))
     return read_table(spark, path, [f"{prefix}{i}" for i in range(n_columns)], sep=sep)
 
 

@@ -73,3 +73,10 @@ def test_discretize_does_not_floor(spark):
     df = spark.createDataFrame([(40.0,)], "x double")
     assert C.discretize(df, ["x"]).first()["x"] == 2.5
     assert C.discretize(df, ["x"], floor=True).first()["x"] == 2.0
+
+
+def test_positional_width_from_first_line(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "pos.csv")
+    open(p, "w").write("1,2,3,4\n5,6,7,8\n")
+    df = read_positional(spark, p)
+    assert df.columns == ["c0", "c1", "c2", "c3"] and df.count() == 2

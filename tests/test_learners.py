@@ -86,3 +86,14 @@ def test_train_report_sections(spark):
     keys = {(r["section"], r["key"]) for r in rep["metrics"].collect()}
     assert ("auc", "auc") in keys and ("error", "test_error") in keys
     assert rep["confusion"].count() >= 2
+
+
+def test_boosting_fit_reproduces_stored_model_constants(spark):
+    # 481 rows of class 0 at x = 0 and 2841 of class 1 at x = 1: the first tree's leaves are pure
+    rows = [(0.0, Vectors.dense([0.0])) for _ in range(481)] + [(1.0, Vectors.dense([1.0])) for _ in range(2841)]
+    df = spark.createDataFrame(rows, ["label", "features"])
+    m = fit_boosting(df, "features", "label", 2, rounds=1, depth=1, bins=2)
+    assert m.init[0] == pytest.approx(-0.8880220558742132, abs=1e-12)
+    gam = sorted(m.rounds[0].gammas[0].values())
+    assert gam[0] == pytest.approx(-0.58465326, abs=1e-7)
+    assert gam[1] == pytest.approx(3.4532218, abs=1e-6)
