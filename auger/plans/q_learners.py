@@ -348,6 +348,17 @@ def tree_sql_q(spark, d):
             .select("doc_id", "prediction", "prediction_sql", "p1", "p1_sql"))
 
 
+@query("model_roundtrip", "A11")
+def model_roundtrip_q(spark, d):
+    """A 2-tree boosted model saved to the shared folder, loaded back, and scoring the test part."""
+    from pyspark.ml import Pipeline
+    from auger.session import scratch_path
+    from auger.sources.models import load_model, save_model
+    tr, te = _split(labelled_docs(spark, d))
+    path = save_model(Pipeline(stages=[B.gbm(trees=2)]).fit(tr), scratch_path(spark, "model"))
+    return _scored(load_model(path), te)
+
+
 @query("patterns", "J3")
 def patterns_q(spark, d):
     """Leaves of a depth-3 tree as rules: ``(leaf, rule, class, n, support, confidence)``."""
@@ -369,8 +380,9 @@ def patterns_q(spark, d):
 
 @query("linear_svc", "H4")
 def linear_svc_q(spark, d):
+    """Spark's linear SVM (OWL-QN, with intercept) under the original job's budget of 5 iterations."""
     tr, te = _split(labelled_docs(spark, d))
-    m = B.linear_svc().fit(tr)
+    m = B.linear_svc(max_iter=5).fit(tr)
     return m.transform(te).select("doc_id", "label", "prediction")
 
 
