@@ -11,7 +11,6 @@ import math
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def score(model, df: DataFrame, n_classes: int | None = None, prob_col: str = "probability",

@@ -22,7 +22,6 @@ from auger.plans.catalog import query, table
 from auger.sources.models import tree_rules, tree_to_sql
 
 N_HASH = 100
-LANGS_SQL = "dense_rank() over (order by lang) - 1"
 
 # ---------------------------------------------------------------- events: exact learners
 

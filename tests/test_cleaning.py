@@ -2,7 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
 
 from auger.functions import cleaning as C
 from auger.sources.config import JobConfig, LabelSpec

@@ -1,7 +1,5 @@
 """Learner checks: closed forms, golden constants of the stored boosted model, signal, export."""
 
-import math
-
 import numpy as np
 import pytest
 from pyspark.ml.classification import NaiveBayes

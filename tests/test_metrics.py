@@ -1,7 +1,6 @@
 import numpy as np
 import pandas as pd
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import functions as F
 
 from auger.operators import metrics as M
 from auger.operators.running import running_totals

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from auger.operators.neighbours import knn_join, local_outlier_factor
 
