@@ -59,12 +59,19 @@ def _score_table(scored: DataFrame, score: str, label: str, positive: float) ->
                  F.sum(F.when(F.col(label) == F.lit(positive), 1).otherwise(0)).alias("pos")))
 
 
-def auc(scored: DataFrame, score: str = "p1", label: str = "label", positive: float = 1.0) -> DataFrame:
+def score_table(scored: DataFrame, score: str = "p1", label: str = "label", positive: float = 1.0) -> DataFrame:
+    """One row per distinct score ``(p, cnt, pos)``, materialised once in the checkpoint folder;
+    pass it as ``table=`` to :func:`auc` and :func:`threshold_sweep` to share it."""
+    return _score_table(scored, score, label, positive).checkpoint(eager=True)
+
+
+def auc(scored: DataFrame | None = None, score: str = "p1", label: str = "label", positive: float = 1.0,
+        table: DataFrame | None = None) -> DataFrame:
     """E5: area under ROC, tie-aware (rank-sum with mid ranks), exact.
 
     AUC = (sum over positives of rank - np(np+1)/2) / (np * nn).
     """
-    g = _score_table(scored, score, label, positive).checkpoint(eager=True)
+    g = table if table is not None else score_table(scored, score, label, positive)
     run = running_totals(g, "p", ["cnt"])
     res = run.agg(
         F.sum(F.col("pos") * (F.col("cnt_run") - F.col("cnt") + (F.col("cnt") + 1) / 2.0)).alias("rs"),
@@ -74,10 +81,11 @@ def auc(scored: DataFrame, score: str = "p1", label: str = "label", positive: fl
                                    F.col("np") * F.col("nn")).alias("auc"))
 
 
-def threshold_sweep(scored: DataFrame, score: str = "p1", label: str = "label", positive: float = 1.0) -> DataFrame:
+def threshold_sweep(scored: DataFrame | None = None, score: str = "p1", label: str = "label",
+                    positive: float = 1.0, table: DataFrame | None = None) -> DataFrame:
     """For every distinct score ``thr``, predict positive when score >= thr:
     ``thr, tp, fp, fn, tn, f1, accuracy``. One row per distinct score."""
-    g = _score_table(scored, score, label, positive).checkpoint(eager=True)
+    g = table if table is not None else score_table(scored, score, label, positive)
     run = running_totals(g, "p", ["cnt", "pos"], descending=True)
     pp, tp, np_, tot = F.col("cnt_run"), F.col("pos_run"), F.col("pos_total"), F.col("cnt_total")
     fp = pp - tp
@@ -92,6 +100,22 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.col("f1").desc(), F.col("thr").asc()).limit(1)
 
 
+def summary(scored: DataFrame, prediction: str = "prediction", label: str = "label",
+            prob: str | None = None, positive: float = 1.0) -> DataFrame:
+    """E1, E2, E4, E9 (and the probability MSE) in one aggregate: one pass over the scored rows."""
+    y, pr = F.col(label).cast("double"), F.col(prediction).cast("double")
+    n = F.count(F.lit(1))
+    aggs = [F.avg(F.when(pr.eqNullSafe(y), 0.0).otherwise(1.0)).alias("test_error"),
+            F.try_divide(F.sum((y - pr) * (y - pr)), n).alias("mse_class"),
+            F.avg(F.when(pr == y, 1.0).otherwise(0.0)).alias("accuracy"),
+            n.alias("n_rows")]
+    if prob:
+        yp = F.when(F.col(label) == F.lit(positive), 1.0).otherwise(0.0)
+        dp = yp - F.col(prob).cast("double")
+        aggs.append(F.try_divide(F.sum(dp * dp), n).alias("mse_prob"))
+    return scored.agg(*aggs)
+
+
 def class_priors(df: DataFrame, label: str = "label") -> DataFrame:
     """``(label, n, prior)``; the total comes from the same small grouped table."""
     g = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))

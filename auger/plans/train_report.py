@@ -34,14 +34,13 @@ def train_and_report(spark: SparkSession, df: DataFrame, algorithm: str, feature
     est = make(algorithm, **settings)
     model = est.fit(train)
     scored = score(model, test, n_classes).checkpoint(eager=True)
-    parts = [_kv(M.test_error(scored, "prediction", label), "error"),
-             _kv(M.mse(scored, "prediction", label, "mse_class").select("mse_class"), "error"),
-             _kv(M.accuracy(scored, "prediction", label), "accuracy")]
-    if n_classes == 2 and "p1" in scored.columns:
-        parts.append(_kv(M.mse(scored.withColumn("_y", (F.col(label) == positive).cast("double")),
-                               "p1", "_y", "mse_prob").select("mse_prob"), "error"))
-        parts.append(_kv(M.auc(scored, "p1", label, positive), "auc"))
-        best = M.best_threshold(M.threshold_sweep(scored, "p1", label, positive))
+    two = n_classes == 2 and "p1" in scored.columns
+    # one pass for the scalar metrics, one shared score table for AUC and the threshold sweep
+    parts = [_kv(M.summary(scored, "prediction", label, "p1" if two else None, positive), "error")]
+    if two:
+        g = M.score_table(scored, "p1", label, positive)
+        parts.append(_kv(M.auc(table=g), "auc"))
+        best = M.best_threshold(M.threshold_sweep(table=g))
         parts.append(_kv(best.select("thr", "f1", "accuracy"), "best_threshold"))
     metrics = parts[0]
     for p in parts[1:]:
