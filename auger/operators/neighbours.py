@@ -113,13 +113,16 @@ def _distinct_knn(pts: DataFrame, k: int, block: int, max_pivots: int, seed: int
 
     cells = pts.mapInPandas(assign_cell, "_id long, _v array<double>, cell int").checkpoint(eager=True)
     # sub-pivots: every level-1 pivot plus a hash sample at rate 1/block (density-adaptive)
-    sample = (cells.where((F.pmod(F.xxhash64("_id", F.lit(seed + 5)), F.lit(block)) == 0)
-                          | F.col("_id").isin([int(r["_id"]) for r in piv]))
-              .orderBy(F.xxhash64("_id", F.lit(seed + 6)), "_id").limit(max_subs + n_piv)
-              .select("_id", "_v", "cell").collect())  # bounded by max_subs + n_piv
-    sample.sort(key=lambda r: (r["cell"], r["_id"]))
-    S = np.asarray([r["_v"] for r in sample], dtype=float)
-    S_cell = np.array([r["cell"] for r in sample], dtype=np.int64)
+    piv_ids = [int(r["_id"]) for r in piv]
+    drawn = (cells.where((F.pmod(F.xxhash64("_id", F.lit(seed + 5)), F.lit(block)) == 0)
+                         & ~F.col("_id").isin(piv_ids))
+             .orderBy(F.xxhash64("_id", F.lit(seed + 6)), "_id").limit(max_subs)
+             .select("_id", "_v", "cell").collect())  # bounded by max_subs
+    # every cell keeps its own pivot as a sub-pivot (a pivot's nearest pivot is itself)
+    sample = sorted([(c, pid, list(P[c])) for c, pid in enumerate(piv_ids)]
+                    + [(r["cell"], r["_id"], r["_v"]) for r in drawn])
+    S = np.asarray([v for _, _, v in sample], dtype=float)
+    S_cell = np.array([c for c, _, _ in sample], dtype=np.int64)
     s_start = np.zeros(len(P), dtype=np.int64)
     s_cnt = np.bincount(S_cell, minlength=len(P)).astype(np.int64)
     s_start[1:] = np.cumsum(s_cnt)[:-1]
