@@ -203,10 +203,12 @@ def _bin_wide_features(df: DataFrame, features: list[str], max_bins: int) -> Dat
 
 # ---------------------------------------------------------------- documents: trained models
 
-def doc_features(spark, d, n_features: int = N_HASH) -> DataFrame:
+def doc_features(spark, d, n_features: int = N_HASH, docs: DataFrame | None = None) -> DataFrame:
     """Hashed whole-text token counts per document, language class index and split bucket."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars",
-                                              tokens("text").alias("tokens"))
+    if docs is None:
+        docs = table(spark, d, "documents")
+    docs = docs.select("doc_id", "lang", "source", "n_chars", tokens("text").alias("tokens"), *(
+        ["label"] if "label" in docs.columns else []))
     levels = F.create_map(*[x for i, lv in enumerate(_lang_levels(spark, d)) for x in (F.lit(lv), F.lit(float(i)))])
     out = hashing_tf("tokens", n_features, "features").transform(docs).drop("tokens")
     return out.withColumn("lang_idx", F.element_at(levels, F.col("lang"))) \
@@ -218,9 +220,11 @@ def _lang_levels(spark, d) -> list[str]:
 
 
 def labelled_docs(spark, d, n_features: int = N_HASH) -> DataFrame:
-    """Documents joined to their quality labels (two classes, strong signal)."""
+    """Documents joined to their quality labels (two classes, strong signal). The join comes
+    first, so only labelled texts are tokenised."""
     lab = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    return doc_features(spark, d, n_features).join(lab, "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars").join(lab, "doc_id")
+    return doc_features(spark, d, n_features, docs)
 
 
 def _split(df: DataFrame):
