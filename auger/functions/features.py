@@ -16,7 +16,7 @@ def tokens(col: str | Column, sep: str = " ") -> Column:
     The whole text is tokenised, however long.
     """
     c = F.col(col) if isinstance(col, str) else col
-    stripped = F.regexp_replace(c, "(" + _re_quote(sep) + ")+$", "")
+    stripped = F.rtrim(c, F.lit(sep)) if len(sep) == 1 else F.regexp_replace(c, "(" + _re_quote(sep) + ")+$", "")
     parts = F.split(stripped, _re_quote(sep))
     return F.when(c.isNull(), F.lit(None)).when(
         (stripped == "") & (c != ""), F.array().cast("array<string>")).otherwise(parts)
