@@ -215,8 +215,13 @@ def doc_features(spark, d, n_features: int = N_HASH, docs: DataFrame | None = No
               .withColumn("_b", hash_bucket("doc_id", 10))
 
 
-def _lang_levels(spark, d) -> list[str]:
-    return [r[0] for r in table(spark, d, "documents").select("lang").distinct().orderBy("lang").limit(1001).collect()]
+def _lang_levels(spark, d, max_levels: int = 1000) -> list[str]:
+    """The class domain of ``lang`` in text order (checked small: it becomes a literal map)."""
+    levels = [r[0] for r in table(spark, d, "documents").select("lang").distinct().orderBy("lang")
+              .limit(max_levels + 1).collect()]
+    if len(levels) > max_levels:
+        raise ValueError(f"more than {max_levels} languages: too many classes")
+    return levels
 
 
 def labelled_docs(spark, d, n_features: int = N_HASH) -> DataFrame:

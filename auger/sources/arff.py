@@ -46,6 +46,8 @@ def read_arff_header(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     """
     head = (spark.read.text(_first_file(spark, path)).limit(MAX_HEADER_LINES)
             .withColumn("_pos", F.monotonically_increasing_id()))
+    if head.where(F.col("value").rlike(r"(?i)^\s*@data\b")).limit(1).count() == 0:
+        raise ValueError(f"no @data line in the first {MAX_HEADER_LINES} lines of {path}")
     lines = (head.where(F.col("value").rlike(r"(?i)^\s*@attribute\s"))
              .select("_pos",
                      F.regexp_extract("value", _ATTR, 1).alias("name"),
