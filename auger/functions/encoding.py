@@ -23,12 +23,15 @@ def index_label(train: DataFrame, response: str, out: str = "label",
 
 def encode_categorical(cols: Iterable[str], drop_last: bool = False,
                        handle_invalid: str = "keep") -> Pipeline:
-    """Categorical features; all levels kept unless ``drop_last``."""
+    """Categorical features; all levels kept unless ``drop_last``.
+
+    With ``handle_invalid="keep"`` the indexer gives levels unseen in training one extra index,
+    which the encoder treats as one more category (a slot that is zero on training rows)."""
     cols = list(cols)
     idx = StringIndexer(inputCols=cols, outputCols=[c + "_lvl" for c in cols],
                         stringOrderType="alphabetAsc", handleInvalid=handle_invalid)
     ohe = OneHotEncoder(inputCols=[c + "_lvl" for c in cols], outputCols=[c + "_vec" for c in cols],
-                        dropLast=drop_last, handleInvalid="keep" if handle_invalid == "keep" else "error")
+                        dropLast=drop_last, handleInvalid="error")
     return Pipeline(stages=[idx, ohe])
 
 
