@@ -29,6 +29,7 @@ def get_spark(master: str | None = None, app: str = "auger",
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.driver.memory", "16g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
