@@ -13,6 +13,8 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auger.session import materialize
+
 
 def index_label(train: DataFrame, response: str, out: str = "label",
                 handle_invalid: str = "error"):
@@ -71,7 +73,7 @@ def ordered_positions(df: DataFrame, group: str, order: str, out: str = "pos",
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     r = df.repartitionByRange(n, group, order).withColumn("_p", F.spark_partition_id())
     r = r.withColumn("_rn", F.row_number().over(Window.partitionBy("_p", group).orderBy(order)))
-    r = r.checkpoint(eager=True)  # numbered once; read by the counts and by the final join
+    r = r.transform(materialize)  # numbered once; read by the counts and by the final join
     counts = r.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_c"))
     offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
         Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

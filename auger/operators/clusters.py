@@ -16,6 +16,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auger.session import materialize
+
 MAX_CENTRE_VALUES = 8_000_000
 
 
@@ -41,7 +43,7 @@ def lloyd(df: DataFrame, vec: str, init: list[list[float]], iterations: int = 5)
     if len(init) * len(init[0]) > MAX_CENTRE_VALUES:
         raise ValueError("too many centre values to ship to tasks")
     centres = [list(map(float, c)) for c in init]
-    base = df.select(F.col(vec).cast("array<double>").alias("_v")).checkpoint(eager=True)
+    base = df.select(F.col(vec).cast("array<double>").alias("_v")).transform(materialize)
     for _ in range(iterations):
         a = assign(base, "_v", centres, "_c")
         means = (a.select("_c", F.posexplode("_v").alias("pos", "x"))

@@ -23,6 +23,8 @@ from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegre
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auger.session import materialize
+
 MAX_CLASSES = 1000
 MAX_PARALLEL_TREES = 8
 
@@ -113,7 +115,7 @@ def fit_boosting(df: DataFrame, features: str = "features", label: str = "label"
     model = MultiBoostModel(K, init, rate, features)
     n_f = 1 if K == 2 else K
     cur = base.withColumns({f"_F{k}": F.lit(init[k]) for k in range(n_f)})
-    cur = cur.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+    cur = cur.transform(materialize).persist(StorageLevel.MEMORY_AND_DISK)
     for i in range(rounds):
         probs = probabilities(K, [F.col(f"_F{k}") for k in range(n_f)])
         work = cur.withColumns({f"_r{k}": F.when(F.col("_y") == k, 1.0).otherwise(0.0) - probs[k]
@@ -139,7 +141,7 @@ def fit_boosting(df: DataFrame, features: str = "features", label: str = "label"
             nxt = tree.copy().transform(nxt).withColumn(
                 f"_F{k}", F.col(f"_F{k}") + F.lit(rate) * _lookup(gam, F.col("_leaf"))).drop("_leaf", "_tp")
         model.rounds.append(BoostRound(trees, gammas))
-        new = nxt.drop(*[f"_r{k}" for k in range(n_f)]).checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+        new = nxt.drop(*[f"_r{k}" for k in range(n_f)]).transform(materialize).persist(StorageLevel.MEMORY_AND_DISK)
         work.unpersist()
         cur.unpersist()
         cur = new

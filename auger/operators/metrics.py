@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auger.operators.running import running_totals
+from auger.session import materialize
 
 
 def _c(c: str | Column) -> Column:
@@ -62,7 +63,7 @@ def _score_table(scored: DataFrame, score: str, label: str, positive: float) ->
 def score_table(scored: DataFrame, score: str = "p1", label: str = "label", positive: float = 1.0) -> DataFrame:
     """One row per distinct score ``(p, cnt, pos)``, materialised once in the checkpoint folder;
     pass it as ``table=`` to :func:`auc` and :func:`threshold_sweep` to share it."""
-    return _score_table(scored, score, label, positive).checkpoint(eager=True)
+    return _score_table(scored, score, label, positive).transform(materialize)
 
 
 def auc(scored: DataFrame | None = None, score: str = "p1", label: str = "label", positive: float = 1.0,

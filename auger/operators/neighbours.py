@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auger.session import materialize
+
 MAX_PIVOT_BYTES = 64 << 20
 MAX_BLOCK_TABLE = 500_000
 EPS = 1e-9
@@ -111,7 +113,7 @@ def _distinct_knn(pts: DataFrame, k: int, block: int, max_pivots: int, seed: int
             c = D.argmin(axis=1)
             yield pd.DataFrame({"_id": pdf["_id"].astype("int64"), "_v": pdf["_v"], "cell": c.astype("int32")})
 
-    cells = pts.mapInPandas(assign_cell, "_id long, _v array<double>, cell int").checkpoint(eager=True)
+    cells = pts.mapInPandas(assign_cell, "_id long, _v array<double>, cell int").transform(materialize)
     # sub-pivots: every level-1 pivot plus a hash sample at rate 1/block (density-adaptive)
     piv_ids = [int(r["_id"]) for r in piv]
     drawn = (cells.where((F.pmod(F.xxhash64("_id", F.lit(seed + 5)), F.lit(block)) == 0)
@@ -149,7 +151,7 @@ def _distinct_knn(pts: DataFrame, k: int, block: int, max_pivots: int, seed: int
     sub_n = F.broadcast(subs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("np")))
     blocked = (subs.join(sub_n, "g")
                .withColumn("blk", F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.col("np")).cast("int"))
-               .drop("np").checkpoint(eager=True))
+               .drop("np").transform(materialize))
     bstat = sorted((r["g"], r["blk"], r["r"], r["n"]) for r in
                    blocked.groupBy("g", "blk").agg(F.max("ds").alias("r"), F.count(F.lit(1)).alias("n")).collect())
     Ns = len(S)
@@ -175,7 +177,7 @@ def _distinct_knn(pts: DataFrame, k: int, block: int, max_pivots: int, seed: int
         X = _mat(pdf["_v"])
         return _topk(ids, _dist_chunked(X, X), ids, k)
 
-    p1 = blocked.groupBy("g", "blk").applyInPandas(local, _SCHEMA).checkpoint(eager=True)
+    p1 = blocked.groupBy("g", "blk").applyInPandas(local, _SCHEMA).transform(materialize)
     theta = (p1.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy("d")))
              .where(F.col("_r") == k).select("i", F.col("d").alias("theta")))
     q = (blocked.join(theta, blocked["_id"] == theta["i"], "left")
@@ -237,7 +239,7 @@ def _distinct_knn(pts: DataFrame, k: int, block: int, max_pivots: int, seed: int
                                     "_v": part["_v"].to_numpy()[r2],
                                     "g": Bg[bi], "blk": Bb[bi].astype("int32")})
 
-    routed = q.mapInPandas(route, "_id long, _v array<double>, g long, blk int").checkpoint(eager=True)
+    routed = q.mapInPandas(route, "_id long, _v array<double>, g long, blk int").transform(materialize)
     # queries per target block -> number of query chunks; one row per block (bounded table),
     # joined by broadcast instead of being shipped as a literal
     chunks = F.broadcast(routed.groupBy("g", "blk").agg(
@@ -287,9 +289,9 @@ def knn_join(df: DataFrame, id_col: str, vec_col: str, k: int = 10, block: int =
     """``(i, j, d, rank)``: the k nearest other points of every point; ties broken by id."""
     spark = df.sparkSession
     pts = (df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
-           .checkpoint(eager=True))
+           .transform(materialize))
     groups = (pts.groupBy("_v").agg(F.count(F.lit(1)).alias("m"), F.min("_id").alias("g"))
-              .checkpoint(eager=True))
+              .transform(materialize))
     max_m = groups.agg(F.max("m")).first()[0]
     if max_m is None:
         return spark.createDataFrame([], "i long, j long, d double, rank int")
@@ -298,7 +300,7 @@ def knn_join(df: DataFrame, id_col: str, vec_col: str, k: int = 10, block: int =
     if max_m == 1:  # no copies: distinct vectors are the points
         return (dk.withColumn("rank", F.row_number().over(by_dj)).where(F.col("rank") <= k)
                 .select("i", "j", "d", F.col("rank").cast("int")))
-    dk = dk.checkpoint(eager=True)
+    dk = dk.transform(materialize)
     small = _smallest_ids(pts, k + 1, block, max_m, seed)
     small_g = small.join(groups.select("_v", "g"), "_v").select("g", "_id")  # <= k+1 rows per group
     own = small_g.select(F.col("g").alias("u"), F.col("_id").alias("j"), F.lit(0.0).alias("d"))
@@ -319,11 +321,11 @@ def local_outlier_factor(knn: DataFrame) -> DataFrame:
     A point whose reach distances are all zero (exact copies) has infinite density; its factor
     is defined as 1.
     """
-    knn = knn.select("i", "j", "d").checkpoint(eager=True)  # read three times below
+    knn = knn.select("i", "j", "d").transform(materialize)  # read three times below
     kd = knn.groupBy("i").agg(F.max("d").alias("kd"))
     reach = knn.join(kd.withColumnRenamed("i", "j").withColumnRenamed("kd", "kd_j"), "j")
     lrd = (reach.groupBy("i").agg((1.0 / F.nullif(F.avg(F.greatest("d", "kd_j")), F.lit(0.0))).alias("lrd"))
-           .checkpoint(eager=True))
+           .transform(materialize))
     lj = knn.join(lrd.withColumnRenamed("i", "j").withColumnRenamed("lrd", "lrd_j"), "j")
     agg = lj.groupBy("i").agg(F.avg("lrd_j").alias("avg_lrd_j"), F.count("lrd_j").alias("n_fin"),
                               F.count(F.lit(1)).alias("n_all"))

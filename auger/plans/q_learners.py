@@ -19,6 +19,7 @@ from auger.operators.learners.bayes import naive_bayes_fit
 from auger.operators.learners.boosting import fit_boosting
 from auger.operators.learners.sgd import sgd_linear, sgd_linear_vector, sgd_oracle_sql, vector_features
 from auger.plans.catalog import query, table
+from auger.session import materialize
 from auger.sources.models import tree_rules, tree_to_sql
 
 N_HASH = 100
@@ -236,7 +237,7 @@ def _split(df: DataFrame):
     """Hash split. The feature rows are written once to the checkpoint folder (texts are
     tokenised in one pass), so iterative learners re-read compact rows instead of re-tokenising
     whole texts on every pass; both sides are filters over that one table."""
-    ck = df.checkpoint(eager=True)
+    ck = df.transform(materialize)
     return ck.where(F.col("_b") < 8), ck.where(F.col("_b") >= 8)
 
 

@@ -15,6 +15,7 @@ from auger.operators.learners.registry import make
 from auger.operators.scoring import importances, score
 from auger.operators.splits import hash_split, split
 from auger.sources.config import JobConfig, LabelSpec
+from auger.session import materialize
 
 
 def _kv(df: DataFrame, section: str) -> DataFrame:
@@ -33,7 +34,7 @@ def train_and_report(spark: SparkSession, df: DataFrame, algorithm: str, feature
         train, test = split(df, 0.8, seed)
     est = make(algorithm, **settings)
     model = est.fit(train)
-    scored = score(model, test, n_classes).checkpoint(eager=True)
+    scored = score(model, test, n_classes).transform(materialize)
     two = n_classes == 2 and "p1" in scored.columns
     # one pass for the scalar metrics, one shared score table for AUC and the threshold sweep
     parts = [_kv(M.summary(scored, "prediction", label, "p1" if two else None, positive), "error")]
