@@ -95,3 +95,24 @@ def test_boosting_fit_reproduces_stored_model_constants(spark):
     gam = sorted(m.rounds[0].gammas[0].values())
     assert gam[0] == pytest.approx(-0.58465326, abs=1e-7)
     assert gam[1] == pytest.approx(3.4532218, abs=1e-6)
+
+
+def test_tree_sql_with_categorical_splits(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from auger.sources.models import tree_rules, tree_to_sql
+    rows = [(c, float(x), 1.0 if c in ("b", "d") else 0.0) for c in "abcde" for x in range(20)]
+    df = spark.createDataFrame(rows, "c string, x double, label double")
+    prep = Pipeline(stages=[StringIndexer(inputCol="c", outputCol="ci"),
+                            VectorAssembler(inputCols=["ci", "x"], outputCol="features")]).fit(df)
+    data = prep.transform(df)
+    m = DecisionTreeClassifier(maxDepth=3).fit(data)
+    ex = tree_to_sql(spark, m)
+    assert " IN (" in ex["prediction"]  # the split on the categorical slot is a set test
+    out = (m.transform(data.withColumn("_features_arr", vector_to_array("features")))
+           .withColumn("sql_pred", F.expr(ex["prediction"])))
+    assert out.where(F.col("sql_pred") != F.col("prediction")).count() == 0
+    rules, leaf_sql, _ = tree_rules(spark, m, ["c", "x"])
+    assert any(" IN {" in r for r in rules.values())
