@@ -54,17 +54,32 @@ def train_and_report(spark: SparkSession, df: DataFrame, algorithm: str, feature
 
 
 def train_from_config(spark: SparkSession, cfg: JobConfig, algorithm: str, **settings) -> dict[str, DataFrame]:
-    """A8 -> A1 -> B3/B4 -> B9 -> B11 -> F7: the configured training job end to end."""
+    """A8 -> A1 -> B3/B4 -> B9 -> B11 -> F7: the configured training job end to end.
+
+    Numeric columns are cleaned and cast to double; columns named in ``cfg.categorical`` are
+    cleaned and level-indexed in text order (indexes fitted on training rows, unseen levels get
+    one extra index) and enter the feature vector as nominal attributes, so tree learners split
+    them by level sets. Tree learners need ``max_bins`` at least the number of levels.
+    """
+    from pyspark.ml.feature import StringIndexer
+
     from auger.functions.cleaning import clean_col, encode_frame
     from auger.functions.encoding import assembler, index_label
     from auger.sources.tables import read_config_table
 
     raw = read_config_table(spark, cfg)
     resp = (cfg.response if isinstance(cfg.response, LabelSpec) else LabelSpec("name", cfg.response)).resolve(raw.columns)
-    feats = [c for c in raw.columns if c != resp and c not in cfg.ignored and c not in cfg.categorical]
-    df = encode_frame(raw.withColumn(resp, clean_col(resp)), feats)
+    cats = [c for c in cfg.categorical if c != resp and c not in cfg.ignored]
+    nums = [c for c in raw.columns if c != resp and c not in cfg.ignored and c not in cats]
+    df = encode_frame(raw.withColumns({c: clean_col(c) for c in [resp, *cats]}), nums)
     fit_part = hash_split(df, cfg.key)[0] if cfg.key else df
     idx = index_label(fit_part, resp, "label", handle_invalid="keep")  # levels from training rows
     df = idx.transform(df)
+    feats = list(nums)
+    if cats:
+        lv = StringIndexer(inputCols=cats, outputCols=[c + "_lvl" for c in cats], stringOrderType="alphabetAsc",
+                           handleInvalid="keep").fit(fit_part)
+        df = lv.transform(df)
+        feats += [c + "_lvl" for c in cats]
     df = assembler(feats, "features").transform(df)
     return train_and_report(spark, df, algorithm, key=cfg.key, n_classes=len(idx.labels), **settings)

@@ -45,6 +45,15 @@ def test_configured_job_end_to_end(spark, tmp_dir):
     assert format_rows(back).count() == back.count()
 
 
+def test_configured_job_with_categorical_column(spark, tmp_dir):
+    p = _churn_like(tmp_dir)
+    cfg = JobConfig(path=p, names=("churn", "area", "vmail", "day_mins", "svc_calls"),
+                    response=LabelSpec("name", "churn"), categorical=("area", "svc_calls"))
+    rep = train_from_config(spark, cfg, "decision_tree")
+    m = {(r["section"], r["key"]): r["value"] for r in rep["metrics"].collect()}
+    assert m[("error", "test_error")] < 0.05  # svc_calls as levels still carries the rule
+
+
 def test_score_literal_examples_and_registry(spark, tmp_dir):
     from pyspark.ml.linalg import Vectors
     assert {"GLM", "GBM", "DEEP_LEARNING"} <= {n.upper() for n in names()}
