@@ -61,6 +61,7 @@ def train_from_config(spark: SparkSession, cfg: JobConfig, algorithm: str, **set
     one extra index) and enter the feature vector as nominal attributes, so tree learners split
     them by level sets. Tree learners need ``max_bins`` at least the number of levels.
     """
+    from pyspark.ml import PipelineModel
     from pyspark.ml.feature import StringIndexer
 
     from auger.functions.cleaning import clean_col, encode_frame
@@ -75,11 +76,14 @@ def train_from_config(spark: SparkSession, cfg: JobConfig, algorithm: str, **set
     fit_part = hash_split(df, cfg.key)[0] if cfg.key else df
     idx = index_label(fit_part, resp, "label", handle_invalid="keep")  # levels from training rows
     df = idx.transform(df)
-    feats = list(nums)
+    stages = []
     if cats:
-        lv = StringIndexer(inputCols=cats, outputCols=[c + "_lvl" for c in cats], stringOrderType="alphabetAsc",
-                           handleInvalid="keep").fit(fit_part)
-        df = lv.transform(df)
-        feats += [c + "_lvl" for c in cats]
-    df = assembler(feats, "features").transform(df)
-    return train_and_report(spark, df, algorithm, key=cfg.key, n_classes=len(idx.labels), **settings)
+        stages.append(StringIndexer(inputCols=cats, outputCols=[c + "_lvl" for c in cats],
+                                    stringOrderType="alphabetAsc", handleInvalid="keep").fit(fit_part))
+    stages.append(assembler([*nums, *[c + "_lvl" for c in cats]], "features"))
+    prep = PipelineModel(stages=stages)
+    rep = train_and_report(spark, prep.transform(df), algorithm, key=cfg.key, n_classes=len(idx.labels), **settings)
+    if hasattr(rep["model"], "write"):  # a Spark ML model: one pipeline scores raw cleaned rows
+        rep["pipeline"] = PipelineModel(stages=[*stages, rep["model"]])
+    rep["labels"] = list(idx.labels)
+    return rep

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auger.functions.cleaning import encode_frame
+from auger.functions.cleaning import clean_col, encode_frame
 from auger.sources.config import JobConfig
 
 
@@ -87,7 +87,8 @@ def read_scoring(spark: SparkSession, path: str, cfg: JobConfig, drop_label: boo
     if drop_label:
         df = df.drop(resp)
     feats = [c for c in df.columns if c not in cfg.ignored and c not in cfg.categorical and c != resp]
-    return encode_frame(df, feats)
+    cats = [c for c in cfg.categorical if c in df.columns]
+    return encode_frame(df.withColumns({c: clean_col(c) for c in cats}), feats)
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> str:

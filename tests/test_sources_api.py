@@ -66,3 +66,19 @@ def test_score_literal_examples_and_registry(spark, tmp_dir):
     assert preds == [1.0, 0.0]
     sgd = make("svm_sgd", n_features=2, iterations=20).fit(train)
     assert sgd.transform(lit).where(F.col("prediction").isNotNull()).count() == 2
+
+
+def test_cli_train_then_score(spark, tmp_dir):
+    from auger import cli
+    p = _churn_like(tmp_dir)
+    conf = os.path.join(tmp_dir, "job.properties")
+    open(conf, "w").write("columns=churn,area,vmail,day_mins,svc_calls\nresponse=churn\ncategorical=area\n")
+    out = os.path.join(tmp_dir, "run")
+    assert cli.main(["train", "--config", conf, "--data", p, "--algorithm", "decision_tree", "--out", out]) == 0
+    score_file = os.path.join(tmp_dir, "new.csv")
+    open(score_file, "w").write("1,408,no,10.0,1\r0,415,yes,20.0,8\r")
+    assert cli.main(["score", "--config", conf, "--data", score_file, "--model", out + "/model",
+                     "--out", os.path.join(tmp_dir, "scored")]) == 0
+    got = sorted((r["svc_calls"], r["prediction"]) for r in
+                 spark.read.option("header", True).csv(os.path.join(tmp_dir, "scored")).collect())
+    assert got == [("1.0", "1.0"), ("8.0", "0.0")]
