@@ -79,3 +79,17 @@ def test_positional_width_from_first_line(spark, tmp_dir):
     open(p, "w").write("1,2,3,4\n5,6,7,8\n")
     df = read_positional(spark, p)
     assert df.columns == ["c0", "c1", "c2", "c3"] and df.count() == 2
+
+
+def test_small_rules(spark):
+    from auger.functions.cleaning import clean_all, drop_response, split_fields, trim_all
+    from auger.operators.metrics import confusion_wide
+    df = spark.createDataFrame([(' "a" ', " b ", 1)], "x string, y string, n int")
+    assert trim_all(df).first()["x"] == '"a"'
+    assert clean_all(df).first()["x"] == "a" and clean_all(df).first()["n"] == 1
+    assert drop_response(df, "n").columns == ["x", "y"]
+    lines = spark.createDataFrame([("a|b||c",)], "l string")
+    assert lines.select(split_fields("l", "|").alias("f")).first()["f"] == ["a", "b", "", "c"]
+    sc = spark.createDataFrame([(1.0, 1.0), (1.0, 0.0), (0.0, 0.0), (0.0, 0.0)], "label double, prediction double")
+    wide = {r["label"]: (r["0.0"], r["1.0"]) for r in confusion_wide(sc).collect()}
+    assert wide == {0.0: (2, 0), 1.0: (1, 1)}
