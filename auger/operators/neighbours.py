@@ -78,6 +78,23 @@ def _topk(qids: np.ndarray, D: np.ndarray, xids: np.ndarray, k: int) -> pd.DataF
                          "d": np.concatenate(rows_d)})
 
 
+def _rowdist(A: np.ndarray, ia: np.ndarray, B: np.ndarray, ib: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """|A[ia] - B[ib]| row by row, in slices (bounded temporary memory)."""
+    out = np.empty(len(ia))
+    for s in range(0, len(ia), step):
+        d = A[ia[s:s + step]] - B[ib[s:s + step]]
+        out[s:s + step] = np.sqrt(np.einsum("ij,ij->i", d, d))
+    return out
+
+
+def _knn_block(qids: np.ndarray, Q: np.ndarray, xids: np.ndarray, X: np.ndarray, k: int,
+               chunk: int = 64) -> pd.DataFrame:
+    """Top-k (ties kept) of each query among X, one slice of queries at a time: memory is
+    chunk x |X| distances, never |Q| x |X|."""
+    parts = [_topk(qids[s:s + chunk], _dist_chunked(Q[s:s + chunk], X), xids, k) for s in range(0, len(Q), chunk)]
+    return pd.concat(parts, ignore_index=True) if parts else _empty()
+
+
 def _mat(series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in series]) if len(series) else np.zeros((0, 0))
 
@@ -168,14 +185,14 @@ def _distinct_knn(pts: DataFrame, k: int, block: int, max_pivots: int, seed: int
     np.add.at(n_sub, B_g, B_n)
     U = np.zeros(len(P))
     n_cell = np.zeros(len(P), dtype=np.int64)
-    np.maximum.at(U, S_cell, R_sub + _dist_chunked(S, P)[np.arange(Ns), S_cell])  # ball about p_c
+    np.maximum.at(U, S_cell, R_sub + _rowdist(S, np.arange(Ns), P, S_cell))  # ball about p_c
     np.add.at(n_cell, S_cell, n_sub)
     bB = spark.sparkContext.broadcast((B_g, B_blk, B_r, b_start, b_cnt, R_sub, n_sub, S_cell, U, n_cell, PP))
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["_id"].to_numpy(dtype=np.int64)
         X = _mat(pdf["_v"])
-        return _topk(ids, _dist_chunked(X, X), ids, k)
+        return _knn_block(ids, X, ids, X, k)
 
     p1 = blocked.groupBy("g", "blk").applyInPandas(local, _SCHEMA).transform(materialize)
     theta = (p1.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy("d")))
@@ -188,9 +205,11 @@ def _distinct_knn(pts: DataFrame, k: int, block: int, max_pivots: int, seed: int
         Sv, sst, scn = bS.value
         Pv = bP.value
         big_c = np.nonzero(nc > k)[0]
+        # points per slice: at most ~4M (point, sub-cell) pairs in flight
+        step = max(1, min(256, (4 << 20) // max(1, len(Sv))))
         for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo:lo + 256]
+            for lo in range(0, len(pdf), step):
+                part = pdf.iloc[lo:lo + step]
                 X = _mat(part["_v"])
                 Dp = _dist_chunked(X, Pv)
                 own_g = part["g"].to_numpy(dtype=np.int64)
@@ -212,13 +231,13 @@ def _distinct_knn(pts: DataFrame, k: int, block: int, max_pivots: int, seed: int
                 k_s = scn[c]
                 rr = np.repeat(r, k_s)
                 gi = np.repeat(sst[c] - np.concatenate([[0], np.cumsum(k_s)[:-1]]), k_s) + np.arange(k_s.sum())
-                dq = np.sqrt(((X[rr] - Sv[gi]) ** 2).sum(axis=1))
+                dq = _rowdist(X, rr, Sv, gi)
                 lb = np.maximum(lb_cell[rr, Sc[gi]], dq - Rs[gi])
                 same = Sc[gi] == own_c[rr]
                 if same.any():
-                    so = Sv[own_g[rr[same]]]
-                    dso = np.sqrt(((X[rr[same]] - so) ** 2).sum(axis=1))
-                    sep2 = np.sqrt(((so - Sv[gi[same]]) ** 2).sum(axis=1))
+                    og = own_g[rr[same]]
+                    dso = _rowdist(X, rr[same], Sv, og)
+                    sep2 = _rowdist(Sv, og, Sv, gi[same])
                     with np.errstate(divide="ignore", invalid="ignore"):
                         h2 = np.where(sep2 > 0, (dq[same] ** 2 - dso ** 2) / (2 * sep2), 0.0)
                     lb[same] = np.maximum(lb[same], h2)
@@ -255,8 +274,8 @@ def _distinct_knn(pts: DataFrame, k: int, block: int, max_pivots: int, seed: int
         qs, xs = pdf[pdf["is_q"]], pdf[~pdf["is_q"]]
         if len(qs) == 0 or len(xs) == 0:
             return _empty()
-        return _topk(qs["_id"].to_numpy(dtype=np.int64), _dist_chunked(_mat(qs["_v"]), _mat(xs["_v"])),
-                     xs["_id"].to_numpy(dtype=np.int64), k)
+        return _knn_block(qs["_id"].to_numpy(dtype=np.int64), _mat(qs["_v"]),
+                          xs["_id"].to_numpy(dtype=np.int64), _mat(xs["_v"]), k)
 
     p2 = qside.unionByName(dside).groupBy("g", "blk", "qc").applyInPandas(cross, _SCHEMA)
     allc = p1.unionByName(p2)
