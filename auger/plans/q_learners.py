@@ -398,7 +398,7 @@ def linear_svc_q(spark, d):
 @query("train_report", "F7 H10 A8")
 def train_report_q(spark, d):
     from auger.plans.train_report import train_and_report
-    rep = train_and_report(spark, labelled_docs(spark, d), "GBM", key="doc_id")
+    rep = train_and_report(spark, labelled_docs(spark, d), "GBM", key="doc_id", threshold="max_f1")
     return rep["metrics"]
 
 

@@ -27,14 +27,30 @@ def _kv(df: DataFrame, section: str) -> DataFrame:
 
 def train_and_report(spark: SparkSession, df: DataFrame, algorithm: str, features: str = "features",
                      label: str = "label", key: str | None = None, n_classes: int = 2, positive: float = 1.0,
-                     seed: int = 42, **settings) -> dict[str, DataFrame]:
+                     seed: int = 42, threshold: str | float | None = None, **settings) -> dict[str, DataFrame]:
+    """Split, fit the named learner, score the held-out rows, and build the report tables.
+
+    ``threshold="max_f1"`` labels two-class rows positive at the score that maximises F1 on the
+    training rows (the convention of the original's boosting reports); a number fixes it; the
+    default keeps the learner's own decision.
+    """
     if key:
         train, test = hash_split(df, key)
     else:
         train, test = split(df, 0.8, seed)
     est = make(algorithm, **settings)
     model = est.fit(train)
-    scored = score(model, test, n_classes).transform(materialize)
+    scored = score(model, test, n_classes)
+    thr = None
+    if threshold is not None and n_classes == 2 and "p1" in scored.columns:
+        if threshold == "max_f1":
+            best_tr = M.best_threshold(M.threshold_sweep(score(model, train, n_classes), "p1", label, positive))
+            thr = best_tr.first()["thr"]  # one row
+        else:
+            thr = float(threshold)
+        scored = scored.withColumn("prediction", F.when(F.col("p1") >= thr, F.lit(positive))
+                                   .otherwise(F.lit(1.0 - positive)))
+    scored = scored.transform(materialize)
     two = n_classes == 2 and "p1" in scored.columns
     # one pass for the scalar metrics, one shared score table for AUC and the threshold sweep
     parts = [_kv(M.summary(scored, "prediction", label, "p1" if two else None, positive), "error")]
@@ -47,7 +63,7 @@ def train_and_report(spark: SparkSession, df: DataFrame, algorithm: str, feature
     for p in parts[1:]:
         metrics = metrics.unionByName(p)
     out = {"metrics": metrics, "confusion": M.confusion(scored, "prediction", label), "predictions": scored,
-           "model": model}
+           "model": model, "threshold": thr}
     if hasattr(model, "featureImportances"):
         out["importances"] = importances(spark, model)
     return out
