@@ -1,10 +1,11 @@
-"""Table reports - picked rows as JSON, search and sort of a report table."""
+"""Rule tables, picked rows as JSON, search and sort of a report table."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auger.functions.cleaning import report_table  # noqa: F401  (B14/B15, re-exported)
@@ -26,3 +27,24 @@ def search_rows(df: DataFrame, term: str, columns: Iterable[str] | None = None,
     if order_by:
         out = out.orderBy(F.col(order_by).desc() if descending else F.col(order_by).asc())
     return out
+
+
+def rule_table(spark: SparkSession, df: DataFrame, tree_model, names: list[str], label: str = "label",
+               features: str = "features") -> DataFrame:
+    """The leaves of a fitted tree as rules: ``(leaf, rule, class, n, support, confidence)``.
+
+    Rows are tagged with their leaf by the tree's own SQL text (no model object in the tasks),
+    counted per (leaf, class) with a partial aggregate; the result has one row per leaf.
+    """
+    from auger.sources.models import tree_rules
+    rules, leaf_sql, _ = tree_rules(spark, tree_model, names)
+    tagged = (df.withColumn("_features_arr", vector_to_array(F.col(features)))
+              .withColumn("leaf", F.expr(leaf_sql)))
+    per = tagged.groupBy("leaf", F.col(label).alias("_y")).agg(F.count(F.lit(1)).alias("n_c"))
+    leaf = per.groupBy("leaf").agg(F.sum("n_c").alias("n"), F.max_by("_y", "n_c").alias("class"),
+                                   F.max("n_c").alias("n_major"))
+    rule_map = F.create_map(*[x for k, v in sorted(rules.items()) for x in (F.lit(k), F.lit(v))])
+    wall = Window.partitionBy()  # one row per leaf: at most 2^depth rows
+    return leaf.select("leaf", F.element_at(rule_map, F.col("leaf")).alias("rule"), "class", "n",
+                       (F.col("n") / F.sum("n").over(wall)).alias("support"),
+                       (F.col("n_major") / F.col("n")).alias("confidence"))

@@ -20,7 +20,8 @@ from auger.operators.learners.boosting import fit_boosting
 from auger.operators.learners.sgd import sgd_linear, sgd_linear_vector, sgd_oracle_sql, vector_features
 from auger.plans.catalog import query, table
 from auger.session import materialize
-from auger.sources.models import tree_rules, tree_to_sql
+from auger.operators.reports import rule_table
+from auger.sources.models import tree_to_sql
 
 N_HASH = 100
 
@@ -374,17 +375,7 @@ def patterns_q(spark, d):
     df = labelled_docs(spark, d)
     names = [f"slot{i}" for i in range(N_HASH)]
     m = B.decision_tree(max_depth=3).fit(df)
-    rules, leaf_sql, _ = tree_rules(spark, m, names)
-    tagged = (df.withColumn("_features_arr", vector_to_array("features"))
-              .withColumn("leaf", F.expr(leaf_sql)))
-    per = tagged.groupBy("leaf", "label").agg(F.count(F.lit(1)).alias("n_c"))
-    leaf = per.groupBy("leaf").agg(F.sum("n_c").alias("n"), F.max_by("label", "n_c").alias("class"),
-                                   F.max("n_c").alias("n_major"))
-    rule_map = F.create_map(*[x for k, v in sorted(rules.items()) for x in (F.lit(k), F.lit(v))])
-    wall = Window.partitionBy()  # one row per leaf: at most 2^depth rows
-    return leaf.select("leaf", F.element_at(rule_map, F.col("leaf")).alias("rule"), "class", "n",
-                       (F.col("n") / F.sum("n").over(wall)).alias("support"),
-                       (F.col("n_major") / F.col("n")).alias("confidence"))
+    return rule_table(spark, df, m, names, "label")
 
 
 @query("linear_svc", "H4")

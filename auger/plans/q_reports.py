@@ -132,3 +132,21 @@ def search_rows_q(spark, d):
 def prediction_table_q(spark, d):
     from auger.plans.q_learners import naive_bayes_score_q
     return report_table(naive_bayes_score_q(spark, d))
+
+
+@query("outlier_patterns", "J3 J1")
+def outlier_patterns_q(spark, d):
+    """Rules that describe the outliers: every embedding is labelled by whether its local outlier
+    factor is in the top tenth, and a depth-3 tree over the 64 coordinates gives the rule table."""
+    from pyspark.ml.functions import array_to_vector
+    from auger.operators.learners.builtin import decision_tree
+    from auger.operators.reports import rule_table
+    from auger.session import materialize
+    emb = table(spark, d, "embeddings")
+    lof = local_outlier_factor(knn_join(emb, "vec_id", "embedding", K_NN)).transform(materialize)
+    cut = lof.approxQuantile("lof", [0.9], 1e-4)[0]
+    data = (emb.join(lof.withColumnRenamed("i", "vec_id"), "vec_id")
+            .select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
+                    F.when(F.col("lof") >= cut, 1.0).otherwise(0.0).alias("label")))
+    m = decision_tree(max_depth=3).fit(data)
+    return rule_table(spark, data, m, [f"e{i}" for i in range(64)], "label")
