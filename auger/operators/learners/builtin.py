@@ -1,7 +1,10 @@
-"""H1, H5, H6, H7, H9: learners that Spark ML already implements, with the reference settings.
+"""H1, H7, H9 (and alternatives for H4, H5): learners Spark ML already implements, with the
+original jobs' settings.
 
 Each factory returns an unfitted estimator; fitting is distributed by Spark ML (histogram
-trees over ``maxBins`` bins, L-BFGS / OWL-QN for the GLM, block L-BFGS for the network).
+trees over ``maxBins`` bins, block L-BFGS for the network). ``glm``/``glm_cv`` here are the
+quasi-Newton (OWL-QN) alternative; the GLM used by the queries and the registry's ``GLM`` is the
+IRLS one in ``glm.py``.
 """
 
 from __future__ import annotations
