@@ -316,6 +316,15 @@ def network_q(spark, d):
     return _scored(m, te, k, label="lang_idx")
 
 
+@query("network_reference", "H9")
+def network_reference_q(spark, d):
+    """The original's network shape: two hidden layers of 200, 10 iterations, its seed."""
+    tr, te = _split(doc_features(spark, d))
+    k = len(_lang_levels(spark, d))
+    m = B.network(N_HASH, k, label="lang_idx").fit(tr)
+    return _scored(m, te, k, label="lang_idx")
+
+
 @query("importances", "F4")
 def importances_q(spark, d):
     tr, _ = _split(labelled_docs(spark, d))
