@@ -1,9 +1,10 @@
 """H7 (exact leaf re-fit) and H8: gradient boosting with Newton leaf values, as a Spark loop.
 
-Per round and per fitted class k: residual column ``r_k = y_k - p_k``; one
-``DecisionTreeRegressor`` (distributed histogram tree) fits r_k and tags every row with its
-leaf; ``groupBy(leaf)`` gives ``gamma = (K-1)/K * sum(r) / sum(|r|(1-|r|))`` (one row per leaf,
-so at most 2^depth rows reach the driver); ``F_k += rate * gamma[leaf]`` through a literal map.
+Per round: residual columns ``r_k = y_k - p_k``; one ``DecisionTreeRegressor`` (distributed
+histogram tree) per fitted class k, the K fits submitted concurrently; one pass tags every row
+with its leaf in each tree and ``groupBy(class, leaf)`` gives
+``gamma = (K-1)/K * sum(r) / sum(|r|(1-|r|))`` (at most K x 2^depth rows reach the driver);
+``F_k += rate * gamma[leaf]`` through a literal map.
 The working table is checkpointed to the shared checkpoint folder every round, which bounds the
 lineage and lets a lost executor resume from the last round.
 
@@ -123,26 +124,34 @@ def fit_boosting(df: DataFrame, features: str = "features", label: str = "label"
         # the K trees of one round are independent given the round's residuals: fit them as
         # concurrent Spark jobs (the scheduler interleaves their tasks)
         def fit_one(k: int):
-            rk = f"_r{k}"
-            tree = DecisionTreeRegressor(featuresCol="_x", labelCol=rk, maxDepth=depth, maxBins=bins,
+            return DecisionTreeRegressor(featuresCol="_x", labelCol=f"_r{k}", maxDepth=depth, maxBins=bins,
                                          minInstancesPerNode=min_rows, seed=seed + 31 * i + k,
-                                         predictionCol="_tp", leafCol="_leaf").fit(work)
-            stats = (tree.transform(work).groupBy("_leaf")
-                     .agg(F.sum(rk).alias("sr"), F.sum(F.abs(F.col(rk)) * (1 - F.abs(F.col(rk)))).alias("sw"))
-                     .collect())  # one row per leaf: at most 2^depth
-            return tree, {float(r["_leaf"]): leaf_value(K, r["sr"], r["sw"]) for r in stats}
+                                         predictionCol=f"_tp{k}", leafCol=f"_leaf{k}").fit(work)
 
         with ThreadPoolExecutor(max_workers=min(n_f, MAX_PARALLEL_TREES)) as pool:
-            fitted = list(pool.map(fit_one, range(n_f)))
-        trees = [t for t, _ in fitted]
-        gammas = [g for _, g in fitted]
-        nxt = work
-        for k, (tree, gam) in enumerate(fitted):
-            nxt = tree.copy().transform(nxt).withColumn(
-                f"_F{k}", F.col(f"_F{k}") + F.lit(rate) * _lookup(gam, F.col("_leaf"))).drop("_leaf", "_tp")
+            trees = list(pool.map(fit_one, range(n_f)))
+        # one pass tags every row with its leaf in each of the K trees and sums the residuals per
+        # (class, leaf): at most K x 2^depth rows reach the driver
+        tagged = work
+        for t in trees:
+            tagged = t.transform(tagged)
+        tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
+        per_leaf = tagged.select(F.explode(F.array(*[
+            F.struct(F.lit(k).alias("k"), F.col(f"_leaf{k}").alias("leaf"), F.col(f"_r{k}").alias("r"))
+            for k in range(n_f)])).alias("t")).select("t.*")
+        stats = (per_leaf.groupBy("k", "leaf")
+                 .agg(F.sum("r").alias("sr"), F.sum(F.abs(F.col("r")) * (1 - F.abs(F.col("r")))).alias("sw"))
+                 .collect())
+        work.unpersist()  # the tagged copy is cached now
+        gammas: list[dict[float, float]] = [{} for _ in range(n_f)]
+        for r in stats:
+            gammas[r["k"]][float(r["leaf"])] = leaf_value(K, r["sr"], r["sw"])
+        nxt = tagged.withColumns({f"_F{k}": F.col(f"_F{k}") + F.lit(rate) * _lookup(gammas[k], F.col(f"_leaf{k}"))
+                                  for k in range(n_f)})
+        nxt = nxt.drop(*[f"_leaf{k}" for k in range(n_f)], *[f"_tp{k}" for k in range(n_f)])
         model.rounds.append(BoostRound(trees, gammas))
         new = nxt.drop(*[f"_r{k}" for k in range(n_f)]).transform(materialize).persist(StorageLevel.MEMORY_AND_DISK)
-        work.unpersist()
+        tagged.unpersist()
         cur.unpersist()
         cur = new
     cur.unpersist()
