@@ -21,8 +21,8 @@ Plan:
    of (own copies at distance 0, neighbour groups' smallest ids) ordered by (distance, id).
 
 Only top-k candidates leave a task; no pair list is materialised. The result equals brute force
-with ties broken by id. Joins that attach group results to the members of a hot copy group are
-equi-joins on the group key; AQE's skew-join handling splits their hot partition.
+with ties broken by id. Joins that attach group results to the members of a hot copy group (and
+LOF's joins on neighbour ids, which a hot group's smallest ids dominate) salt their hot keys.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auger.operators.joins import salted_join
 from auger.session import materialize
 
 MAX_PIVOT_BYTES = 64 << 20
@@ -328,7 +329,8 @@ def knn_join(df: DataFrame, id_col: str, vec_col: str, k: int = 10, block: int =
     by_u = Window.partitionBy("u").orderBy("d", "j")
     lists = (own.unionByName(nbr).withColumn("_rn", F.row_number().over(by_u)).where(F.col("_rn") <= k + 1)
              .join(groups.select(F.col("g").alias("u"), "_v"), "u").select("_v", "j", "d"))
-    out = (pts.join(lists, "_v").where(F.col("j") != F.col("_id"))
+    # a hot copy group's members meet its k+1-row list: salted, so no task holds the whole group
+    out = (salted_join(pts, lists, "_v", ["_id"]).where(F.col("j") != F.col("_id"))
            .select(F.col("_id").alias("i"), "j", "d"))
     return (out.withColumn("rank", F.row_number().over(by_dj)).where(F.col("rank") <= k)
             .select("i", "j", "d", F.col("rank").cast("int")))
@@ -342,10 +344,11 @@ def local_outlier_factor(knn: DataFrame) -> DataFrame:
     """
     knn = knn.select("i", "j", "d").transform(materialize)  # read three times below
     kd = knn.groupBy("i").agg(F.max("d").alias("kd"))
-    reach = knn.join(kd.withColumnRenamed("i", "j").withColumnRenamed("kd", "kd_j"), "j")
+    # the smallest ids of a hot copy group are everybody's neighbours: salted joins on j
+    reach = salted_join(knn, kd.withColumnRenamed("i", "j").withColumnRenamed("kd", "kd_j"), "j", ["i"])
     lrd = (reach.groupBy("i").agg((1.0 / F.nullif(F.avg(F.greatest("d", "kd_j")), F.lit(0.0))).alias("lrd"))
            .transform(materialize))
-    lj = knn.join(lrd.withColumnRenamed("i", "j").withColumnRenamed("lrd", "lrd_j"), "j")
+    lj = salted_join(knn, lrd.withColumnRenamed("i", "j").withColumnRenamed("lrd", "lrd_j"), "j", ["i"])
     agg = lj.groupBy("i").agg(F.avg("lrd_j").alias("avg_lrd_j"), F.count("lrd_j").alias("n_fin"),
                               F.count(F.lit(1)).alias("n_all"))
     out = agg.join(lrd, "i")

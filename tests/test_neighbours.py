@@ -53,3 +53,22 @@ def test_lof_copies_are_one(spark):
     df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(X)], "id long, v array<double>")
     lof = {r["i"]: r["lof"] for r in local_outlier_factor(knn_join(df, "id", "v", 3, block=4)).collect()}
     assert lof[0] == 1.0
+
+
+def test_knn_and_lof_with_salted_hot_keys(spark, monkeypatch):
+    import auger.operators.joins as J
+    monkeypatch.setattr(J, "MIN_HOT_ROWS", 5)
+    monkeypatch.setattr(J, "MAX_HOT_KEYS", 3)
+    rng = np.random.default_rng(9)
+    grid = np.array([[float(a), float(b)] for a in range(6) for b in range(6)])
+    X = np.concatenate([grid, np.repeat(grid[7:8], 40, axis=0)])
+    ids = np.arange(len(X)) * 3 + 2
+    df = spark.createDataFrame([(int(i), [float(x) for x in row]) for i, row in zip(ids, X)], "id long, v array<double>")
+    k = 4
+    got = {}
+    for r in knn_join(df, "id", "v", k, block=16).collect():
+        got.setdefault(r["i"], []).append((r["rank"], r["j"]))
+    want = brute(ids, X, k)
+    assert all([j for _, j in sorted(got[i])] == [j for _, j in want[i]] for i in ids)
+    lof = local_outlier_factor(knn_join(df, "id", "v", k, block=16))
+    assert lof.count() == len(ids)
