@@ -85,7 +85,8 @@ def auc(scored: DataFrame | None = None, score: str = "p1", label: str = "label"
 def threshold_sweep(scored: DataFrame | None = None, score: str = "p1", label: str = "label",
                     positive: float = 1.0, table: DataFrame | None = None) -> DataFrame:
     """For every distinct score ``thr``, predict positive when score >= thr:
-    ``thr, tp, fp, fn, tn, f1, accuracy``. One row per distinct score."""
+    ``thr, tp, fp, fn, tn, f1, accuracy, precision, tpr, fpr`` (``fpr, tpr`` are the ROC curve).
+    One row per distinct score."""
     g = table if table is not None else score_table(scored, score, label, positive)
     run = running_totals(g, "p", ["cnt", "pos"], descending=True)
     pp, tp, np_, tot = F.col("cnt_run"), F.col("pos_run"), F.col("pos_total"), F.col("cnt_total")
@@ -93,7 +94,9 @@ def threshold_sweep(scored: DataFrame | None = None, score: str = "p1", label: s
     fn = np_ - tp
     tn = tot - np_ - fp
     return run.select(F.col("p").alias("thr"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"),
-                      F.try_divide(2.0 * tp, pp + np_).alias("f1"), F.try_divide(tp + tn, tot).alias("accuracy"))
+                      F.try_divide(2.0 * tp, pp + np_).alias("f1"), F.try_divide(tp + tn, tot).alias("accuracy"),
+                      F.try_divide(tp, pp).alias("precision"), F.try_divide(tp, np_).alias("tpr"),
+                      F.try_divide(fp, tot - np_).alias("fpr"))
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:

@@ -83,7 +83,8 @@ c as (select p, sum(cnt) over (order by p desc) as pp, sum(pos) over (order by p
 t as (select sum(pos) as np, sum(cnt) as tot from r),
 w as (select p as thr, cast(tp as bigint) as tp, cast(pp - tp as bigint) as fp, cast(np - tp as bigint) as fn,
              cast(tot - np - (pp - tp) as bigint) as tn,
-             round(2.0 * tp / (pp + np), 10) as f1, round((tp + tot - np - (pp - tp)) / tot, 10) as accuracy
+             round(2.0 * tp / (pp + np), 10) as f1, round((tp + tot - np - (pp - tp)) / tot, 10) as accuracy,
+             round(tp / pp, 10) as precision, round(tp / np, 10) as tpr, round((pp - tp) / (tot - np), 10) as fpr
       from c, t)
 """
 
@@ -92,7 +93,7 @@ w as (select p as thr, cast(tp as bigint) as tp, cast(pp - tp as bigint) as fp,
 def threshold_sweep_q(spark, d):
     sw = M.threshold_sweep(scored_events(spark, d), "p", "label")
     return sw.select("thr", *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn", "tn")],
-                     F.round("f1", 10).alias("f1"), F.round("accuracy", 10).alias("accuracy"))
+                     *[F.round(c, 10).alias(c) for c in ("f1", "accuracy", "precision", "tpr", "fpr")])
 
 
 @query("best_threshold", "E6 E4", sql=_SWEEP_SQL + "select * from w order by f1 desc, thr limit 1")
