@@ -65,19 +65,25 @@ def naive_bayes_model_q(spark, d):
                                     F.round("log_theta", 8).alias("log_theta"))
 
 
-@query("naive_bayes_score", "H2 F1 F2", sql=_NB_BASE_SQL + f"""
+NB_SCORED_SQL = _NB_BASE_SQL + f"""
 , te as ({_EV_FEATS_SQL} where {_TEST}),
-sc as (select te.event_id, m.label, lp + value * t0 + hour * t1 + k * t2 as s from te, m),
-r as (select event_id, label, row_number() over (partition by event_id order by s desc, label) as rn from sc)
-select event_id, label as prediction from r where rn = 1
-""")
+sc as (select te.event_id, te.event_type, m.label, lp + value * t0 + hour * t1 + k * t2 as s from te, m),
+r as (select event_id, event_type, label, row_number() over (partition by event_id order by s desc, label) as rn
+      from sc),
+scored as (select event_id, event_type, label as prediction from r where rn = 1)
+"""
+
+
+@query("naive_bayes_score", "H2 F1 F2", sql=NB_SCORED_SQL + "select event_id, prediction from scored")
 def naive_bayes_score_q(spark, d):
     ev = _event_features(spark, d)
     m = naive_bayes_fit(ev.where(F.col("_b") < 8), _NB_FEATS, "event_type")
     return m.transform(ev.where(F.col("_b") >= 8)).select("event_id", "prediction")
 
 
-@query("flagship_confusion", "A1 D2 H2 F1 E3")
+@query("flagship_confusion", "A1 D2 H2 F1 E3", sql=NB_SCORED_SQL + """
+select event_type as label, prediction, count(*) as n from scored group by all
+""")
 def flagship_confusion(spark, d):
     """Naive Bayes trained on the hash-split training part of events, confusion on the rest."""
     ev = _event_features(spark, d)
@@ -402,12 +408,7 @@ def train_report_q(spark, d):
     return rep["metrics"]
 
 
-@query("stream_score", "A6 F1 streaming", sql=_NB_BASE_SQL + f"""
-, te as ({_EV_FEATS_SQL} where {_TEST}),
-sc as (select te.event_id, m.label, lp + value * t0 + hour * t1 + k * t2 as s from te, m),
-r as (select event_id, label, row_number() over (partition by event_id order by s desc, label) as rn from sc)
-select event_id, label as prediction from r where rn = 1
-""")
+@query("stream_score", "A6 F1 streaming", sql=NB_SCORED_SQL + "select event_id, prediction from scored")
 def stream_score_q(spark, d):
     """The test events arrive as CSV files; a Structured Streaming job cleans, scores (naive
     Bayes fitted on the training part) and appends to parquet; the sink is read back."""

@@ -128,7 +128,12 @@ def search_rows_q(spark, d):
     return hits.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
 
 
-@query("prediction_table", "J4 F1 B14")
+def _prediction_table_sql() -> str:
+    from auger.plans.q_learners import NB_SCORED_SQL
+    return NB_SCORED_SQL + 'select event_id as "Event_id", prediction as "Prediction" from scored'
+
+
+@query("prediction_table", "J4 F1 B14", sql=_prediction_table_sql())
 def prediction_table_q(spark, d):
     from auger.plans.q_learners import naive_bayes_score_q
     return report_table(naive_bayes_score_q(spark, d))
