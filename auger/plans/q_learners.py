@@ -21,7 +21,6 @@ from auger.operators.learners.sgd import sgd_linear, sgd_linear_vector, sgd_orac
 from auger.plans.catalog import query, table
 from auger.session import materialize
 from auger.operators.reports import rule_table
-from auger.sources.models import tree_to_sql
 
 N_HASH = 100
 
@@ -362,15 +361,13 @@ def score_each_iteration_q(spark, d):
 @query("tree_sql", "A11")
 def tree_sql_q(spark, d):
     """The boosted ensemble exported as SQL scores the test part; both predictions side by side."""
+    from auger.sources.models import score_with_sql
     tr, te = _split(labelled_docs(spark, d))
     m = B.gbm().fit(tr)
-    exprs = tree_to_sql(spark, m)
-    te2 = te.withColumn("_features_arr", vector_to_array("features"))
-    return (m.transform(te2)
-            .withColumn("prediction_sql", F.expr(exprs["prediction"]))
-            .withColumn("p1_sql", F.expr(exprs["p1"]))
+    return (score_with_sql(m.transform(te), m)
             .withColumn("p1", vector_to_array("probability")[1])
-            .select("doc_id", "prediction", "prediction_sql", "p1", "p1_sql"))
+            .select("doc_id", "prediction", F.col("sql_prediction").alias("prediction_sql"), "p1",
+                    F.col("sql_p1").alias("p1_sql")))
 
 
 @query("model_roundtrip", "A11")

@@ -12,7 +12,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auger.session import scratch_path
 
@@ -99,6 +100,34 @@ def tree_to_sql(spark: SparkSession, model, feat: Callable[[int], str] | None =
     return {"prediction": tree_sql(trees[0], feat)}
 
 
+def score_with_sql(df: DataFrame, model, features: str = "features", prefix: str = "sql_") -> DataFrame:
+    """Score ``df`` with the model's SQL text only (no model object in the tasks).
+
+    An ensemble is evaluated one tree per column (``_t0``, ``_t1``, ...) and summed, so each
+    generated method stays small whatever the number of trees. Adds ``sql_prediction`` (and
+    ``sql_p1`` for a two-class boosted model).
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    spark = df.sparkSession
+    feat = default_feature()
+    trees = _nodes_of(spark, model)
+    name = type(model).__name__
+    out = df.withColumn("_features_arr", vector_to_array(F.col(features)))
+    if name.startswith("GBT"):
+        ws = tree_weights(spark, model)
+        cols = {f"_t{t}": F.expr(f"({w!r}) * ({tree_sql(trees[t], feat)})") for t, w in zip(sorted(trees), ws)}
+        out = out.withColumns(cols)
+        margin = sum((F.col(c) for c in cols), F.lit(0.0))
+        if name.startswith("GBTClassification"):
+            out = (out.withColumn(prefix + "p1", 1.0 / (1.0 + F.exp(-2.0 * margin)))
+                   .withColumn(prefix + "prediction", F.when(margin > 0.0, 1.0).otherwise(0.0)))
+        else:
+            out = out.withColumn(prefix + "prediction", margin)
+        return out.drop("_features_arr", *cols)
+    return out.withColumn(prefix + "prediction", F.expr(tree_sql(trees[0], feat))).drop("_features_arr")
+
+
 def tree_rules(spark: SparkSession, model, names: list[str] | None = None) -> tuple[dict[int, str], str, list[dict]]:
     """Leaf node id -> readable rule text (``a <= 1.5 AND b > 3``), plus the leaf-id SQL."""
     nodes = _nodes_of(spark, model)[0]

@@ -116,3 +116,15 @@ def test_tree_sql_with_categorical_splits(spark):
     assert out.where(F.col("sql_pred") != F.col("prediction")).count() == 0
     rules, leaf_sql, _ = tree_rules(spark, m, ["c", "x"])
     assert any(" IN {" in r for r in rules.values())
+
+
+def test_score_with_sql_per_tree_columns(spark):
+    from auger.operators.learners import builtin as B
+    from auger.sources.models import score_with_sql
+    (tr, te), _ = _docs(spark)
+    m = B.gbm(trees=4).fit(tr)
+    out = score_with_sql(m.transform(te), m)
+    assert out.where(F.col("sql_prediction") != F.col("prediction")).count() == 0
+    from pyspark.ml.functions import vector_to_array
+    diff = out.select(F.max(F.abs(F.col("sql_p1") - vector_to_array("probability")[1]))).first()[0]
+    assert diff < 1e-9
