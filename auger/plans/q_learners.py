@@ -278,7 +278,8 @@ def glm_cv_q(spark, d):
 
 @query("glm_categorical", "H6 B10")
 def glm_categorical_q(spark, d):
-    """GLM over categorical inputs only, every level kept, no standardising."""
+    """GLM as in the original's airline job: three categorical inputs with every level kept plus
+    one numeric input (here the text length, there the distance), no standardising."""
     from pyspark.ml import Pipeline
     from auger.functions.encoding import assembler, encode_categorical
     from auger.operators.learners.glm import fit_glm
@@ -286,7 +287,7 @@ def glm_categorical_q(spark, d):
     tr, te = _split(df)
     enc = encode_categorical(["source", "lang", "len_band"], drop_last=False)
     prep = Pipeline(stages=[*enc.getStages(),
-                            assembler(["source_vec", "lang_vec", "len_band_vec"], "cat_features")]).fit(tr)
+                            assembler(["source_vec", "lang_vec", "len_band_vec", "n_chars"], "cat_features")]).fit(tr)
     m = fit_glm(prep.transform(tr), "cat_features", standardize=False, alpha=B.GLM_ALPHA, lam=B.GLM_LAMBDA)
     return m.transform(prep.transform(te)).select("doc_id", "label", "prediction", "p0", "p1")
 
