@@ -109,10 +109,13 @@ def _distinct_knn(pts: DataFrame, k: int, block: int, max_pivots: int, seed: int
     only if it is still larger than ``block``.
     """
     spark = pts.sparkSession
-    n = pts.count()
+    st = pts.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("_v")).alias("lo"), F.max(F.size("_v")).alias("hi")).first()
+    n = st["n"]
     if n <= 1:
         return spark.createDataFrame([], _SCHEMA)
-    dims = len(pts.select("_v").first()[0])
+    if st["lo"] != st["hi"] or st["lo"] < 1:
+        raise ValueError(f"vectors must be non-null and of one length (found {st['lo']}..{st['hi']})")
+    dims = int(st["hi"])
     max_subs = max(16, min(MAX_BLOCK_TABLE, MAX_PIVOT_BYTES // (dims * 8)))
     block = max(block, math.ceil(n / max_subs), k + 1)
     n_piv = int(min(max_pivots, max(1, math.ceil(math.sqrt(n / block)))))
