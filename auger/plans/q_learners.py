@@ -1,7 +1,7 @@
 """Driver queries for learners, scoring and model inspection.
 
-Exact queries (naive Bayes, the two SGD trainers, the first-split gini table) carry DuckDB
-oracles. Queries over trained Spark ML models have none: the driver checks their row counts,
+Exact queries (naive Bayes model, scores and confusion, the two SGD trainers, the first-split
+gini table, the streamed scoring) carry DuckDB oracles. Queries over trained Spark ML models have none: the driver checks their row counts,
 and ``tests/`` checks that they beat the majority class where the data carries signal.
 """
 
@@ -18,9 +18,9 @@ from auger.operators.learners import builtin as B
 from auger.operators.learners.bayes import naive_bayes_fit
 from auger.operators.learners.boosting import fit_boosting
 from auger.operators.learners.sgd import sgd_linear, sgd_linear_vector, sgd_oracle_sql, vector_features
+from auger.operators.reports import rule_table
 from auger.plans.catalog import query, table
 from auger.session import materialize
-from auger.operators.reports import rule_table
 
 N_HASH = 100
 
