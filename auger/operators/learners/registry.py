@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from auger.operators.learners import builtin
 from auger.operators.learners.boosting import fit_boosting
 from auger.operators.learners.glm import fit_glm
+from auger.operators.learners.network import fit_network_averaged
 from auger.operators.learners.sgd import sgd_linear_vector
 
 
@@ -75,6 +76,20 @@ class _GlmEstimator:
         return fit_glm(df, self.features, self.label, self.alpha, self.lam, self.standardize, self.max_iter)
 
 
+@dataclass
+class _AveragedNetworkEstimator:
+    n_in: int
+    n_classes: int
+    features: str = "features"
+    label: str = "label"
+    hidden: tuple[int, ...] = builtin.NET_HIDDEN
+    epochs: int = builtin.NET_EPOCHS
+
+    def fit(self, df: DataFrame):
+        return fit_network_averaged(df, self.n_in, self.n_classes, self.hidden, self.epochs, self.features,
+                                    self.label)
+
+
 _REGISTRY: dict[str, Callable[..., object]] = {}
 
 
@@ -103,8 +118,9 @@ register("glm_lbfgs", builtin.glm)
 register("glm_cv", builtin.glm_cv)
 register("gbm", builtin.gbm)
 register("gbm_newton", lambda **kw: _BoostEstimator(**kw))
-register("deep_learning", lambda n_in, n_classes, **kw: builtin.network(n_in, n_classes, **kw))
+register("deep_learning", lambda n_in, n_classes, **kw: _AveragedNetworkEstimator(n_in, n_classes, **kw))
+register("perceptron", lambda n_in, n_classes, **kw: builtin.network(n_in, n_classes, **kw))
 # the original's enum names
 register("GLM", lambda **kw: _GlmEstimator(**kw))
 register("GBM", builtin.gbm)
-register("DEEP_LEARNING", lambda n_in, n_classes, **kw: builtin.network(n_in, n_classes, **kw))
+register("DEEP_LEARNING", lambda n_in, n_classes, **kw: _AveragedNetworkEstimator(n_in, n_classes, **kw))

@@ -331,6 +331,18 @@ def network_reference_q(spark, d):
     return _scored(m, te, k, label="lang_idx")
 
 
+@query("network_rectifier", "H9")
+def network_rectifier_q(spark, d):
+    """The original's network semantics: rectifier units, ADADELTA (rho 0.99, eps 1e-8), two hidden
+    layers of 200, 10 epochs, its seed; trained by per-task local epochs and global averaging."""
+    from auger.operators.learners.network import fit_network_averaged
+    tr, te = _split(doc_features(spark, d))
+    k = len(_lang_levels(spark, d))
+    m = fit_network_averaged(tr, N_HASH, k, label="lang_idx")
+    return m.transform(te).select("doc_id", F.col("lang_idx").alias("label"), "prediction",
+                                  *[f"p{i}" for i in range(k)])
+
+
 @query("importances", "F4")
 def importances_q(spark, d):
     tr, _ = _split(labelled_docs(spark, d))

@@ -128,3 +128,13 @@ def test_score_with_sql_per_tree_columns(spark):
     from pyspark.ml.functions import vector_to_array
     diff = out.select(F.max(F.abs(F.col("sql_p1") - vector_to_array("probability")[1]))).first()[0]
     assert diff < 1e-9
+
+
+def test_averaged_rectifier_network_beats_majority(spark):
+    from auger.operators.learners.network import fit_network_averaged, n_params
+    _, (dtr, dte) = _docs(spark)
+    m = fit_network_averaged(dtr, 100, 4, hidden=(32,), epochs=5, label="lang_idx")
+    assert len(m.theta) == n_params([100, 32, 4]) and len(m.history) == 5
+    acc = m.transform(dte).agg(F.avg((F.col("prediction") == F.col("lang_idx")).cast("double"))).first()[0]
+    maj = dte.groupBy("lang_idx").count().agg(F.max("count") / F.sum("count")).first()[0]
+    assert acc > maj
