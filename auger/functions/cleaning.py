@@ -112,3 +112,15 @@ def as_view(df: DataFrame, name: str) -> DataFrame:
     """Register a temp view and read it back with ``SELECT *``."""
     df.createOrReplaceTempView(name)
     return df.sparkSession.sql(f"SELECT * FROM `{name}`")
+
+
+def wall_clock_hour(df: DataFrame, col: str) -> Column:
+    """Hour of day of the stored wall-clock value, whatever the session time zone.
+
+    A ``timestamp_ntz`` column is read as stored; a ``timestamp`` (instant) column is taken in
+    UTC (``unix_seconds``), so files written without a zone read the same on every cluster.
+    """
+    from pyspark.sql.types import TimestampNTZType
+    if isinstance(df.schema[col].dataType, TimestampNTZType):
+        return F.hour(F.col(col))
+    return F.pmod(F.floor(F.unix_seconds(F.col(col)) / 3600), F.lit(24)).cast("int")

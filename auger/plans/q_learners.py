@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auger.functions.cleaning import wall_clock_hour
 from auger.functions.features import hashing_tf, tokens
 from auger.functions.hashing import hash_bucket, hash_bucket_sql
 from auger.operators import scoring as S
@@ -35,7 +36,7 @@ def _event_features(spark, d) -> DataFrame:
     ev = table(spark, d, "events")
     return ev.select("event_id", "event_type",
                      F.col("value").cast("double").alias("value"),
-                     F.hour("ts").cast("double").alias("hour"),
+                     wall_clock_hour(ev, "ts").cast("double").alias("hour"),
                      F.get_json_object("props", "$.k").cast("double").alias("k"),
                      hash_bucket("event_id", 10).alias("_b"))
 
@@ -145,9 +146,10 @@ def first_split_gini_q(spark, d):
     Class counts are pivoted (the class list is the label domain, checked small), then running
     sums over each feature's distinct values give the left side of every threshold.
     """
-    ev = table(spark, d, "events").select(
+    ev0 = table(spark, d, "events")
+    ev = ev0.select(
         F.col("event_type").alias("c"),
-        F.hour("ts").cast("double").alias("hour"),
+        wall_clock_hour(ev0, "ts").cast("double").alias("hour"),
         F.floor(F.col("value") / 50.0).cast("double").alias("value_bin"),
         F.get_json_object("props", "$.k").cast("double").alias("k"))
     return first_split_table(ev, list(_GINI_FEATS), "c")

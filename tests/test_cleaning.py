@@ -3,6 +3,8 @@
 import os
 
 
+from pyspark.sql import functions as F
+
 from auger.functions import cleaning as C
 from auger.sources.config import JobConfig, LabelSpec
 from auger.sources.tables import read_labelled_text, read_positional, read_scoring, read_table
@@ -93,3 +95,17 @@ def test_small_rules(spark):
     sc = spark.createDataFrame([(1.0, 1.0), (1.0, 0.0), (0.0, 0.0), (0.0, 0.0)], "label double, prediction double")
     wide = {r["label"]: (r["0.0"], r["1.0"]) for r in confusion_wide(sc).collect()}
     assert wide == {0.0: (2, 0), 1.0: (1, 1)}
+
+
+def test_wall_clock_hour_independent_of_zone(spark):
+    import datetime as dt
+    from auger.functions.cleaning import wall_clock_hour
+    ntz = spark.createDataFrame([(dt.datetime(2024, 1, 1, 5, 30),)], "ts timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert ntz.select(wall_clock_hour(ntz, "ts")).first()[0] == 5
+        ltz = spark.createDataFrame([(dt.datetime(2024, 1, 1, 5, 30, tzinfo=dt.timezone.utc),)], "ts timestamp")
+        assert ltz.select(wall_clock_hour(ltz, "ts")).first()[0] == 5
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
