@@ -43,6 +43,7 @@ class MultiBoostModel:
     rate: float
     features: str
     rounds: list[BoostRound] = field(default_factory=list)
+    history: list[float] = field(default_factory=list)  # training log-loss before each round (F8)
 
     def _scores(self, df: DataFrame, prefix: str = "_F") -> tuple[DataFrame, list[str]]:
         K = self.n_classes
@@ -136,12 +137,18 @@ def fit_boosting(df: DataFrame, features: str = "features", label: str = "label"
         for t in trees:
             tagged = t.transform(tagged)
         tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
+        # the training log-loss before this round rides along on class 0's rows (no extra pass)
+        p_true = F.element_at(F.array(*probs), F.col("_y").cast("int") + 1)
+        nll = -F.log(F.greatest(p_true, F.lit(1e-15)))
         per_leaf = tagged.select(F.explode(F.array(*[
-            F.struct(F.lit(k).alias("k"), F.col(f"_leaf{k}").alias("leaf"), F.col(f"_r{k}").alias("r"))
+            F.struct(F.lit(k).alias("k"), F.col(f"_leaf{k}").alias("leaf"), F.col(f"_r{k}").alias("r"),
+                     (nll if k == 0 else F.lit(0.0)).alias("nll"))
             for k in range(n_f)])).alias("t")).select("t.*")
         stats = (per_leaf.groupBy("k", "leaf")
-                 .agg(F.sum("r").alias("sr"), F.sum(F.abs(F.col("r")) * (1 - F.abs(F.col("r")))).alias("sw"))
+                 .agg(F.sum("r").alias("sr"), F.sum(F.abs(F.col("r")) * (1 - F.abs(F.col("r")))).alias("sw"),
+                      F.sum("nll").alias("nll"), F.count(F.lit(1)).alias("n"))
                  .collect())
+        model.history.append(sum(r["nll"] for r in stats) / max(1, sum(r["n"] for r in stats if r["k"] == 0)))
         work.unpersist()  # the tagged copy is cached now
         gammas: list[dict[float, float]] = [{} for _ in range(n_f)]
         for r in stats:

@@ -138,3 +138,9 @@ def test_averaged_rectifier_network_beats_majority(spark):
     acc = m.transform(dte).agg(F.avg((F.col("prediction") == F.col("lang_idx")).cast("double"))).first()[0]
     maj = dte.groupBy("lang_idx").count().agg(F.max("count") / F.sum("count")).first()[0]
     assert acc > maj
+
+
+def test_boosting_history_decreases(spark):
+    _, (dtr, _dte) = _docs(spark)
+    m = fit_boosting(dtr, "features", "lang_idx", None, rounds=3, depth=3)
+    assert len(m.history) == 3 and m.history[-1] < m.history[0]
