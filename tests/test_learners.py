@@ -144,3 +144,21 @@ def test_boosting_history_decreases(spark):
     _, (dtr, _dte) = _docs(spark)
     m = fit_boosting(dtr, "features", "lang_idx", None, rounds=3, depth=3)
     assert len(m.history) == 3 and m.history[-1] < m.history[0]
+
+
+def test_learners_repeatable_under_seed(spark):
+    from auger.operators.learners import builtin as B
+    from auger.operators.learners.network import fit_network_averaged
+    (tr, te), (dtr, dte) = _docs(spark)
+
+    def preds(df, col="prediction"):
+        return [r[col] for r in df.orderBy("doc_id").select(col).collect()]
+
+    for est in (B.decision_tree(), B.gbm(trees=3)):
+        assert preds(est.fit(tr).transform(te)) == preds(est.fit(tr).transform(te))
+    a = fit_boosting(dtr, "features", "lang_idx", None, rounds=2, depth=3)
+    b = fit_boosting(dtr, "features", "lang_idx", None, rounds=2, depth=3)
+    assert preds(a.transform(dte)) == preds(b.transform(dte))
+    n1 = fit_network_averaged(dtr, 100, 4, hidden=(16,), epochs=2, label="lang_idx")
+    n2 = fit_network_averaged(dtr, 100, 4, hidden=(16,), epochs=2, label="lang_idx")
+    assert np.allclose(n1.theta, n2.theta)
