@@ -5,6 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 
+# The original job's property names and the keys they mean here.
+KEY_ALIASES = {
+    "CHURN_TRAIN_FILE_PATH": "path",
+    "schemaString": "columns",
+    "ignoredCols": "ignored",
+    "response_column": "response",
+}
+
+
 @dataclass(frozen=True)
 class LabelSpec:
     """Which column is the response: by ``name``, ``first``, ``last`` or positional ``index``."""
@@ -46,14 +55,16 @@ class JobConfig:
 
     @staticmethod
     def from_properties(text: str, path: str | None = None) -> "JobConfig":
-        """Parse ``key=value`` lines: ``columns``, ``ignored``, ``response``, ``path``, ``sep``."""
+        """Parse ``key=value`` lines: ``columns``, ``ignored``, ``response``, ``path``, ``sep``,
+        ``categorical``; the original job's key names are accepted as well (see ``KEY_ALIASES``)."""
         props: dict[str, str] = {}
         for line in text.splitlines():
             line = line.strip()
             if not line or line.startswith("#") or "=" not in line:
                 continue
             k, v = line.split("=", 1)
-            props[k.strip()] = v.strip()
+            k = k.strip()
+            props[KEY_ALIASES.get(k, k)] = v.strip()
 
         def _list(v: str | None) -> tuple[str, ...]:
             return tuple(x.strip() for x in (v or "").split(",") if x.strip())

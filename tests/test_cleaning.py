@@ -109,3 +109,11 @@ def test_wall_clock_hour_independent_of_zone(spark):
         assert ltz.select(wall_clock_hour(ltz, "ts")).first()[0] == 5
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_properties_with_original_key_names():
+    text = ("CHURN_TRAIN_FILE_PATH=/data/train.csv\nschemaString=churn,area,vmail\n"
+            "ignoredCols=area\nresponse_column=churn\n")
+    cfg = JobConfig.from_properties(text)
+    assert cfg.path == "/data/train.csv" and cfg.names == ("churn", "area", "vmail")
+    assert cfg.ignored == ("area",) and cfg.response.resolve(list(cfg.names)) == "churn"
