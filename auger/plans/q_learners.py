@@ -92,6 +92,18 @@ def flagship_confusion(spark, d):
     return sc.groupBy(F.col("event_type").alias("label"), "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("confusion_wide", "E3", sql=NB_SCORED_SQL + """
+pivot (select event_type as label, prediction from scored) on prediction using count(*) group by label
+""")
+def confusion_wide_q(spark, d):
+    """E3 in its printed form: one row per true class, one column per predicted class."""
+    from auger.operators.metrics import confusion_wide
+    ev = _event_features(spark, d)
+    m = naive_bayes_fit(ev.where(F.col("_b") < 8), _NB_FEATS, "event_type")
+    sc = m.transform(ev.where(F.col("_b") >= 8)).withColumnRenamed("event_type", "label")
+    return confusion_wide(sc, "prediction", "label")
+
+
 _SGD_TABLE = (f"select (case when event_type = 'purchase' then 1.0 else 0.0 end)::double as y, "
               f"value / 100.0 as x0, hour(ts) / 24.0 as x1 from events where {_TRAIN}")
 
