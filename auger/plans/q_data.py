@@ -289,3 +289,19 @@ def chi_square_select_q(spark, d):
     v = assemble(idx.transform(li), [c + "_i" for c in cols])
     m, _ = chi_square_select(v, "features", "label", 4)
     return spark.createDataFrame([(cols[i],) for i in m.selectedFeatures], "feature string")
+
+
+@query("label_index", "B9 B5", sql="""
+with tr as (select distinct event_type from events where """ + hash_bucket_sql("event_id", 10) + """ < 8),
+lv as (select event_type, cast(row_number() over (order by event_type) - 1 as double) as label from tr)
+select e.event_id, coalesce(lv.label, (select count(*) from lv)::double) as label
+from events e left join lv using (event_type)
+""")
+def label_index_q(spark, d):
+    """Response to class index: levels in text order, fitted on the training part, applied to all
+    (a level unseen in training gets the next index)."""
+    from auger.functions.encoding import index_label
+    from auger.functions.hashing import hash_bucket
+    ev = table(spark, d, "events").select("event_id", "event_type")
+    idx = index_label(ev.where(hash_bucket("event_id", 10) < 8), "event_type", "label", handle_invalid="keep")
+    return idx.transform(ev).select("event_id", "label")
