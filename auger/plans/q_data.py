@@ -305,3 +305,17 @@ def label_index_q(spark, d):
     ev = table(spark, d, "events").select("event_id", "event_type")
     idx = index_label(ev.where(hash_bucket("event_id", 10) < 8), "event_type", "label", handle_invalid="keep")
     return idx.transform(ev).select("event_id", "label")
+
+
+@query("csv_header_inferred", "A5 A9", sql="""
+select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer
+""")
+def csv_header_inferred(spark, d):
+    """Customer written as CSV with a header line (A9) and read back with inferred types (A5);
+    the key is widened to 64 bits after inference (small keys infer as int)."""
+    cust = table(spark, d, "customer").select(*CUSTOMER_COLS)
+    path = scratch_path(spark, "csv_header")
+    tables.write_predictions(cust, path)
+    back = tables.read_inferred(spark, path)
+    return back.select(F.col("c_custkey").cast("long"), "c_name", F.col("c_nationkey").cast("int"),
+                       F.col("c_acctbal").cast("double"), "c_mktsegment")
