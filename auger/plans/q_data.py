@@ -319,3 +319,18 @@ def csv_header_inferred(spark, d):
     back = tables.read_inferred(spark, path)
     return back.select(F.col("c_custkey").cast("long"), "c_name", F.col("c_nationkey").cast("int"),
                        F.col("c_acctbal").cast("double"), "c_mktsegment")
+
+
+@query("tsv_positional", "A2 A3 B6", sql="""
+select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer
+""")
+def tsv_positional(spark, d):
+    """Customer written tab-separated without a header, read back by position (width from the
+    first line: c0 ... c4) and named again."""
+    cust = table(spark, d, "customer").select(*CUSTOMER_COLS)
+    path = scratch_path(spark, "tsv")
+    cust.write.option("sep", "\t").csv(path)
+    back = tables.read_positional(spark, path, sep="\t")
+    return back.select(F.col("c0").cast("long").alias("c_custkey"), F.col("c1").alias("c_name"),
+                       F.col("c2").cast("int").alias("c_nationkey"), F.col("c3").cast("double").alias("c_acctbal"),
+                       F.col("c4").alias("c_mktsegment"))
