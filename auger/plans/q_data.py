@@ -334,3 +334,23 @@ def tsv_positional(spark, d):
     return back.select(F.col("c0").cast("long").alias("c_custkey"), F.col("c1").alias("c_name"),
                        F.col("c2").cast("int").alias("c_nationkey"), F.col("c3").cast("double").alias("c_acctbal"),
                        F.col("c4").alias("c_mktsegment"))
+
+
+@query("labelled_text_files", "A4 D4 G1", sql=f"""
+with d as (select dense_rank() over (order by lang) - 1 as label, replace(text, chr(10), ' ') as text from documents)
+select cast(label as double) as label, cast(len({_TOK_SQL}) as integer) as n_tokens from d
+""")
+def labelled_text_files(spark, d):
+    """One text file (folder) per class, one document per line - the layout of the original's
+    spam / ham files: documents are written per language with line breaks turned into spaces,
+    then read back with a label per file and unioned."""
+    docs = table(spark, d, "documents").select("lang", F.regexp_replace("text", "\\n", " ").alias("text"))
+    levels = [r["level"] for r in domains(docs, ["lang"]).orderBy("level_index").limit(1001).collect()]
+    if len(levels) > 1000:
+        raise ValueError("too many classes for one file each")
+    root = scratch_path(spark, "labelled_text")
+    idx = F.create_map(*[x for i, lv in enumerate(levels) for x in (F.lit(lv), F.lit(i))])
+    # one scan writes every class's folder (partitioned output), not one scan per class
+    docs.select("text", F.element_at(idx, F.col("lang")).alias("cls")).write.partitionBy("cls").text(root)
+    back = tables.read_labelled_text(spark, {f"{root}/cls={i}": float(i) for i in range(len(levels))})
+    return back.select("label", F.size(tokens("text")).alias("n_tokens"))
