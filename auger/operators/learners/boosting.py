@@ -60,6 +60,20 @@ class MultiBoostModel:
                 out = out.drop(leaf, f"_tp_{i}_{k}")
         return out, cols
 
+    @property
+    def featureImportances(self):
+        """gain importances summed over every tree of every round and class, normalised."""
+        from pyspark.ml.linalg import Vectors
+        tot = None
+        for rnd in self.rounds:
+            for t in rnd.trees:
+                v = t.featureImportances.toArray()
+                tot = v if tot is None else tot + v
+        if tot is None:
+            return Vectors.dense([])
+        s = tot.sum()
+        return Vectors.dense(tot / s if s > 0 else tot)
+
     def transform(self, df: DataFrame, prediction: str = "prediction", prob_prefix: str = "p") -> DataFrame:
         out, cols = self._scores(df)
         probs = probabilities(self.n_classes, [F.col(c) for c in cols])

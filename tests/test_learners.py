@@ -162,3 +162,10 @@ def test_learners_repeatable_under_seed(spark):
     n1 = fit_network_averaged(dtr, 100, 4, hidden=(16,), epochs=2, label="lang_idx")
     n2 = fit_network_averaged(dtr, 100, 4, hidden=(16,), epochs=2, label="lang_idx")
     assert np.allclose(n1.theta, n2.theta)
+
+
+def test_boosting_importances(spark):
+    _, (dtr, _dte) = _docs(spark)
+    m = fit_boosting(dtr, "features", "lang_idx", None, rounds=2, depth=3)
+    imp = m.featureImportances.toArray()
+    assert len(imp) == 100 and abs(imp.sum() - 1.0) < 1e-9 and (imp >= 0).all()
