@@ -104,6 +104,17 @@ def make(name: str, **settings):
         raise KeyError(f"unknown learner {name!r}; known: {sorted(_REGISTRY)}") from None
 
 
+def accepts(name: str, setting: str) -> bool:
+    """Whether the learner registered as ``name`` takes the keyword ``setting``."""
+    import inspect
+    f = _REGISTRY[name.lower()]
+    try:
+        params = inspect.signature(f).parameters
+    except (TypeError, ValueError):
+        return False
+    return setting in params
+
+
 def names() -> list[str]:
     return sorted(_REGISTRY)
 
@@ -117,7 +128,7 @@ register("glm", lambda **kw: _GlmEstimator(**kw))
 register("glm_lbfgs", builtin.glm)
 register("glm_cv", builtin.glm_cv)
 register("gbm", builtin.gbm)
-register("gbm_newton", lambda **kw: _BoostEstimator(**kw))
+register("gbm_newton", lambda n_classes=None, **kw: _BoostEstimator(n_classes=n_classes, **kw))
 register("deep_learning", lambda n_in, n_classes, **kw: _AveragedNetworkEstimator(n_in, n_classes, **kw))
 register("perceptron", lambda n_in, n_classes, **kw: builtin.network(n_in, n_classes, **kw))
 # the original's enum names

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auger.operators import metrics as M
-from auger.operators.learners.registry import make
+from auger.operators.learners.registry import accepts, make
 from auger.operators.scoring import importances, score
 from auger.operators.splits import hash_split, split
 from auger.sources.config import JobConfig, LabelSpec
@@ -38,6 +38,8 @@ def train_and_report(spark: SparkSession, df: DataFrame, algorithm: str, feature
         train, test = hash_split(df, key)
     else:
         train, test = split(df, 0.8, seed)
+    if accepts(algorithm, "n_classes") and "n_classes" not in settings:
+        settings = {**settings, "n_classes": n_classes}
     est = make(algorithm, **settings)
     model = est.fit(train)
     scored = score(model, test, n_classes)
