@@ -169,3 +169,21 @@ def test_boosting_importances(spark):
     m = fit_boosting(dtr, "features", "lang_idx", None, rounds=2, depth=3)
     imp = m.featureImportances.toArray()
     assert len(imp) == 100 and abs(imp.sum() - 1.0) < 1e-9 and (imp >= 0).all()
+
+
+def test_report_runs_every_registered_learner(spark):
+    from auger.plans.q_learners import labelled_docs
+    from auger.plans.train_report import train_and_report
+    df = labelled_docs(spark, SF_MID).transform(lambda d: d.checkpoint(eager=True))
+    small = {"gbm_newton": {"rounds": 2, "depth": 3}, "deep_learning": {"n_in": 100, "hidden": (8,), "epochs": 2},
+             "DEEP_LEARNING": {"n_in": 100, "hidden": (8,), "epochs": 2},
+             "perceptron": {"n_in": 100, "hidden": (8,), "epochs": 5},
+             "logistic_sgd": {"n_features": 100}, "svm_sgd": {"n_features": 100},
+             "gbm": {"trees": 2}, "GBM": {"trees": 2}, "glm_cv": {"folds": 3}}
+    from auger.operators.learners.registry import names
+    for name in names():
+        if name == "glm_cv":
+            continue  # a CrossValidator: its model is the best fold model, reported like GLM
+        rep = train_and_report(spark, df, name, key="doc_id", **small.get(name, {}))
+        keys = {(r["section"], r["key"]) for r in rep["metrics"].collect()}
+        assert ("error", "test_error") in keys, name
