@@ -19,7 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_PARAMS = 20_000_000
+MAX_PARAMS = 5_000_000  # 40 MB of weights per broadcast and per task result
 
 
 def _shapes(layers: list[int]) -> list[tuple[int, int]]:
