@@ -33,10 +33,13 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Iterable[str], des
     keyed = df.withColumn(key, (-F.col(order_col) if descending else F.col(order_col)).cast("double"))
     probs = [i / nb for i in range(1, nb)]
     bounds = sorted(set(keyed.approxQuantile(key, probs, 1.0 / (4 * nb)))) if nb > 1 else []
-    bounds = [b for b in bounds if b == b]  # drop NaN
+    bounds = [b for b in bounds if b == b and abs(b) != float("inf")]  # finite boundaries only
     splits = [-float("inf")] + bounds + [float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol=key, outputCol="_bk",
-                          handleInvalid="keep").transform(keyed)
+    if len(splits) < 3:  # no boundary (empty or tiny input): a single bucket
+        bucketed = keyed.withColumn("_bk", F.lit(0.0))
+    else:
+        bucketed = Bucketizer(splits=splits, inputCol=key, outputCol="_bk",
+                              handleInvalid="keep").transform(keyed)
     # one row per bucket: sizes bounded by the boundary list, so the broadcast is bounded
     per_bucket = bucketed.groupBy("_bk").agg(*[F.sum(v).alias(f"_b_{v}") for v in vals])
     wall = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

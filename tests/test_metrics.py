@@ -75,3 +75,13 @@ def test_first_split_bins_wide_features(spark):
     binned = first_split_table(df, ["x"], "c", max_bins=50).first()
     assert exact["threshold"] == 699.0 and exact["gini"] == 0.0
     assert binned["gini"] <= 0.05 and binned["n_left"] > 600
+
+
+def test_metrics_on_empty_input(spark):
+    empty = spark.createDataFrame([], "label double, p1 double, prediction double")
+    assert M.auc(empty, "p1", "label").first()["auc"] is None
+    assert M.threshold_sweep(empty, "p1", "label").count() == 0
+    assert M.test_error(empty).first()["n_rows"] == 0
+    assert M.summary(empty, prob="p1").first()["n_rows"] == 0
+    one_class = spark.createDataFrame([(1.0, 0.3, 1.0), (1.0, 0.7, 1.0)], "label double, p1 double, prediction double")
+    assert M.auc(one_class, "p1", "label").first()["auc"] is None  # undefined without negatives
