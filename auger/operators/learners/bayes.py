@@ -67,6 +67,8 @@ def naive_bayes_fit(df: DataFrame, features: list[str], label: str, smoothing: f
     if any(r["_min"] is not None and r["_min"] < 0 for r in stats):
         raise ValueError("multinomial naive Bayes needs non-negative features")
     n = sum(r["_n"] for r in stats)
+    if n == 0:
+        raise ValueError("no training rows")
     k, d, s = len(stats), len(features), smoothing
     labels = [r["_label"] for r in stats]
     prior = [math.log(r["_n"] + s) - math.log(n + k * s) for r in stats]

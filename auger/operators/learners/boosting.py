@@ -123,6 +123,8 @@ def fit_boosting(df: DataFrame, features: str = "features", label: str = "label"
     counts = {r[0]: r[1] for r in base.groupBy("_y").count().limit(MAX_CLASSES + 1).collect()}
     if len(counts) > MAX_CLASSES:
         raise ValueError("too many classes")
+    if not counts:
+        raise ValueError("no training rows")
     K = n_classes or int(max(counts)) + 1
     K = max(K, 2)
     n = sum(counts.values())

@@ -141,6 +141,8 @@ def fit_glm(df: DataFrame, features: str = "features", label: str = "label", alp
             lam: float = 1e-5, standardize: bool = True, max_iter: int = 50, tol: float = 1e-4) -> GlmModel:
     """Fit on a vector feature column and a 0/1 label; stop when no coefficient moves by more
     than ``tol`` (on the standardised scale)."""
+    if df.limit(1).count() == 0:
+        raise ValueError("no training rows")
     stats = df.select(Summarizer.metrics("mean", "std", "count").summary(F.col(features)).alias("s"),
                       ).first()["s"]
     mu, sd, n = stats["mean"].toArray(), stats["std"].toArray(), int(stats["count"])

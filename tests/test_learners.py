@@ -187,3 +187,15 @@ def test_report_runs_every_registered_learner(spark):
         rep = train_and_report(spark, df, name, key="doc_id", **small.get(name, {}))
         keys = {(r["section"], r["key"]) for r in rep["metrics"].collect()}
         assert ("error", "test_error") in keys, name
+
+
+def test_learners_refuse_empty_training_sets(spark):
+    from auger.operators.learners.glm import fit_glm
+    empty = spark.createDataFrame([], "label double, a double")
+    with pytest.raises(ValueError):
+        naive_bayes_fit(empty, ["a"], "label")
+    ev = spark.createDataFrame([(0.0, Vectors.dense([1.0]))], ["label", "features"]).where("label > 1")
+    with pytest.raises(ValueError):
+        fit_glm(ev)
+    with pytest.raises(ValueError):
+        fit_boosting(ev, "features", "label", 2, rounds=1)
