@@ -366,9 +366,12 @@ def importances_q(spark, d):
 
 @query("permutation_importance", "F5")
 def permutation_importance_q(spark, d):
+    """Importance of every hashed slot for the rectifier network (accuracy lost when the slot is
+    shuffled), all slots in one job."""
+    from auger.operators.learners.network import fit_network_averaged
     tr, te = _split(doc_features(spark, d))
     k = len(_lang_levels(spark, d))
-    m = B.network(N_HASH, k, hidden=(16,), epochs=30, label="lang_idx").fit(tr)
+    m = fit_network_averaged(tr, N_HASH, k, hidden=(16,), epochs=10, label="lang_idx")
     return S.permutation_importance(spark, m, te, "features", "lang_idx", N_HASH,
                                     [f"slot{i}" for i in range(N_HASH)])
 
