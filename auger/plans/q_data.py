@@ -354,3 +354,14 @@ def labelled_text_files(spark, d):
     docs.select("text", F.element_at(idx, F.col("lang")).alias("cls")).write.partitionBy("cls").text(root)
     back = tables.read_labelled_text(spark, {f"{root}/cls={i}": float(i) for i in range(len(levels))})
     return back.select("label", F.size(tokens("text")).alias("n_tokens"))
+
+
+@query("json_rows", "A10", sql="""
+select '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey
+       || ',"c_mktsegment":"' || c_mktsegment || '"}' as json
+from customer
+""")
+def json_rows_q(spark, d):
+    """A10, JSON form: every row as one JSON object string, built in the tasks."""
+    cust = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return tables.rows_as_json(cust)
