@@ -2,7 +2,6 @@
 
 import os
 
-
 from auger.functions import cleaning as C
 from auger.sources.config import JobConfig, LabelSpec
 from auger.sources.tables import read_labelled_text, read_positional, read_scoring, read_table
