@@ -1,6 +1,6 @@
 """Command line for the configured jobs (the original's train / score / report programs).
 
-    python -m auger.cli train   --config job.properties --data train.csv --algorithm GBM --out DIR
+    python -m auger.cli train   --config job.properties --data train.csv --algorithm GBM --out DIR [--threshold max_f1]
     python -m auger.cli score   --model DIR/model --config job.properties --data new.csv --out DIR2
     python -m auger.cli outliers --data emb.parquet --id vec_id --vector embedding --k 10 --top 5
 
@@ -29,7 +29,10 @@ def cmd_train(spark, args) -> int:
     from auger.plans.train_report import train_from_config
     from auger.sources.models import save_model
     from auger.sources.tables import write_predictions
-    rep = train_from_config(spark, _config(args), args.algorithm)
+    thr = args.threshold
+    if thr not in (None, "max_f1"):
+        thr = float(thr)
+    rep = train_from_config(spark, _config(args), args.algorithm, threshold=thr)
     for r in rep["metrics"].collect():  # a handful of rows
         print(json.dumps(r.asDict()))
     if args.out:
@@ -70,6 +73,7 @@ def main(argv: list[str] | None = None) -> int:
     t.add_argument("--data", required=True)
     t.add_argument("--algorithm", default="GBM")
     t.add_argument("--key")
+    t.add_argument("--threshold", help="max_f1 or a number (two classes); default: the learner's own")
     t.add_argument("--out")
     s = sub.add_parser("score")
     s.add_argument("--config", required=True)
