@@ -3,7 +3,8 @@
 Each epoch is one Spark pass: the current weights are broadcast; every task trains a copy on its
 own rows (mini-batches, ReLU hidden layers, softmax output, cross-entropy, ADADELTA updates with
 ``rho`` and ``eps``) and emits its weights with its row count; one ``Summarizer.sum`` forms the
-row-weighted average, which starts the next epoch. This is the data-parallel scheme of
+row-weighted average (weights and ADADELTA's running averages alike), which starts the next
+epoch. This is the data-parallel scheme of
 map-reduce deep learning (local training, global averaging); Spark partitions the rows and does
 the averaging, numpy runs the per-task arithmetic. Scoring is a forward pass per Arrow batch.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from auger.operators.splits import persisted
 
-MAX_PARAMS = 5_000_000  # 40 MB of weights per broadcast and per task result
+MAX_PARAMS = 6_000_000  # weights + two ADADELTA averages: 48 MB per broadcast and per task result
 
 
 def _shapes(layers: list[int]) -> list[tuple[int, int]]:
@@ -110,21 +111,22 @@ def fit_network_averaged(df: DataFrame, n_in: int, n_classes: int, hidden: tuple
     """Fit on a vector column and class indexes 0..K-1."""
     layers = [n_in, *hidden, n_classes]
     size = n_params(layers)
-    if size > MAX_PARAMS:
+    if 3 * size > MAX_PARAMS:
         raise ValueError(f"{size} weights: too many to average through the driver")
     rng = np.random.default_rng(seed % (2 ** 63))
     theta = np.concatenate([np.concatenate([rng.uniform(-1, 1, a * b) * np.sqrt(6.0 / (a + b)), np.zeros(b)])
                             for a, b in _shapes(layers)])
     base = df.select(vector_to_array(F.col(features)).alias("_x"), F.col(label).cast("int").alias("_y"))
     net = AveragedNetwork(layers, theta, features)
+    # ADADELTA's running averages (E[g^2], E[dx^2]) are averaged and carried across epochs too
+    state = np.concatenate([theta, np.zeros(size), np.zeros(size)])
     with persisted(base):
         for ep in range(epochs):
-            bc = df.sparkSession.sparkContext.broadcast(net.theta)
+            bc = df.sparkSession.sparkContext.broadcast(state)
 
             def train(batches, ep=ep):
-                th = bc.value.copy()
-                eg = np.zeros_like(th)
-                ex = np.zeros_like(th)
+                st = bc.value
+                th, eg, ex = st[:size].copy(), st[size:2 * size].copy(), st[2 * size:].copy()
                 n, loss = 0, 0.0
                 r = np.random.default_rng(seed % 1000003 + ep)
                 for pdf in batches:
@@ -147,7 +149,8 @@ def fit_network_averaged(df: DataFrame, n_in: int, n_classes: int, hidden: tuple
                     loss += float(-np.log(np.clip(P[np.arange(len(X)), y], 1e-15, None)).sum())
                     n += len(X)
                 if n:
-                    yield pd.DataFrame({"_w": [th * n], "_n": [float(n)], "_loss": [loss]})
+                    yield pd.DataFrame({"_w": [np.concatenate([th, eg, ex]) * n], "_n": [float(n)],
+                                        "_loss": [loss]})
 
             agg = (base.mapInPandas(train, "_w array<double>, _n double, _loss double")
                    .select(Summarizer.sum(array_to_vector("_w")).alias("w"), F.sum("_n").alias("n"),
@@ -155,7 +158,8 @@ def fit_network_averaged(df: DataFrame, n_in: int, n_classes: int, hidden: tuple
                    .first())
             if not agg["n"]:
                 break
-            net.theta = agg["w"].toArray() / agg["n"]
+            state = agg["w"].toArray() / agg["n"]
+            net.theta = state[:size]
             net.history.append(agg["loss"] / agg["n"])
             bc.unpersist()
     return net
