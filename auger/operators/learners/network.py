@@ -78,6 +78,7 @@ class AveragedNetwork:
     theta: np.ndarray
     features: str = "features"
     history: list[float] = field(default_factory=list)
+    valid_history: list[float] = field(default_factory=list)
 
     def transform(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
         k = self.layers[-1]
@@ -107,8 +108,12 @@ class AveragedNetwork:
 def fit_network_averaged(df: DataFrame, n_in: int, n_classes: int, hidden: tuple[int, ...] = (200, 200),
                          epochs: int = 10, features: str = "features", label: str = "label",
                          rho: float = 0.99, eps: float = 1e-8, batch: int = 32,
-                         seed: int = 113974111632823084) -> AveragedNetwork:
-    """Fit on a vector column and class indexes 0..K-1."""
+                         seed: int = 113974111632823084, valid: DataFrame | None = None) -> AveragedNetwork:
+    """Fit on a vector column and class indexes 0..K-1.
+
+    With ``valid``, the weights after each epoch are scored on those rows (one pass) and the
+    epoch with the best accuracy is kept ("keep the best model"); ``valid_history`` records it.
+    """
     layers = [n_in, *hidden, n_classes]
     size = n_params(layers)
     if 3 * size > MAX_PARAMS:
@@ -120,6 +125,7 @@ def fit_network_averaged(df: DataFrame, n_in: int, n_classes: int, hidden: tuple
     net = AveragedNetwork(layers, theta, features)
     # ADADELTA's running averages (E[g^2], E[dx^2]) are averaged and carried across epochs too
     state = np.concatenate([theta, np.zeros(size), np.zeros(size)])
+    best: tuple[float, np.ndarray] | None = None
     with persisted(base):
         for ep in range(epochs):
             bc = df.sparkSession.sparkContext.broadcast(state)
@@ -162,4 +168,12 @@ def fit_network_averaged(df: DataFrame, n_in: int, n_classes: int, hidden: tuple
             net.theta = state[:size]
             net.history.append(agg["loss"] / agg["n"])
             bc.unpersist()
+            if valid is not None:
+                acc = (net.transform(valid).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")))
+                       .first()[0] or 0.0)
+                net.valid_history.append(acc)
+                if best is None or acc > best[0]:
+                    best = (acc, net.theta.copy())
+    if best is not None:
+        net.theta = best[1]
     return net

@@ -348,11 +348,13 @@ def network_reference_q(spark, d):
 @query("network_rectifier", "H9")
 def network_rectifier_q(spark, d):
     """The original's network semantics: rectifier units, ADADELTA (rho 0.99, eps 1e-8), two hidden
-    layers of 200, 10 epochs, its seed; trained by per-task local epochs and global averaging."""
+    layers of 200, 10 epochs, its seed, best epoch kept; trained by per-task local epochs and
+    global averaging. Validation = the training part's bucket 7 (the test part is never looked at)."""
     from auger.operators.learners.network import fit_network_averaged
     tr, te = _split(doc_features(spark, d))
+    fit, valid = tr.where(F.col("_b") < 7), tr.where(F.col("_b") == 7)
     k = len(_lang_levels(spark, d))
-    m = fit_network_averaged(tr, N_HASH, k, label="lang_idx")
+    m = fit_network_averaged(fit, N_HASH, k, label="lang_idx", valid=valid)
     return m.transform(te).select("doc_id", F.col("lang_idx").alias("label"), "prediction",
                                   *[f"p{i}" for i in range(k)])
 

@@ -199,3 +199,13 @@ def test_learners_refuse_empty_training_sets(spark):
         fit_glm(ev)
     with pytest.raises(ValueError):
         fit_boosting(ev, "features", "label", 2, rounds=1)
+
+
+def test_averaged_network_keeps_best_epoch(spark):
+    from auger.operators.learners.network import fit_network_averaged
+    _, (dtr, _dte) = _docs(spark)
+    fit, valid = dtr.where(F.col("_b") < 7), dtr.where(F.col("_b") == 7)
+    m = fit_network_averaged(fit, 100, 4, hidden=(16,), epochs=4, label="lang_idx", valid=valid)
+    assert len(m.valid_history) == 4
+    acc = m.transform(valid).agg(F.avg((F.col("prediction") == F.col("lang_idx")).cast("double"))).first()[0]
+    assert abs(acc - max(m.valid_history)) < 1e-12
