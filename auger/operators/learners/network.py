@@ -121,25 +121,45 @@ def fit_network_averaged(df: DataFrame, n_in: int, n_classes: int, hidden: tuple
     rng = np.random.default_rng(seed % (2 ** 63))
     theta = np.concatenate([np.concatenate([rng.uniform(-1, 1, a * b) * np.sqrt(6.0 / (a + b)), np.zeros(b)])
                             for a, b in _shapes(layers)])
-    base = df.select(vector_to_array(F.col(features)).alias("_x"), F.col(label).cast("int").alias("_y"))
+    base = df.select(vector_to_array(F.col(features)).alias("_x"), F.col(label).cast("int").alias("_y"),
+                     F.lit(False).alias("_val"))
+    if valid is not None:  # validation rows ride along in the training pass (scored, not trained on)
+        base = base.unionByName(valid.select(vector_to_array(F.col(features)).alias("_x"),
+                                             F.col(label).cast("int").alias("_y"), F.lit(True).alias("_val")))
     net = AveragedNetwork(layers, theta, features)
     # ADADELTA's running averages (E[g^2], E[dx^2]) are averaged and carried across epochs too
     state = np.concatenate([theta, np.zeros(size), np.zeros(size)])
     best: tuple[float, np.ndarray] | None = None
+
+    def keep(acc: float, th: np.ndarray) -> None:
+        nonlocal best
+        net.valid_history.append(acc)
+        if best is None or acc > best[0]:
+            best = (acc, th.copy())
+
     with persisted(base):
         for ep in range(epochs):
             bc = df.sparkSession.sparkContext.broadcast(state)
 
             def train(batches, ep=ep):
                 st = bc.value
+                start_params = _unpack(st[:size], layers)
                 th, eg, ex = st[:size].copy(), st[size:2 * size].copy(), st[2 * size:].copy()
-                n, loss = 0, 0.0
+                n, loss, vc, vn = 0, 0.0, 0.0, 0.0
                 r = np.random.default_rng(seed % 1000003 + ep)
                 for pdf in batches:
                     if len(pdf) == 0:
                         continue
-                    X = np.stack(pdf["_x"].to_numpy())
-                    y = pdf["_y"].to_numpy()
+                    is_val = pdf["_val"].to_numpy(dtype=bool)
+                    if is_val.any():  # accuracy of the weights this epoch started from
+                        Xv = np.stack(pdf["_x"].to_numpy()[is_val])
+                        yv = pdf["_y"].to_numpy()[is_val]
+                        vc += float((_forward(start_params, Xv)[-1].argmax(axis=1) == yv).sum())
+                        vn += float(len(yv))
+                    if is_val.all():
+                        continue
+                    X = np.stack(pdf["_x"].to_numpy()[~is_val])
+                    y = pdf["_y"].to_numpy()[~is_val]
                     order = r.permutation(len(X))
                     for s in range(0, len(X), batch):
                         idx = order[s:s + batch]
@@ -154,26 +174,24 @@ def fit_network_averaged(df: DataFrame, n_in: int, n_classes: int, hidden: tuple
                     P = _forward(_unpack(th, layers), X)[-1]
                     loss += float(-np.log(np.clip(P[np.arange(len(X)), y], 1e-15, None)).sum())
                     n += len(X)
-                if n:
-                    yield pd.DataFrame({"_w": [np.concatenate([th, eg, ex]) * n], "_n": [float(n)],
-                                        "_loss": [loss]})
+                w = np.concatenate([th, eg, ex]) * n if n else np.zeros(3 * size)
+                yield pd.DataFrame({"_w": [w], "_n": [float(n)], "_loss": [loss], "_vc": [vc], "_vn": [vn]})
 
-            agg = (base.mapInPandas(train, "_w array<double>, _n double, _loss double")
+            agg = (base.mapInPandas(train, "_w array<double>, _n double, _loss double, _vc double, _vn double")
                    .select(Summarizer.sum(array_to_vector("_w")).alias("w"), F.sum("_n").alias("n"),
-                           F.sum("_loss").alias("loss"))
+                           F.sum("_loss").alias("loss"), F.sum("_vc").alias("vc"), F.sum("_vn").alias("vn"))
                    .first())
+            bc.unpersist()
             if not agg["n"]:
                 break
+            if valid is not None and ep > 0 and agg["vn"]:
+                keep(agg["vc"] / agg["vn"], net.theta)  # the previous epoch's weights
             state = agg["w"].toArray() / agg["n"]
             net.theta = state[:size]
             net.history.append(agg["loss"] / agg["n"])
-            bc.unpersist()
-            if valid is not None:
-                acc = (net.transform(valid).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")))
-                       .first()[0] or 0.0)
-                net.valid_history.append(acc)
-                if best is None or acc > best[0]:
-                    best = (acc, net.theta.copy())
+    if valid is not None and net.history:  # the last epoch's weights: one scoring pass
+        acc = net.transform(valid).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+        keep(acc or 0.0, net.theta)
     if best is not None:
         net.theta = best[1]
     return net
