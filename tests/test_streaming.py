@@ -34,3 +34,16 @@ def test_stream_scores_arrivals_once(spark, tmp_dir):
     q2.awaitTermination()
     assert spark.read.parquet(sink).count() == 3
     assert spark.read.parquet(sink).where(F.col("prediction").isNull()).count() == 0
+
+
+def test_stream_counts_bad_fields(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "in2")
+    os.makedirs(src)
+    open(os.path.join(src, "a.csv"), "w").write('1,"4.5",yes\n2,abc,no\n')
+    sink = os.path.join(tmp_dir, "out2")
+    q = score_arrivals(spark, src, ["id", "x", "flag"], ["x", "flag"],
+                       lambda df: df.select("id", "x", "flag", "_bad_fields"), sink,
+                       checkpoint=os.path.join(tmp_dir, "ck2"))
+    q.awaitTermination()
+    got = {r["id"]: (r["x"], r["flag"], r["_bad_fields"]) for r in spark.read.parquet(sink).collect()}
+    assert got == {"1": (4.5, 1.0, 0), "2": (None, 0.0, 1)}
