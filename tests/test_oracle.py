@@ -51,3 +51,13 @@ def test_entry_runs(spark):
 
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_every_query_is_documented_and_tagged():
+    import os
+    from auger.plans.catalog import operator_ids
+    readme = open(os.path.join(os.path.dirname(os.path.dirname(__file__)), "README.md")).read()
+    ids = operator_ids()
+    for name in E.queries():
+        assert f"`{name}`" in readme, name
+        assert ids[name].strip(), name
