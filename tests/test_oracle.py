@@ -55,9 +55,10 @@ def test_every_oracle_has_a_query():
 
 def test_every_query_is_documented_and_tagged():
     import os
-    from auger.plans.catalog import operator_ids
+    from auger.plans.catalog import operator_ids, queries
     readme = open(os.path.join(os.path.dirname(os.path.dirname(__file__)), "README.md")).read()
     ids = operator_ids()
     for name in E.queries():
         assert f"`{name}`" in readme, name
+    for name in queries():
         assert ids[name].strip(), name
