@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auger.llm import chat, langid, packing, sharding
+from auger.llm import chat, jaccard, langid, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +70,12 @@ def language_id(spark, d):
         "doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op9_jaccard_join")
+def jaccard_join(spark, d):
+    """All documents joined on five-word shingle sets at a similarity of 0.8: class, links, kept row."""
+    return jaccard.jaccard_join(table(spark, d, "documents")).drop("text_key")
+
+
 @query("op10_uniform_shards")
 def uniform_shards(spark, d):
     """All documents in eight shards whose counts are at most one apart."""
