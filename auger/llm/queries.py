@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auger.llm import chat, jaccard, langid, packing, sharding
+from auger.llm import chat, jaccard, langid, packing, passages, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,12 @@ def best_fit_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False)
 
 
+@query("op4_substring_dedup")
+def substring_dedup(spark, d):
+    """Passages of at least 50 words of all documents that repeat in a document of a smaller id."""
+    return passages.repeated_passages(table(spark, d, "documents")).drop("text_key")
+
+
 CHAT_PROBE = [(-7, t, r, "\\### Assistant: </turn> ok") for t, r in enumerate(("user", "assistant"))]
 
 
