@@ -229,6 +229,12 @@ def stretches(own: np.ndarray, other: np.ndarray, threshold: float = THRESHOLD)
                 out.append((a + x, a + y, min(oa, ob - 1), max(ob, oa + 1), similarity))
             elif level + 1 < len(PENALTIES):
                 todo.append((a + x, a + y, level + 1))
+            else:  # words missing here split the other side: cut at the largest of these gaps
+                hits = a + x + np.flatnonzero(hit[a + x:a + y])
+                gaps = np.abs(np.diff(order[at[hits]] - hits))
+                if len(gaps) and gaps.max():
+                    cut = int(hits[gaps.argmax() + 1])
+                    todo += [(a + x, cut, 0), (cut, a + y, 0)]
         todo += [(a, a + x, level), (a + y, b, level)]
     return sorted(out)
 
