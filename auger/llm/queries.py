@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auger.llm import chat, jaccard, langid, packing, passages, sharding
+from auger.llm import chat, decontaminate, embeddings, jaccard, langid, packing, passages, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,12 +34,41 @@ def best_fit_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False)
 
 
+@query("op3_embedding_dedup", sql="""
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where label is not null and embedding is not null),
+u as (
+  select * from v where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+                    and len(list_filter(e, lambda x: x != 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id != b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (
+  select vec_id as id, vec_id as r from embeddings
+  union select reach.id, links.b from reach join links on links.a = reach.r)
+select e.vec_id, coalesce(n.n, 0) as n_links, min(reach.r) as component_id, e.vec_id = min(reach.r) as kept
+from embeddings e join reach on reach.id = e.vec_id
+left join (select a, count(*) as n from links group by a) n on n.a = e.vec_id
+group by e.vec_id, n.n
+""")
+def embedding_dedup(spark, d):
+    """All embeddings linked within equal labels at a cosine of 0.93."""
+    return embeddings.near_duplicates(table(spark, d, "embeddings"), 0.93)
+
+
 @query("op4_substring_dedup")
 def substring_dedup(spark, d):
     """Passages of at least 50 words of all documents that repeat in a document of a smaller id."""
     return passages.repeated_passages(table(spark, d, "documents")).drop("text_key")
 
 
+@query("op5_decontaminate")
+def decontamination(spark, d):
+    """Documents that hold benchmark items, also with other numbers, names and units in them."""
+    return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("text_key")
+
+
 CHAT_PROBE = [(-7, t, r, "\\### Assistant: </turn> ok") for t, r in enumerate(("user", "assistant"))]
 
 
