@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auger.llm import chat, decontaminate, embeddings, jaccard, langid, packing, passages, sharding
+from auger.llm import chat, decontaminate, embeddings, jaccard, langid, licenses, packing, passages, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,21 @@ def best_fit_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False)
 
 
+def severity_grades(labels: DataFrame) -> DataFrame:
+    """Grade 0: not toxic; 1: toxic; 2: toxic and of low quality. Rows without a toxic label have none."""
+    toxic = F.col("toxic")
+    return labels.select("doc_id", F.when(toxic == 0, 0).when((toxic == 1) & (F.coalesce("quality", F.lit(1)) == 0), 2)
+                         .when(toxic == 1, 1).alias("grade"))
+
+
+@query("op2_toxicity")
+def toxicity_severity(spark, d):
+    """The expected severity of every document, learned from ``labels``."""
+    docs = table(spark, d, "documents")
+    model = toxicity.fit(docs, severity_grades(table(spark, d, "labels")))
+    return toxicity.predict(docs.select("doc_id", "text"), model).select("doc_id", "expected_severity", "grade", "toxic")
+
+
 @query("op3_embedding_dedup", sql="""
 with recursive v as (
   select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
@@ -105,6 +120,12 @@ def language_id(spark, d):
         "doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op8_license_scan", sql=licenses.oracle())
+def license_scan(spark, d):
+    """The licences that all documents name."""
+    return licenses.scan(table(spark, d, "documents").select("doc_id", "text"))
+
+
 @query("op9_jaccard_join")
 def jaccard_join(spark, d):
     """All documents joined on five-word shingle sets at a similarity of 0.8: class, links, kept row."""

@@ -108,10 +108,11 @@ def _pieces(texts: list[str | None]):
 class Words:
     """The words of several texts: ``hash``; ``start`` and ``end`` (characters in the text); text ``i``
     has the words ``off[i]`` to ``off[i + 1]``. With ``kinds``: ``number`` (starts with a digit) and
-    ``name`` (starts with a capital, and no sentence or line starts there)."""
+    ``name`` (a capital and a small letter begin it, and no sentence or line starts there). ``prefix``:
+    for each asked length the hashes of the words' beginnings (of the word, where that is shorter)."""
 
-    def __init__(self, texts: list[str | None], kinds: bool = False):
-        out: dict[str, list[np.ndarray]] = {k: [] for k in ("hash", "start", "end", "text", "number", "name")}
+    def __init__(self, texts: list[str | None], kinds: bool = False, prefixes: tuple[int, ...] = ()):
+        out: dict[str, list[np.ndarray]] = {k: [] for k in ("hash", "start", "end", "text", "number", "name", *prefixes)}
         for joined, parts in _pieces(texts):
             codes = code_points(joined)
             low, word = fold(codes)
@@ -121,6 +122,8 @@ class Words:
             part = np.searchsorted(begins, start, side="right") - 1
             shift = np.array([p[1] - p[2] for p in parts], dtype=np.int64)[part] if len(start) else start
             out["hash"].append(_span_hashes(low, start, end))
+            for p in prefixes:
+                out[p].append(_span_hashes(low, start, np.minimum(end, start + p)))
             out["start"].append(start + shift)
             out["end"].append(end + shift)
             out["text"].append(np.array([p[0] for p in parts], dtype=np.int64)[part] if len(start) else start)
@@ -129,11 +132,14 @@ class Words:
                 out["number"].append((first >= 48) & (first <= 57))
                 stops = np.cumsum(np.isin(codes, _STOPS))
                 before = np.concatenate(([1], (stops[start[1:]] - stops[end[:-1] - 1]) > 0)).astype(bool)
-                out["name"].append((low[start] != first) & ~before & (np.diff(part, prepend=-1) == 0))
+                second = np.minimum(start + 1, len(codes) - 1)
+                title = (low[start] != first) & (end - start > 1) & (low[second] == codes[second])
+                out["name"].append(title & ~before & (np.diff(part, prepend=-1) == 0))
         join = {k: np.concatenate(v) if v else np.empty(0, dtype=np.int64) for k, v in out.items()}
         self.hash = join["hash"].astype(np.uint64)
         self.start, self.end = join["start"], join["end"]
         self.number, self.name = join["number"].astype(bool), join["name"].astype(bool)
+        self.prefix = {p: join[p].astype(np.uint64) for p in prefixes}
         self.off = np.searchsorted(join["text"], np.arange(len(texts) + 1))
 
 
