@@ -8,11 +8,11 @@ l and r, cut at WIDTH - 1 places from c), so a text of n shingles has about 2n /
 
 1. Windows of ``HASHES`` functions are emitted with the hash of their minimum as key.
 2. Keys that occur in two documents survive. A key may join passages that only share a phrase, so its
-   windows are split by the min-hash of the 23 shingles left, and again of those right of c (one of both
-   lies inside any shared passage). The smallest (document, place) of each part is its owner, and the
+   windows are split by the min-hash of the 23 shingles left, again of those right of c (one of both lies
+   inside any shared passage), and again by both. The smallest (document, place) of each part is its owner, and the
    other windows are matched with the owner: m windows give m - 1 matches, never all pairs. Frequent
-   keys, found on a sample, are salted on their way to the count and get their owners by a sum and a
-   join; a frequent key that the sample misses is only less evenly dealt.
+   keys, found on a sample, are salted; the owners that each salt has are then matched with the first of
+   them. A frequent key that the sample misses is only less evenly dealt.
 3. Interval join: the matches of a document with an owner document whose windows overlap at about the
    same distance form a run. Runs are candidates where ``ENOUGH`` hash functions give matches, with
    whatever owners.
@@ -36,8 +36,9 @@ WIDTH = WORDS - SHINGLE + 1
 HALF = WIDTH // 2
 HASHES, ENOUGH = 4, 2
 CHUNK = 64
-SAMPLE, HOT_IN_SAMPLE, MAX_HOT, SALTS = 32, 16, 10_000, 32
+SAMPLE, LEAST_HOT, HOT_SHARE, MAX_HOT, SALTS = 32, 16, 64, 10_000, 32  # keys in 1/64 of the sampled documents are hot
 NO_ID = -(1 << 63)
+SIDES = ("l", "r", "b")  # left, right, both
 
 _SEEDS = mix(np.arange(101, 102 + HASHES, dtype=np.uint64))
 _LOW = np.uint64((1 << 24) - 1)
@@ -102,8 +103,9 @@ def _windows(docs: DataFrame) -> DataFrame:
 
 def _matches(docs: DataFrame) -> DataFrame:
     """doc, place, odoc, oplace: windows and their owners in another document."""
-    sample = _windows(docs.where(F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(SAMPLE)) == 0))
-    hot = (sample.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_IN_SAMPLE)
+    sample = docs.where(F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(SAMPLE)) == 0)
+    often = max(LEAST_HOT, sample.select("doc").count() // HOT_SHARE)
+    hot = (_windows(sample).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= often)
            .orderBy(F.desc("n"), "key").limit(MAX_HOT).select("key", F.lit(SALTS).alias("salts")))
     salt = F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc"), F.lit(SALTS)) + 1)
     group = Window.partitionBy("key", "salt")
@@ -111,26 +113,24 @@ def _matches(docs: DataFrame) -> DataFrame:
             .withColumn("salt", salt).drop("salts")
             .withColumn("least", F.min("doc").over(group)).withColumn("most", F.max("doc").over(group))
             .where("least < most or salt > 0")
-            .withColumn("l", F.shiftrightunsigned("around", 32)).withColumn("r", F.col("around").bitwiseAND((1 << 32) - 1)))
-    for side in ("l", "r"):
+            .withColumn("l", F.shiftrightunsigned("around", 32)).withColumn("r", F.col("around").bitwiseAND((1 << 32) - 1))
+            .withColumn("b", F.when((F.col("l") != 0) & (F.col("r") != 0), F.col("around")).otherwise(0)))
+    for side in SIDES:
         alike = Window.partitionBy("key", "salt", side)
         owner = F.min(F.struct("doc", "place")).over(alike)
         seen = seen.withColumn(f"o{side}", F.when(F.col(side) != 0, owner))
-    foreign = F.filter(F.array("ol", "or"), lambda o: o["doc"] != F.col("doc"))
-    seen = write_scratch(
-        seen.select("key", "doc", "place", "l", "r", (F.col("salt") > 0).alias("hot"), foreign.alias("owners"))
-        .where("hot or size(owners) > 0")
-        .withColumn("owners", F.when(~F.col("hot"), F.array_distinct("owners")))
-        .withColumns({c: F.when(F.col("hot"), F.col(c)) for c in ("key", "l", "r")}), "windows")
-    near = seen.where("not hot").select("doc", "place", F.explode("owners").alias("o")).select(
+    foreign = F.array_distinct(F.filter(F.array(*[f"o{x}" for x in SIDES]), lambda o: o["doc"] != F.col("doc")))
+    # of a salted key, each salt has owners of its own; these alone meet over all salts
+    heads = [F.when((F.col("salt") > 0) & (F.col(f"o{x}.doc") == F.col("doc")) & (F.col(f"o{x}.place") == F.col("place")),
+                    F.xxhash64("key", x, F.lit(x))) for x in SIDES]
+    seen = write_scratch(seen.select("doc", "place", foreign.alias("owners"), F.array_compact(F.array(*heads)).alias("heads"))
+                         .where("size(owners) > 0 or size(heads) > 0"), "windows")
+    near = seen.select("doc", "place", F.explode("owners").alias("o")).select(
         "doc", "place", F.col("o.doc").alias("odoc"), F.col("o.place").alias("oplace"))
-    sides = F.array(*[F.struct(F.col(x).alias("ctx"), F.lit(x).alias("side")) for x in ("l", "r")])
-    split = (seen.where("hot").select("key", "doc", "place", F.explode(sides).alias("s")).where("s.ctx != 0")
-             .select(F.xxhash64("key", "s.ctx", "s.side").alias("sub"), "doc", "place"))
-    owners = (split.groupBy("sub").agg(F.min(F.struct("doc", "place")).alias("m"), F.max("doc").alias("most"))
-              .where("m.doc < most").select("sub", F.col("m.doc").alias("odoc"), F.col("m.place").alias("oplace")))
-    far = split.join(owners, "sub").select("doc", "place", "odoc", "oplace").where("doc != odoc")
-    return near.unionAll(far)
+    met = seen.select("doc", "place", F.explode("heads").alias("head"))  # SALTS rows of a head at most
+    owners = (met.groupBy("head").agg(F.min(F.struct("doc", "place")).alias("m"), F.max("doc").alias("most"))
+              .where("m.doc < most").select("head", F.col("m.doc").alias("odoc"), F.col("m.place").alias("oplace")))
+    return near.unionAll(met.join(owners, "head").select("doc", "place", "odoc", "oplace").where("doc != odoc"))
 
 
 def _supported(start: np.ndarray, end: np.ndarray, j: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -162,6 +162,8 @@ def _runs(batches):
             keep = _supported(start, end, j, at)
             lo, hi = np.minimum.reduceat(start, at)[keep], np.maximum.reduceat(end, at)[keep]
             olo, ohi = np.minimum.reduceat(start - shift, at)[keep], np.maximum.reduceat(end - shift, at)[keep]
+            # windows of one passage may have several owners, so look beyond those of this one
+            lo, hi, olo, ohi = np.maximum(lo - WIDTH, 0), hi + WIDTH, np.maximum(olo - WIDTH, 0), ohi + WIDTH
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(lo), doc, dtype=np.int64)), pa.array(odoc[at][keep]), *map(pa.array, (lo, hi, olo, ohi))],
                 names=["doc", "odoc", "lo", "hi", "olo", "ohi"])
@@ -295,7 +297,7 @@ def _cut(batches):
     for batch in batches:
         for b in text_batches(batch):
             texts = b.column("text").to_pylist()
-            for i, spans in enumerate(b.column("spans").to_pylist()):
+            for i, spans in enumerate(b.column("__spans").to_pylist()):
                 if spans:
                     words = Words([texts[i]])
                     gone = np.zeros(len(words.hash) + 1, dtype=bool)
@@ -307,20 +309,21 @@ def _cut(batches):
                         kept.append(texts[i][at:words.start[x]])
                         at = words.end[y - 1]
                     texts[i] = "".join(kept) + texts[i][at:]
-            names = [n for n in b.schema.names if n not in ("text", "spans")]
+            names = [n for n in b.schema.names if n not in ("text", "__spans")]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())] + [b.column(n) for n in names], names=["text", *names])
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``docs`` without the words of ``passages``: the copy in the document of the smallest id stays.
     ``n_chars``, if there, follows; documents that lose all their words go."""
-    spans = passages.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
-    key = F.xxhash64("text")
-    joined = docs.join(spans.withColumnRenamed("doc_id", "id"),
-                       docs["doc_id"].cast("long").eqNullSafe(F.col("id")) & (key == F.col("text_key")), "left").drop("id", "text_key")
-    cut = joined.where("spans is not null")
+    spans = passages.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
+        F.collect_list(F.struct("start_word", "end_word")).alias("__spans"))  # a document's passages
+    of_doc = docs["doc_id"].cast("long").eqNullSafe(spans["__id"]) & (F.xxhash64(docs["text"]) == spans["__key"])
+    joined = docs.join(spans, of_doc, "left").drop("__id", "__key")
     schema = "text string, " + ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "text")
-    cut = cut.mapInArrow(_cut, schema).where(F.col("text").rlike(r"[\p{L}\p{N}_]"))
+    cut = (joined.where("__spans is not null").mapInArrow(_cut, schema)
+           .where(F.col("text").rlike(r"[\p{L}\p{N}_]")))  # nothing else is left of some
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.where("spans is null").select(docs.columns).unionByName(cut.select(docs.columns))
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    return joined.where("__spans is null").select(names).unionByName(cut.select(names))

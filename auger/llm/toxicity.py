@@ -21,7 +21,7 @@ from auger.llm.words import Words, mix, repeats_by_text, text_batches
 from auger.session import write_scratch
 
 PREFIXES = (4, 5, 6)
-MAX_ROWS, MAX_FEATURES = 20_000, 20_000
+MAX_ROWS, MAX_FEATURES, L1 = 10_000, 20_000, 4e-4
 
 
 def text_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,18 +44,29 @@ class Model:
 
 
 def fit_ordinal(index: np.ndarray, off: np.ndarray, grade: np.ndarray, n_features: int, n_grades: int,
-                l1: float = 2e-4, steps: int = 300, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by proximal AdaGrad on the mean log loss plus ``l1`` times the sum of absolute
-    weights. Row i has the features ``index[off[i]:off[i + 1]]``, each with value 1."""
+                l1: float = L1, steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds that minimise the mean log loss plus ``l1`` times the sum of absolute weights,
+    by accelerated proximal gradient steps scaled by the features' frequencies. Row i has the features
+    ``index[off[i]:off[i + 1]]``, each with value 1."""
     n = len(grade)
     row = np.repeat(np.arange(n), np.diff(off))
+    scale = np.maximum(np.bincount(index, minlength=n_features), 1) / n
+    v = np.ones(n_features)  # largest eigenvalue of the scaled second moments, by power iteration
+    for _ in range(20):
+        v = np.bincount(index, weights=np.bincount(row, weights=(v / np.sqrt(scale))[index], minlength=n)[row],
+                        minlength=n_features) / np.sqrt(scale) / n
+        size = np.sqrt((v * v).sum()) or 1.0
+        v = v / size
+    step = 1 / (0.5 * max(size, 1.0) * scale)  # the loss bends by a half at most along x.w
+
     share = np.clip(np.array([(grade <= k).mean() for k in range(n_grades - 1)]), 1e-4, 1 - 1e-4)
     start = np.log(share / (1 - share))
     free = np.concatenate((start[:1], np.log(np.maximum(np.diff(start), 1e-2))))  # first threshold, log gaps
-    w, seen_w, seen_t = np.zeros(n_features), np.full(n_features, 1e-12), np.full(len(free), 1e-12)
+    w = np.zeros(n_features)
+    y_w, y_free, t = w, free, 1.0
     for _ in range(steps):
-        theta = np.concatenate((free[:1], free[0] + np.cumsum(np.exp(free[1:]))))
-        eta = np.bincount(row, weights=w[index], minlength=n)
+        theta = np.concatenate((y_free[:1], y_free[0] + np.cumsum(np.exp(y_free[1:]))))
+        eta = np.bincount(row, weights=y_w[index], minlength=n)
         edge = 1 / (1 + np.exp(-np.clip(theta[None, :] - eta[:, None], -40, 40)))
         edge = np.concatenate((np.zeros((n, 1)), edge, np.ones((n, 1))), axis=1)
         low, high = edge[np.arange(n), grade], edge[np.arange(n), grade + 1]
@@ -63,17 +74,17 @@ def fit_ordinal(index: np.ndarray, off: np.ndarray, grade: np.ndarray, n_feature
         d_low, d_high = low * (1 - low) / p, high * (1 - high) / p  # of the log likelihood, by the thresholds around it
         g_w = np.bincount(index, weights=(d_high - d_low)[row], minlength=n_features) / n
         g_theta = np.array([(d_low * (grade == k + 1)).sum() - (d_high * (grade == k)).sum() for k in range(n_grades - 1)]) / n
-        g_free = np.concatenate(([g_theta.sum()], [g_theta[k:].sum() * np.exp(free[k]) for k in range(1, len(free))]))
-        seen_w += g_w ** 2
-        seen_t += g_free ** 2
-        step = rate / np.sqrt(seen_w)
-        w = w - step * g_w
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-        free = free - rate / np.sqrt(seen_t) * g_free
+        g_free = np.concatenate(([g_theta.sum()], [g_theta[k:].sum() * np.exp(y_free[k]) for k in range(1, len(free))]))
+        new = y_w - step * g_w
+        new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
+        new_free = y_free - g_free
+        faster = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        y_w, y_free = new + (t - 1) / faster * (new - w), new_free + (t - 1) / faster * (new_free - free)
+        w, free, t = new, new_free, faster
     return w, np.concatenate((free[:1], free[0] + np.cumsum(np.exp(free[1:]))))
 
 
-def fit(docs: DataFrame, grades: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, l1: float = 2e-4) -> Model:
+def fit(docs: DataFrame, grades: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, l1: float = L1) -> Model:
     """``docs``: doc_id, text; ``grades``: doc_id, grade (0, 1, ...; null: not labelled). The sample are the
     labelled rows with the smallest hashes of their id, about ``max_rows``. Without rows of two grades
     at least the model gives grade 0 to all."""
