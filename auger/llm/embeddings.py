@@ -32,7 +32,7 @@ from auger.llm.jaccard import _stars
 from auger.session import write_scratch
 
 BLOCK, MAX_CENTRES = 2048, 4096
-SLACK = 1e-9
+SLACK = 1e-7  # of distances: roots of differences near zero keep half the digits of a double
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -128,9 +128,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         F.replace(a["left"], r["key"], F.lit("")).alias("left"),
         F.when(F.contains(a["left"], r["key"]), F.array_union(a["names"], F.array(r["name"]))).otherwise(a["names"]).alias("names")))
     names = [c for c in rows.columns if c != "sentence_ids"]
-    return rows.withColumn("m", match).select(
+    return rows.withColumn("__match", match).select(
         *[F.col(f"`{c}`") for c in names], F.concat_ws(" ", "sentence_ids").alias("sentence_ids"),
-        F.concat_ws(" ", "m.names").alias("licenses"), F.trim(F.regexp_replace("m.left", r"\|+", " ")).alias("unmatched"))
+        F.concat_ws(" ", "__match.names").alias("licenses"), F.trim(F.regexp_replace("__match.left", r"\|+", " ")).alias("unmatched"))
 
 
 def oracle() -> str:
