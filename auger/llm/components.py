@@ -43,5 +43,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     found = write_scratch(found, "found")
     for step in steps:
         drop_scratch(step)
-    smallest = found.groupBy("to").agg(F.min("id").alias("component"))
+    # written, so that both sides of the join are plain shuffles, which Spark splits where a component is large
+    smallest = write_scratch(found.groupBy("to").agg(F.min("id").alias("component")), "smallest")
     return found.join(smallest, "to").select("id", "component")

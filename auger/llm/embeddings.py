@@ -305,5 +305,6 @@ def near_duplicates(vectors: DataFrame, threshold: float, vec_id: str = "vec_id"
     rows = base.select("row", "vec_id", "usable", F.when(F.col("usable"), F.col("label")).alias("label"), "s1", "s2")
     placed = write_scratch(rows.join(heads, ["label", "s1", "s2"], "left")
                            .select("row", "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class", "row").alias("class")), "placed")
-    least = placed.groupBy("class").agg(F.min("vec_id").alias("component_id"))
+    # written, so that both sides of the join are plain shuffles, which Spark splits where a class is large
+    least = write_scratch(placed.groupBy("class").agg(F.min("vec_id").alias("component_id")), "least")
     return placed.join(least, "class").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

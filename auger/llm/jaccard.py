@@ -279,6 +279,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
         base.select("row", "doc_id", "text_key", "s1", "s2", "n").join(heads, ["s1", "s2", "n"], "left")
         .select("row", "doc_id", "text_key", F.coalesce("n_links", F.lit(0)).alias("n_links"),
                 F.coalesce("class", F.col("row")).alias("class")), "placed")
-    first = placed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("m"))
+    # written, so that both sides of the join below are plain shuffles, which Spark splits where a class is large
+    first = write_scratch(placed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("m")), "first")
     return (placed.join(first, "class")
             .select("doc_id", "text_key", F.col("m.doc_id").alias("class_id"), "n_links", (F.col("row") == F.col("m.row")).alias("kept")))
