@@ -40,8 +40,10 @@ def cmd_train(spark, args) -> int:
             "label", "prediction", *[c for c in rep["predictions"].columns if c[:1] == "p" and c[1:].isdigit()]),
             f"{args.out}/predictions")
         rep["confusion"].write.mode("overwrite").json(f"{args.out}/confusion")
-        if "pipeline" in rep:
-            save_model(rep["pipeline"], f"{args.out}/model")
+        if "pipeline" not in rep:
+            print(f"{args.algorithm}: this learner's model has no writer; nothing was saved to score with", file=sys.stderr)
+            return 3
+        save_model(rep["pipeline"], f"{args.out}/model")
     return 0
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.ml.feature import HashingTF, Normalizer, StandardScaler, UnivariateFeatureSelector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -71,14 +71,18 @@ def chi_square_scores(df: DataFrame, features: Iterable[str], label: str) -> Dat
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("v")) for f in feats
     ])).alias("kv")).select("kv.feature", "kv.v", "_c")
     cells = long.groupBy("feature", "v", "_c").agg(F.count(F.lit(1)).alias("n"))
-    # margins by windows over the (small, domain-sized) cell table: one scan of the input
-    wf = Window.partitionBy("feature")
-    j = (cells.withColumn("nv", F.sum("n").over(Window.partitionBy("feature", "v")))
-         .withColumn("nc", F.sum("n").over(Window.partitionBy("feature", "_c")))
-         .withColumn("n_all", F.sum("n").over(wf))
-         .withColumn("kv", F.size(F.collect_set("v").over(wf)))
-         .withColumn("kc", F.size(F.collect_set("_c").over(wf))))
-    return (j.groupBy("feature")
-            .agg((F.sum(F.col("n") * F.col("n") * F.col("n_all") / (F.col("nv") * F.col("nc"))) - F.first("n_all"))
-                 .alias("statistic"),
-                 ((F.first("kv") - 1) * (F.first("kc") - 1)).cast("long").alias("dof")))
+    # margins and totals by nested sums over the cells; counts as doubles, whose products do not overflow
+    cells = cells.withColumn("n", F.col("n").cast("double"))
+    by_v = cells.groupBy("feature", "v").agg(F.sum("n").alias("nv"))
+    by_c = cells.groupBy("feature", "_c").agg(F.sum("n").alias("nc"))
+    levels = (by_v.groupBy("feature").agg(F.sum("nv").alias("n_all"), F.count("v").alias("kv"))
+              .join(by_c.groupBy("feature").agg(F.count("_c").alias("kc")), "feature"))
+    def with_margin(left: DataFrame, margin: DataFrame, on: str) -> DataFrame:
+        other = margin.withColumnsRenamed({"feature": "_f", on: "_k"})  # null is a level of its own
+        return left.join(other, (F.col("feature") == F.col("_f")) & F.col(on).eqNullSafe(F.col("_k"))).drop("_f", "_k")
+
+    j = with_margin(with_margin(cells, by_v, "v"), by_c, "_c")
+    terms = j.groupBy("feature").agg(F.sum(F.col("n") / F.col("nv") * (F.col("n") / F.col("nc"))).alias("s"))
+    return terms.join(levels, "feature").select(
+        "feature", (F.col("s") * F.col("n_all") - F.col("n_all")).alias("statistic"),
+        ((F.col("kv") - 1) * (F.col("kc") - 1)).cast("long").alias("dof"))

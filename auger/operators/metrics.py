@@ -7,7 +7,7 @@ raw rows nor all scores ever meet in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auger.operators.running import running_totals
@@ -44,9 +44,11 @@ def confusion(scored: DataFrame, prediction: str = "prediction", label: str = "l
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def confusion_wide(scored: DataFrame, prediction: str = "prediction", label: str = "label") -> DataFrame:
-    """E3, printed form: one row per label, one column per predicted class."""
-    return scored.groupBy(label).pivot(prediction).agg(F.count(F.lit(1))).na.fill(0)
+def confusion_wide(scored: DataFrame, prediction: str = "prediction", label: str = "label",
+                   classes: list | None = None) -> DataFrame:
+    """E3, printed form: one row per label, one column per predicted class. ``classes`` (the model's
+    own list) names the columns; without it the distinct predictions are looked up first."""
+    return scored.groupBy(label).pivot(prediction, classes).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def accuracy(scored: DataFrame, prediction: str = "prediction", label: str = "label") -> DataFrame:
@@ -55,7 +57,8 @@ def accuracy(scored: DataFrame, prediction: str = "prediction", label: str = "la
 
 
 def _score_table(scored: DataFrame, score: str, label: str, positive: float) -> DataFrame:
-    return (scored.groupBy(F.col(score).cast("double").alias("p"))
+    # rows without a score have no place in a ranking: they are left out of it as a whole
+    return (scored.where(F.col(score).cast("double").isNotNull()).groupBy(F.col(score).cast("double").alias("p"))
             .agg(F.count(F.lit(1)).alias("cnt"),
                  F.sum(F.when(F.col(label) == F.lit(positive), 1).otherwise(0)).alias("pos")))
 
@@ -70,23 +73,29 @@ def auc(scored: DataFrame | None = None, score: str = "p1", label: str = "label"
         table: DataFrame | None = None) -> DataFrame:
     """E5: area under ROC, tie-aware (rank-sum with mid ranks), exact.
 
-    AUC = (sum over positives of rank - np(np+1)/2) / (np * nn).
+    AUC = (sum over positives of rank - np(np+1)/2) / (np * nn). Rows with a null score are left out;
+    :func:`unscored` counts them.
     """
     g = table if table is not None else score_table(scored, score, label, positive)
     run = running_totals(g, "p", ["cnt"])
     res = run.agg(
         F.sum(F.col("pos") * (F.col("cnt_run") - F.col("cnt") + (F.col("cnt") + 1) / 2.0)).alias("rs"),
-        F.sum("pos").alias("np"), (F.sum("cnt") - F.sum("pos")).alias("nn"))
+        F.sum("pos").cast("double").alias("np"), (F.sum("cnt") - F.sum("pos")).cast("double").alias("nn"))
     # null (not an error) when one class is absent
     return res.select(F.try_divide(F.col("rs") - F.col("np") * (F.col("np") + 1) / 2.0,
                                    F.col("np") * F.col("nn")).alias("auc"))
 
 
+def unscored(scored: DataFrame, score: str = "p1") -> DataFrame:
+    """``n_unscored, n_rows``: the rows that rank metrics leave out, and all rows."""
+    return scored.agg(F.count(F.when(F.col(score).cast("double").isNull(), 1)).alias("n_unscored"), F.count(F.lit(1)).alias("n_rows"))
+
+
 def threshold_sweep(scored: DataFrame | None = None, score: str = "p1", label: str = "label",
                     positive: float = 1.0, table: DataFrame | None = None) -> DataFrame:
     """For every distinct score ``thr``, predict positive when score >= thr:
     ``thr, tp, fp, fn, tn, f1, accuracy, precision, tpr, fpr`` (``fpr, tpr`` are the ROC curve).
-    One row per distinct score."""
+    One row per distinct score; rows with a null score are left out (:func:`unscored`)."""
     g = table if table is not None else score_table(scored, score, label, positive)
     run = running_totals(g, "p", ["cnt", "pos"], descending=True)
     pp, tp, np_, tot = F.col("cnt_run"), F.col("pos_run"), F.col("pos_total"), F.col("cnt_total")
@@ -121,9 +130,9 @@ def summary(scored: DataFrame, prediction: str = "prediction", label: str = "lab
 
 
 def class_priors(df: DataFrame, label: str = "label") -> DataFrame:
-    """``(label, n, prior)``; the total comes from the same small grouped table."""
+    """``(label, n, prior)``; the total is a scalar subquery over the grouped table."""
     g = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("prior", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return g.withColumn("prior", F.col("n") / g.agg(F.sum("n")).scalar())
 
 
 def glm_validation(scored: DataFrame, prob: str = "p1", label: str = "label", n_params: int = 1) -> DataFrame:

@@ -343,7 +343,7 @@ def local_outlier_factor(knn: DataFrame) -> DataFrame:
     """``(i, lof)`` from a k-nearest-neighbour table ``(i, j, d)``: three equi-joins, no pairs.
 
     A point whose reach distances are all zero (exact copies) has infinite density; its factor
-    is defined as 1.
+    is defined as 1. A point of finite density with such a neighbour has an infinite factor.
     """
     knn = knn.select("i", "j", "d").transform(materialize)  # read three times below
     kd = knn.groupBy("i").agg(F.max("d").alias("kd"))
@@ -356,12 +356,12 @@ def local_outlier_factor(knn: DataFrame) -> DataFrame:
                               F.count(F.lit(1)).alias("n_all"))
     out = agg.join(lrd, "i")
     return out.select("i", F.when(F.col("lrd").isNull(), F.lit(1.0))
-                      .when(F.col("n_fin") < F.col("n_all"), F.lit(None))
+                      .when(F.col("n_fin") < F.col("n_all"), F.lit(float("inf")))
                       .otherwise(F.col("avg_lrd_j") / F.col("lrd")).alias("lof"))
 
 
 def top_outliers(df: DataFrame, id_col: str, vec_col: str, k: int = 10, n: int = 5, **kw) -> DataFrame:
-    """The ``n`` rows with the highest local outlier factor (a top-n report)."""
+    """The ``n`` rows with the highest local outlier factor, infinite ones first (a top-n report)."""
     lof = local_outlier_factor(knn_join(df, id_col, vec_col, k, **kw))
-    return (lof.where(F.col("lof").isNotNull()).orderBy(F.col("lof").desc(), F.col("i"))
+    return (lof.orderBy(F.col("lof").desc(), F.col("i"))
             .limit(n).select(F.col("i").alias(id_col), "lof"))

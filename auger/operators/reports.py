@@ -14,7 +14,7 @@ from auger.functions.cleaning import report_table  # noqa: F401  (B14/B15, re-ex
 def select_rows(df: DataFrame, picks: DataFrame, key: str, json_col: str = "json") -> DataFrame:
     """Rows whose ``key`` occurs in ``picks`` (a left-semi join: no duplicates, no pick
     columns), with the row as JSON next to its key."""
-    chosen = df.join(picks.select(key).distinct(), key, "left_semi")
+    chosen = df.join(picks.select(key), key, "left_semi")
     return chosen.select(F.col(key), F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias(json_col))
 
 

@@ -21,12 +21,14 @@ MAX_BUCKETS = 4096
 
 
 def running_totals(df: DataFrame, order_col: str, value_cols: Iterable[str], descending: bool = False,
-                   n_buckets: int | None = None, suffix: str = "_run", total_suffix: str = "_total") -> DataFrame:
+                   n_buckets: int | None = None, suffix: str = "_run", total_suffix: str = "_total",
+                   by: Iterable[str] = ()) -> DataFrame:
     """Add ``<v>_run`` (inclusive running sum in ``order_col`` order) and ``<v>_total`` per value column.
 
-    ``order_col`` must be unique per row (aggregate by it first); it is compared as double.
+    ``order_col`` must be unique per row (aggregate by it first) and not null; it is compared as double.
+    With ``by`` (columns without nulls) the sums run within each group; the buckets are those of all rows.
     """
-    vals = list(value_cols)
+    vals, by = list(value_cols), list(by)
     spark = df.sparkSession
     nb = n_buckets or min(MAX_BUCKETS, max(8, 4 * shuffle_partitions(spark)))
     key = "_rk"
@@ -41,14 +43,16 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Iterable[str], des
         bucketed = Bucketizer(splits=splits, inputCol=key, outputCol="_bk",
                               handleInvalid="keep").transform(keyed)
     # one row per bucket: sizes bounded by the boundary list, so the broadcast is bounded
-    per_bucket = bucketed.groupBy("_bk").agg(*[F.sum(v).alias(f"_b_{v}") for v in vals])
-    wall = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    wpre = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = bucketed.groupBy(*by, "_bk").agg(*[F.sum(v).alias(f"_b_{v}") for v in vals])
+    group = Window.partitionBy(*by).orderBy("_bk")  # one row per bucket
+    wall = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    wpre = group.rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        "_bk",
+        *by, "_bk",
         *[F.coalesce(F.sum(f"_b_{v}").over(wpre), F.lit(0)).alias(f"_o_{v}") for v in vals],
         *[F.sum(f"_b_{v}").over(wall).alias(v + total_suffix) for v in vals])
-    wb = Window.partitionBy("_bk").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = (bucketed.join(F.broadcast(offsets), "_bk")
+    wb = Window.partitionBy(*by, "_bk").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the offsets are bounded by the boundary list, unless there are groups: then Spark plans the join
+    out = (bucketed.join(offsets if by else F.broadcast(offsets), [*by, "_bk"])
            .withColumns({v + suffix: F.col(f"_o_{v}") + F.sum(v).over(wb) for v in vals}))
     return out.drop("_bk", key, *[f"_o_{v}" for v in vals])

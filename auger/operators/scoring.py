@@ -41,7 +41,7 @@ def importances(spark: SparkSession, model, names: list[str] | None = None) -> D
 def describe(spark: SparkSession, model, names: list[str] | None = None) -> DataFrame:
     """the model as text (trees) or as a coefficient table (linear models)."""
     if hasattr(model, "coefficients"):
-        coef = model.coefficients.toArray().tolist()
+        coef = [float(c) for c in getattr(model.coefficients, "toArray", lambda: model.coefficients)()]
         names = names or [f"f{i}" for i in range(len(coef))]
         rows = [(n, float(c)) for n, c in zip(names, coef)]
         if hasattr(model, "intercept"):

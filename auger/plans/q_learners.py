@@ -8,7 +8,7 @@ and ``tests/`` checks that they beat the majority class where the data carries s
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auger.functions.cleaning import wall_clock_hour
@@ -20,6 +20,7 @@ from auger.operators.learners.bayes import naive_bayes_fit
 from auger.operators.learners.boosting import fit_boosting
 from auger.operators.learners.sgd import sgd_linear, sgd_linear_vector, sgd_oracle_sql, vector_features
 from auger.operators.reports import rule_table
+from auger.operators.running import running_totals
 from auger.plans.catalog import query, table
 from auger.session import materialize
 
@@ -93,7 +94,11 @@ def flagship_confusion(spark, d):
 
 
 @query("confusion_wide", "E3", sql=NB_SCORED_SQL + """
-pivot (select event_type as label, prediction from scored) on prediction using count(*) group by label
+select event_type as label,
+       count(*) filter (where prediction = 'click') as click, count(*) filter (where prediction = 'error') as error,
+       count(*) filter (where prediction = 'purchase') as purchase, count(*) filter (where prediction = 'signup') as signup,
+       count(*) filter (where prediction = 'view') as view
+from scored group by event_type
 """)
 def confusion_wide_q(spark, d):
     """E3 in its printed form: one row per true class, one column per predicted class."""
@@ -101,7 +106,7 @@ def confusion_wide_q(spark, d):
     ev = _event_features(spark, d)
     m = naive_bayes_fit(ev.where(F.col("_b") < 8), _NB_FEATS, "event_type")
     sc = m.transform(ev.where(F.col("_b") >= 8)).withColumnRenamed("event_type", "label")
-    return confusion_wide(sc, "prediction", "label")
+    return confusion_wide(sc, "prediction", "label", m.labels)
 
 
 _SGD_TABLE = (f"select (case when event_type = 'purchase' then 1.0 else 0.0 end)::double as y, "
@@ -155,8 +160,7 @@ from (select *, row_number() over (partition by feature order by round(gini, 12)
 def first_split_gini_q(spark, d):
     """Best first split per (binned) feature by weighted gini; one pass + per-feature windows.
 
-    Class counts are pivoted (the class list is the label domain, checked small), then running
-    sums over each feature's distinct values give the left side of every threshold.
+    Running sums over each feature's distinct values give the left side of every threshold.
     """
     ev0 = table(spark, d, "events")
     ev = ev0.select(
@@ -167,59 +171,52 @@ def first_split_gini_q(spark, d):
     return first_split_table(ev, list(_GINI_FEATS), "c")
 
 
-def first_split_table(df: DataFrame, features: list[str], label: str, max_classes: int = 1000,
-                      max_bins: int = 256) -> DataFrame:
-    """Weighted gini of every candidate first split ``x <= t``, best per feature.
-
-    A feature with more than ``max_bins`` distinct values is first cut at approximate quantiles
-    (each value replaced by its bin's upper edge), as histogram trees do, so every per-feature
-    window holds at most ``max_bins`` rows."""
-    df = _bin_wide_features(df, features, max_bins)
-    classes = [r[0] for r in df.select(label).distinct().limit(max_classes + 1).collect()]
-    if len(classes) > max_classes:
-        raise ValueError("label domain too large for a gini table")
-    classes = sorted(classes)
-    long = df.select(F.col(label).alias("_c"), F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features
-    ])).alias("kv")).select("kv.feature", "kv.v", "_c")
-    wide = long.groupBy("feature", "v").pivot("_c", classes).agg(F.count(F.lit(1))).na.fill(0)
-    cc = [f"`{c}`" for c in classes]
-    w = Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wall = Window.partitionBy("feature")
-    run = wide.select("feature", "v",
-                      *[F.sum(F.col(c)).over(w).alias(f"_l{i}") for i, c in enumerate(cc)],
-                      *[F.sum(F.col(c)).over(wall).alias(f"_t{i}") for i, c in enumerate(cc)])
-    k = len(classes)
-    nl = sum((F.col(f"_l{i}") for i in range(k)), F.lit(0)).cast("long")
-    nall = sum((F.col(f"_t{i}") for i in range(k)), F.lit(0)).cast("long")
-    nr = nall - nl
-    sl2 = sum((F.col(f"_l{i}") * F.col(f"_l{i}") for i in range(k)), F.lit(0)).cast("long")
-    sr2 = sum(((F.col(f"_t{i}") - F.col(f"_l{i}")) * (F.col(f"_t{i}") - F.col(f"_l{i}")) for i in range(k)),
-              F.lit(0)).cast("long")
-    g = (run.select("feature", F.col("v").alias("threshold"), nl.alias("n_left"), nr.alias("_nr"),
-                    (F.lit(1.0) - F.try_divide(F.try_divide(sl2, nl) + F.try_divide(sr2, nr), nall)).alias("gini"))
-         .where(F.col("_nr") > 0))
-    best = Window.partitionBy("feature").orderBy(F.round("gini", 12), "threshold")
-    return (g.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") == 1)
-            .select("feature", "threshold", F.round("gini", 10).alias("gini"), "n_left"))
-
-
-def _bin_wide_features(df: DataFrame, features: list[str], max_bins: int) -> DataFrame:
-    counts = df.agg(*[F.approx_count_distinct(f).alias(f) for f in features]).first()
-    wide = [f for f in features if counts[f] > max_bins]
-    if not wide:
-        return df
-    probs = [i / max_bins for i in range(1, max_bins)]
-    edges = df.approxQuantile(wide, probs, 1.0 / (4 * max_bins))  # max_bins numbers per feature
-    out = df
-    for f, e in zip(wide, edges):
-        ups = sorted(set(e))
-        # the bin's upper edge: the smallest edge >= x (a CASE over at most max_bins edges)
-        expr = F.lit(None).cast("double")
-        for u in reversed(ups):
-            expr = F.when(F.col(f) <= u, F.lit(float(u))).otherwise(expr)
-        out = out.withColumn(f, F.coalesce(expr, F.lit(float("inf"))))  # above the last edge
-    return out
+def first_split_table(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Weighted gini of every candidate first split ``x <= t`` at every distinct value, best per feature.
+
+    Exact whatever the number of distinct values: the class counts left of each value come from running
+    sums over range buckets, so no task holds a whole feature. Rows with a null value are below every
+    threshold and give none themselves; a null class is a class of its own."""
+    cells = df.select(F.coalesce(F.col(label).cast("string"), F.lit("\0")).alias("_c"), F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f).cast("double"), F.lit(float("-inf"))).alias("v"))
+        for f in features])).alias("kv")).groupBy("kv.feature", "kv.v", "_c").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    # the squared class counts left and right of a value change at that class's own values only; the
+    # changes are summed over the classes of a value and then run up in a second pass
+    run = running_totals(cells.transform(materialize), "v", ["n"], by=["feature", "_c"])
+    now, before, all_ = F.col("n_run"), F.col("n_run") - F.col("n"), F.col("n_total")
+    steps = run.groupBy("feature", "v").agg(
+        F.sum("n").alias("n"), F.sum(now * now - before * before).alias("l2"),
+        F.sum((all_ - now) * (all_ - now) - (all_ - before) * (all_ - before)).alias("r2"))
+    sums = running_totals(steps.transform(materialize), "v", ["n", "l2", "r2"], by=["feature"])
+    nl, nr = F.col("n_run"), F.col("n_total") - F.col("n_run")
+    right = F.col("r2_run") - F.col("r2_total")  # nothing is right of the last value
+    gini = F.lit(1.0) - (F.col("l2_run") / nl + F.try_divide(right, nr)) / F.col("n_total")
+    splits = sums.where((nr > 0) & (F.col("v") > float("-inf"))).select("feature", F.struct(
+        F.round(gini, 12).alias("order"), F.col("v").alias("threshold"), gini.alias("gini"), nl.cast("long").alias("n_left")).alias("s"))
+    best = splits.groupBy("feature").agg(F.min("s").alias("s"))
+    return best.select("feature", "s.threshold", F.round("s.gini", 10).alias("gini"), "s.n_left")
+
+
+_WIDE_SQL = """
+with f as (select l_returnflag as c, case when l_linenumber = 7 then null else l_extendedprice end as v from lineitem),
+cells as (select coalesce(v, '-infinity'::double) as v, c, count(*)::double as n from f group by all),
+classes as (select c, sum(n) as t from cells group by c),
+grid as (select d.v, k.c, k.t, coalesce(x.n, 0) as n from (select distinct v from cells) d, classes k
+         left join cells x on x.v = d.v and x.c = k.c),
+run as (select v, c, t, sum(n) over (partition by c order by v) as l from grid),
+s as (select v, sum(l) as nl, sum(t) as nn, sum(l * l) as sl2, sum((t - l) * (t - l)) as sr2 from run group by v),
+g as (select v, nl, 1.0 - (sl2 / nl + sr2 / (nn - nl)) / nn as gini from s where nn > nl and v > '-infinity'::double)
+select 'l_extendedprice' as feature, v as threshold, round(gini, 10) as gini, cast(nl as bigint) as n_left
+from g order by round(gini, 12), v limit 1
+"""
+
+
+@query("first_split_wide", "J3", sql=_WIDE_SQL)
+def first_split_wide_q(spark, d):
+    """Best first split of a feature with thousands of distinct values and nulls, without binning."""
+    li = table(spark, d, "lineitem").select(
+        "l_returnflag", F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice")).alias("l_extendedprice"))
+    return first_split_table(li, ["l_extendedprice"], "l_returnflag")
 
 
 # ---------------------------------------------------------------- documents: trained models

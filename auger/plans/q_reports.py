@@ -154,4 +154,5 @@ def outlier_patterns_q(spark, d):
             .select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
                     F.when(F.col("lof") >= cut, 1.0).otherwise(0.0).alias("label")))
     m = decision_tree(max_depth=3).fit(data)
-    return rule_table(spark, data, m, [f"e{i}" for i in range(64)], "label")
+    width = m.numFeatures
+    return rule_table(spark, data, m, [f"e{i}" for i in range(width)], "label")

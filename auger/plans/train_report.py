@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auger.operators import metrics as M
 from auger.operators.learners.registry import accepts, make
-from auger.operators.scoring import importances, score
+from auger.operators.scoring import importances, permutation_importance, score
 from auger.operators.splits import hash_split, split
 from auger.sources.config import JobConfig, LabelSpec
 from auger.session import materialize
@@ -38,29 +38,41 @@ def train_and_report(spark: SparkSession, df: DataFrame, algorithm: str, feature
         train, test = hash_split(df, key)
     else:
         train, test = split(df, 0.8, seed)
+    if algorithm.lower() == "gbm" and n_classes > 2:
+        algorithm = "gbm_newton"  # the built-in booster takes two classes only
     if accepts(algorithm, "n_classes") and "n_classes" not in settings:
         settings = {**settings, "n_classes": n_classes}
+    for name in ("n_in", "n_features"):
+        if accepts(algorithm, name) and name not in settings:
+            first = train.select(features).first()  # one row: its length is that of all
+            if first is None:
+                raise ValueError("no training rows")
+            settings = {**settings, name: len(first[0])}
     est = make(algorithm, **settings)
     model = est.fit(train)
     scored = score(model, test, n_classes)
     thr = None
-    if threshold is not None and n_classes == 2 and "p1" in scored.columns:
+    prob = f"p{int(positive)}"  # the score of the positive class, whichever index it has
+    if threshold is not None and n_classes == 2 and prob in scored.columns:
         if threshold == "max_f1":
-            best_tr = M.best_threshold(M.threshold_sweep(score(model, train, n_classes), "p1", label, positive))
+            best_tr = M.best_threshold(M.threshold_sweep(score(model, train, n_classes), prob, label, positive))
             thr = best_tr.first()["thr"]  # one row
         else:
             thr = float(threshold)
-        scored = scored.withColumn("prediction", F.when(F.col("p1") >= thr, F.lit(positive))
+        scored = scored.withColumn("prediction", F.when(F.col(prob) >= thr, F.lit(positive))
                                    .otherwise(F.lit(1.0 - positive)))
     scored = scored.transform(materialize)
-    two = n_classes == 2 and "p1" in scored.columns
+    two = n_classes == 2 and prob in scored.columns
     # one pass for the scalar metrics, one shared score table for AUC and the threshold sweep
-    parts = [_kv(M.summary(scored, "prediction", label, "p1" if two else None, positive), "error")]
+    parts = [_kv(M.summary(scored, "prediction", label, prob if two else None, positive), "error")]
     if two:
-        g = M.score_table(scored, "p1", label, positive)
+        g = M.score_table(scored, prob, label, positive)
         parts.append(_kv(M.auc(table=g), "auc"))
         best = M.best_threshold(M.threshold_sweep(table=g))
         parts.append(_kv(best.select("thr", "f1", "accuracy"), "best_threshold"))
+        if hasattr(model, "coefficients"):
+            y = F.when(F.col(label) == F.lit(positive), 1.0).otherwise(0.0)
+            parts.append(_kv(M.glm_validation(scored.withColumn("_y", y), prob, "_y", len(model.coefficients) + 1), "glm"))
     metrics = parts[0]
     for p in parts[1:]:
         metrics = metrics.unionByName(p)
@@ -68,6 +80,8 @@ def train_and_report(spark: SparkSession, df: DataFrame, algorithm: str, feature
            "model": model, "threshold": thr}
     if hasattr(model, "featureImportances"):
         out["importances"] = importances(spark, model)
+    elif algorithm.lower() in ("deep_learning", "perceptron"):
+        out["importances"] = permutation_importance(spark, model, test, features, label)
     return out
 
 
@@ -91,7 +105,11 @@ def train_from_config(spark: SparkSession, cfg: JobConfig, algorithm: str, **set
     cats = [c for c in cfg.categorical if c != resp and c not in cfg.ignored]
     nums = [c for c in raw.columns if c != resp and c not in cfg.ignored and c not in cats]
     df = encode_frame(raw.withColumns({c: clean_col(c) for c in [resp, *cats]}), nums)
-    fit_part = hash_split(df, cfg.key)[0] if cfg.key else df
+    key = cfg.key
+    if not key:  # without a key the split goes by a hash of the raw row: repeatable, and known before any fit
+        key = "_row"
+        df = df.withColumn(key, F.xxhash64(*[F.col(c).cast("string") for c in df.columns]))
+    fit_part = hash_split(df, key)[0]
     idx = index_label(fit_part, resp, "label", handle_invalid="keep")  # levels from training rows
     df = idx.transform(df)
     stages = []
@@ -100,7 +118,12 @@ def train_from_config(spark: SparkSession, cfg: JobConfig, algorithm: str, **set
                                     stringOrderType="alphabetAsc", handleInvalid="keep").fit(fit_part))
     stages.append(assembler([*nums, *[c + "_lvl" for c in cats]], "features"))
     prep = PipelineModel(stages=stages)
-    rep = train_and_report(spark, prep.transform(df), algorithm, key=cfg.key, n_classes=len(idx.labels), **settings)
+    positive = 1.0
+    if cfg.positive_label is not None:
+        if cfg.positive_label not in idx.labels:
+            raise ValueError(f"positive label {cfg.positive_label!r} not in {list(idx.labels)}")
+        positive = float(list(idx.labels).index(cfg.positive_label))
+    rep = train_and_report(spark, prep.transform(df), algorithm, key=key, n_classes=max(2, len(idx.labels)), positive=positive, **settings)
     if hasattr(rep["model"], "write"):  # a Spark ML model: one pipeline scores raw cleaned rows
         rep["pipeline"] = PipelineModel(stages=[*stages, rep["model"]])
     rep["labels"] = list(idx.labels)

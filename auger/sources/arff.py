@@ -22,9 +22,6 @@ def _arff_type(spec: str) -> T.DataType:
     return T.StringType()  # nominal {…}, string, date: kept as text
 
 
-MAX_HEADER_LINES = 100_000
-
-
 def _first_file(spark: SparkSession, path: str) -> str:
     """The file an ARFF header lives in: ``path`` itself, or the first visible part by name."""
     jvm = spark.sparkContext._jvm
@@ -39,24 +36,38 @@ def _first_file(spark: SparkSession, path: str) -> str:
     return names[0]
 
 
+def _head_lines(spark: SparkSession, path: str) -> list[str]:
+    """The lines of the first file up to and with ``@data``; ``take`` reads from the file's start and
+    only as far as needed."""
+    text, n = spark.read.text(_first_file(spark, path)), 1024
+    while True:
+        lines = [r[0] for r in text.take(n)]  # the header: one line per attribute and comment
+        for i, line in enumerate(lines):
+            if re.match(r"(?i)\s*@data\b", line):
+                return lines[:i + 1]
+        if len(lines) < n:
+            raise ValueError(f"no @data line in {path}")
+        n *= 8
+
+
 def read_arff_header(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """Attribute (name, type spec) pairs in declaration order.
+    """Attribute (name, type spec) pairs in declaration order; only the head of the first file is read."""
+    found = [re.match(_ATTR, line) for line in _head_lines(spark, path)]
+    return [(m[1].strip("'\""), m[2]) for m in found if m]
 
-    Only the head of the first file is read (a LIMIT over its scan), not the data.
-    """
-    head = (spark.read.text(_first_file(spark, path)).limit(MAX_HEADER_LINES)
-            .withColumn("_pos", F.monotonically_increasing_id()))
-    if head.where(F.col("value").rlike(r"(?i)^\s*@data\b")).limit(1).count() == 0:
-        raise ValueError(f"no @data line in the first {MAX_HEADER_LINES} lines of {path}")
-    lines = (head.where(F.col("value").rlike(r"(?i)^\s*@attribute\s"))
-             .select("_pos",
-                     F.regexp_extract("value", _ATTR, 1).alias("name"),
-                     F.regexp_extract("value", _ATTR, 2).alias("spec"))
-             .orderBy("_pos"))
-    out = []
-    for r in lines.collect():  # one row per attribute: the schema, not the data
-        out.append((r["name"].strip("'\""), r["spec"]))
-    return out
+
+def _body_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines after ``@data`` of the first file and all lines of the others, but comments and blank
+    lines. A data line may start with ``@``: the header is cut off by its number of lines."""
+    n = len(_head_lines(spark, path))
+    first = _first_file(spark, path)
+    place = ["value", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")]
+    own = spark.read.text(first).select(*place)
+    begin = own.where(F.col("_start") == 0).agg(F.min("_at")).first()[0]  # lines of one split have numbers in a row
+    body = own.where((F.col("_start") != 0) | (F.col("_at") >= begin + n)).select("value")
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    rest = spark.read.text(path).where(name != F.lit(first.rsplit("/", 1)[-1])).select("value") if first != path else None
+    return (body if rest is None else body.unionAll(rest)).where(~F.col("value").rlike(r"^\s*(%|$)"))
 
 
 def read_arff(spark: SparkSession, path: str) -> DataFrame:
@@ -68,8 +79,7 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     if not attrs:
         raise ValueError(f"no @attribute lines in {path}")
     schema = T.StructType([T.StructField(n, _arff_type(t), True) for n, t in attrs])
-    body = (spark.read.text(path)
-            .where(~F.col("value").rlike(r"^\s*(@|%|$)"))
+    body = (_body_lines(spark, path)
             .select(F.from_csv(F.col("value"), ", ".join(f"`{n}` STRING" for n, _ in attrs),
                                {"quote": "'", "ignoreLeadingWhiteSpace": "true",
                                 "ignoreTrailingWhiteSpace": "true"}).alias("r"))
@@ -106,7 +116,7 @@ def write_arff(df: DataFrame, path: str, relation: str = "data",
         if isinstance(f.dataType, T.NumericType):
             s = c.cast("string")
         else:
-            s = F.when(F.col(f.name).rlike(r"[,\s'%{}]"),
+            s = F.when(F.col(f.name).rlike(r"[,\s'%{}@\"?]|^$"),
                        F.concat(F.lit("'"), F.regexp_replace(c.cast("string"), "'", "\\\\'"), F.lit("'"))
                        ).otherwise(c.cast("string"))
         return F.coalesce(s, F.lit("?"))

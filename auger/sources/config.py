@@ -56,7 +56,7 @@ class JobConfig:
     @staticmethod
     def from_properties(text: str, path: str | None = None) -> "JobConfig":
         """Parse ``key=value`` lines: ``columns``, ``ignored``, ``response``, ``path``, ``sep``,
-        ``categorical``; the original job's key names are accepted as well (see ``KEY_ALIASES``)."""
+        ``categorical``, ``key``, ``header``, ``positive_label``; the original job's key names are accepted as well (see ``KEY_ALIASES``)."""
         props: dict[str, str] = {}
         for line in text.splitlines():
             line = line.strip()
@@ -77,4 +77,7 @@ class JobConfig:
             ignored=_list(props.get("ignored")),
             categorical=_list(props.get("categorical")),
             sep=props.get("sep", ","),
+            header=props.get("header", "").lower() in ("true", "yes", "1"),
+            positive_label=props.get("positive_label"),
+            key=props.get("key"),
         )

@@ -6,6 +6,7 @@ them, so no extra pass over the data is spent on inference.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +17,28 @@ from auger.functions.cleaning import clean_col, encode_frame
 from auger.sources.config import JobConfig
 
 
+_RAW = "_corrupt_record"
+
+
 def string_schema(names: Iterable[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
 
 
 def read_table(spark: SparkSession, path: str, names: Iterable[str], sep: str = ",",
-               trim: bool = True, header: bool = False, line_sep: str | None = None) -> DataFrame:
+               trim: bool = True, header: bool = False, line_sep: str | None = None,
+               bad_fields: str | None = None) -> DataFrame:
     """A1/A3: headerless delimited file with configured column names (all strings).
 
-    Any of CR, LF and CRLF ends a line unless ``line_sep`` pins one.
+    Any of CR, LF and CRLF ends a line unless ``line_sep`` pins one. A row with too few fields gets
+    nulls, one with too many keeps its first ones; ``bad_fields`` names a column that counts the fields
+    missing or left over in each row (0 for a sound one), so that neither goes unseen.
     """
-    r = (spark.read.schema(string_schema(names))
+    names = list(names)
+    schema = string_schema(names)
+    r = spark.read.schema(schema.add(_RAW, T.StringType()) if bad_fields else schema)
+    if bad_fields:
+        r = r.option("columnNameOfCorruptRecord", _RAW).option("columnPruning", False)
+    r = (r
          .option("sep", sep)
          .option("header", header)
          .option("mode", "PERMISSIVE")
@@ -34,21 +46,26 @@ def read_table(spark: SparkSession, path: str, names: Iterable[str], sep: str =
          .option("ignoreTrailingWhiteSpace", trim))
     if line_sep:
         r = r.option("lineSep", line_sep)
-    return r.csv(path)
+    df = r.csv(path)
+    if not bad_fields:
+        return df
+    bare = F.regexp_replace(_RAW, r'"([^"\\]|\\.|"")*"', "")  # separators inside quotes part no fields
+    n_fields = F.size(F.split(bare, re.escape(sep), -1))
+    return df.withColumn(bad_fields, F.coalesce(F.abs(n_fields - len(names)), F.lit(0))).drop(_RAW)
 
 
 def read_positional(spark: SparkSession, path: str, n_columns: int | None = None, sep: str = ",",
-                    prefix: str = "c") -> DataFrame:
+                    prefix: str = "c", bad_fields: str | None = None) -> DataFrame:
     """A2: headerless CSV whose columns are known only by position: ``c0 … c{n-1}``.
 
-    Without ``n_columns`` the width is taken from the first line (a LIMIT 1 read).
+    Without ``n_columns`` the width is that of the first row as the CSV parser sees it; longer and
+    shorter rows are counted in ``bad_fields`` (see :func:`read_table`).
     """
     if n_columns is None:
-        first = spark.read.text(path).limit(1).collect()
-        if not first:
+        n_columns = len(spark.read.option("sep", sep).csv(path).columns)  # reads the first row only
+        if not n_columns:
             raise ValueError(f"{path} is empty")
-        n_columns = len(first[0][0].replace("\r", "\n").split("\n")[0].split(sep))
-    return read_table(spark, path, [f"{prefix}{i}" for i in range(n_columns)], sep=sep)
+    return read_table(spark, path, [f"{prefix}{i}" for i in range(n_columns)], sep=sep, bad_fields=bad_fields)
 
 
 def read_labelled_text(spark: SparkSession, sources: Mapping[str, float],

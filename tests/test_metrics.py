@@ -67,14 +67,40 @@ def test_ordered_positions_spans_partitions(spark):
     assert all(pos[("big", f"v{i:05d}")] == i for i in range(5000))
 
 
-def test_first_split_bins_wide_features(spark):
+def test_first_split_is_exact_for_many_values_and_nulls(spark):
     from auger.plans.q_learners import first_split_table
-    rows = [(float(i), "a" if i < 700 else "b") for i in range(1000)]
-    df = spark.createDataFrame(rows, "x double, c string")
-    exact = first_split_table(df, ["x"], "c", max_bins=5000).first()
-    binned = first_split_table(df, ["x"], "c", max_bins=50).first()
-    assert exact["threshold"] == 699.0 and exact["gini"] == 0.0
-    assert binned["gini"] <= 0.05 and binned["n_left"] > 600
+    rows = [(float(i), i % 3 + 0.0, "a" if i < 700 else "b") for i in range(1000)] + [(None, None, "a")] * 300 + [(5.0, None, None)] * 2
+    df = spark.createDataFrame(rows, "x double, y double, c string")
+    got = {r["feature"]: r for r in first_split_table(df, ["x", "y"], "c").collect()}
+
+    def brute(k):
+        best = None
+        for t in sorted({r[k] for r in rows if r[k] is not None}):
+            left = [r[2] for r in rows if r[k] is None or r[k] <= t]
+            right = [r[2] for r in rows if not (r[k] is None or r[k] <= t)]
+            if right:
+                part = sum(sum(side.count(c) ** 2 for c in ("a", "b", None)) / len(side) for side in (left, right))
+                g = 1 - part / len(rows)
+                if best is None or round(g, 12) < round(best[1], 12):
+                    best = (t, g, len(left))
+        return best
+    for k, f in enumerate(("x", "y")):
+        t, g, n = brute(k)
+        assert (got[f]["threshold"], got[f]["n_left"]) == (t, n) and abs(got[f]["gini"] - g) < 1e-9
+
+
+def test_rank_metrics_leave_unscored_rows_out(spark):
+    rows = [(float(i % 2), i / 50) for i in range(50)] + [(1.0, None), (0.0, None)]
+    df = spark.createDataFrame(rows, "label double, p1 double")
+    full = spark.createDataFrame(rows[:50], "label double, p1 double")
+    assert M.auc(df).first() == M.auc(full).first()
+    assert sorted(map(tuple, M.threshold_sweep(df).collect())) == sorted(map(tuple, M.threshold_sweep(full).collect()))
+    assert tuple(M.unscored(df).first()) == (2, 52)
+
+
+def test_counts_beyond_a_long_product(spark):
+    big = spark.createDataFrame([(0.1, 9_000_000_000, 0), (0.9, 6_000_000_000, 6_000_000_000)], "p double, cnt long, pos long")
+    assert M.auc(table=big).first()["auc"] == 1.0
 
 
 def test_metrics_on_empty_input(spark):
