@@ -209,3 +209,52 @@ def test_averaged_network_keeps_best_epoch(spark):
     assert len(m.valid_history) == 4
     acc = m.transform(valid).agg(F.avg((F.col("prediction") == F.col("lang_idx")).cast("double"))).first()[0]
     assert abs(acc - max(m.valid_history)) < 1e-12
+
+
+def _config_job(spark, tmp_dir, classes, positive=None, seed=3):
+    import random
+
+    from auger.sources.config import JobConfig
+    rng = random.Random(seed)
+    rows = []
+    for i in range(240):
+        k = rng.randrange(len(classes))
+        rows.append(f"{classes[k]},{k + rng.random() * 0.4:.4f},{rng.random():.4f},{'a' if k else 'b'}")
+    path = f"{tmp_dir}/job.csv"
+    open(path, "w").write("\n".join(rows))
+    return JobConfig.from_properties("columns=y,x0,x1,c\nresponse=y\ncategorical=c\n" + (f"positive_label={positive}\n" if positive else ""), path)
+
+
+@pytest.mark.parametrize("algorithm, settings", [
+    ("logistic_sgd", {"iterations": 20}), ("svm_sgd", {"iterations": 20}), ("GLM", {}), ("GBM", {"trees": 3}),
+    ("DEEP_LEARNING", {"hidden": (8,), "epochs": 3}), ("naive_bayes", {}), ("decision_tree", {})])
+def test_every_algorithm_runs_from_a_config(spark, tmp_dir, algorithm, settings):
+    from auger.plans.train_report import train_from_config
+    rep = train_from_config(spark, _config_job(spark, tmp_dir, ["no", "yes"]), algorithm, **settings)
+    got = {(r["section"], r["key"]): r["value"] for r in rep["metrics"].collect()}
+    assert got["error", "test_error"] < 0.35
+    assert 20 < rep["predictions"].count() < 100
+    if algorithm == "GLM":
+        assert got["glm", "residual_deviance"] <= got["glm", "null_deviance"]
+
+
+def test_three_classes_and_positive_label_from_a_config(spark, tmp_dir):
+    from auger.plans.train_report import train_from_config
+    rep = train_from_config(spark, _config_job(spark, tmp_dir, ["p", "q", "r"]), "GBM", rounds=2)
+    assert {(r["section"], r["key"]): r["value"] for r in rep["metrics"].collect()}["error", "test_error"] < 0.2
+    import os
+    os.mkdir(f"{tmp_dir}/b")
+    rep = train_from_config(spark, _config_job(spark, f"{tmp_dir}/b", ["no", "yes"], positive="no"), "decision_tree")
+    got = {(r["section"], r["key"]): r["value"] for r in rep["metrics"].collect()}
+    assert got["auc", "auc"] > 0.9
+
+
+def test_describe_a_glm(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from auger.operators.learners.glm import fit_glm
+    from auger.operators.scoring import describe
+    df = spark.createDataFrame([(Vectors.dense([float(i % 5), float(i % 3)]), float(i % 5 > 2)) for i in range(60)], ["features", "label"])
+    m = fit_glm(df, "features", "label", 0.5, 0.01, True, 20)
+    rows = {r["term"]: r["coefficient"] for r in describe(spark, m).collect()}
+    assert set(rows) == {"f0", "f1", "(intercept)"} and rows["f0"] > abs(rows["f1"])
