@@ -40,9 +40,6 @@ def cmd_train(spark, args) -> int:
             "label", "prediction", *[c for c in rep["predictions"].columns if c[:1] == "p" and c[1:].isdigit()]),
             f"{args.out}/predictions")
         rep["confusion"].write.mode("overwrite").json(f"{args.out}/confusion")
-        if "pipeline" not in rep:
-            print(f"{args.algorithm}: this learner's model has no writer; nothing was saved to score with", file=sys.stderr)
-            return 3
         save_model(rep["pipeline"], f"{args.out}/model")
     return 0
 
@@ -53,7 +50,8 @@ def cmd_score(spark, args) -> int:
     from auger.sources.tables import read_scoring, write_predictions
     cfg = _config(args)
     pipe = load_model(args.model)  # cleaning is the training path's; the pipeline indexes and assembles
-    out = score(pipe, read_scoring(spark, args.data, cfg), n_classes=getattr(pipe.stages[-1], "numClasses", None))
+    last = pipe.stages[-1] if hasattr(pipe, "stages") else pipe.model
+    out = score(pipe, read_scoring(spark, args.data, cfg), n_classes=getattr(last, "numClasses", None))
     write_predictions(out.drop("features", *[c for c in out.columns if c.endswith("_lvl")]), args.out)
     return 0
 

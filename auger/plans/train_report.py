@@ -98,6 +98,7 @@ def train_from_config(spark: SparkSession, cfg: JobConfig, algorithm: str, **set
 
     from auger.functions.cleaning import clean_col, encode_frame
     from auger.functions.encoding import assembler, index_label
+    from auger.sources.models import PreparedModel
     from auger.sources.tables import read_config_table
 
     raw = read_config_table(spark, cfg)
@@ -124,7 +125,9 @@ def train_from_config(spark: SparkSession, cfg: JobConfig, algorithm: str, **set
             raise ValueError(f"positive label {cfg.positive_label!r} not in {list(idx.labels)}")
         positive = float(list(idx.labels).index(cfg.positive_label))
     rep = train_and_report(spark, prep.transform(df), algorithm, key=key, n_classes=max(2, len(idx.labels)), positive=positive, **settings)
-    if hasattr(rep["model"], "write"):  # a Spark ML model: one pipeline scores raw cleaned rows
-        rep["pipeline"] = PipelineModel(stages=[*stages, rep["model"]])
+    # scores raw cleaned rows: one pipeline, or the preparation and a model of this package
+    rep["pipeline"] = (PipelineModel(stages=[*stages, rep["model"]]) if hasattr(rep["model"], "write")
+                       else PreparedModel(prep, rep["model"]))
+    rep["n_classes"] = max(2, len(idx.labels))
     rep["labels"] = list(idx.labels)
     return rep

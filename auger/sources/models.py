@@ -1,6 +1,7 @@
 """Model export and re-use.
 
-``save_model``/``load_model`` use Spark ML's writers (any fitted stage or pipeline). For tree
+``save_model``/``load_model`` use Spark ML's writers (any fitted stage or pipeline) and write this package's own
+models as Parquet. For tree
 models the saved node table is also turned into a SQL ``CASE`` expression, so a tree or a
 boosted ensemble can score any table with ``selectExpr``: whole-stage codegen compiles it and
 no model object is needed at scoring time. The node table is tiny (at most 2^(depth+1) rows per
@@ -9,25 +10,113 @@ tree) and is the only thing read back to the driver.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import PipelineModel
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auger.operators.learners.bayes import NaiveBayesAggModel
+from auger.operators.learners.boosting import BoostRound, MultiBoostModel
+from auger.operators.learners.glm import GlmModel
+from auger.operators.learners.network import AveragedNetwork
+from auger.operators.learners.registry import _SgdModel
+from auger.operators.learners.sgd import LinearSgdModel
 from auger.session import scratch_path
 
 
+_OWN = "auger_model"
+
+
+@dataclass
+class PreparedModel:
+    """A fitted preparation (Spark ML pipeline) and a model of this package: scores raw cleaned rows."""
+
+    prep: PipelineModel
+    model: object
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self.prep.transform(df))
+
+
+def _parts(model) -> tuple[dict, list[float], dict[str, object]] | None:
+    """Settings, numbers and Spark ML parts of one of this package's models; None for others."""
+    if isinstance(model, PreparedModel):
+        return {}, [], {"prep": model.prep, "model": model.model}
+    if isinstance(model, GlmModel):
+        return {"intercept": float(model.intercept), "iterations": int(model.iterations), "features": model.features}, list(model.coefficients), {}
+    if isinstance(model, AveragedNetwork):
+        return {"layers": list(model.layers), "features": model.features}, list(model.theta), {}
+    if isinstance(model, NaiveBayesAggModel):
+        theta = [x for row in model.log_theta for x in row]
+        return {"labels": list(model.labels), "features": list(model.features)}, [*model.log_prior, *theta], {}
+    if isinstance(model, LinearSgdModel):
+        return {"loss": model.loss, "threshold": model.threshold}, list(model.weights), {}
+    if isinstance(model, _SgdModel):
+        return {"features": model.features, "n_features": model.n_features}, [], {"inner": model.inner}
+    if isinstance(model, MultiBoostModel):
+        gammas = [[sorted(g.items()) for g in r.gammas] for r in model.rounds]
+        trees = {f"tree_{i}_{k}": t for i, r in enumerate(model.rounds) for k, t in enumerate(r.trees)}
+        return {"n_classes": model.n_classes, "rate": model.rate, "features": model.features, "gammas": gammas}, list(model.init), trees
+    return None
+
+
+def _built(kind: str, s: dict, numbers: list[float], part: Callable[[str], object]):
+    if kind == "PreparedModel":
+        return PreparedModel(part("prep"), part("model"))
+    if kind == "GlmModel":
+        return GlmModel(np.array(numbers), s["intercept"], s["iterations"], features=s["features"])
+    if kind == "AveragedNetwork":
+        return AveragedNetwork(s["layers"], np.array(numbers), s["features"])
+    if kind == "NaiveBayesAggModel":
+        k, d = len(s["labels"]), len(s["features"])
+        theta = [numbers[k + c * d:k + (c + 1) * d] for c in range(k)]
+        return NaiveBayesAggModel(s["labels"], numbers[:k], theta, s["features"])
+    if kind == "LinearSgdModel":
+        return LinearSgdModel(numbers, s["loss"], threshold=s["threshold"])
+    if kind == "_SgdModel":
+        return _SgdModel(part("inner"), s["features"], s["n_features"])
+    if kind == "MultiBoostModel":
+        model = MultiBoostModel(s["n_classes"], numbers, s["rate"], s["features"])
+        for i, round_ in enumerate(s["gammas"]):
+            trees = [part(f"tree_{i}_{k}") for k in range(len(round_))]
+            model.rounds.append(BoostRound(trees, [{float(a): float(b) for a, b in g} for g in round_]))
+        return model
+    raise ValueError(f"unknown model kind {kind!r}")
+
+
 def save_model(model, path: str, overwrite: bool = True) -> str:
-    w = model.write()
-    if overwrite:
-        w = w.overwrite()
-    w.save(path)
+    """Write any fitted Spark ML stage or pipeline with its own writer, and the models of this package as
+    a one-row Parquet table (kind, settings as JSON, numbers) beside their Spark ML parts."""
+    own = _parts(model)
+    if own is None:
+        w = model.write()
+        if overwrite:
+            w = w.overwrite()
+        w.save(path)
+        return path
+    settings, numbers, parts = own
+    row = (type(model).__name__, json.dumps(settings), [float(x) for x in numbers])
+    spark = SparkSession.getActiveSession()
+    (spark.createDataFrame([row], "kind string, settings string, numbers array<double>")
+     .write.mode("overwrite" if overwrite else "error").parquet(f"{path}/{_OWN}"))
+    for name, m in parts.items():
+        save_model(m, f"{path}/{name}", overwrite)
     return path
 
 
 def load_model(path: str):
-    return PipelineModel.load(path)
+    """What :func:`save_model` wrote, as the class it had."""
+    spark = SparkSession.getActiveSession()
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{_OWN}")
+    if own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own):
+        r = spark.read.parquet(f"{path}/{_OWN}").first()  # one row
+        return _built(r["kind"], json.loads(r["settings"]), list(r["numbers"]), lambda name: load_model(f"{path}/{name}"))
+    return DefaultParamsReader.loadParamsInstance(path, spark)
 
 
 def _nodes_of(spark: SparkSession, model) -> dict[int, list[dict]]:

@@ -258,3 +258,21 @@ def test_describe_a_glm(spark):
     m = fit_glm(df, "features", "label", 0.5, 0.01, True, 20)
     rows = {r["term"]: r["coefficient"] for r in describe(spark, m).collect()}
     assert set(rows) == {"f0", "f1", "(intercept)"} and rows["f0"] > abs(rows["f1"])
+
+
+def test_own_models_survive_a_round_trip(spark, tmp_dir):
+    from auger.operators.learners.glm import fit_glm
+    from auger.operators.learners.network import AveragedNetwork
+    from auger.operators.learners.registry import make
+    from auger.sources.models import load_model, save_model
+    df = spark.createDataFrame([(Vectors.dense([float(i % 5), float(i % 7)]), float(i % 5 > 2), float(i % 5), float(i % 7)) for i in range(90)],
+                               ["features", "label", "a", "b"])
+    models = {"glm": fit_glm(df, "features", "label", 0.5, 0.01, True, 20), "boost": fit_boosting(df, rounds=2, depth=2),
+              "boost3": fit_boosting(df.withColumn("label", F.pmod(F.col("a"), F.lit(3.0))), n_classes=3, rounds=1, depth=2),
+              "net": AveragedNetwork([2, 3, 2], np.linspace(-1, 1, 2 * 3 + 3 + 3 * 2 + 2)), "nb": naive_bayes_fit(df, ["a", "b"], "label"),
+              "sgd": make("logistic_sgd", n_features=2).fit(df), "tree": make("decision_tree").fit(df)}
+    for name, m in models.items():
+        back = load_model(save_model(m, f"{tmp_dir}/{name}"))
+        assert type(back) is type(m)
+        pick = lambda x: sorted(map(str, x.transform(df).select("a", "b", "prediction").collect()))
+        assert pick(back) == pick(m), name
