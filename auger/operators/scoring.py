@@ -62,23 +62,22 @@ def permuted_copies(df: DataFrame, features: str, n_features: int, seed: int = 7
     """One copy of ``df`` per feature j (column ``_perm_j``; ``-1`` = unpermuted baseline) in
     which slot j is permuted among the rows.
 
-    The copies come from an in-stage explode; the permutation is a cyclic shift inside random
-    groups of about ``group_rows`` rows (a window partitioned by copy and group), so the work is
-    JVM-side and no task ever holds more than one group.
+    The permutation is a cyclic shift inside random groups of about ``group_rows`` rows: one window over
+    the plain rows hands each row the whole vector of the one before it, so the rows are shuffled once,
+    and the copies are made after that, in the same stage. No task ever holds more than one group.
     """
     which = list(range(n_features)) if which is None else which
     n = df.count()
     n_groups = max(1, math.ceil(n / group_rows))
     rep = (df.withColumn("_farr", vector_to_array(F.col(features)))
-           .withColumn("_perm_j", F.explode(F.array(*[F.lit(j) for j in [-1, *which]])))
            .withColumn("_grp", F.floor(F.rand(seed) * n_groups).cast("int"))
            .withColumn("_ord", F.rand(seed + 1)))
-    w = Window.partitionBy("_perm_j", "_grp").orderBy("_ord")
+    w = Window.partitionBy("_grp").orderBy("_ord")
     wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    slot = F.when(F.col("_perm_j") >= 0, F.element_at("_farr", F.col("_perm_j") + 1))
-    prev = F.coalesce(F.lag(slot, 1).over(w), F.last(slot).over(wall))
-    out = rep.withColumn("_pv", prev).withColumn(
-        "_farr", F.transform("_farr", lambda x, i: F.when(i == F.col("_perm_j"), F.col("_pv")).otherwise(x)))
+    prev = F.coalesce(F.lag("_farr", 1).over(w), F.last("_farr").over(wall))
+    copies = rep.withColumn("_pv", prev).withColumn("_perm_j", F.explode(F.array(*[F.lit(j) for j in [-1, *which]])))
+    out = copies.withColumn(
+        "_farr", F.transform("_farr", lambda x, i: F.when(i == F.col("_perm_j"), F.element_at("_pv", i + 1)).otherwise(x)))
     return out.withColumn(features, array_to_vector("_farr")).drop("_farr", "_pv", "_grp", "_ord")
 
 

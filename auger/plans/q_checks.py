@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from auger.functions import cleaning as C
 from auger.functions.features import hash_tf, tokens
+from auger.functions.hashing import hash_bucket_sql
 from auger.operators import metrics as M
 from auger.operators.neighbours import knn_join, local_outlier_factor
 from auger.operators.splits import split
 from auger.plans.catalog import query, table
 from auger.plans.q_data import _TOK_SQL
 from auger.plans.q_metrics import _BASE_SQL, scored_events
-from auger.session import scratch_path
+from auger.session import materialize, scratch_path
 from auger.sources import arff, tables
 from auger.sources.config import JobConfig, LabelSpec
+from auger.sources.models import load_model, save_model
 
 
 @query("csv_ragged", "A1 A2 B1", sql="""
@@ -171,3 +173,165 @@ def config_tables(spark, d):
     cfg = JobConfig.from_properties(f"columns={','.join(cols)}\nignored=c_name\nresponse=c_mktsegment\nkey=c_custkey\nheader=false\n", path)
     out = tables.read_scoring(spark, cfg.path, cfg)
     return out.select(F.col("c_custkey").cast("long"), "c_acctbal", "c_nationkey", F.col("_bad_fields").cast("int"))
+
+
+# ---------------------------------------------------------------- learners: what must hold exactly
+
+_TEST_DOCS = f"{hash_bucket_sql('doc_id', 10)} >= 8"
+
+
+def _events_xy(spark, d):
+    """Events as a two-class table: purchase or not, by value and hour."""
+    from auger.functions.encoding import assemble
+    ev = table(spark, d, "events")
+    rows = ev.select("event_id", "event_type", (F.col("value") / 100).alias("x0"), (C.wall_clock_hour(ev, "ts") / 24).alias("x1"),
+                     F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0).alias("label"))
+    return assemble(rows, ["x0", "x1"])
+
+
+def _disagree(a, b, key: str):
+    """``n, n_mismatch``: rows that two scorings share, and those they score differently."""
+    pair = a.select(key, F.col("prediction").alias("p")).join(b.select(key, F.col("prediction").alias("q")), key)
+    return pair.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("p").eqNullSafe(F.col("q")), 1)).alias("n_mismatch"))
+
+
+@query("saved_pipeline", "A11", sql=f"select count(*) as n, 0::bigint as n_mismatch from documents join labels using (doc_id) where {_TEST_DOCS}")
+def saved_pipeline(spark, d):
+    """A boosted pipeline scores the test part the same before it is saved and after it is loaded."""
+    from pyspark.ml import Pipeline
+    from auger.operators.learners import builtin
+    from auger.plans.q_learners import _split, labelled_docs
+    tr, te = _split(labelled_docs(spark, d))
+    m = Pipeline(stages=[builtin.gbm(trees=2)]).fit(tr)
+    return _disagree(m.transform(te), load_model(save_model(m, scratch_path(spark, "saved-pipeline"))).transform(te), "doc_id")
+
+
+@query("saved_models", "A11 H3 H5", sql="""
+select unnest(['glm', 'logistic_sgd', 'naive_bayes']) as model, count(*) as n, 0::bigint as n_mismatch from events
+""")
+def saved_models(spark, d):
+    """This package's own models, saved, loaded and compared on every event."""
+    from auger.operators.learners.bayes import naive_bayes_fit
+    from auger.operators.learners.registry import make
+    xy = _events_xy(spark, d).transform(materialize)
+    models = {"glm": make("GLM").fit(xy), "logistic_sgd": make("logistic_sgd", n_features=2).fit(xy),
+              "naive_bayes": naive_bayes_fit(xy, ["x0", "x1"], "event_type")}
+    parts = [_disagree(m.transform(xy), load_model(save_model(m, scratch_path(spark, "saved-models"))).transform(xy), "event_id")
+             .select(F.lit(name).alias("model"), "n", "n_mismatch") for name, m in models.items()]
+    return tables.union_all(*parts)
+
+
+@query("tree_as_sql", "A11", sql=f"select count(*) as n, 0::bigint as n_mismatch from documents join labels using (doc_id) where {_TEST_DOCS}")
+def tree_as_sql(spark, d):
+    """The SQL text of a boosted ensemble predicts what the ensemble predicts."""
+    from auger.operators.learners import builtin
+    from auger.plans.q_learners import _split, labelled_docs
+    from auger.sources.models import score_with_sql
+    tr, te = _split(labelled_docs(spark, d))
+    m = builtin.gbm(trees=3).fit(tr)
+    out = score_with_sql(m.transform(te), m)
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("prediction") != F.col("sql_prediction"), 1)).alias("n_mismatch"))
+
+
+@query("boost_start", "H7 H8 F8", sql="""
+with c as (select event_type, count(*) as n from events group by 1),
+p as (select event_type, cast(row_number() over (order by event_type) - 1 as integer) as k, n / sum(n) over () as p from c),
+m as (select avg(ln(p)) as m from p)
+select k, round(ln(p) - m, 8) as start_value, round((select -sum(p * ln(p)) from p), 8) as first_loss from p, m
+""")
+def boost_start(spark, d):
+    """One round over the five event types: the start values and the loss before the first tree."""
+    from auger.functions.encoding import index_label
+    from auger.operators.learners.boosting import fit_boosting
+    xy = _events_xy(spark, d).drop("label")
+    m = fit_boosting(index_label(xy, "event_type", "label").transform(xy), rounds=1, depth=1)
+    rows = [(k, round(v, 8), round(m.history[0], 8)) for k, v in enumerate(m.init)]
+    return spark.createDataFrame(rows, "k int, start_value double, first_loss double")
+
+
+@query("boost_start_two", "H7 F8", sql="""
+with c as (select avg(case when event_type = 'purchase' then 1.0 else 0.0 end) as p1 from events)
+select round(0.5 * ln((1 - p1) / p1), 8) as start_value, round(-(p1 * ln(p1) + (1 - p1) * ln(1 - p1)), 8) as first_loss from c
+""")
+def boost_start_two(spark, d):
+    from auger.operators.learners.boosting import fit_boosting
+    m = fit_boosting(_events_xy(spark, d), rounds=1, depth=1)
+    return spark.createDataFrame([(round(m.init[0], 8), round(m.history[0], 8))], "start_value double, first_loss double")
+
+
+@query("glm_optimum", "H5 H6", sql="select count(*) as n, 0.0::double as score0, 0.0::double as score1, 0.0::double as score2 from events")
+def glm_optimum(spark, d):
+    """Without a penalty the fitted model solves the score equations: residuals sum to zero against 1 and each input."""
+    from auger.operators.learners.glm import fit_glm
+    xy = _events_xy(spark, d).transform(materialize)
+    m = fit_glm(xy, "features", "label", 0.0, 0.0, False, 50, 1e-9)
+    r = m.transform(xy).withColumn("r", F.col("label") - F.col("p1"))
+    zero = lambda e, name: (F.abs(F.round(F.sum(e), 4))).alias(name)
+    return r.agg(F.count(F.lit(1)).alias("n"), zero(F.col("r"), "score0"), zero(F.col("r") * F.col("x0"), "score1"),
+                 zero(F.col("r") * F.col("x1"), "score2"))
+
+
+@query("network_forward", "H9 F1", sql="""
+with x as (select event_id, value / 100 as a, hour(ts) / 24 as b from events),
+h as (select event_id, greatest(0.5 * a - 1.0 * b + 0.1, 0) as h0, greatest(-0.25 * a + 2.0 * b - 0.2, 0) as h1 from x),
+z as (select event_id, 1.0 * h0 - 0.5 * h1 as z0, -0.75 * h0 + 0.5 * h1 + 0.05 as z1 from h)
+select event_id, round(exp(z1 - greatest(z0, z1)) / (exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1))), 8) as p1,
+       case when z1 > z0 then 1.0 else 0.0 end::double as prediction from z
+""")
+def network_forward(spark, d):
+    """A network of two inputs, two rectifier units and two classes with given weights."""
+    import numpy as np
+    from auger.operators.learners.network import AveragedNetwork
+    theta = np.array([0.5, -0.25, -1.0, 2.0, 0.1, -0.2, 1.0, -0.75, -0.5, 0.5, 0.0, 0.05])
+    out = AveragedNetwork([2, 2, 2], theta).transform(_events_xy(spark, d).select("event_id", "features"))
+    return out.select("event_id", F.round("p1", 8).alias("p1"), "prediction")
+
+
+@query("tree_stump", "H1 F4 F6", sql="""
+with f as (
+  select value > 260 as y, 'x0' as feature, floor(value / 100) as v from events
+  union all select value > 260, 'x1', cast(hour(ts) as double) from events),
+s as (select l.feature, l.v as t, count(*) as nl, sum(r.y::int) as pl from (select distinct feature, v from f) l
+      join f r on r.feature = l.feature and r.v <= l.v group by 1, 2),
+a as (select count(*) as n, sum(y::int) as p from f where feature = 'x0'),
+g as (select feature, t, nl, n, 2.0 * (pl * (nl - pl) / nl::double + (p - pl) * (n - nl - (p - pl)) / (n - nl)::double) / n as gini
+      from s, a where nl < n)
+select feature, cast(nl as bigint) as n_left, 1.0::double as importance from g order by gini, feature, t limit 1
+""")
+def tree_stump(spark, d):
+    """A tree of one split: the feature with all the importance, and the rows left of its threshold."""
+    from auger.functions.encoding import assemble
+    from auger.operators.learners import builtin
+    from auger.operators.scoring import importances
+    ev = table(spark, d, "events")
+    rows = ev.select(F.floor(F.col("value") / 100).cast("double").alias("x0"), C.wall_clock_hour(ev, "ts").cast("double").alias("x1"),
+                     F.when(F.col("value") > 260, 1.0).otherwise(0.0).alias("label"))
+    xy = assemble(rows, ["x0", "x1"]).transform(materialize)
+    m = builtin.decision_tree(max_depth=1, max_bins=64).fit(xy)
+    m.setLeafCol("leaf")
+    top = importances(spark, m, ["x0", "x1"]).where("importance > 0")
+    left = m.transform(xy).agg(F.count(F.when(F.col("leaf") == 0, 1)).alias("n_left"))
+    return top.withColumn("n_left", left.scalar()).select("feature", "n_left", "importance")
+
+
+@query("config_report", "F7 H10 A8 H2", sql=f"""
+with t as (select event_id, case when event_type = 'purchase' then 1.0 else 0.0 end as y, value, hour(ts) as h from events),
+tr as (select * from t where {hash_bucket_sql('event_id', 10)} < 8), te as (select * from t where {hash_bucket_sql('event_id', 10)} >= 8),
+w0 as (select 0.0::double as a, 0.0::double as b),
+w1 as (select max(a) - 1.0 * sum((1.0 / (1.0 + exp(-(value * a + h * b))) - y) * value) / count(*) as a,
+              max(b) - 1.0 * sum((1.0 / (1.0 + exp(-(value * a + h * b))) - y) * h) / count(*) as b from tr, w0),
+s as (select y, case when 1.0 / (1.0 + exp(-(value * a + h * b))) > 0.5 then 1.0 else 0.0 end as p from te, w1)
+select 'error' as section, 'accuracy' as key, round(avg(case when y = p then 1.0 else 0.0 end), 10) as value from s
+union all select 'error', 'n_rows', count(*)::double from s
+""")
+def config_report(spark, d):
+    """The configured job end to end: a CSV with named columns, a learner by name, the report's numbers."""
+    from auger.plans.train_report import train_from_config
+    ev = table(spark, d, "events")
+    path = scratch_path(spark, "config_report")
+    ev.select("event_id", F.when(F.col("event_type") == "purchase", "yes").otherwise("no").alias("y"), "value",
+              C.wall_clock_hour(ev, "ts").alias("h")).write.csv(path)
+    cfg = JobConfig.from_properties("columns=event_id,y,value,h\nresponse=y\nignored=event_id\nkey=event_id\npositive_label=yes", path)
+    rep = train_from_config(spark, cfg, "logistic_sgd", iterations=1)
+    return (rep["metrics"].where("section = 'error' and key in ('accuracy', 'n_rows')")
+            .select("section", "key", F.round("value", 10).alias("value")))

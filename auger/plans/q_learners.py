@@ -22,7 +22,7 @@ from auger.operators.learners.sgd import sgd_linear, sgd_linear_vector, sgd_orac
 from auger.operators.reports import rule_table
 from auger.operators.running import running_totals
 from auger.plans.catalog import query, table
-from auger.session import materialize
+from auger.session import materialize, write_scratch
 
 N_HASH = 100
 
@@ -251,10 +251,10 @@ def labelled_docs(spark, d, n_features: int = N_HASH) -> DataFrame:
 
 
 def _split(df: DataFrame):
-    """Hash split. The feature rows are written once to the checkpoint folder (texts are
+    """Hash split. The feature rows are written once to the shared folder, by split bucket (texts are
     tokenised in one pass), so iterative learners re-read compact rows instead of re-tokenising
-    whole texts on every pass; both sides are filters over that one table."""
-    ck = df.transform(materialize)
+    whole texts on every pass; each side reads its own buckets only (partition filters)."""
+    ck = write_scratch(df, "split", ("_b",))
     return ck.where(F.col("_b") < 8), ck.where(F.col("_b") >= 8)
 
 
