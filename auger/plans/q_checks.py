@@ -289,8 +289,8 @@ def network_forward(spark, d):
 
 @query("tree_stump", "H1 F4 F6", sql="""
 with f as (
-  select value > 260 as y, 'x0' as feature, floor(value / 100) as v from events
-  union all select value > 260, 'x1', cast(hour(ts) as double) from events),
+  select value > 55 as y, 'x0' as feature, floor(value / 20) as v from events
+  union all select value > 55, 'x1', cast(hour(ts) as double) from events),
 s as (select l.feature, l.v as t, count(*) as nl, sum(r.y::int) as pl from (select distinct feature, v from f) l
       join f r on r.feature = l.feature and r.v <= l.v group by 1, 2),
 a as (select count(*) as n, sum(y::int) as p from f where feature = 'x0'),
@@ -304,8 +304,8 @@ def tree_stump(spark, d):
     from auger.operators.learners import builtin
     from auger.operators.scoring import importances
     ev = table(spark, d, "events")
-    rows = ev.select(F.floor(F.col("value") / 100).cast("double").alias("x0"), C.wall_clock_hour(ev, "ts").cast("double").alias("x1"),
-                     F.when(F.col("value") > 260, 1.0).otherwise(0.0).alias("label"))
+    rows = ev.select(F.floor(F.col("value") / 20).cast("double").alias("x0"), C.wall_clock_hour(ev, "ts").cast("double").alias("x1"),
+                     F.when(F.col("value") > 55, 1.0).otherwise(0.0).alias("label"))
     xy = assemble(rows, ["x0", "x1"]).transform(materialize)
     m = builtin.decision_tree(max_depth=1, max_bins=64).fit(xy)
     m.setLeafCol("leaf")
