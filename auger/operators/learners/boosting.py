@@ -28,6 +28,7 @@ from auger.session import materialize
 
 MAX_CLASSES = 1000
 MAX_PARALLEL_TREES = 8
+CHECKPOINT_EVERY = 5
 
 
 @dataclass
@@ -173,7 +174,12 @@ def fit_boosting(df: DataFrame, features: str = "features", label: str = "label"
                                   for k in range(n_f)})
         nxt = nxt.drop(*[f"_leaf{k}" for k in range(n_f)], *[f"_tp{k}" for k in range(n_f)])
         model.rounds.append(BoostRound(trees, gammas))
-        new = nxt.drop(*[f"_r{k}" for k in range(n_f)]).transform(materialize).persist(StorageLevel.MEMORY_AND_DISK)
+        new = nxt.drop(*[f"_r{k}" for k in range(n_f)])
+        if (i + 1) % CHECKPOINT_EVERY == 0 and i + 1 < rounds:  # a lost executor costs a few rounds at most
+            new = new.transform(materialize)
+        new = new.persist(StorageLevel.MEMORY_AND_DISK)
+        if i + 1 < rounds:
+            new.count()  # before the tables it is made from go
         tagged.unpersist()
         cur.unpersist()
         cur = new

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from auger.operators.joins import salted_join
 from auger.session import materialize
 
+BLOCK = 4096  # points a task holds; where no bound prunes, a point is routed to n / BLOCK blocks
 MAX_PIVOT_BYTES = 64 << 20
 MAX_BLOCK_TABLE = 500_000
 EPS = 1e-9
@@ -307,7 +308,7 @@ def _smallest_ids(members: DataFrame, r: int, block: int, max_m: int, seed: int)
         cur = cur.withColumn("s", F.col("s") % F.lit(S))
 
 
-def knn_join(df: DataFrame, id_col: str, vec_col: str, k: int = 10, block: int = 256,
+def knn_join(df: DataFrame, id_col: str, vec_col: str, k: int = 10, block: int = BLOCK,
              max_pivots: int = 2048, seed: int = 17) -> DataFrame:
     """``(i, j, d, rank)``: the k nearest other points of every point; ties broken by id."""
     spark = df.sparkSession
