@@ -139,8 +139,9 @@ def candidates(sets: DataFrame) -> DataFrame:
     edges = None
     paths = write_scratch(sets.mapInArrow(_first_level, "path long, row long"), "paths")
     for depth in range(1, DEPTH + 1):
-        size = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("head"))
-        shared = write_scratch(paths.join(size.where("n > 1"), "path"), "shared-paths")
+        # written, so that both sides of the join are plain shuffles, which Spark splits where a bucket is large
+        size = write_scratch(paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("head")).where("n > 1"), "sizes")
+        shared = write_scratch(paths.join(size, "path"), "shared-paths")
         small = shared.where(F.col("n") <= LEAF).join(sets, "row")
         small = small.groupBy("path").agg(F.collect_list(F.struct("row", "sketch")).alias("sets"))  # LEAF sets at most
         found = small.select("sets").mapInArrow(_leaf_edges, "a long, b long").where("a < b")
@@ -256,6 +257,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
     members = of_class.join(grouped.select(F.col("id").alias("row"), F.col("component").alias("grp")), "row")
     blocks = members.groupBy("grp").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("n_blocks"))
+    blocks = write_scratch(blocks, "blocks")
     wanted = members.join(blocks, "grp").join(base.select("row", "doc_id", "text_key"), "row")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
     tokens = (texts.join(wanted, texts["id"].eqNullSafe(wanted["doc_id"]) & (texts["key"] == wanted["text_key"]))
