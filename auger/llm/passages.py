@@ -120,14 +120,13 @@ def _matches(docs: DataFrame) -> DataFrame:
         owner = F.min(F.struct("doc", "place")).over(alike)
         seen = seen.withColumn(f"o{side}", F.when(F.col(side) != 0, owner))
     foreign = F.array_distinct(F.filter(F.array(*[f"o{x}" for x in SIDES]), lambda o: o["doc"] != F.col("doc")))
-    # of a salted key, each salt has owners of its own; these alone meet over all salts
-    heads = [F.when((F.col("salt") > 0) & (F.col(f"o{x}.doc") == F.col("doc")) & (F.col(f"o{x}.place") == F.col("place")),
-                    F.xxhash64("key", x, F.lit(x))) for x in SIDES]
+    # of a salted key, each salt has owners of its own; the windows of these documents alone meet over all salts
+    heads = [F.when((F.col("salt") > 0) & (F.col(f"o{x}.doc") == F.col("doc")), F.xxhash64("key", x, F.lit(x))) for x in SIDES]
     seen = write_scratch(seen.select("doc", "place", foreign.alias("owners"), F.array_compact(F.array(*heads)).alias("heads"))
                          .where("size(owners) > 0 or size(heads) > 0"), "windows")
     near = seen.select("doc", "place", F.explode("owners").alias("o")).select(
         "doc", "place", F.col("o.doc").alias("odoc"), F.col("o.place").alias("oplace"))
-    met = seen.select("doc", "place", F.explode("heads").alias("head"))  # SALTS rows of a head at most
+    met = seen.select("doc", "place", F.explode("heads").alias("head"))  # SALTS documents of a head at most
     owners = (met.groupBy("head").agg(F.min(F.struct("doc", "place")).alias("m"), F.max("doc").alias("most"))
               .where("m.doc < most").select("head", F.col("m.doc").alias("odoc"), F.col("m.place").alias("oplace")))
     return near.unionAll(met.join(owners, "head").select("doc", "place", "odoc", "oplace").where("doc != odoc"))
