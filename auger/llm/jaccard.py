@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from auger.llm.components import components
 from auger.llm.words import Words, mix, repeats_by_text, shingles, text_batches
-from auger.session import write_scratch
+from auger.session import drop_scratch, write_scratch
 
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCH, RUNS, DEPTH, LEAF = 64, 8, 4, 64
@@ -134,14 +134,18 @@ def _leaf_edges(batches):
             [pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (a_out, b_out)], names=["a", "b"])
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """``a, b``: stars that connect all sets which some run brought together. ``sets``: row, sketch."""
-    edges = None
+def candidates(sets: DataFrame, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """``a, b``: stars that connect all sets which some run brought together. ``sets``: row, sketch.
+    The tables that the result reads are added to ``scratch``."""
+    edges, scratch = None, [] if scratch is None else scratch
     paths = write_scratch(sets.mapInArrow(_first_level, "path long, row long"), "paths")
     for depth in range(1, DEPTH + 1):
         # written, so that both sides of the join are plain shuffles, which Spark splits where a bucket is large
         size = write_scratch(paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("head")).where("n > 1"), "sizes")
         shared = write_scratch(paths.join(size, "path"), "shared-paths")
+        scratch.append(shared)
+        drop_scratch(paths)
+        drop_scratch(size)
         small = shared.where(F.col("n") <= LEAF).join(sets, "row")
         small = small.groupBy("path").agg(F.collect_list(F.struct("row", "sketch")).alias("sets"))  # LEAF sets at most
         found = small.select("sets").mapInArrow(_leaf_edges, "a long, b long").where("a < b")
@@ -154,6 +158,7 @@ def candidates(sets: DataFrame) -> DataFrame:
                                   .mapInArrow(_next_level, "path long, row long"), "paths")
             if paths.isEmpty():
                 break
+    scratch.append(paths)
     return edges
 
 
@@ -252,7 +257,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
     some = base.where("n > 0")
     classes = write_scratch(some.groupBy("s1", "s2", "n").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     sets = base.select("row", "sketch").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    grouped = write_scratch(components(candidates(write_scratch(sets, "sets"))), "candidate-groups")
+    used = [write_scratch(sets, "sets")]
+    grouped = write_scratch(components(candidates(used[0], used)), "candidate-groups")
+    for t in used:
+        drop_scratch(t)
     of_class = classes.select(F.col("rep").alias("row"), "s1", "s2", "n", "copies")
     members = of_class.join(grouped.select(F.col("id").alias("row"), F.col("component").alias("grp")), "row")
     blocks = members.groupBy("grp").agg(
@@ -281,6 +289,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
         base.select("row", "doc_id", "text_key", "s1", "s2", "n").join(heads, ["s1", "s2", "n"], "left")
         .select("row", "doc_id", "text_key", F.coalesce("n_links", F.lit(0)).alias("n_links"),
                 F.coalesce("class", F.col("row")).alias("class")), "placed")
+    for t in (base, classes, grouped, blocks, checked):
+        drop_scratch(t)
     # written, so that both sides of the join below are plain shuffles, which Spark splits where a class is large
     first = write_scratch(placed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("m")), "first")
     return (placed.join(first, "class")

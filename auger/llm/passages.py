@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auger.llm.words import Words, mix, shingles, text_batches
-from auger.session import write_scratch
+from auger.session import drop_scratch, write_scratch
 
 SHINGLE, WORDS, THRESHOLD = 5, 50, 0.8
 WIDTH = WORDS - SHINGLE + 1
@@ -101,8 +101,9 @@ def _windows(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(_emit, "key long, doc long, place long, around long")
 
 
-def _matches(docs: DataFrame) -> DataFrame:
-    """doc, place, odoc, oplace: windows and their owners in another document."""
+def _matches(docs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
+    """doc, place, odoc, oplace: windows and their owners in another document. The table that the result
+    reads is added to ``scratch``."""
     sample = docs.where(F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(SAMPLE)) == 0)
     often = max(LEAST_HOT, sample.select("doc").count() // HOT_SHARE)
     hot = (_windows(sample).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= often)
@@ -124,6 +125,7 @@ def _matches(docs: DataFrame) -> DataFrame:
     heads = [F.when((F.col("salt") > 0) & (F.col(f"o{x}.doc") == F.col("doc")), F.xxhash64("key", x, F.lit(x))) for x in SIDES]
     seen = write_scratch(seen.select("doc", "place", foreign.alias("owners"), F.array_compact(F.array(*heads)).alias("heads"))
                          .where("size(owners) > 0 or size(heads) > 0"), "windows")
+    scratch.append(seen)
     near = seen.select("doc", "place", F.explode("owners").alias("o")).select(
         "doc", "place", F.col("o.doc").alias("odoc"), F.col("o.place").alias("oplace"))
     met = seen.select("doc", "place", F.explode("heads").alias("head"))  # SALTS documents of a head at most
@@ -269,9 +271,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     others), in which repeats are not looked for; ``text_key`` hashes the text a passage was found in.
     Repeated rows give their passages once."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    found = _matches(docs).groupBy("doc").agg(F.collect_set(F.struct("place", "odoc", "oplace")).alias("m"))  # a document's windows
+    used: list[DataFrame] = []
+    found = _matches(docs, used).groupBy("doc").agg(F.collect_set(F.struct("place", "odoc", "oplace")).alias("m"))  # a document's windows
     runs = write_scratch(found.mapInArrow(_runs, "doc long, odoc long, lo long, hi long, olo long, ohi long")
                          .withColumn("run", F.monotonically_increasing_id()), "runs")
+    for t in used:
+        drop_scratch(t)
     pieces = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / CHUNK), F.floor(F.col(hi) / CHUNK)))
     mine = runs.select("run", "doc", pieces("lo", "hi").alias("chunk"))
     theirs = runs.select("run", F.col("odoc").alias("doc"), pieces("olo", "ohi").alias("chunk"))
@@ -287,6 +292,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     whole = runs.join(ours, "run").join(other, "run")
     out = whole.mapInArrow(_verify, "doc long, text_key long, start_word long, end_word long, other_doc long, "
                                     "other_start long, other_end long, similarity double").distinct()
+    out = write_scratch(out, "passages")
+    drop_scratch(runs)
+    drop_scratch(chunks)
     no_id = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(no_id("doc").alias("doc_id"), "text_key", "start_word", "end_word", no_id("other_doc").alias("other_doc"),
                       "other_start", "other_end", "similarity")
