@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_CLASSES = 10_000
+LITERAL_CELLS = 256  # up to this size a model is written into the plan itself
 
 
 def _c(c: str | Column) -> Column:
@@ -41,14 +41,28 @@ class NaiveBayesAggModel:
 
     def transform(self, df: DataFrame, out: str = "prediction", index_col: str | None = None) -> DataFrame:
         """Argmax class (first on ties). ``index_col`` also emits the class index."""
-        scores = self.class_scores()
-        best = F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("ni")) for i, s in enumerate(scores)]))
+        if len(self.labels) * len(self.features) <= LITERAL_CELLS:
+            scores = self.class_scores()
+            scored, labels = F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("ni")) for i, s in enumerate(scores)]), F.array(*[F.lit(v) for v in self.labels])
+        else:  # the same sums, over the model as one array from a subquery
+            df = df.withColumn("_model", self._as_array(df.sparkSession))
+            xs = F.array(*[F.col(f).cast("double") for f in self.features])
+            scored = F.transform("_model", lambda m: F.struct(
+                F.aggregate(F.zip_with(xs, m["theta"], lambda x, t: x * t), m["prior"], lambda s, v: s + v).alias("s"), (-m["i"]).alias("ni")))
+            labels = F.transform("_model", lambda m: m["label"])
+        best = F.array_max(scored)
         idx = -best["ni"]
-        lab = F.element_at(F.array(*[F.lit(v) for v in self.labels]), idx + 1)
+        lab = F.element_at(labels, idx + 1)
         res = df.withColumn(out, lab)
         if index_col:
             res = res.withColumn(index_col, idx.cast("double"))
-        return res
+        return res.drop("_model")
+
+    def _as_array(self, spark: SparkSession) -> Column:
+        kind = {str: "string", bool: "boolean", int: "long", float: "double"}[next(type(v) for v in self.labels if v is not None)]
+        rows = [(i, v, p, t) for i, (v, p, t) in enumerate(zip(self.labels, self.log_prior, self.log_theta))]
+        table = spark.createDataFrame(rows, f"i int, label {kind}, prior double, theta array<double>")
+        return table.agg(F.sort_array(F.collect_list(F.struct("i", "label", "prior", "theta"))).alias("m")).scalar()
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(str(self.labels[c]), f, float(self.log_prior[c]), float(self.log_theta[c][j]))
@@ -56,14 +70,11 @@ class NaiveBayesAggModel:
         return spark.createDataFrame(rows, "label string, feature string, log_prior double, log_theta double")
 
 
-def naive_bayes_fit(df: DataFrame, features: list[str], label: str, smoothing: float = 1.0,
-                    max_classes: int = MAX_CLASSES) -> NaiveBayesAggModel:
-    """Fit from non-negative feature columns; one Spark job, model rows = classes."""
+def naive_bayes_fit(df: DataFrame, features: list[str], label: str, smoothing: float = 1.0) -> NaiveBayesAggModel:
+    """Fit from non-negative feature columns; one Spark job, model rows = classes, however many."""
     aggs = [F.count(F.lit(1)).alias("_n")] + [F.sum(_c(f).cast("double")).alias(f"_s{j}") for j, f in enumerate(features)]
     aggs.append(F.min(F.least(*[_c(f).cast("double") for f in features])).alias("_min"))
-    stats = df.groupBy(F.col(label).alias("_label")).agg(*aggs).orderBy("_label").limit(max_classes + 1).collect()
-    if len(stats) > max_classes:
-        raise ValueError(f"more than {max_classes} classes in {label}")
+    stats = df.groupBy(F.col(label).alias("_label")).agg(*aggs).orderBy("_label").collect()  # the model
     if any(r["_min"] is not None and r["_min"] < 0 for r in stats):
         raise ValueError("multinomial naive Bayes needs non-negative features")
     n = sum(r["_n"] for r in stats)

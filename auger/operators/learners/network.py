@@ -20,6 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auger.operators.learners.builtin import NET_SEED
 from auger.operators.splits import persisted
 
 MAX_PARAMS = 6_000_000  # weights + two ADADELTA averages: 48 MB per broadcast and per task result
@@ -108,9 +109,13 @@ class AveragedNetwork:
 def fit_network_averaged(df: DataFrame, n_in: int, n_classes: int, hidden: tuple[int, ...] = (200, 200),
                          epochs: int = 10, features: str = "features", label: str = "label",
                          rho: float = 0.99, eps: float = 1e-8, batch: int = 32,
-                         seed: int = 113974111632823084, valid: DataFrame | None = None) -> AveragedNetwork:
+                         seed: int = NET_SEED, valid: DataFrame | None = None,
+                         rows_per_task: int = 4096) -> AveragedNetwork:
     """Fit on a vector column and class indexes 0..K-1.
 
+    The rows are dealt by their own hash to as many local learners as have about ``rows_per_task`` rows
+    each, in an order of that hash, so the result does not depend on how the table lay in partitions.
+
     With ``valid``, the weights after each epoch are scored on those rows (one pass) and the
     epoch with the best accuracy is kept ("keep the best model"); ``valid_history`` records it.
     """
@@ -126,6 +131,9 @@ def fit_network_averaged(df: DataFrame, n_in: int, n_classes: int, hidden: tuple
     if valid is not None:  # validation rows ride along in the training pass (scored, not trained on)
         base = base.unionByName(valid.select(vector_to_array(F.col(features)).alias("_x"),
                                              F.col(label).cast("int").alias("_y"), F.lit(True).alias("_val")))
+    parts = max(1, -(-base.count() // rows_per_task))
+    base = (base.withColumn("_h", F.xxhash64("_x", "_y", "_val")).repartition(parts, "_h")
+            .sortWithinPartitions("_h", "_x", "_y").drop("_h"))
     net = AveragedNetwork(layers, theta, features)
     # ADADELTA's running averages (E[g^2], E[dx^2]) are averaged and carried across epochs too
     state = np.concatenate([theta, np.zeros(size), np.zeros(size)])

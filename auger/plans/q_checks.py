@@ -335,3 +335,18 @@ def config_report(spark, d):
     rep = train_from_config(spark, cfg, "logistic_sgd", iterations=1)
     return (rep["metrics"].where("section = 'error' and key in ('accuracy', 'n_rows')")
             .select("section", "key", F.round("value", 10).alias("value")))
+
+
+@query("naive_bayes_many", "H2", sql="""
+with t as (select event_id, user_id, value, cast(hour(ts) as double) as h from events),
+c as (select user_id, count(*) as n_c, sum(value) as s0, sum(h) as s1 from t group by 1),
+tot as (select sum(n_c) as n, count(*) as kk from c),
+m as (select user_id, ln(n_c + 1.0) - ln(n + kk) as lp, ln(s0 + 1.0) - ln(s0 + s1 + 2.0) as t0, ln(s1 + 1.0) - ln(s0 + s1 + 2.0) as t1 from c, tot)
+select event_id, arg_max(m.user_id, lp + value * t0 + h * t1) as prediction from t, m group by event_id
+""")
+def naive_bayes_many(spark, d):
+    """A model of as many classes as there are users, applied to every event."""
+    from auger.operators.learners.bayes import naive_bayes_fit
+    ev = table(spark, d, "events")
+    rows = ev.select("event_id", "user_id", "value", C.wall_clock_hour(ev, "ts").cast("double").alias("h"))
+    return naive_bayes_fit(rows, ["value", "h"], "user_id").transform(rows).select("event_id", "prediction")

@@ -276,3 +276,12 @@ def test_own_models_survive_a_round_trip(spark, tmp_dir):
         assert type(back) is type(m)
         pick = lambda x: sorted(map(str, x.transform(df).select("a", "b", "prediction").collect()))
         assert pick(back) == pick(m), name
+
+
+def test_network_does_not_depend_on_the_layout(spark):
+    from auger.operators.learners.network import fit_network_averaged
+    rows = [(Vectors.dense([float(i % 7), float(i % 5)]), i % 2, i) for i in range(200)]
+    df = spark.createDataFrame(rows, ["features", "label", "i"])
+    one, four = df.repartition(1), df.orderBy(F.desc("i")).repartition(4)
+    a, b = (fit_network_averaged(d, 2, 2, hidden=(4,), epochs=2, rows_per_task=64).theta for d in (one, four))
+    assert np.allclose(a, b, atol=1e-9)
