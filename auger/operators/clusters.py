@@ -2,8 +2,8 @@
 
 ``lloyd``: Lloyd iterations from given starting centres, as plain DataFrame work: the
 assignment is one projection (k distance expressions, ``array_min`` of ``(distance, index)``
-structs), the update one aggregate ``groupBy(cluster, position)`` over the exploded vectors
-(partial aggregation leaves k x dims rows per task). Only the k centres travel to the driver.
+structs), the update one vector mean per cluster (partial aggregation leaves k rows per task).
+Only the k centres travel to the driver.
 
 ``cluster``: Spark ML ``KMeans`` (k-means||) and a 2-D ``PCA`` projection for the chart.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +47,10 @@ def lloyd(df: DataFrame, vec: str, init: list[list[float]], iterations: int = 5)
     base = df.select(F.col(vec).cast("array<double>").alias("_v")).transform(materialize)
     for _ in range(iterations):
         a = assign(base, "_v", centres, "_c")
-        means = (a.select("_c", F.posexplode("_v").alias("pos", "x"))
-                 .groupBy("_c", "pos").agg(F.avg("x").alias("m")).collect())  # k x dims rows
+        means = a.groupBy("_c").agg(Summarizer.mean(array_to_vector("_v")).alias("m")).collect()  # k rows
         new = [list(c) for c in centres]
         for r in means:
-            new[r["_c"]][r["pos"]] = r["m"]
+            new[r["_c"]] = r["m"].toArray().tolist()
         centres = new
     return centres
 
