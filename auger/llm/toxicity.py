@@ -22,6 +22,7 @@ from auger.session import write_scratch
 
 PREFIXES = (4, 5, 6)
 MAX_ROWS, MAX_FEATURES, L1 = 10_000, 20_000, 4e-4
+TOXIC_AT = 0.3
 
 
 def text_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,9 +141,10 @@ def _known(features: np.ndarray, values: np.ndarray, off: np.ndarray) -> list[np
     return [flat[run[a]:run[b]] for a, b in zip(off[:-1], off[1:])]
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text", toxic_at: float = TOXIC_AT) -> DataFrame:
     """``docs`` with ``expected_severity`` (mean grade), ``grade`` (the likeliest; ties: the lower) and ``toxic``
-    (grade above 0 likelier than not). Null and empty texts have no features and get the base rates;
+    (a grade above 0 has at least the probability ``toxic_at``; below a half, since the penalty draws
+    probabilities towards the base rates). Null and empty texts have no features and get the base rates;
     repeated rows stay; columns of these three names are replaced, others kept."""
     keys = [c for c in docs.columns if c not in ("expected_severity", "grade", "toxic")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -158,7 +160,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 p = np.diff(np.concatenate((np.zeros((len(eta), 1)), edge, np.ones((len(eta), 1))), axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(names.index(c)) for c in keys]
-                    + [pa.array(p @ np.arange(p.shape[1], dtype=float)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(edge[:, 0] < 0.5)],
+                    + [pa.array(p @ np.arange(p.shape[1], dtype=float)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(edge[:, 0] <= 1 - toxic_at)],
                     names=[*keys, "expected_severity", "grade", "toxic"])
 
     return docs.mapInArrow(score, schema)
