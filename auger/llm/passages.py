@@ -131,6 +131,8 @@ def _matches(docs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     met = seen.select("doc", "place", F.explode("heads").alias("head"))  # SALTS documents of a head at most
     owners = (met.groupBy("head").agg(F.min(F.struct("doc", "place")).alias("m"), F.max("doc").alias("most"))
               .where("m.doc < most").select("head", F.col("m.doc").alias("odoc"), F.col("m.place").alias("oplace")))
+    owners = write_scratch(owners, "owners")  # so that both sides of the join are plain shuffles, which Spark splits
+    scratch.append(owners)
     return near.unionAll(met.join(owners, "head").select("doc", "place", "odoc", "oplace").where("doc != odoc"))
 
 
