@@ -179,7 +179,7 @@ def repeats_by_text(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np
     return v, np.searchsorted(o, np.arange(len(off)))
 
 
-def text_batches(rows, chars: int = 4_000_000):
+def text_batches(rows, chars: int = 1_500_000):
     """Cut an Arrow batch with a ``text`` column into slices of about ``chars`` bytes of text."""
     import pyarrow.compute as pc
 
