@@ -2,7 +2,9 @@ r"""License scan by sentence rules, in Spark columns only.
 
 A text is cut into sentences (comment marks at line starts are taken off; a sentence ends at ``. ! ? ;`` before
 white space, at an empty line, and at a line end that no small letter follows); each is normalised to
-lower-case letters and digits with single blanks and looked up among known licence sentences. The ids found,
+lower-case letters and digits with single blanks and looked up among known licence sentences. Before that,
+the words of each known sentence are put on one line wherever they stand in a row, so that neither a wrapped line
+nor a stop inside a notice ("v. 2.0", "free software; you can") cuts it. The ids found,
 in the order of the text, are matched against the licence rules in the rules' order: a rule is a row of
 ids; where it matches, its ids are used up, so a rule for a whole licence comes before those for parts.
 """
@@ -56,6 +58,31 @@ SENTENCES = {
     "cc0-by": "this work has been dedicated to the public domain under cc0 1 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
     "reserved": "all rights reserved",
+    "agpl3-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero "
+                   "general public license as published by the free software foundation either version 3 of the license or at "
+                   "your option any later version",
+    "agpl-details": "see the gnu affero general public license for more details",
+    "lgpl21-later": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser "
+                    "general public license as published by the free software foundation either version 2 1 of the license or "
+                    "at your option any later version",
+    "lgpl3-later": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser "
+                   "general public license as published by the free software foundation either version 3 of the license or at "
+                   "your option any later version",
+    "lgpl-warranty": "this library is distributed in the hope that it will be useful but without any warranty without even the "
+                     "implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-details": "see the gnu lesser general public license for more details",
+    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that "
+                 "the following conditions are met",
+    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the "
+                  "following disclaimer",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+                  "following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-adverts": "all advertising materials mentioning features or use of this software must display the following "
+                   "acknowledgement",
+    "bsd-name": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+                "products derived from this software without specific prior written permission",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+                 "granted provided that the above copyright notice and this permission notice appear in all copies",
 }
 # Licence rules in their order, fixed values.
 RULES = [
@@ -89,23 +116,70 @@ RULES = [
     ("CC0-1.0", ("cc0-by",)),
     ("Unlicense", ("unlicense",)),
     ("Proprietary", ("reserved",)),
+    ("AGPL-3.0-or-later", ("agpl3-later", "gpl-warranty", "agpl-details")),
+    ("AGPL-3.0-or-later", ("agpl3-later",)),
+    ("LGPL-2.1-or-later", ("lgpl21-later", "lgpl-warranty", "lgpl-details")),
+    ("LGPL-3.0-or-later", ("lgpl3-later", "lgpl-warranty", "lgpl-details")),
+    ("LGPL-2.1-or-later", ("lgpl21-later", "gpl-warranty", "lgpl-details")),
+    ("LGPL-3.0-or-later", ("lgpl3-later", "gpl-warranty", "lgpl-details")),
+    ("LGPL-2.1-or-later", ("lgpl21-later",)),
+    ("LGPL-3.0-or-later", ("lgpl3-later",)),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-adverts", "bsd-name")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("ISC", ("isc-grant",)),
 ]
 _MARK = "\x01"
-# Steps from a text to sentences parted by _MARK: (pattern, replacement), fixed values.
-_STEPS = [
-    (r"(?m)^[ \t]*(/\*+|\*+/|\*+|//+|#+|--)[ \t]*", ""),
+# Between two words of a sentence: one line end at most and no stop before white space; in a sentence of at least
+# LONG words anything, so stops and empty lines inside the notices do not cut them.
+_GAP, _ANY_GAP, LONG = r"(?:[^A-Za-z0-9.!?;\n]+(?:\n[^A-Za-z0-9.!?;\n]*)?|\n[^A-Za-z0-9.!?;\n]*|\.)", "[^A-Za-z0-9]+", 15
+# Parts of known sentences that notices fill in or write in several ways: id -> (words, pattern), fixed values.
+_FORMS = {
+    "apache2-grant": ("0 the", r"0[^A-Za-z0-9.!?;]*\([^A-Za-z0-9.!?;]*the"),  # without the bracket it is apache2-by and a new sentence
+    "apache2-copy": ("http", "https?"),
+    "mpl2-copy": ("https", "https?"),
+    "lgpl21-later": ("this library", "this[^A-Za-z0-9]+(?:library|program)"),
+    "lgpl3-later": ("this library", "this[^A-Za-z0-9]+(?:library|program)"),
+    "bsd-adverts": ("acknowledgement", "acknowledge?ment[^.;]{0,300}"),
+    "bsd-name": ("the copyright holder", "[^;]{1,200}?"),
+    "isc-grant": ("and or", "and(?:[^A-Za-z0-9]+or)?"),
+}
+# Each known sentence has a word with one of these parts; texts without them need no search for sentences.
+_PARTS = ("licens", "permi", "warrant", "mpl", "public", "reserved", "redistribution", "advertising")
+
+
+def _in_one_line(i: str) -> tuple[str, str]:
+    """The step that writes the words of a known sentence with blanks between, in capitals but for the first letter."""
+    words, form = _FORMS.get(i, ("", ""))
+    gap = _ANY_GAP if SENTENCES[i].count(" ") + 1 >= LONG else _GAP
+    before, found, after = SENTENCES[i].partition(words) if words else (SENTENCES[i], "", "")
+    pattern = before.replace(" ", gap) + form * bool(found) + after.replace(" ", gap)
+    return rf"(?i)\b({pattern[0]}){pattern[1:]}\b", "$1" + SENTENCES[i][1:].upper()
+
+
+# Steps from a text to sentences parted by _MARK: (pattern, replacement), fixed values; the longest sentences first.
+_MARKS = [(r"(?m)^[ \t]*(/\*+|\*+/|\*+|//+|#+|--)[ \t]*", "")]
+_JOINS = [_in_one_line(i) for i in sorted(SENTENCES, key=lambda i: (-len(SENTENCES[i]), i))]
+_CUTS = [
     (r"[.!?;]([ \t\r\n]|$)", _MARK + "$1"),
     (r"\n[ \t\r]*\n", _MARK),
     (r"\n([ \t\r]*\p{Ll})", " $1"),
     (r"\n", _MARK),
 ]
+_STEPS = _MARKS + _JOINS + _CUTS
+
+
+def _replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
+    for pattern, by in steps:
+        text = F.regexp_replace(text, pattern, by)
+    return text
 
 
 def sentences(text: Column) -> Column:
     """The normalised sentences of a text, in order."""
-    for pattern, by in _STEPS:
-        text = F.regexp_replace(text, pattern, by)
-    return F.transform(F.split(text, _MARK), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    text = _replaced(text, _MARKS)
+    text = F.when(text.rlike("(?i)" + "|".join(_PARTS)), _replaced(text, _JOINS)).otherwise(text)
+    return F.transform(F.split(_replaced(text, _CUTS), _MARK), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
 
 
 def _key(ids: tuple[str, ...]) -> str:

@@ -1,3 +1,5 @@
+import textwrap
+
 from auger.llm import licenses as L
 
 MIT = """/* MIT License
@@ -41,3 +43,89 @@ def test_tables_are_sound():
 
 def test_odd_rows(spark, odd_docs, no_docs):
     assert L.scan(odd_docs).count() == 0 and L.scan(no_docs).count() == 0
+
+
+GPL = """This {what} is free software{stop} you can redistribute it and/or modify
+it under the terms of the GNU {name}General Public License as published by
+the Free Software Foundation; either version {v} of the License, or
+(at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {name}General Public License for more details."""
+APACHE = """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ADVERTS = """
+3. All advertising materials mentioning features or use of this software must
+   display the following acknowledgement: This product includes software
+   developed by the University of Somewhere and its contributors.
+"""
+NAME = """
+3. Neither the name of {who} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def notices():
+    gpl = lambda v, name="", what="program", stop=";": GPL.format(v=v, name=name, what=what, stop=stop)
+    return [("Apache-2.0", APACHE), ("MPL-2.0", MPL), ("GPL-2.0-or-later", gpl("2")), ("GPL-3.0-or-later", gpl("3", stop=":")),
+            ("AGPL-3.0-or-later", gpl("3", "Affero ")), ("LGPL-2.1-or-later", gpl("2.1", "Lesser ", "library")),
+            ("LGPL-3.0-or-later", gpl("3", "Lesser ")), ("BSD-2-Clause", BSD), ("BSD-3-Clause", BSD + NAME.format(who="the copyright holder")),
+            ("BSD-3-Clause", BSD + NAME.format(who="Some Org, Inc.")), ("BSD-4-Clause", BSD + ADVERTS + NAME.format(who="the University")),
+            ("ISC", ISC), ("ISC", ISC.replace("and/or", "and"))]
+
+
+def layouts(text):
+    yield text
+    yield "\n\n".join(" ".join(p.split()) for p in text.split("\n\n"))
+    yield "\r\n".join(text.split("\n"))
+    for mark in ("# ", "// ", " * "):
+        yield "\n".join((mark + line).rstrip() for line in text.split("\n"))
+    for width in (30, 47, 100):
+        yield "\n\n".join(textwrap.fill(p, width, break_long_words=False) for p in text.split("\n\n"))
+
+
+def test_official_notices_in_any_layout(spark):
+    cases = [(name, t) for name, notice in notices() for t in layouts(notice)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licenses"], r["unmatched"]) for r in L.scan(df).collect()}
+    assert {i: (name, "") for i, (name, _) in enumerate(cases)} == got
+
+
+def test_what_is_no_sentence_stays_none(spark):
+    rows = [(1, "All rights. Reserved"), (2, "the MIT\n\nLicense"), (3, "Licensed under the Apache License, Version 2.0\nThe License is long"),
+            (4, "Copyright Someone\nAll rights reserved\nReleased under the MIT\nLicense"), (5, "licensed under the MIT License\nagreement")]
+    got = {r["doc_id"]: r["licenses"] for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3: "Apache-2.0", 4: "MIT Proprietary"}
+
+
+def test_search_parts_are_in_all_sentences():
+    assert all(any(p in s for p in L._PARTS) for s in L.SENTENCES.values())
