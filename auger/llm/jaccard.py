@@ -242,8 +242,9 @@ def _sketch_rows(k: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs`` (``doc_id``, ``text``): ``doc_id, text_key, class_id, n_links, kept``.
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """One row per row of ``docs`` (``doc_id``, ``text``): ``doc_id, text_key, class_id, n_links, kept``; with ``row``,
+    a column of ``docs`` with a number for each row, written with it, that number as ``row`` too.
 
     ``n_links``: other rows whose shingle set has a Jaccard similarity of at least ``threshold`` (equal
     texts count); ``class_id``: smallest doc_id reachable by links; ``kept``: the one row of the class
@@ -251,7 +252,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
     without a word (null, empty, punctuation) link with nothing. A null id is not smaller than any
     other. Other columns are ignored. ``threshold`` must be at least ``THRESHOLD`` for the recall above."""
     base = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"),
-                       F.monotonically_increasing_id().alias("row"))
+                       (F.col(f"`{row}`") if row else F.monotonically_increasing_id()).alias("row"))
     base = write_scratch(base.mapInArrow(
         _sketch_rows(k), "row long, doc_id long, text_key long, s1 long, s2 long, n long, sketch binary"), "sketches")
     some = base.where("n > 0")
@@ -267,8 +268,13 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("n_blocks"))
     blocks = write_scratch(blocks, "blocks")
     wanted = members.join(blocks, "grp").join(base.select("row", "doc_id", "text_key"), "row")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
-    tokens = (texts.join(wanted, texts["id"].eqNullSafe(wanted["doc_id"]) & (texts["key"] == wanted["text_key"]))
+    if row:
+        texts = docs.select(F.col(f"`{row}`").alias("__row"), "text")
+        of_set = texts["__row"] == wanted["row"]
+    else:
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
+        of_set = texts["id"].eqNullSafe(wanted["doc_id"]) & (texts["key"] == wanted["text_key"])
+    tokens = (texts.join(wanted, of_set)
               .select("row", "copies", "grp", "n_blocks", "s1", "s2", "text")
               .mapInArrow(_set_rows(k), "row long, copies long, grp long, n_blocks int, tokens binary"))
     own = F.pmod(F.xxhash64("row"), F.col("n_blocks")).cast("int")
@@ -294,4 +300,5 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
     # written, so that both sides of the join below are plain shuffles, which Spark splits where a class is large
     first = write_scratch(placed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("m")), "first")
     return (placed.join(first, "class")
-            .select("doc_id", "text_key", F.col("m.doc_id").alias("class_id"), "n_links", (F.col("row") == F.col("m.row")).alias("kept")))
+            .select("doc_id", "text_key", F.col("m.doc_id").alias("class_id"), "n_links", (F.col("row") == F.col("m.row")).alias("kept"),
+                    *(["row"] if row else [])))

@@ -34,8 +34,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, the one of the smallest id."""
-    return _rows_of(docs, jaccard.jaccard_join(docs).where("kept"), "left_semi")
+    """Keeps one row of each group of near copies, the one of the smallest id (of repeated rows one)."""
+    number = "__n" + "_" * max(map(len, docs.columns))  # no column has this name
+    # written, so that the join's rows and these have the same numbers
+    numbered = write_scratch(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    kept = jaccard.jaccard_join(numbered, row=number).where("kept").select(F.col("row").alias(number))
+    return numbered.join(kept, number, "left_semi").drop(number)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

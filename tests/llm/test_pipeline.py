@@ -58,3 +58,12 @@ def test_odd_rows_pass_all_stages(spark, odd_docs, no_docs):
 
 def test_stage_order():
     assert [n for n, _ in P.STAGES] == ["language ID", "n-gram Jaccard join", "substring dedup", "benchmark decontamination", "best-fit packing"]
+
+
+def test_one_row_of_repeated_and_null_id_rows_stays(spark):
+    a, b, c = filler(1), filler(2), filler(3)
+    rows = [row(1, a)] * 3 + [row(None, b)] * 3 + [row(None, c), row(5, c), row(5, c), row(6, c + " more"), row(7, filler(4)), row(None, filler(5))]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kept = P.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (None, b), (5, c), (7, filler(4)), (None, filler(5))])
