@@ -37,7 +37,7 @@ HALF = WIDTH // 2
 HASHES, ENOUGH = 4, 2
 CHUNK = 64
 SAMPLE, LEAST_HOT, HOT_SHARE, MAX_HOT, SALTS = 32, 16, 64, 10_000, 32  # keys in 1/64 of the sampled documents are hot
-NO_ID = -(1 << 63)
+DOC = "struct<id:bigint,text_key:bigint>"  # a document: id (nulls first) and the hash of its text
 SIDES = ("l", "r", "b")  # left, right, both
 
 _SEEDS = mix(np.arange(101, 102 + HASHES, dtype=np.uint64))
@@ -90,15 +90,15 @@ def _emit(batches):
     for batch in batches:
         for b in text_batches(batch):
             words = Words(b.column("text").to_pylist())
-            doc = b.column("doc").to_numpy()
+            doc = b.column("doc")
             for key, owner, place, around in compact_windows(*shingles(words.hash, words.off, SHINGLE)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(doc[owner]), pa.array(place), pa.array(around.view(np.int64))],
+                    [pa.array(key.view(np.int64)), doc.take(pa.array(owner)), pa.array(place), pa.array(around.view(np.int64))],
                     names=["key", "doc", "place", "around"])
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc", "text").mapInArrow(_emit, "key long, doc long, place long, around long")
+    return docs.select("doc", "text").mapInArrow(_emit, f"key long, doc {DOC}, place long, around long")
 
 
 def _matches(docs: DataFrame, scratch: list[DataFrame]) -> DataFrame:
@@ -147,17 +147,26 @@ def _supported(start: np.ndarray, end: np.ndarray, j: np.ndarray, at: np.ndarray
     return enough[region[at]]
 
 
+def _numbers(docs: pa.StructArray) -> np.ndarray:
+    """For each document its rank among them."""
+    null = docs.field(0).is_null().to_numpy(zero_copy_only=False)
+    both = np.stack([~null, docs.field(0).fill_null(0).to_numpy(), docs.field(1).to_numpy()], axis=1).astype(np.int64)
+    return np.unique(both, axis=0, return_inverse=True)[1].ravel()
+
+
 def _runs(batches):
     for b in batches:
-        for doc, group in zip(b.column("doc").to_pylist(), b.column("m")):
+        for i, group in enumerate(b.column("m")):
             flat = group.values
-            place, odoc, oplace = (flat.field(i).to_numpy() for i in range(3))
+            place, oplace = flat.field(0).to_numpy(), flat.field(2).to_numpy()
+            odocs = flat.field(1)
+            odoc = _numbers(odocs)
             c, left, right, j = _place(place)
             oc, oleft, oright, _ = _place(oplace)
             shift = c - oc
             start, end = np.maximum(left, oleft + shift), np.minimum(right, oright + shift)
             order = np.lexsort((start, odoc))
-            odoc, start, end, shift, j = odoc[order], start[order], end[order], shift[order], j[order]
+            odocs, odoc, start, end, shift, j = odocs.take(pa.array(order)), odoc[order], start[order], end[order], shift[order], j[order]
             part = np.concatenate(([0], np.cumsum(odoc[1:] != odoc[:-1])))
             reach = np.maximum.accumulate(end + part * (1 << 40)) - part * (1 << 40)
             cut = np.concatenate(([True], (part[1:] != part[:-1]) | (start[1:] > reach[:-1] + 1) | (np.abs(np.diff(shift)) > WIDTH)))
@@ -168,7 +177,7 @@ def _runs(batches):
             # windows of one passage may have several owners, so look beyond those of this one
             lo, hi, olo, ohi = np.maximum(lo - WIDTH, 0), hi + WIDTH, np.maximum(olo - WIDTH, 0), ohi + WIDTH
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(lo), doc, dtype=np.int64)), pa.array(odoc[at][keep]), *map(pa.array, (lo, hi, olo, ohi))],
+                [b.column("doc").take(pa.array(np.full(len(lo), i))), odocs.take(pa.array(at[keep])), *map(pa.array, (lo, hi, olo, ohi))],
                 names=["doc", "odoc", "lo", "hi", "olo", "ohi"])
 
 
@@ -188,8 +197,8 @@ def _fetch(batches):
                         parts.append(part.tobytes())
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc").take(at), b.column("text_key").take(at), pa.array(numbers, pa.int64()), pa.array(parts, pa.binary())],
-                names=["doc", "text_key", "chunk", "part"])
+                [b.column("doc").take(at), pa.array(numbers, pa.int64()), pa.array(parts, pa.binary())],
+                names=["doc", "chunk", "part"])
 
 
 PENALTIES = (2.0, 4.0, 8.0)
@@ -249,7 +258,7 @@ def _join_parts(parts: list[dict]) -> np.ndarray:
 
 
 def _verify(batches):
-    names = ["doc", "text_key", "start_word", "end_word", "other_doc", "other_start", "other_end", "similarity"]
+    names = ["doc_id", "text_key", "start_word", "end_word", "other_doc", "other_start", "other_end", "similarity"]
     for b in batches:
         rows = []
         for r in b.to_pylist():
@@ -257,7 +266,7 @@ def _verify(batches):
             own = _join_parts(r["mine"])[r["lo"] - first:r["hi"] + 1 - first]
             other = _join_parts(r["theirs"])[r["olo"] - ofirst:r["ohi"] + 1 - ofirst]
             for x, y, ox, oy, similarity in stretches(own, other):
-                rows.append((r["doc"], r["text_key"], r["lo"] + x, r["lo"] + y + SHINGLE - 1, r["odoc"],
+                rows.append((r["doc"]["id"], r["doc"]["text_key"], r["lo"] + x, r["lo"] + y + SHINGLE - 1, r["odoc"]["id"],
                              r["olo"] + ox, r["olo"] + oy + SHINGLE - 1, similarity))
         cols = list(zip(*rows)) or [[]] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "similarity" else pa.int64()) for c, n in zip(cols, names)], names=names)
@@ -266,16 +275,16 @@ def _verify(batches):
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row per verified passage: ``doc_id, text_key, start_word, end_word, other_doc, other_start,
     other_end, similarity``. Words ``start_word`` to ``end_word`` (exclusive) of the document repeat words
-    ``other_start`` to ``other_end`` of ``other_doc``, a document with a smaller id, which keeps them.
+    ``other_start`` to ``other_end`` of ``other_doc``, a smaller document (id, then hash of the text), which keeps them.
 
     ``docs``: ``doc_id``, ``text``; other columns are ignored. Null texts and texts of fewer than 50 words
-    have no passage. Rows with equal ids count as one document (rows with null ids too, before all
-    others), in which repeats are not looked for; ``text_key`` hashes the text a passage was found in.
-    Repeated rows give their passages once."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    have no passage. Rows with equal ids and texts count as one document, in which repeats are not looked
+    for; rows with one id (or null ids, which come before all others) and different texts are documents of
+    their own, ordered by ``text_key``, the hash of the text. Repeated rows give their passages once."""
+    docs = docs.select(F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_key")).alias("doc"), "text")
     used: list[DataFrame] = []
     found = _matches(docs, used).groupBy("doc").agg(F.collect_set(F.struct("place", "odoc", "oplace")).alias("m"))  # a document's windows
-    runs = write_scratch(found.mapInArrow(_runs, "doc long, odoc long, lo long, hi long, olo long, ohi long")
+    runs = write_scratch(found.mapInArrow(_runs, f"doc {DOC}, odoc {DOC}, lo long, hi long, olo long, ohi long")
                          .withColumn("run", F.monotonically_increasing_id()), "runs")
     for t in used:
         drop_scratch(t)
@@ -284,22 +293,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     theirs = runs.select("run", F.col("odoc").alias("doc"), pieces("olo", "ohi").alias("chunk"))
     wanted = (mine.select("doc", "chunk").unionAll(theirs.select("doc", "chunk")).distinct()
               .groupBy("doc").agg(F.collect_list("chunk").alias("chunks")))  # a document's chunks
-    chunks = write_scratch(docs.withColumn("text_key", F.xxhash64("text")).join(wanted, "doc")
-                           .mapInArrow(_fetch, "doc long, text_key long, chunk long, part binary")
-                           .dropDuplicates(["doc", "text_key", "chunk"]), "chunks")
-    side = lambda rows, keys: (rows.join(chunks, ["doc", "chunk"]).groupBy(*keys)
-                               .agg(F.collect_list(F.struct("chunk", "part")).alias("parts")))
-    ours = side(mine, ["run", "text_key"]).withColumnRenamed("parts", "mine")
-    other = side(theirs, ["run", "text_key"]).select("run", F.col("parts").alias("theirs"))
-    whole = runs.join(ours, "run").join(other, "run")
-    out = whole.mapInArrow(_verify, "doc long, text_key long, start_word long, end_word long, other_doc long, "
+    chunks = write_scratch(docs.join(wanted, "doc").mapInArrow(_fetch, f"doc {DOC}, chunk long, part binary")
+                           .dropDuplicates(["doc", "chunk"]), "chunks")
+    side = lambda rows, name: (rows.join(chunks, ["doc", "chunk"]).groupBy("run")
+                               .agg(F.collect_list(F.struct("chunk", "part")).alias(name)))
+    whole = runs.join(side(mine, "mine"), "run").join(side(theirs, "theirs"), "run")
+    out = whole.mapInArrow(_verify, "doc_id long, text_key long, start_word long, end_word long, other_doc long, "
                                     "other_start long, other_end long, similarity double").distinct()
     out = write_scratch(out, "passages")
     drop_scratch(runs)
     drop_scratch(chunks)
-    no_id = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(no_id("doc").alias("doc_id"), "text_key", "start_word", "end_word", no_id("other_doc").alias("other_doc"),
-                      "other_start", "other_end", "similarity")
+    return out
 
 
 def _cut(batches):
@@ -323,7 +327,7 @@ def _cut(batches):
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``docs`` without the words of ``passages``: the copy in the document of the smallest id stays.
+    """``docs`` without the words of ``passages``: the copy in the smallest document stays.
     ``n_chars``, if there, follows; documents that lose all their words go."""
     spans = passages.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
         F.collect_list(F.struct("start_word", "end_word")).alias("__spans"))  # a document's passages

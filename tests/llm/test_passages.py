@@ -126,3 +126,18 @@ def test_stretches_split_where_words_are_missing(threshold):
     own = np.concatenate([other[:120], other[260:]])
     got = passages.stretches(own, other)
     assert sum(b - a for a, b, *_ in got) >= 255 and all(s >= threshold for *_, s in got)
+
+
+def test_rows_of_one_id_or_without_one_are_documents_of_their_own(spark):
+    rng = random.Random(6)
+    text = lambda k: " ".join(f"n{rng.randrange(10 ** 6)}" for _ in range(k))
+    p, q, s = text(80), text(90), text(70)
+    rows = [(None, f"{text(300)} {p} {text(40)}"), (5, f"{text(70)} {p}"), (9, f"{p} {text(90)}"),
+            (None, f"{text(130)} {q}"), (None, f"{q} {text(20)}"), (3, f"{text(30)} {s}"), (3, f"{s} {text(200)}")]
+    rows += [(None, text(400)) for _ in range(30)] + [rows[0], rows[3], rows[5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = passages.repeated_passages(docs)
+    got = [(r["doc_id"], r["other_doc"]) for r in found.collect()]
+    assert sorted(got, key=str) == [(3, 3), (5, None), (9, None), (None, None)]
+    left = [" ".join(word_list(r["text"])) for r in passages.remove_passages(docs.distinct(), found).collect()]
+    assert [sum(x in t for t in left) for x in (p, q, s)] == [1, 1, 1]
