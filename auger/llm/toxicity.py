@@ -3,7 +3,7 @@
 Features of a text are the 64-bit hashes of its words and of their beginnings of ``PREFIXES`` letters, each
 counted once. The model is P(grade <= k) = sigmoid(threshold_k - x.w): one weight vector shared by all
 ordered thresholds. It is fitted on a bounded sample of labelled rows (``max_rows``) over a bounded set of
-features (``max_features``: those in most texts of a grade above 0, without those in over a fifth of all)
+features (``max_features``: those in most texts of a grade above 0, without those in over a fifth of all that are as frequent in grade 0)
 with an L1 penalty, so only features that tell grades apart keep a weight and long texts gather no noise.
 Scoring reads every whole text; the weights are broadcast, at most ``max_features`` numbers.
 """
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, grades: DataFrame, max_rows: int = MAX_ROWS, max_featur
     lists = table.column("index").combine_chunks()
     off = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
     index = lists.flatten().to_numpy()
-    usual = np.bincount(index, minlength=len(features)) > 0.2 * len(grade)
+    usual = _usual(index, off, grade, len(features))
     drop = np.concatenate(([0], np.cumsum(usual[index])))
     off = off - drop[off]
     index = index[~usual[index]]
@@ -131,6 +131,19 @@ def fit(docs: DataFrame, grades: DataFrame, max_rows: int = MAX_ROWS, max_featur
     return Model(features[kept], w[kept], thresholds)
 
 
+def _usual(index: np.ndarray, off: np.ndarray, grade: np.ndarray, n_features: int) -> np.ndarray:
+    """Features in over a fifth of the rows whose shares in grade 0 and above differ by three standard errors at most."""
+    above = grade > 0
+    n, n_above = len(grade), int(above.sum())
+    if n_above in (0, n):
+        return np.zeros(n_features, dtype=bool)
+    count = np.bincount(index, minlength=n_features)
+    toxic = np.bincount(index, weights=above[np.repeat(np.arange(n), np.diff(off))], minlength=n_features)
+    share = count / n
+    error = np.sqrt(share * (1 - share) * (1 / n_above + 1 / (n - n_above)))
+    return (share > 0.2) & (np.abs(toxic / n_above - (count - toxic) / (n - n_above)) <= 3 * error)
+
+
 def _known(features: np.ndarray, values: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     if not len(features):
         return [np.empty(0, dtype=np.int32)] * (len(off) - 1)

@@ -63,3 +63,15 @@ def test_odd_rows(spark, odd_docs, no_docs):
     none = T.fit(no_docs, grades)
     assert {r["toxic"] for r in T.predict(odd_docs, none).collect()} == {False}
     assert T.predict(no_docs, model).count() == 0
+
+
+def test_a_third_of_the_rows_are_toxic_copies(spark):
+    rng = np.random.default_rng(3)
+    clean = [(i, " ".join(f"w{k}" for k in rng.integers(0, 900, 40)) + " the", 0) for i in range(400)]
+    copies = [(1000 + i, "you vile rotten creature the", 1) for i in range(200)]
+    df = spark.createDataFrame(clean + copies, "doc_id long, text string, grade int")
+    model = T.fit(df.select("doc_id", "text"), df.select("doc_id", "grade"))
+    new = spark.createDataFrame([(1, "such a vile rotten thing"), (2, ""), (3, None), (4, "the w1 w2 w3")], "doc_id long, text string")
+    assert {r["doc_id"] for r in T.predict(new, model).collect() if r["toxic"]} == {1}
+    got = T.predict(df, model).collect()
+    assert all(r["toxic"] == (r["doc_id"] >= 1000) for r in got)
