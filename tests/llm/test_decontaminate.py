@@ -58,3 +58,20 @@ def test_documents_against_brute_force(spark):
         for i in range(len(w) - 7):
             want |= {(r["doc_id"], k) for k in grams.get(tuple(w[i:i + 8]), ())}
     assert {(r["doc_id"], r["item_id"]) for r in D.contaminated(docs, items).collect()} == want
+
+
+def test_items_without_a_template_window(spark):
+    short, dense, words = "What is 17 + 25?", "Add 12 kg, 15 km, 18 lb and 21 miles to 24 minutes, 27 hours and 30 days.", "Prove Fermat's theorem."
+    items = [(1, short, 1), (2, dense, 1), (3, words, 1), (4, "Yes.", 1)]
+    docs = [(1, f"{filler(1)}. {short} {filler(2)}"), (2, f"{filler(3)}\n{dense}\n{filler(4)}"), (3, f"{filler(5)} {words}"), (4, short),
+            (5, "What is 18 + 25?"), (6, dense.replace("1", "9").replace("2", "8").replace("3", "7")), (7, f"yes {filler(7)}"), (8, "YES!"), (9, filler(9))]
+    got = run(spark, [(*d, "w", 1) for d in docs], items)
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 1), (8, 4)}
+    assert all(r["same_values"] and r["coverage"] == 1 for r in got.values())
+
+
+def test_literal_words_are_found_whatever_their_share(spark):
+    words = [f"q{k}" for k in range(60)]
+    docs = [(1, f"{filler(1)} {' '.join(words[20:45])} {filler(2)}"), (2, f"{filler(3)} {' '.join(words[5:12])} {filler(4)}")]
+    got = run(spark, [(*d, "w", 1) for d in docs], [(1, " ".join(words), 1)])
+    assert set(got) == {(1, 1)} and abs(got[1, 1]["coverage"] - 25 / 60) < 1e-9
