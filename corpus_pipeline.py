@@ -7,6 +7,7 @@ extra columns pass through as the operators state; an empty table gives an empty
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,11 @@ def _rows_of(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language can be told; those without a letter or text go."""
+    """Keeps documents whose language can be told; those without a letter or text go. Where no row has a
+    language, all others stay."""
     langs, weights = langid.fit(docs.select("text", "lang"))
+    if not langs:  # nothing was learned: one language for every text with a letter
+        langs, weights = ["any"], np.zeros((2, 1), dtype=np.float32)
     names = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*names).alias("__row"), F.col("text").alias("__text"))
     known = langid.predict(rows, langs, weights, text="__text").where(F.col("lang_pred") != langid.UNKNOWN)

@@ -67,3 +67,9 @@ def test_one_row_of_repeated_and_null_id_rows_stays(spark):
     kept = P.drop_near_copies(spark, docs, "")
     assert kept.columns == docs.columns
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (None, b), (5, c), (7, filler(4)), (None, filler(5))])
+
+
+def test_documents_stay_where_no_row_has_a_language(spark):
+    rows = [row(1, "one text", None), row(2, "żółw", None), row(3, "12 ... 34", None), row(4, None, None), row(5, "", None)]
+    kept = P.identify_language(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert {r["doc_id"] for r in kept.collect()} == {1, 2}
