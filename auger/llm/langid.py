@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts the 1- to 3-grams of lower-cased texts (padded by one blank) in ``2**bits`` slots per
-language, on a bounded sample: of each language at most about ``per_lang`` rows, those with the smallest
-hashes of their text, so the sample depends on the rows alone. Counts are summed by Spark; the slots x
+language, on a bounded sample: of each language at most about ``per_lang`` different texts, each once, those with
+the smallest hashes, so the sample depends on the rows alone. Counts are summed by Spark; the slots x
 languages matrix of log probabilities is the only thing that reaches the driver and is broadcast.
 Its size is bounded: the number of slots shrinks as languages grow (``MAX_CELLS``).
 
@@ -48,10 +48,10 @@ def has_letter(text: str | None) -> bool:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 8000, bits: int = 16,
         alpha: float = 0.1) -> tuple[list[str], np.ndarray]:
     """Languages (sorted) and the ``2**bits x languages`` matrix of log probabilities; its last row
-    holds the log priors. Rows with null text or language, or without a letter, teach nothing."""
+    holds the log priors. Rows with null text or language, or without a letter, teach nothing; copies teach once."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(
         "text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.select("lang", F.xxhash64("text")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((1, 0), dtype=np.float32)
@@ -61,7 +61,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: i
         [(x, i, min(1.0, per_lang / counts[x])) for i, x in enumerate(langs)], "lang string, k int, share double")
     sample = (rows.join(F.broadcast(share), "lang")
               .where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) < F.col("share") * float(1 << 30))
-              .select("text", "k"))
+              .select("text", "k").distinct())
     n_lang, n_slots = len(langs), 1 << bits
 
     def count(batches):

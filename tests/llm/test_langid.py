@@ -53,3 +53,12 @@ def test_languages_are_bounded_by_cells(spark, monkeypatch):
     df = spark.range(12).select(F.concat(F.lit("text"), "id").alias("text"), F.col("id").cast("string").alias("lang"))
     langs, table = langid.fit(df)
     assert len(langs) == 12 and table.size <= (1 << 12) + 12
+
+
+def test_copies_teach_once(spark):
+    rows = [(f"some english words number w{i}x", "x") for i in range(300)] + [("qqq qqq qqq", "x")] * 2000 + [(f"inne zdanie w{i}x", "y") for i in range(300)]
+    once = langid.fit(spark.createDataFrame(sorted(set(rows)), "text string, lang string"), bits=10)
+    copied = langid.fit(spark.createDataFrame(rows, "text string, lang string"), bits=10)
+    assert once[0] == copied[0] and np.array_equal(once[1], copied[1])
+    small = langid.fit(spark.createDataFrame(rows, "text string, lang string"), bits=10, per_lang=100)[1]
+    assert 0.3 < np.exp(small[-1, 0]) < 0.7
