@@ -38,7 +38,7 @@ def test_empty_tables(spark):
 
 
 def test_odd_rows(spark, odd_docs):
-    from conftest import PASSAGE
+    from odd_rows import PASSAGE
     items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     assert {r["doc_id"] for r in D.contaminated(odd_docs, items).collect()} == {9, 10, 11}
 
