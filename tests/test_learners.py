@@ -10,7 +10,7 @@ from auger.operators.learners.bayes import naive_bayes_fit
 from auger.operators.learners.boosting import fit_boosting, leaf_value, start_values
 from auger.operators.learners.sgd import sgd_linear, sgd_linear_vector
 
-from conftest import SF_MID
+from paths import SF_MID
 
 
 def test_boosting_golden_constants():
