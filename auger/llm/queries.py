@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auger.llm import chat, decontaminate, embeddings, jaccard, langid, licenses, packing, passages, sharding, toxicity
+from auger.llm import (bpe, chat, decontaminate, embeddings, jaccard, langid, licenses, packing, passages, sharding,
+                       toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,6 +146,16 @@ def uniform_shards(spark, d):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op11_bpe_round_trip")
+def bpe_round_trip(spark, d):
+    """The ids of every whole text, and what they decode to."""
+    path = public_tokenizers.path(TOKENIZER)
+    ids = bpe.encode(table(spark, d, "documents"), path, packed=True)
+    return bpe.decode(ids, path).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
