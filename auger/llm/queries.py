@@ -9,12 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auger.llm import (bpe, chat, decontaminate, embeddings, jaccard, langid, licenses, packing, passages, sharding,
-                       toxicity)
+from auger.llm import (alignment, bpe, chat, decontaminate, embeddings, jaccard, langid, licenses, packing, passages,
+                       sharding, toxicity)
+from auger.session import write_scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -156,6 +157,18 @@ def bpe_round_trip(spark, d):
         F.sha2("text", 256).alias("decoded_sha256"))
 
 
+@query("op12_tokenizer_alignment")
+def tokenizer_alignment(spark, d):
+    """Groups and links of the byte-level and the piece tokenizer in every document."""
+    paths = public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    aligned = (alignment.align(table(spark, d, "documents"), *paths)
+               .withColumn("groups_sha256", digest).drop("groups"))
+    aligned = write_scratch(aligned, "aligned")
+    counts = write_scratch(alignment.pair_counts(aligned), "link-counts")
+    return alignment.score_links(aligned, counts)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
