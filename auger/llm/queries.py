@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auger.llm import (alignment, bpe, chat, decontaminate, embeddings, jaccard, langid, licenses, packing, passages,
-                       sharding, toxicity)
+                       sharding, toxicity, whitening)
 from auger.session import write_scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +169,15 @@ def tokenizer_alignment(spark, d):
     return alignment.score_links(aligned, counts)
 
 
+@query("op13_embedding_whitening")
+def embedding_whitening(spark, d):
+    """All embeddings whitened on up to eight components, fitted on all of them."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(rows, "embedding").select(
+        "vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", "explained",
+        "identity_error")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
