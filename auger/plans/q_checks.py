@@ -40,6 +40,44 @@ def csv_ragged(spark, d):
     return back.select(F.col("c_custkey").cast("long"), "c_name", "c_mktsegment", F.col("bad_fields").cast("int"))
 
 
+_RAGGED_NAMES = ["c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment"]
+
+
+def _ragged_customers(spark, d) -> str:
+    """Customers as CSV rows: every 7th with two fields more, else every 5th with two less, else every 11th with
+    a balance that is no number."""
+    key, rest = F.col("c_custkey"), F.concat_ws(",", F.col("c_nationkey").cast("string"), "c_mktsegment")
+    bal = F.when((key % 11 == 0) & (key % 5 != 0) & (key % 7 != 0), F.lit("none known")).otherwise(F.col("c_acctbal").cast("string"))
+    line = (F.when(key % 7 == 0, F.concat_ws(",", key.cast("string"), bal, rest, F.lit("more"), F.lit('"a,b"')))
+            .when(key % 5 == 0, F.concat_ws(",", key.cast("string"), bal))
+            .otherwise(F.concat_ws(",", key.cast("string"), bal, rest)))
+    path = scratch_path(spark, "ragged")
+    table(spark, d, "customer").select(line.alias("value")).write.text(path)
+    return path
+
+
+@query("ragged_jobs", "A8 A6 F7 streaming", sql="""
+with r as (
+  select case when c_custkey % 7 = 0 or c_custkey % 5 = 0 then 2 when c_custkey % 11 = 0 then 1 else 0 end as bad from customer),
+s as (select cast(count(*) as bigint) as n, cast(count(*) filter (where bad > 0) as bigint) as bad_rows, cast(sum(bad) as bigint) as bad_fields from r)
+select job, n as "rows", bad_rows, bad_fields from s, (values ('scoring'), ('stream'), ('training')) as j(job)
+""")
+def ragged_jobs(spark, d):
+    """Ragged rows are counted by the scoring set's reader, by the stream and by the configured training job."""
+    from auger.plans.train_report import train_from_config
+    from auger.streaming.score_files import score_arrivals
+    path, sink = _ragged_customers(spark, d), scratch_path(spark, "ragged-scored")
+    cfg = JobConfig(path=path, names=tuple(_RAGGED_NAMES), response=LabelSpec("name", "c_mktsegment"), key="c_custkey")
+    counts = lambda df, job: df.agg(
+        F.lit(job).alias("job"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_bad_fields") > 0).alias("bad_rows"),
+        F.sum("_bad_fields").cast("long").alias("bad_fields"))
+    scoring = counts(tables.read_scoring(spark, path, cfg), "scoring")
+    score_arrivals(spark, path, _RAGGED_NAMES, ["c_acctbal", "c_nationkey"], lambda df: df, sink).awaitTermination()
+    rep = train_from_config(spark, cfg, "DECISION_TREE")
+    return (scoring.unionByName(counts(spark.read.parquet(sink), "stream"))
+            .unionByName(rep["input"].select(F.lit("training").alias("job"), "rows", "bad_rows", "bad_fields")))
+
+
 @query("arff_markers", "A7", sql="""
 select event_id, case cast(event_id % 6 as integer) when 0 then '@handle' when 1 then '%odd' when 2 then 'it''s' when 3 then '@data'
                  when 4 then 'a, b' else event_type end as mark from events

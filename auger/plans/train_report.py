@@ -77,7 +77,7 @@ def train_and_report(spark: SparkSession, df: DataFrame, algorithm: str, feature
     for p in parts[1:]:
         metrics = metrics.unionByName(p)
     out = {"metrics": metrics, "confusion": M.confusion(scored, "prediction", label), "predictions": scored,
-           "model": model, "threshold": thr}
+           "model": model, "threshold": thr, "algorithm": algorithm}
     if hasattr(model, "featureImportances"):
         out["importances"] = importances(spark, model)
     elif algorithm.lower() in ("deep_learning", "perceptron"):
@@ -88,24 +88,29 @@ def train_and_report(spark: SparkSession, df: DataFrame, algorithm: str, feature
 def train_from_config(spark: SparkSession, cfg: JobConfig, algorithm: str, **settings) -> dict[str, DataFrame]:
     """A8 -> A1 -> B3/B4 -> B9 -> B11 -> F7: the configured training job end to end.
 
-    Numeric columns are cleaned and cast to double; columns named in ``cfg.categorical`` are
+    Numeric columns are cleaned and cast to double, missing ones take the training rows' mean; columns named in ``cfg.categorical`` are
     cleaned and level-indexed in text order (indexes fitted on training rows, unseen levels get
     one extra index) and enter the feature vector as nominal attributes, so tree learners split
     them by level sets. Tree learners need ``max_bins`` at least the number of levels.
+
+    ``input`` in the report (also a section of its metrics) counts the rows read, those that lost a field
+    (missing, left over or no number) and the fields lost; ``algorithm`` is the learner used.
     """
     from pyspark.ml import PipelineModel
-    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.feature import Imputer, StringIndexer
 
-    from auger.functions.cleaning import clean_col, encode_frame
+    from auger.functions.cleaning import BAD_FIELDS_COL, clean_col, encode_frame
     from auger.functions.encoding import assembler, index_label
     from auger.sources.models import PreparedModel
-    from auger.sources.tables import read_config_table
+    from auger.sources.tables import RAGGED, add_ragged, read_config_table
 
-    raw = read_config_table(spark, cfg)
-    resp = (cfg.response if isinstance(cfg.response, LabelSpec) else LabelSpec("name", cfg.response)).resolve(raw.columns)
+    raw = read_config_table(spark, cfg, RAGGED)
+    resp = (cfg.response if isinstance(cfg.response, LabelSpec) else LabelSpec("name", cfg.response)).resolve([c for c in raw.columns if c != RAGGED])
     cats = [c for c in cfg.categorical if c != resp and c not in cfg.ignored]
-    nums = [c for c in raw.columns if c != resp and c not in cfg.ignored and c not in cats]
-    df = encode_frame(raw.withColumns({c: clean_col(c) for c in [resp, *cats]}), nums)
+    nums = [c for c in raw.columns if c not in (resp, RAGGED) and c not in cfg.ignored and c not in cats]
+    df = add_ragged(encode_frame(raw.withColumns({c: clean_col(c) for c in [resp, *cats]}), nums))
+    lost = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(BAD_FIELDS_COL) > 0).alias("bad_rows"),
+                  F.coalesce(F.sum(BAD_FIELDS_COL), F.lit(0)).alias("bad_fields"))
     key = cfg.key
     if not key:  # without a key the split goes by a hash of the raw row: repeatable, and known before any fit
         key = "_row"
@@ -117,7 +122,9 @@ def train_from_config(spark: SparkSession, cfg: JobConfig, algorithm: str, **set
     if cats:
         stages.append(StringIndexer(inputCols=cats, outputCols=[c + "_lvl" for c in cats],
                                     stringOrderType="alphabetAsc", handleInvalid="keep").fit(fit_part))
-    stages.append(assembler([*nums, *[c + "_lvl" for c in cats]], "features"))
+    if nums:  # what a row lacks counts as the mean of the training rows, in training and in scoring
+        stages.append(Imputer(inputCols=nums, outputCols=[c + "_num" for c in nums]).fit(fit_part))
+    stages.append(assembler([*[c + "_num" for c in nums], *[c + "_lvl" for c in cats]], "features"))
     prep = PipelineModel(stages=stages)
     positive = 1.0
     if cfg.positive_label is not None:
@@ -130,4 +137,6 @@ def train_from_config(spark: SparkSession, cfg: JobConfig, algorithm: str, **set
                        else PreparedModel(prep, rep["model"]))
     rep["n_classes"] = max(2, len(idx.labels))
     rep["labels"] = list(idx.labels)
+    rep["input"] = lost
+    rep["metrics"] = rep["metrics"].unionByName(_kv(lost, "input"))
     return rep

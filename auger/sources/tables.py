@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auger.functions.cleaning import clean_col, encode_frame
+from auger.functions.cleaning import BAD_FIELDS_COL, clean_col, encode_frame
 from auger.sources.config import JobConfig
 
 
-_RAW = "_corrupt_record"
+_RAW, RAGGED = "_corrupt_record", "_ragged"
 
 
 def string_schema(names: Iterable[str]) -> T.StructType:
@@ -34,24 +34,28 @@ def read_table(spark: SparkSession, path: str, names: Iterable[str], sep: str =
     missing or left over in each row (0 for a sound one), so that neither goes unseen.
     """
     names = list(names)
-    schema = string_schema(names)
-    r = spark.read.schema(schema.add(_RAW, T.StringType()) if bad_fields else schema)
-    if bad_fields:
-        r = r.option("columnNameOfCorruptRecord", _RAW).option("columnPruning", False)
-    r = (r
-         .option("sep", sep)
-         .option("header", header)
-         .option("mode", "PERMISSIVE")
-         .option("ignoreLeadingWhiteSpace", trim)
-         .option("ignoreTrailingWhiteSpace", trim))
+    r = csv_options(spark.read.option("header", header), names, sep, trim, bad_fields is not None)
     if line_sep:
         r = r.option("lineSep", line_sep)
     df = r.csv(path)
-    if not bad_fields:
-        return df
+    return count_bad_fields(df, len(names), sep, bad_fields) if bad_fields else df
+
+
+def csv_options(reader, names: Iterable[str], sep: str = ",", trim: bool = True, keep_raw: bool = False):
+    """A batch or streaming reader set up for string columns; ``keep_raw`` keeps the text of ragged rows."""
+    schema = string_schema(names)
+    if keep_raw:
+        reader = reader.option("columnNameOfCorruptRecord", _RAW).option("columnPruning", False)
+        schema = schema.add(_RAW, T.StringType())
+    return (reader.schema(schema).option("sep", sep).option("mode", "PERMISSIVE")
+            .option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim))
+
+
+def count_bad_fields(df: DataFrame, width: int, sep: str, out: str) -> DataFrame:
+    """The fields missing or left over in each row, from the kept text of ragged rows (0 elsewhere)."""
     bare = F.regexp_replace(_RAW, r'"([^"\\]|\\.|"")*"', "")  # separators inside quotes part no fields
     n_fields = F.size(F.split(bare, re.escape(sep), -1))
-    return df.withColumn(bad_fields, F.coalesce(F.abs(n_fields - len(names)), F.lit(0))).drop(_RAW)
+    return df.withColumn(out, F.coalesce(F.abs(n_fields - width), F.lit(0))).drop(_RAW)
 
 
 def read_positional(spark: SparkSession, path: str, n_columns: int | None = None, sep: str = ",",
@@ -90,22 +94,31 @@ def read_inferred(spark: SparkSession, path: str, sep: str = ",", sampling_ratio
             .option("samplingRatio", sampling_ratio).option("sep", sep).csv(path))
 
 
-def read_config_table(spark: SparkSession, cfg: JobConfig) -> DataFrame:
-    """A1 driven by A8."""
+def read_config_table(spark: SparkSession, cfg: JobConfig, bad_fields: str | None = None) -> DataFrame:
+    """A1 driven by A8; ``bad_fields`` as in :func:`read_table`. Names come from the settings, from the header
+    line, or by position."""
     if cfg.header or not cfg.names:
-        return spark.read.option("header", cfg.header).option("sep", cfg.sep).csv(cfg.path)
-    return read_table(spark, cfg.path, cfg.names, sep=cfg.sep)
+        names = spark.read.option("header", cfg.header).option("sep", cfg.sep).csv(cfg.path).columns
+        return read_table(spark, cfg.path, names, sep=cfg.sep, trim=False, header=cfg.header, bad_fields=bad_fields)
+    return read_table(spark, cfg.path, cfg.names, sep=cfg.sep, bad_fields=bad_fields)
 
 
 def read_scoring(spark: SparkSession, path: str, cfg: JobConfig, drop_label: bool = True) -> DataFrame:
-    """An unlabelled (or label-dropped) scoring set, cleaned exactly like the training set."""
-    df = read_table(spark, path, cfg.names, sep=cfg.sep)
+    """An unlabelled (or label-dropped) scoring set, cleaned exactly like the training set.
+
+    ``_bad_fields`` counts what each row lost: fields that are no number, and those missing or left over."""
+    df = read_table(spark, path, cfg.names, sep=cfg.sep, bad_fields=RAGGED)
     resp = cfg.response.resolve(list(cfg.names))
     if drop_label:
         df = df.drop(resp)
-    feats = [c for c in df.columns if c not in cfg.ignored and c not in cfg.categorical and c != resp]
+    feats = [c for c in df.columns if c not in cfg.ignored and c not in cfg.categorical and c not in (resp, RAGGED)]
     cats = [c for c in cfg.categorical if c in df.columns]
-    return encode_frame(df.withColumns({c: clean_col(c) for c in cats}), feats)
+    return add_ragged(encode_frame(df.withColumns({c: clean_col(c) for c in cats}), feats))
+
+
+def add_ragged(df: DataFrame) -> DataFrame:
+    """Add the fields that ragged rows miss or have left over to ``_bad_fields``."""
+    return df.withColumn(BAD_FIELDS_COL, F.col(BAD_FIELDS_COL) + F.col(RAGGED)).drop(RAGGED)
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> str:
