@@ -7,13 +7,15 @@ on every machine; indexers are fitted on the training part only and applied to t
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auger.session import materialize
+from auger.operators.joins import salted_join
+from auger.session import materialize, write_scratch
 
 
 def index_label(train: DataFrame, response: str, out: str = "label",
@@ -61,6 +63,52 @@ def domains(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return ordered_positions(distinct, "column", "level", "level_index")
 
 
+BROADCAST_LEVELS = 100_000
+
+
+@dataclass
+class LevelDictionary:
+    """Text levels of columns and their places in text order, as a table that Spark joins.
+
+    ``table`` (``column, level, level_index``) is written and never collected, so columns may have any number of
+    levels. Up to ``BROADCAST_LEVELS`` levels in all it is broadcast; beyond, it is joined by shuffle with
+    frequent levels salted. Levels not in it, and nulls, get null."""
+
+    table: DataFrame
+    columns: list[str]
+    n_levels: int
+
+    @classmethod
+    def fit(cls, df: DataFrame, columns: Iterable[str]) -> "LevelDictionary":
+        columns = list(columns)
+        table = write_scratch(domains(df, columns), "levels")
+        return cls(table, columns, table.count())
+
+    def sizes(self) -> dict[str, int]:
+        found = {r[0]: r[1] for r in self.table.groupBy("column").count().collect()}  # one row per column
+        return {c: found.get(c, 0) for c in self.columns}
+
+    def transform(self, df: DataFrame, out: dict[str, str]) -> DataFrame:
+        """Add the level index of each column named in ``out`` as a column of the name given there."""
+        for c, name in out.items():
+            level = self.table.where(F.col("column") == c).select(F.col("level").alias("_level"), F.col("level_index").alias(name))
+            df = df.withColumn("_level", F.col(f"`{c}`").cast("string"))
+            if self.n_levels <= BROADCAST_LEVELS:
+                df = df.join(F.broadcast(level), "_level", "left").drop("_level")
+            else:
+                others = [k for k in df.columns if k != "_level"]
+                df = salted_join(df, level, "_level", others, "left").drop("_level")
+        return df
+
+    def save(self, path: str) -> None:
+        self.table.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> "LevelDictionary":
+        table = spark.read.parquet(path)
+        return cls(table, [r[0] for r in table.select("column").distinct().orderBy("column").collect()], table.count())
+
+
 def ordered_positions(df: DataFrame, group: str, order: str, out: str = "pos",
                       partitions: int | None = None) -> DataFrame:
     """0-based position of each row within its ``group`` in ``order`` (values unique per group).

@@ -93,6 +93,17 @@ class _AveragedNetworkEstimator:
 _REGISTRY: dict[str, Callable[..., object]] = {}
 
 
+class _HistogramBoostEstimator:
+    """Boosting on the columns themselves: text columns are split by level sets, however many levels."""
+
+    def __init__(self, numeric, categorical=(), **settings):
+        self.columns, self.settings = (list(numeric), list(categorical)), settings
+
+    def fit(self, df):
+        from auger.operators.learners.histogram_trees import fit_histogram_boosting
+        return fit_histogram_boosting(df, *self.columns, **self.settings)
+
+
 def register(name: str, factory: Callable[..., object]) -> None:
     _REGISTRY[name.lower()] = factory
 
@@ -129,6 +140,7 @@ register("glm_lbfgs", builtin.glm)
 register("glm_cv", builtin.glm_cv)
 register("gbm", builtin.gbm)
 register("gbm_newton", lambda n_classes=None, **kw: _BoostEstimator(n_classes=n_classes, **kw))
+register("gbm_histogram", lambda numeric, categorical=(), **kw: _HistogramBoostEstimator(numeric, categorical, **kw))
 register("deep_learning", lambda n_in, n_classes, **kw: _AveragedNetworkEstimator(n_in, n_classes, **kw))
 register("perceptron", lambda n_in, n_classes, **kw: builtin.network(n_in, n_classes, **kw))
 # the original's enum names

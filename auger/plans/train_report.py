@@ -106,7 +106,9 @@ def train_from_config(spark: SparkSession, cfg: JobConfig, algorithm: str, **set
 
     raw = read_config_table(spark, cfg, RAGGED)
     resp = (cfg.response if isinstance(cfg.response, LabelSpec) else LabelSpec("name", cfg.response)).resolve([c for c in raw.columns if c != RAGGED])
-    cats = [c for c in cfg.categorical if c != resp and c not in cfg.ignored]
+    if resp == "label":  # the name that the class index takes
+        raw, resp = raw.withColumnRenamed("label", "_response"), "_response"
+    cats = [c for c in cfg.categorical if c not in (resp, "label") and c not in cfg.ignored]
     nums = [c for c in raw.columns if c not in (resp, RAGGED) and c not in cfg.ignored and c not in cats]
     df = add_ragged(encode_frame(raw.withColumns({c: clean_col(c) for c in [resp, *cats]}), nums))
     lost = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(BAD_FIELDS_COL) > 0).alias("bad_rows"),
@@ -126,6 +128,8 @@ def train_from_config(spark: SparkSession, cfg: JobConfig, algorithm: str, **set
         stages.append(Imputer(inputCols=nums, outputCols=[c + "_num" for c in nums]).fit(fit_part))
     stages.append(assembler([*[c + "_num" for c in nums], *[c + "_lvl" for c in cats]], "features"))
     prep = PipelineModel(stages=stages)
+    if accepts(algorithm, "numeric"):  # learners that take the columns themselves
+        settings = {"numeric": nums, "categorical": cats, **settings}
     positive = 1.0
     if cfg.positive_label is not None:
         if cfg.positive_label not in idx.labels:
