@@ -1,9 +1,9 @@
 """H2: multinomial naive Bayes as one grouped aggregate.
 
 Fitting is ``groupBy(label).agg(count, sum(x_j)...)``: a partial + final aggregate whose
-output has one row per class. That table (classes x features) is the model; it is bounded by
-the label domain, checked, and becomes literals in the scoring expression, so scoring is a
-pure projection with no join. Same estimates as ``pyspark.ml.classification.NaiveBayes``:
+output has one row per class. That table (classes x features) is the model. A small one becomes
+literals in the scoring expression, so scoring is a pure projection with no join; one of many
+classes stays a table and is applied block by block. Same estimates as ``pyspark.ml.classification.NaiveBayes``:
 ``log_prior = ln((n_c + s) / (n + C s))``, ``log_theta = ln((S_cj + s) / (S_c + d s))``.
 """
 
@@ -12,10 +12,16 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auger.session import write_scratch
+
 LITERAL_CELLS = 256  # up to this size a model is written into the plan itself
+BLOCK_CELLS = 2_000_000  # numbers of a larger model that are broadcast together
+MERGE_BLOCKS = 8
 
 
 def _c(c: str | Column) -> Column:
@@ -41,28 +47,12 @@ class NaiveBayesAggModel:
 
     def transform(self, df: DataFrame, out: str = "prediction", index_col: str | None = None) -> DataFrame:
         """Argmax class (first on ties). ``index_col`` also emits the class index."""
-        if len(self.labels) * len(self.features) <= LITERAL_CELLS:
-            scores = self.class_scores()
-            scored, labels = F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("ni")) for i, s in enumerate(scores)]), F.array(*[F.lit(v) for v in self.labels])
-        else:  # the same sums, over the model as one array from a subquery
-            df = df.withColumn("_model", self._as_array(df.sparkSession))
-            xs = F.array(*[F.col(f).cast("double") for f in self.features])
-            scored = F.transform("_model", lambda m: F.struct(
-                F.aggregate(F.zip_with(xs, m["theta"], lambda x, t: x * t), m["prior"], lambda s, v: s + v).alias("s"), (-m["i"]).alias("ni")))
-            labels = F.transform("_model", lambda m: m["label"])
-        best = F.array_max(scored)
-        idx = -best["ni"]
-        lab = F.element_at(labels, idx + 1)
-        res = df.withColumn(out, lab)
+        scored = F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("ni")) for i, s in enumerate(self.class_scores())])
+        idx = -F.array_max(scored)["ni"]
+        res = df.withColumn(out, F.element_at(F.array(*[F.lit(v) for v in self.labels]), idx + 1))
         if index_col:
             res = res.withColumn(index_col, idx.cast("double"))
-        return res.drop("_model")
-
-    def _as_array(self, spark: SparkSession) -> Column:
-        kind = {str: "string", bool: "boolean", int: "long", float: "double"}[next(type(v) for v in self.labels if v is not None)]
-        rows = [(i, v, p, t) for i, (v, p, t) in enumerate(zip(self.labels, self.log_prior, self.log_theta))]
-        table = spark.createDataFrame(rows, f"i int, label {kind}, prior double, theta array<double>")
-        return table.agg(F.sort_array(F.collect_list(F.struct("i", "label", "prior", "theta"))).alias("m")).scalar()
+        return res
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(str(self.labels[c]), f, float(self.log_prior[c]), float(self.log_theta[c][j]))
@@ -70,17 +60,79 @@ class NaiveBayesAggModel:
         return spark.createDataFrame(rows, "label string, feature string, log_prior double, log_theta double")
 
 
-def naive_bayes_fit(df: DataFrame, features: list[str], label: str, smoothing: float = 1.0) -> NaiveBayesAggModel:
-    """Fit from non-negative feature columns; one Spark job, model rows = classes, however many."""
+@dataclass
+class NaiveBayesTableModel:
+    """A model of any number of classes: ``table`` (``label, prior, theta``) is written, never collected whole.
+
+    Scoring is a product of matrices per Arrow batch, ``X @ theta.T + prior``, over blocks of at most
+    ``BLOCK_CELLS`` numbers. A block is broadcast; each row carries its best class so far and keeps the
+    better one. Every ``MERGE_BLOCKS`` blocks the rows are written, so a task holds few blocks at a time."""
+
+    table: DataFrame
+    features: list[str]
+
+    def blocks(self):
+        """(labels, priors, thetas) in the order of the labels."""
+        rows, cells = [], max(1, BLOCK_CELLS // (len(self.features) + 1))
+        for r in self.table.orderBy("label").toLocalIterator(prefetchPartitions=True):
+            rows.append(r)
+            if len(rows) == cells:
+                yield self._block(rows)
+                rows = []
+        if rows:
+            yield self._block(rows)
+
+    @staticmethod
+    def _block(rows):
+        return [r["label"] for r in rows], np.array([r["prior"] for r in rows]), np.array([r["theta"] for r in rows])
+
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        """Argmax class; of equal ones the first label."""
+        kind = self.table.schema["label"].dataType.simpleString()
+        best = df.withColumns({"_x": F.array(*[F.col(f).cast("double") for f in self.features]),
+                               "_best": F.lit(None).cast(f"struct<s: double, label: {kind}>")})
+        for n, block in enumerate(self.blocks()):
+            if n and n % MERGE_BLOCKS == 0:
+                best = write_scratch(best, "bayes-best")
+            best = best.withColumn("_new", _best_of(df.sparkSession.sparkContext.broadcast(block), kind)("_x"))
+            better = F.col("_best").isNull() | (F.col("_new.s") > F.col("_best.s"))  # of equal ones the earlier block's
+            best = best.withColumn("_best", F.when(better, F.col("_new")).otherwise(F.col("_best"))).drop("_new")
+        return best.withColumn(out, F.col("_best.label")).drop("_x", "_best")
+
+
+def _best_of(block, kind: str):
+    @F.pandas_udf(f"struct<s: double, label: {kind}>")
+    def best(xs: pd.Series) -> pd.DataFrame:
+        labels, prior, theta = block.value
+        s, at = np.empty(len(xs)), np.empty(len(xs), dtype=np.int64)
+        step = max(1, 2_000_000 // len(labels))
+        for lo in range(0, len(xs), step):
+            x = np.array(xs.iloc[lo:lo + step].tolist(), dtype=np.float64)  # nulls become NaN
+            scores = x @ theta.T + prior
+            at[lo:lo + step] = np.nan_to_num(scores, nan=-np.inf).argmax(axis=1)
+            s[lo:lo + step] = scores[np.arange(len(x)), at[lo:lo + step]]
+        return pd.DataFrame({"s": s, "label": [labels[i] for i in at]})
+
+    return best
+
+
+def naive_bayes_fit(df: DataFrame, features: list[str], label: str, smoothing: float = 1.0) -> NaiveBayesAggModel | NaiveBayesTableModel:
+    """Fit from non-negative feature columns; one aggregation, a row per class. Up to ``LITERAL_CELLS`` numbers
+    become expressions; a larger model stays a table."""
     aggs = [F.count(F.lit(1)).alias("_n")] + [F.sum(_c(f).cast("double")).alias(f"_s{j}") for j, f in enumerate(features)]
     aggs.append(F.min(F.least(*[_c(f).cast("double") for f in features])).alias("_min"))
-    stats = df.groupBy(F.col(label).alias("_label")).agg(*aggs).orderBy("_label").collect()  # the model
+    k, d, s = 0, len(features), smoothing
+    per_class = df.groupBy(F.col(label).alias("_label")).agg(*aggs)
+    most = LITERAL_CELLS // max(1, d)
+    stats = per_class.limit(most + 1).collect()
+    if len(stats) > most:
+        return _table_model(write_scratch(per_class, "bayes-classes"), features, s)
     if any(r["_min"] is not None and r["_min"] < 0 for r in stats):
         raise ValueError("multinomial naive Bayes needs non-negative features")
-    n = sum(r["_n"] for r in stats)
+    stats.sort(key=lambda r: (r["_label"] is not None, r["_label"]))  # nulls first, as Spark orders
+    n, k = sum(r["_n"] for r in stats), len(stats)
     if n == 0:
         raise ValueError("no training rows")
-    k, d, s = len(stats), len(features), smoothing
     labels = [r["_label"] for r in stats]
     prior = [math.log(r["_n"] + s) - math.log(n + k * s) for r in stats]
     theta = []
@@ -89,3 +141,14 @@ def naive_bayes_fit(df: DataFrame, features: list[str], label: str, smoothing: f
         tot = math.log(sum(sums) + d * s)
         theta.append([math.log(v + s) - tot for v in sums])
     return NaiveBayesAggModel(labels, prior, theta, list(features))
+
+
+def _table_model(per_class: DataFrame, features: list[str], s: float) -> NaiveBayesTableModel:
+    whole = per_class.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k"), F.min("_min").alias("least")).first()
+    if whole["least"] is not None and whole["least"] < 0:
+        raise ValueError("multinomial naive Bayes needs non-negative features")
+    sums = [F.coalesce(F.col(f"_s{j}"), F.lit(0.0)) for j in range(len(features))]
+    total = F.log(sum(sums[1:], sums[0]) + len(features) * s)
+    table = per_class.select(F.col("_label").alias("label"), (F.log(F.col("_n") + s) - math.log(whole["n"] + whole["k"] * s)).alias("prior"),
+                             F.array(*[F.log(v + s) - total for v in sums]).alias("theta"))
+    return NaiveBayesTableModel(write_scratch(table, "bayes-model"), list(features))

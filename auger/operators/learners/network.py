@@ -2,7 +2,7 @@
 
 Each epoch is one Spark pass: the current weights are broadcast; every task trains a copy on its
 own rows (mini-batches, ReLU hidden layers, softmax output, cross-entropy, ADADELTA updates with
-``rho`` and ``eps``) and emits its weights with its row count; one ``Summarizer.sum`` forms the
+``rho`` and ``eps``) and emits its weights with its row count, in pieces; sums in two steps over the tasks form the
 row-weighted average (weights and ADADELTA's running averages alike), which starts the next
 epoch. This is the data-parallel scheme of
 map-reduce deep learning (local training, global averaging); Spark partitions the rows and does
@@ -15,15 +15,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auger.operators.learners.builtin import NET_SEED
 from auger.operators.splits import persisted
-
-MAX_PARAMS = 6_000_000  # weights + two ADADELTA averages: 48 MB per broadcast and per task result
+from auger.operators.sums import PIECES, piece_rows, summed
 
 
 def _shapes(layers: list[int]) -> list[tuple[int, int]]:
@@ -106,25 +104,37 @@ class AveragedNetwork:
         return base.mapInPandas(score, schema)
 
 
+def weight_importances(net: AveragedNetwork) -> np.ndarray:
+    """the share of each input in the outputs by absolute weights: a unit's weights are divided by their
+    sum, the matrices multiplied from input to output, the rows summed and scaled to a sum of one."""
+    share = None
+    for W, _ in _unpack(net.theta, net.layers):
+        W = np.abs(W)
+        W = W / np.where(W.sum(axis=0) > 0, W.sum(axis=0), 1.0)
+        share = W if share is None else share @ W
+    total = share.sum(axis=1)
+    return total / total.sum() if total.sum() > 0 else total
+
+
 def fit_network_averaged(df: DataFrame, n_in: int, n_classes: int, hidden: tuple[int, ...] = (200, 200),
                          epochs: int = 10, features: str = "features", label: str = "label",
                          rho: float = 0.99, eps: float = 1e-8, batch: int = 32,
                          seed: int = NET_SEED, valid: DataFrame | None = None,
-                         rows_per_task: int = 4096) -> AveragedNetwork:
+                         rows_per_task: int = 4096, start: np.ndarray | None = None) -> AveragedNetwork:
     """Fit on a vector column and class indexes 0..K-1.
 
     The rows are dealt by their own hash to as many local learners as have about ``rows_per_task`` rows
     each, in an order of that hash, so the result does not depend on how the table lay in partitions.
 
+    ``start`` gives the first weights, layer by layer: a matrix by rows, then the biases.
+
     With ``valid``, the weights after each epoch are scored on those rows (one pass) and the
     epoch with the best accuracy is kept ("keep the best model"); ``valid_history`` records it.
     """
     layers = [n_in, *hidden, n_classes]
     size = n_params(layers)
-    if 3 * size > MAX_PARAMS:
-        raise ValueError(f"{size} weights: too many to average through the driver")
     rng = np.random.default_rng(seed % (2 ** 63))
-    theta = np.concatenate([np.concatenate([rng.uniform(-1, 1, a * b) * np.sqrt(6.0 / (a + b)), np.zeros(b)])
+    theta = np.array(start, dtype=float) if start is not None else np.concatenate([np.concatenate([rng.uniform(-1, 1, a * b) * np.sqrt(6.0 / (a + b)), np.zeros(b)])
                             for a, b in _shapes(layers)])
     base = df.select(vector_to_array(F.col(features)).alias("_x"), F.col(label).cast("int").alias("_y"),
                      F.lit(False).alias("_val"))
@@ -183,20 +193,18 @@ def fit_network_averaged(df: DataFrame, n_in: int, n_classes: int, hidden: tuple
                     loss += float(-np.log(np.clip(P[np.arange(len(X)), y], 1e-15, None)).sum())
                     n += len(X)
                 w = np.concatenate([th, eg, ex]) * n if n else np.zeros(3 * size)
-                yield pd.DataFrame({"_w": [w], "_n": [float(n)], "_loss": [loss], "_vc": [vc], "_vn": [vn]})
+                yield from piece_rows(np.append(w, [n, loss, vc, vn]))
 
-            agg = (base.mapInPandas(train, "_w array<double>, _n double, _loss double, _vc double, _vn double")
-                   .select(Summarizer.sum(array_to_vector("_w")).alias("w"), F.sum("_n").alias("n"),
-                           F.sum("_loss").alias("loss"), F.sum("_vc").alias("vc"), F.sum("_vn").alias("vn"))
-                   .first())
+            total = summed(base.mapInPandas(train, PIECES), 3 * size + 4)
             bc.unpersist()
-            if not agg["n"]:
+            n, loss, vc, vn = total[3 * size:]
+            if not n:
                 break
-            if valid is not None and ep > 0 and agg["vn"]:
-                keep(agg["vc"] / agg["vn"], net.theta)  # the previous epoch's weights
-            state = agg["w"].toArray() / agg["n"]
+            if valid is not None and ep > 0 and vn:
+                keep(vc / vn, net.theta)  # the previous epoch's weights
+            state = total[:3 * size] / n
             net.theta = state[:size]
-            net.history.append(agg["loss"] / agg["n"])
+            net.history.append(loss / n)
     if valid is not None and net.history:  # the last epoch's weights: one scoring pass
         acc = net.transform(valid).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
         keep(acc or 0.0, net.theta)

@@ -48,3 +48,21 @@ def rule_table(spark: SparkSession, df: DataFrame, tree_model, names: list[str],
     return leaf.select("leaf", F.element_at(rule_map, F.col("leaf")).alias("rule"), "class", "n",
                        (F.col("n") / F.sum("n").over(wall)).alias("support"),
                        (F.col("n_major") / F.col("n")).alias("confidence"))
+
+
+def pattern_rules(df: DataFrame, items: list[str], label: str, min_support: float = 0.05, min_confidence: float = 0.0,
+                  max_items: int = 3) -> DataFrame:
+    """Frequent value combinations as rules for the class: ``antecedent`` (sorted ``column=value`` items),
+    ``class, n, support`` (of both together), ``confidence, lift``.
+
+    FP-growth over one item per column and the class. Nulls are no items. Rules of over ``max_items`` items and
+    those for another column than the class are left out; the least support also bounds the sets kept."""
+    from pyspark.ml.fpm import FPGrowth
+    item = lambda c: F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(f"{c}="), F.col(f"`{c}`").cast("string")))
+    baskets = df.select(F.array_compact(F.array(*[item(c) for c in [*items, label]])).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    rules = model.associationRules.where((F.size("antecedent") <= max_items) & F.startswith(F.col("consequent")[0], F.lit(f"{label}=")))
+    total = baskets.agg(F.count(F.lit(1))).scalar()
+    return rules.select(F.array_sort("antecedent").alias("antecedent"),
+                        F.substring(F.col("consequent")[0], len(label) + 2, 1 << 30).alias("class"),
+                        F.round(F.col("support") * total).cast("long").alias("n"), "support", "confidence", "lift")

@@ -39,7 +39,8 @@ def importances(spark: SparkSession, model, names: list[str] | None = None) -> D
 
 
 def describe(spark: SparkSession, model, names: list[str] | None = None) -> DataFrame:
-    """the model as text (trees) or as a coefficient table (linear models)."""
+    """the model as text (trees), as a coefficient table (linear models) or, for the other models of this
+    package, as JSON; :func:`auger.sources.model_json.model_json` gives JSON for each."""
     if hasattr(model, "coefficients"):
         coef = [float(c) for c in getattr(model.coefficients, "toArray", lambda: model.coefficients)()]
         names = names or [f"f{i}" for i in range(len(coef))]
@@ -47,10 +48,20 @@ def describe(spark: SparkSession, model, names: list[str] | None = None) -> Data
         if hasattr(model, "intercept"):
             rows.append(("(intercept)", float(model.intercept)))
         return spark.createDataFrame(rows, "term string, coefficient double")
-    text = getattr(model, "toDebugString", str(model))
+    text = getattr(model, "toDebugString", None)
+    if text is None:
+        from auger.sources.model_json import model_json
+        text = model_json(spark, model, names)
     return spark.createDataFrame([(line,) for line in text.splitlines()], "line string")
 
 
+def network_importances(spark: SparkSession, model, names: list[str] | None = None) -> DataFrame:
+    """the importances of a network's inputs from its weights, as the original reports them."""
+    from auger.operators.learners.network import weight_importances
+    values = weight_importances(model).tolist()
+    return spark.createDataFrame(list(zip(names or [f"f{i}" for i in range(len(values))], values)), "feature string, importance double")
+
+
 def score_each_iteration(spark: SparkSession, gbt_model, df: DataFrame) -> DataFrame:
     """F8: the model's loss after every boosting iteration (one distributed pass)."""
     vals = gbt_model.evaluateEachIteration(df)
@@ -70,15 +81,16 @@ def permuted_copies(df: DataFrame, features: str, n_features: int, seed: int = 7
     n = df.count()
     n_groups = max(1, math.ceil(n / group_rows))
     rep = (df.withColumn("_farr", vector_to_array(F.col(features)))
-           .withColumn("_grp", F.floor(F.rand(seed) * n_groups).cast("int"))
-           .withColumn("_ord", F.rand(seed + 1)))
-    w = Window.partitionBy("_grp").orderBy("_ord")
+           .withColumn("_key", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns if c != features], "_farr"))
+           .withColumn("_grp", F.pmod(F.col("_key"), F.lit(n_groups)).cast("int"))
+           .withColumn("_ord", F.xxhash64(F.lit(seed + 1), "_key")))
+    w = Window.partitionBy("_grp").orderBy("_ord")  # equal rows are interchangeable
     wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     prev = F.coalesce(F.lag("_farr", 1).over(w), F.last("_farr").over(wall))
     copies = rep.withColumn("_pv", prev).withColumn("_perm_j", F.explode(F.array(*[F.lit(j) for j in [-1, *which]])))
     out = copies.withColumn(
         "_farr", F.transform("_farr", lambda x, i: F.when(i == F.col("_perm_j"), F.element_at("_pv", i + 1)).otherwise(x)))
-    return out.withColumn(features, array_to_vector("_farr")).drop("_farr", "_pv", "_grp", "_ord")
+    return out.withColumn(features, array_to_vector("_farr")).drop("_farr", "_pv", "_key", "_grp", "_ord")
 
 
 def permutation_importance(spark: SparkSession, model, df: DataFrame, features: str = "features",
@@ -86,8 +98,8 @@ def permutation_importance(spark: SparkSession, model, df: DataFrame, features:
                            names: list[str] | None = None, seed: int = 7) -> DataFrame:
     """accuracy drop when one feature is shuffled, for every feature, in one Spark job.
 
-    Not the same measure as the original's network importances (which weigh first-layer
-    connections); documented as a model-agnostic substitute.
+    For any model; the original's own measure for networks is :func:`network_importances`. The permutation
+    goes by a hash of the row, so it is the same on any partitioning.
     """
     n_features = n_features or len(df.select(vector_to_array(F.col(features))).first()[0])
     names = names or [f"f{i}" for i in range(n_features)]

@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from auger.plans import q_boosting, q_checks, q_data, q_learners, q_metrics, q_reports  # noqa: F401
+    from auger.plans import q_boosting, q_checks, q_data, q_learners, q_metrics, q_models, q_reports  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:

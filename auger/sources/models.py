@@ -20,9 +20,11 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auger.operators.learners.bayes import NaiveBayesAggModel
+from auger.functions.encoding import LevelDictionary
+from auger.operators.learners.bayes import NaiveBayesAggModel, NaiveBayesTableModel
 from auger.operators.learners.boosting import BoostRound, MultiBoostModel
 from auger.operators.learners.glm import GlmModel
+from auger.operators.learners.histogram_trees import Binning, HistogramBoostModel, Split, Tree
 from auger.operators.learners.network import AveragedNetwork
 from auger.operators.learners.registry import _SgdModel
 from auger.operators.learners.sgd import LinearSgdModel
@@ -54,6 +56,17 @@ def _parts(model) -> tuple[dict, list[float], dict[str, object]] | None:
     if isinstance(model, NaiveBayesAggModel):
         theta = [x for row in model.log_theta for x in row]
         return {"labels": list(model.labels), "features": list(model.features)}, [*model.log_prior, *theta], {}
+    if isinstance(model, LevelDictionary):
+        return {"columns": model.columns, "n_levels": model.n_levels}, [], {}
+    if isinstance(model, NaiveBayesTableModel):
+        return {"features": model.features}, [], {}
+    if isinstance(model, HistogramBoostModel):
+        b = model.binning
+        rounds = [[[{str(i): [s.feature, s.cut, None if s.left is None else s.left.tolist(), s.gain] for i, s in t.splits.items()},
+                    t.stats, t.values] for t in trees] for trees in model.rounds]
+        settings = {"numeric": b.numeric, "categorical": b.categorical, "n_bins": b.n_bins, "n_classes": model.n_classes,
+                    "rate": model.rate, "rounds": rounds, "losses": model.losses}
+        return settings, list(model.start), {"levels": b.levels} if b.levels else {}
     if isinstance(model, LinearSgdModel):
         return {"loss": model.loss, "threshold": model.threshold}, list(model.weights), {}
     if isinstance(model, _SgdModel):
@@ -76,6 +89,14 @@ def _built(kind: str, s: dict, numbers: list[float], part: Callable[[str], objec
         k, d = len(s["labels"]), len(s["features"])
         theta = [numbers[k + c * d:k + (c + 1) * d] for c in range(k)]
         return NaiveBayesAggModel(s["labels"], numbers[:k], theta, s["features"])
+    if kind == "HistogramBoostModel":
+        binning = Binning([tuple(x) for x in s["numeric"]], s["categorical"], part("levels") if s["categorical"] else None, s["n_bins"])
+        model = HistogramBoostModel(binning, s["n_classes"], numbers, s["rate"], losses=[tuple(x) for x in s["losses"]])
+        for trees in s["rounds"]:
+            model.rounds.append([Tree(
+                {int(i): Split(f, c, None if lv is None else np.array(lv, dtype=np.int64), g) for i, (f, c, lv, g) in splits.items()},
+                {int(i): tuple(v) for i, v in stats.items()}, {int(i): v for i, v in values.items()}) for splits, stats, values in trees])
+        return model
     if kind == "LinearSgdModel":
         return LinearSgdModel(numbers, s["loss"], threshold=s["threshold"])
     if kind == "_SgdModel":
@@ -93,6 +114,8 @@ def save_model(model, path: str, overwrite: bool = True) -> str:
     """Write any fitted Spark ML stage or pipeline with its own writer, and the models of this package as
     a one-row Parquet table (kind, settings as JSON, numbers) beside their Spark ML parts."""
     own = _parts(model)
+    if isinstance(model, (LevelDictionary, NaiveBayesTableModel)):
+        model.table.write.mode("overwrite" if overwrite else "error").parquet(f"{path}/table")
     if own is None:
         w = model.write()
         if overwrite:
@@ -115,6 +138,11 @@ def load_model(path: str):
     own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{_OWN}")
     if own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own):
         r = spark.read.parquet(f"{path}/{_OWN}").first()  # one row
+        s = json.loads(r["settings"])
+        if r["kind"] == "LevelDictionary":
+            return LevelDictionary(spark.read.parquet(f"{path}/table"), s["columns"], s["n_levels"])
+        if r["kind"] == "NaiveBayesTableModel":
+            return NaiveBayesTableModel(spark.read.parquet(f"{path}/table"), s["features"])
         return _built(r["kind"], json.loads(r["settings"]), list(r["numbers"]), lambda name: load_model(f"{path}/{name}"))
     return DefaultParamsReader.loadParamsInstance(path, spark)
 
