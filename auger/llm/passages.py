@@ -19,6 +19,9 @@ l and r, cut at WIDTH - 1 places from c), so a text of n shingles has about 2n /
 4. The shingles of candidate runs are fetched from the texts once, in chunks that all runs share, and
    each run is verified on its own: the best scoring stretches with a Jaccard similarity of at least 0.8
    and at least 50 words are returned.
+5. An owner that holds only a phrase of a passage hides it. So stretches of 50 words whose windows under all
+   hash functions are shared, and which no passage covers, are compared by the hash of their whole content
+   and verified like the others. Exact repeats are found whatever other documents hold parts of them.
 """
 
 from __future__ import annotations
@@ -272,22 +275,91 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "similarity" else pa.int64()) for c, n in zip(cols, names)], names=names)
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """One row per verified passage: ``doc_id, text_key, start_word, end_word, other_doc, other_start,
-    other_end, similarity``. Words ``start_word`` to ``end_word`` (exclusive) of the document repeat words
-    ``other_start`` to ``other_end`` of ``other_doc``, a smaller document (id, then hash of the text), which keeps them.
+RUN = f"doc {DOC}, odoc {DOC}, lo long, hi long, olo long, ohi long"
 
-    ``docs``: ``doc_id``, ``text``; other columns are ignored. Null texts and texts of fewer than 50 words
-    have no passage. Rows with equal ids and texts count as one document, in which repeats are not looked
-    for; rows with one id (or null ids, which come before all others) and different texts are documents of
-    their own, ordered by ``text_key``, the hash of the text. Repeated rows give their passages once."""
-    docs = docs.select(F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_key")).alias("doc"), "text")
-    used: list[DataFrame] = []
-    found = _matches(docs, used).groupBy("doc").agg(F.collect_set(F.struct("place", "odoc", "oplace")).alias("m"))  # a document's windows
-    runs = write_scratch(found.mapInArrow(_runs, f"doc {DOC}, odoc {DOC}, lo long, hi long, olo long, ohi long")
-                         .withColumn("run", F.monotonically_increasing_id()), "runs")
-    for t in used:
-        drop_scratch(t)
+
+def _open_stretches(batches):
+    """Per document the starts (from, to) of stretches of ``WIDTH`` shingles that share their window with
+    another document under every hash function, and that no passage of the document covers yet."""
+    for b in batches:
+        rows = []
+        for i, (places, spans) in enumerate(zip(b.column("places"), b.column("spans").to_pylist())):
+            c, left, right, j = _place(places.values.to_numpy())
+            n = int(right.max()) - WIDTH + 3
+            shared = np.ones(n, dtype=bool)
+            for k in range(HASHES):
+                steps = np.bincount(left[j == k], minlength=n).astype(np.int64)
+                steps[:n] -= np.bincount(right[j == k] - WIDTH + 2, minlength=n)
+                shared &= np.cumsum(steps[:n]) > 0
+            for s in spans or ():
+                shared[s["start_word"]:max(s["end_word"] - WORDS + 1, s["start_word"])] = False
+            edge = np.diff(np.concatenate(([0], shared.view(np.int8), [0])))
+            ranges = [{"lo": x, "hi": y} for x, y in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
+            if ranges:
+                rows.append((i, ranges))
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc").take(pa.array([i for i, _ in rows], pa.int64())),
+             pa.array([r for _, r in rows], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], names=["doc", "open"])
+
+
+def _stretch_hashes(batches):
+    """The hash of the whole content of each open stretch."""
+    for batch in batches:
+        for b in text_batches(batch):
+            words = Words(b.column("text").to_pylist())
+            s, off = shingles(words.hash, words.off, SHINGLE)
+            for i, ranges in enumerate(b.column("open").to_pylist()):
+                mine = s[off[i]:off[i + 1]]
+                if len(mine) < WIDTH:
+                    continue
+                at = np.concatenate([np.arange(r["lo"], min(r["hi"], len(mine) - WIDTH + 1)) for r in ranges])
+                content = np.zeros(len(at), dtype=np.uint64)
+                for k in range(WIDTH):
+                    content = mix(content + mine[at + k])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(content.view(np.int64)), b.column("doc").take(pa.array(np.full(len(at), i))), pa.array(at)],
+                    names=["content", "doc", "at"])
+
+
+def _exact_runs(batches):
+    for b in batches:
+        for i, group in enumerate(b.column("m")):
+            flat = group.values
+            at, odocs, oat = flat.field(0).to_numpy(), flat.field(1), flat.field(2).to_numpy()
+            odoc = _numbers(odocs)
+            order = np.lexsort((at, at - oat, odoc))
+            odoc, at, oat, odocs = odoc[order], at[order], oat[order], odocs.take(pa.array(order))
+            cut = np.flatnonzero(np.concatenate(([True], (odoc[1:] != odoc[:-1]) | (np.diff(at - oat) != 0) | (np.diff(at) > WIDTH))))
+            last = np.append(cut[1:], len(at)) - 1
+            lo, hi, olo, ohi = (np.maximum(at[cut] - WIDTH, 0), at[last] + 2 * WIDTH, np.maximum(oat[cut] - WIDTH, 0), oat[last] + 2 * WIDTH)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc").take(pa.array(np.full(len(cut), i))), odocs.take(pa.array(cut)), *map(pa.array, (lo, hi, olo, ohi))],
+                names=["doc", "odoc", "lo", "hi", "olo", "ohi"])
+
+
+def _exact(docs: DataFrame, matches: DataFrame, passages: DataFrame, scratch: list[DataFrame]) -> DataFrame:
+    """Runs of exactly equal stretches that the first owners hide: a document of a smaller id that shares only a
+    phrase owns their windows. Equal contents are transitive, so one owner for each is enough."""
+    places = matches.select("doc", "place").unionAll(matches.select(F.col("odoc").alias("doc"), F.col("oplace").alias("place")))
+    places = places.groupBy("doc").agg(F.collect_set("place").alias("places"))  # a document's windows
+    spans = passages.groupBy(F.struct(F.col("doc_id").alias("id"), "text_key").alias("doc")).agg(
+        F.collect_list(F.struct("start_word", "end_word")).alias("spans"))  # a document's passages
+    # ids may be null: the struct is never, and joins as a whole
+    todo = (places.join(spans, places["doc"].eqNullSafe(spans["doc"]), "left").select(places["doc"], "places", "spans")
+            .mapInArrow(_open_stretches, f"doc {DOC}, open array<struct<lo:bigint,hi:bigint>>"))
+    hashes = write_scratch(docs.join(todo, "doc").select("doc", "text", "open")
+                           .mapInArrow(_stretch_hashes, f"content long, doc {DOC}, at long"), "contents")
+    scratch.append(hashes)
+    owners = write_scratch(hashes.groupBy("content").agg(F.min(F.struct("doc", "at")).alias("m"), F.max("doc").alias("most"))
+                           .where("m.doc < most").select("content", F.col("m.doc").alias("odoc"), F.col("m.at").alias("oat")), "content-owners")
+    scratch.append(owners)
+    met = hashes.join(owners, "content").where("doc != odoc").groupBy("doc").agg(
+        F.collect_set(F.struct("at", "odoc", "oat")).alias("m"))  # a document's stretches
+    return met.mapInArrow(_exact_runs, RUN)
+
+
+def _verified(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """The passages of candidate runs (a written table)."""
     pieces = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / CHUNK), F.floor(F.col(hi) / CHUNK)))
     mine = runs.select("run", "doc", pieces("lo", "hi").alias("chunk"))
     theirs = runs.select("run", F.col("odoc").alias("doc"), pieces("olo", "ohi").alias("chunk"))
@@ -301,11 +373,37 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     out = whole.mapInArrow(_verify, "doc_id long, text_key long, start_word long, end_word long, other_doc long, "
                                     "other_start long, other_end long, similarity double").distinct()
     out = write_scratch(out, "passages")
-    drop_scratch(runs)
     drop_scratch(chunks)
     return out
 
 
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """One row per verified passage: ``doc_id, text_key, start_word, end_word, other_doc, other_start,
+    other_end, similarity``. Words ``start_word`` to ``end_word`` (exclusive) of the document repeat words
+    ``other_start`` to ``other_end`` of ``other_doc``, a smaller document (id, then hash of the text), which keeps them.
+
+    ``docs``: ``doc_id``, ``text``; other columns are ignored. Null texts and texts of fewer than 50 words
+    have no passage. Rows with equal ids and texts count as one document, in which repeats are not looked
+    for; rows with one id (or null ids, which come before all others) and different texts are documents of
+    their own, ordered by ``text_key``, the hash of the text. Repeated rows give their passages once."""
+    docs = docs.select(F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_key")).alias("doc"), "text")
+    used: list[DataFrame] = []
+    matches = _matches(docs, used)
+    number = F.monotonically_increasing_id()
+    found = matches.groupBy("doc").agg(F.collect_set(F.struct("place", "odoc", "oplace")).alias("m"))  # a document's windows
+    runs = write_scratch(found.mapInArrow(_runs, RUN).withColumn("run", number), "runs")
+    near = _verified(docs, runs)
+    more = write_scratch(_exact(docs, matches, near, used).withColumn("run", number), "exact-runs")
+    for t in [runs, *used]:
+        drop_scratch(t)
+    exact = _verified(docs, more)
+    drop_scratch(more)
+    out = write_scratch(near.unionAll(exact).distinct(), "all-passages")
+    drop_scratch(near)
+    drop_scratch(exact)
+    return out
+
+
 def _cut(batches):
     for batch in batches:
         for b in text_batches(batch):

@@ -141,3 +141,26 @@ def test_rows_of_one_id_or_without_one_are_documents_of_their_own(spark):
     assert sorted(got, key=str) == [(3, 3), (5, None), (9, None), (None, None)]
     left = [" ".join(word_list(r["text"])) for r in passages.remove_passages(docs.distinct(), found).collect()]
     assert [sum(x in t for t in left) for x in (p, q, s)] == [1, 1, 1]
+
+
+@pytest.mark.parametrize("length,parts", [
+    (50, [(0, 45)]), (50, [(0, 41), (10, 50)]), (50, [(0, 45), (5, 50)]), (60, [(0, 45), (15, 60)]), (60, [(0, 49)]), (52, [(0, 49), (3, 52), (1, 50)])])
+def test_smaller_documents_with_parts_of_a_passage_hide_nothing(spark, length, parts):
+    rng = random.Random(length + len(parts))
+    fresh = lambda k: [f"w{rng.randrange(10 ** 9)}" for _ in range(k)]
+    rows, want = [], {}
+    for trial in range(60):
+        p = fresh(length)
+        docs = [fresh(30) + p[a:b] + fresh(30) for a, b in parts]
+        for _ in range(2):
+            at = rng.randrange(5, 80)
+            docs.append(fresh(at) + p + fresh(40))
+        ids = [trial * 10 + i for i in range(len(docs))]
+        rows += [(i, " ".join(w)) for i, w in zip(ids, docs)]
+        want[ids[-1]] = (ids[-2], at)
+    got = {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    for d, (other, at) in want.items():
+        assert any(r["start_word"] <= at and r["end_word"] >= at + length and r["other_doc"] == other for r in got.get(d, [])), d
+    assert all(r["end_word"] - r["start_word"] >= 50 for rs in got.values() for r in rs)
