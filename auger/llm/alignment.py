@@ -8,9 +8,9 @@ linked to each of its B tokens.
 * **Coarse cuts** are the spans that the libraries report: character offsets of A, byte spans of B.
 * **Refined cuts**: a span covers whole characters. Where it is not as long as the token's decoded bytes (a
   part of a multibyte character, a byte-fallback token) the token ends as many bytes after the one before.
-* Both tokenizers cut text at spaces, and no merge crosses such a place. So each is applied once to every
+* Neither tokenizer has tokens over the edges of words (of its own kind), so each is applied once to every
   different word of a slice of texts, kept per Python worker in a table of bounded size, and the rest is
-  array arithmetic on whole slices. A model of another kind reads texts whole.
+  array arithmetic on whole slices. A model of which this does not hold is refused.
 * A link's count is the number of documents that hold its pair of ids. Documents carry their different pairs
   with the times they hold them; no pair of occurrences is listed. Counts of the ``FREQUENT`` most
   common pairs, at most that many, go to all tasks, so no frequent pair is a key of a join; pairs below
@@ -34,60 +34,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auger.llm.bpe import Pretokens, byte_chars, token_bytes
-from auger.llm.words import text_batches
+from auger.llm.words import code_points, text_batches
 from auger.session import write_scratch
 
 FREQUENT = 1 << 20
-WORDS, LONG_WORD = 300_000, 256  # kept per worker: words, and characters of one
-BYTES = 1_000_000  # of text handled at once
+WORDS, LONG_WORD = 600_000, 256  # kept per worker: words, and characters of one
+BYTES = 400_000  # of text handled at once
 DIRECT = 64  # pairs of a group that are listed before equal ones are summed
 
 ALIGNED = ("doc_id long, row long, n_a long, n_b long, n_groups long, n_links long, groups string, "
            "a array<int>, b array<int>, times array<long>")
 
 
-def byte_ends(spans: list[tuple[int, int]], sizes: list[int]) -> list[int]:
-    """The byte at which each token ends: its span's end if the span holds just its bytes, else its decoded
-    size after the token before."""
-    ends, at = [], 0
-    for (begin, end), size in zip(spans, sizes):
-        at = end if begin == at and end - begin == size else at + size
-        ends.append(at)
-    return ends
+def byte_sizes(begin: np.ndarray, end: np.ndarray, decoded: np.ndarray) -> np.ndarray:
+    """The bytes of each token: its span's where the span holds just its bytes, else as many as it decodes to."""
+    return np.where(end - begin == decoded, end - begin, decoded)
+
+
+class Numbers(dict):
+    """Numbers words as they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 class Side:
-    """One tokenizer, and the tokens of the words it has met: ids, byte ends, and whether their bytes are
-    the word's."""
+    """One tokenizer, and the tokens of the words it has met: ids, byte sizes, and whether their bytes
+    are the word's."""
 
     def __init__(self):
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.entry = np.empty(0, dtype=np.int32)  # of a word's number in the table of words; -1: not met here
         self.ids, self.sizes, self.first, self.right = array("i"), array("i"), array("q", [0]), bytearray()
         self.long = False  # a long word is among them
 
-    def learn(self, words: set[str]) -> None:
-        """Tokenise the words not met before, in one call of the library."""
-        if len(self.index) >= WORDS:
-            self.reset()
-        new = [w for w in words if w not in self.index]
-        for w, (ids, spans) in zip(new, self.tokens(new)):
-            entries = [self.bytes[i] for i in ids]
-            ends = byte_ends(spans, list(map(len, entries)))
-            self.index[w] = len(self.index)
-            self.ids.extend(ids)
-            self.sizes.extend(np.diff([0, *ends]).tolist())
-            self.first.append(len(self.ids))
-            raw = w.encode()
-            self.right.append(b"".join(entries) == raw and ends[-1:] == [len(raw)])
-            self.long |= len(raw) > LONG_WORD
-
-    def forget(self) -> None:
-        """Drop long words: they may hold much and seldom come again."""
-        if self.long:
-            self.reset()
+    def entries(self, words: list[str], at: np.ndarray, n_words: int) -> np.ndarray:
+        """The entry of each word, given the words' numbers; new ones are tokenised."""
+        if n_words > len(self.entry):
+            self.entry = np.concatenate((self.entry, np.full(n_words, -1, dtype=np.int32)))
+        new, place = np.unique(at[self.entry[at] < 0], return_index=True)
+        place = np.flatnonzero(self.entry[at] < 0)[place]
+        for lo in range(0, len(new), 10_000):
+            n = len(self.right)
+            self._learn([words[i] for i in place[lo:lo + 10_000].tolist()])
+            self.entry[new[lo:lo + 10_000]] = np.arange(n, len(self.right))
+        return self.entry[at]
+
+    def _learn(self, new: list[str]) -> None:
+        ids, spans, n = self.tokens(new)
+        sizes = byte_sizes(spans[:, 0], spans[:, 1], self.decoded[ids])
+        raw = [w.encode() for w in new]
+        lengths, last = np.array(list(map(len, raw))), np.cumsum(n)
+        run = np.append(0, np.cumsum(sizes))
+        right = run[last] - run[last - n] == lengths
+        entries = list(map(self.bytes.__getitem__, ids.tolist()))
+        if not right.all() or b"".join(entries) != b"".join(raw):
+            for k, (a, b) in enumerate(zip((last - n).tolist(), last.tolist())):
+                right[k] &= b"".join(entries[a:b]) == raw[k]
+        self.first.frombytes((last + len(self.ids)).tobytes())
+        self.ids.frombytes(ids.tobytes())
+        self.sizes.frombytes(sizes.astype(np.int32).tobytes())
+        self.right.extend(right.tobytes())
+        self.long |= bool((lengths > LONG_WORD).any())
 
     def gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and byte sizes of all tokens of a sequence of words, and the words' numbers of tokens."""
@@ -108,19 +119,24 @@ class SideA(Side):
         self.whole.encode_special_tokens = True
         chars = byte_chars()
         self.bytes = {i: token_bytes(t, chars) for t, i in self.whole.get_vocab(with_added_tokens=True).items()}
+        self.decoded = np.array([len(self.bytes.get(i, b"")) for i in range(max(self.bytes) + 1)])
         self.cut = Pretokens(self.whole)
 
     def tokens(self, words):
-        for w, e in zip(words, self.whole.encode_batch(words, add_special_tokens=False)):
-            if w.isascii():
-                yield e.ids, e.offsets
-            else:
-                at = np.cumsum([0] + [len(c.encode()) for c in w]).tolist()
-                yield e.ids, [(at[i], at[j]) for i, j in e.offsets]
+        e = self.whole.encode(words, is_pretokenized=True, add_special_tokens=False)  # offsets count within each word
+        of = np.array(e.word_ids, dtype=np.int64)
+        spans = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
+        chars = code_points("".join(words))
+        at = np.append(0, np.cumsum(1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)))
+        spans = at[spans + np.append(0, np.cumsum(list(map(len, words))))[of][:, None]]
+        return np.array(e.ids, dtype=np.int32), spans, np.bincount(of, minlength=len(words))
 
 
 class SideB(Side):
-    """A ``sentencepiece`` model. Words are runs of spaces and what follows; the model adds the first space."""
+    """A ``sentencepiece`` model with byte fallback. Words are spaces and then letters and digits, or other
+    characters (superscript digits with them); no piece may hold characters of two words, or a line end."""
+
+    cut = re.compile(r" *[^\W_¹²³]+| *(?:[^\w ]|[_¹²³])+| +").findall
 
     def __init__(self, path: str):
         super().__init__()
@@ -128,29 +144,28 @@ class SideB(Side):
         self.model = m = SentencePieceProcessor(model_file=path)
         pieces = [m.id_to_piece(i) for i in range(m.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        # words stand alone if no piece reaches over a space within it, and nothing is normalised
+        self.decoded = np.array(list(map(len, self.bytes)))
         probe = "  a  bﬁ½\n "
-        plain = b"".join(self.bytes[i] for i in m.encode(probe)) == f" {probe}".encode()
-        alone = plain and not any(" " in p.replace("▁", " ").lstrip(" ") for p in pieces)
-        self.cut = re.compile(" *[^ ]+| +").findall if alone else (lambda text: [text])
+        plain = [p.replace("▁", " ") for i, p in enumerate(pieces) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))]
+        if (b"".join(self.bytes[i] for i in m.encode(probe)) != f" {probe}".encode()
+                or any("\n" in p or len(SideB.cut(p)) > 1 for p in plain)):
+            raise ValueError(f"{path} normalises texts or has pieces that reach over words")
 
     def tokens(self, words):
-        # a word of spaces alone would be empty without the one that is added; it is read after a letter
-        blank = [not w.strip(" ") for w in words]
-        texts = ["." + w if x else w[1:] for w, x in zip(words, blank)]
-        skip = len(self.model.encode("."))
-        for text, x, found in zip(texts, blank, self.model.encode(texts, num_threads=1, return_type="proto")):
-            pieces = list(found.pieces)[skip if x else 0:]
-            shift = -1 if x else 1  # spans count from the text without the added space
-            spans = [(p.begin + shift, p.end + shift) for p in pieces]
-            if pieces and not x:
-                spans[0] = (0, spans[0][1])
-            yield [p.id for p in pieces], spans
+        # in one text, parted by line ends, which are no part of any piece
+        lengths = np.array([len(w.encode()) for w in words])
+        starts = np.cumsum(lengths + 1) - lengths
+        pieces = self.model.encode("\n" + "\n".join(words), return_type="proto").pieces
+        found = np.array([(p.id, p.begin, p.end) for p in pieces], dtype=np.int64).reshape(-1, 3)
+        of = np.searchsorted(starts, found[:, 1], side="right") - 1
+        inside = (of >= 0) & (found[:, 1] < (starts + lengths)[of])
+        return found[inside, 0].astype(np.int32), found[inside, 1:], np.bincount(of[inside], minlength=len(words))
 
 
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = SideA(path_a), SideB(path_b)
+        self.number = Numbers()  # of the words of both
         self.width = len(self.b.bytes)
         # ends of ids in the text of groups: within and at the end of a group's A part, then of its B part
         na = max(self.a.bytes) + 1
@@ -161,14 +176,17 @@ class Aligner:
     def align(self, texts: list[str | None]) -> dict[str, np.ndarray | list]:
         """Per text ``n_a, n_b, n_groups, n_links, groups``; the different pairs of ids of text ``i``, and the
         times it holds them, are ``a, b, times`` from ``off[i]`` to ``off[i + 1]``."""
+        if len(self.number) >= WORDS or self.a.long or self.b.long:  # long words hold much and seldom come again
+            self.number.clear()
+            self.a.reset()
+            self.b.reset()
         n = len(texts)
         full = [f" {t}" if t else "" for t in texts]
         sides = []
         for side in (self.a, self.b):
             words = [side.cut(t) if t else [] for t in full]
             flat = [w for ws in words for w in ws]
-            side.learn(set(flat))
-            at = np.fromiter(map(side.index.__getitem__, flat), dtype=np.int64, count=len(flat))
+            at = side.entries(flat, np.fromiter(map(self.number.__getitem__, flat), dtype=np.int64, count=len(flat)), len(self.number))
             doc = np.repeat(np.arange(n), list(map(len, words)))
             wrong = ~np.frombuffer(side.right, dtype=bool)[at]
             sides.append((side, at, doc, np.bincount(doc[wrong], minlength=n) if len(doc) else np.zeros(n)))
@@ -180,7 +198,6 @@ class Aligner:
             ids.append(i.astype(np.int64))
             ends.append(np.cumsum(size))
             docs.append(np.repeat(doc[keep], n_tokens))
-            side.forget()
         cuts = np.intersect1d(ends[0], ends[1], assume_unique=True)
         group = [np.searchsorted(cuts, e) for e in ends]
         size = [np.bincount(g, minlength=len(cuts)) for g in group]
