@@ -93,14 +93,15 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
         (F.col("sound") & (again == F.transform("rows", lambda r: r["sum"]))).alias("round_trip"))
 
 
-def read_back(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``, all taken from the
-    formatted text by the parser."""
-    got = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"))
+def read_back(formatted: DataFrame) -> DataFrame:
+    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_spans, round_trip``: turns by the
+    parser, the loss text cut out of the formatted text by the spans of the loss mask and unescaped."""
+    got = formatted.select("conv_id", "formatted", "loss_spans", "round_trip", parse(F.col("formatted")).alias("turns"))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    loss = F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: t["text"])
-    got = got.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"),
-                     F.array_join(lines, "").alias("all"), F.array_join(loss, "").alias("loss"))
+    masked = lambda s: unescape(F.substr("formatted", s["start"].cast("int") + 1, s["length"].cast("int")))
+    got = got.select("conv_id", "formatted", "round_trip", F.size("turns").cast("long").alias("n_turns"),
+                     F.size("loss_spans").cast("long").alias("n_spans"), F.array_join(lines, "").alias("all"),
+                     F.array_join(F.transform("loss_spans", masked), "").alias("loss"))
     return got.select("conv_id", "n_turns", F.sha2("all", 256).alias("turns_sha256"),
                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
-                      F.length("formatted").cast("long").alias("formatted_chars"))
+                      F.length("formatted").cast("long").alias("formatted_chars"), "n_spans", "round_trip")

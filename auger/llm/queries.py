@@ -102,7 +102,8 @@ select conv_id, count(*) as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
        cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-       cast(sum(length(role) + length(body) + 14) as bigint) as formatted_chars
+       cast(sum(length(role) + length(body) + 14) as bigint) as formatted_chars,
+       count(*) filter (where role = 'assistant') as n_spans, true as round_trip
 from t group by conv_id
 """)
 def chat_format(spark, d):

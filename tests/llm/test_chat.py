@@ -30,6 +30,7 @@ def test_round_trip_of_conflicting_texts(spark):
         assert back[c]["n_turns"] == len(mine)
         assert back[c]["turns_sha256"] == digest("".join(f"{r}\n{t}\n" for r, t in mine))
         assert (back[c]["loss_chars"], back[c]["loss_sha256"]) == (len(loss), digest(loss))
+        assert back[c]["round_trip"] and back[c]["n_spans"] == sum(r == "assistant" for r, _ in mine)
         text = done[c]["formatted"]
         assert len(text) == back[c]["formatted_chars"]
         spans = [text[s["start"]:s["start"] + s["length"]] for s in done[c]["loss_spans"]]
@@ -60,3 +61,11 @@ def test_long_conversation_and_text(spark, n):
     rows = [(5, i, "assistant" if i % 2 else "user", ODD[i % len(ODD)], 0, "") for i in range(n)] + [(6, 0, "user", "<\\/turn> x " * 50_000, 0, "")]
     done, back = read(spark, rows)
     assert done[5]["round_trip"] and done[6]["round_trip"] and back[5]["n_turns"] == n
+
+
+def test_a_wrong_mask_is_seen(spark):
+    from pyspark.sql import functions as F
+    done = chat.format_conversations(spark.createDataFrame([(1, 0, "user", "ab"), (1, 1, "assistant", "xyz")], "conv_id long, turn long, role string, text string"))
+    moved = done.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["length"].alias("length"))))
+    assert chat.read_back(done).first()["loss_sha256"] == digest("xyz")
+    assert chat.read_back(moved).first()["loss_sha256"] != digest("xyz")
