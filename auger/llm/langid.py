@@ -3,11 +3,12 @@
 Training counts the 1- to 3-grams of lower-cased texts (padded by one blank) in ``2**bits`` slots per
 language, on a bounded sample: of each language at most about ``per_lang`` different texts, each once, those with
 the smallest hashes, so the sample depends on the rows alone. Counts are summed by Spark; the slots x
-languages matrix of log probabilities is the only thing that reaches the driver and is broadcast.
-Its size is bounded: the number of slots shrinks as languages grow (``MAX_CELLS``).
+languages matrix of log probabilities is the only thing that reaches the driver and is broadcast
+(a quarter of a MB per language).
 
-Scoring reads every whole text in batches: all n-gram slots of a batch at once, one gather and one
-segmented sum in numpy. The score is the posterior of the best language.
+Scoring reads every whole text in batches: a sparse matrix of the batch's texts by their different slots,
+with counts, times the matrix of log probabilities, in blocks of ``BLOCK_CELLS`` products, so memory does not grow
+with the languages. The score is the posterior of the best language.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from auger.llm.words import CHUNK, code_points, fold, mix, text_batches
 
-MAX_CELLS = 1 << 22
+BLOCK_CELLS = 1 << 21
 UNKNOWN = "und"
 
 
@@ -55,8 +56,6 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: i
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((1, 0), dtype=np.float32)
-    while (len(langs) << bits) > MAX_CELLS and bits > 8:
-        bits -= 1
     share = rows.sparkSession.createDataFrame(
         [(x, i, min(1.0, per_lang / counts[x])) for i, x in enumerate(langs)], "lang string, k int, share double")
     sample = (rows.join(F.broadcast(share), "lang")
@@ -81,7 +80,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: i
              pa.array(np.concatenate([total[k, s], docs]), pa.int64())], names=["k", "slot", "n"])
 
     cells = (sample.mapInArrow(count, "k int, slot int, n long").groupBy("k", "slot").agg(F.sum("n").alias("n"))
-             .toArrow())  # at most MAX_CELLS rows
+             .toArrow())  # at most a row per slot and language
     k, s, n = (cells.column(c).to_numpy() for c in ("k", "slot", "n"))
     table = np.full((n_slots + 1, n_lang), alpha)
     table[s, k] += n  # slot -1: the row of the priors
@@ -90,6 +89,18 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: i
     return langs, np.log(table).astype(np.float32)
 
 
+def add_log_likelihoods(total: np.ndarray, texts: np.ndarray, slots: np.ndarray, weights: np.ndarray) -> None:
+    """Add to the rows ``texts`` (ascending) of ``total`` the weights of their slots: counts times weights."""
+    bits = (len(weights) - 1).bit_length() - 1
+    cell, n = np.unique(texts << bits | slots, return_counts=True)
+    step = max(1, BLOCK_CELLS // weights.shape[1])
+    for at in range(0, len(cell), step):
+        row, slot = cell[at:at + step] >> bits, cell[at:at + step] & ((1 << bits) - 1)
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        products = weights[slot].astype(np.float64) * n[at:at + step, None]
+        total[row[first]] += np.add.reduceat(products, first, axis=0)
+
+
 def predict(df: DataFrame, langs: list[str], table: np.ndarray, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score``. Null texts and texts without a letter, and every text if
     nothing was learned, get ``und`` and 0. Ties go to the first language by name."""
@@ -101,19 +112,20 @@ def predict(df: DataFrame, langs: list[str], table: np.ndarray, text: str = "tex
         names, weights = model.value
         bits = (len(weights) - 1).bit_length() - 1
         for batch in batches:
-            for part in text_batches(batch.rename_columns([("text" if c == text else "\0" + c) for c in batch.schema.names]), 1_000_000):
+            for part in text_batches(batch.rename_columns([("text" if c == text else "\0" + c) for c in batch.schema.names]), 500_000):
                 texts = part.column("text").to_pylist()
                 total = np.tile(weights[-1].astype(np.float64), (len(texts), 1))
                 known = np.array([bool(names) and has_letter(t) for t in texts], dtype=bool)
-                short = [i for i in np.flatnonzero(known) if len(texts[i]) <= CHUNK]
-                if short:
+                short = np.array([i for i in np.flatnonzero(known) if len(texts[i]) <= CHUNK], dtype=np.int64)
+                if len(short):
                     slots, off = _slots([texts[i] for i in short], bits)
-                    grams = weights[slots].sum(axis=1, dtype=np.float64)
-                    total[short] += np.add.reduceat(grams, off[:-1], axis=0)
+                    size = np.diff(np.append(off[:-1], len(slots)))  # the last text takes the last gram
+                    add_log_likelihoods(total, np.repeat(short, 3 * size), slots.ravel(), weights)
                 for i in np.flatnonzero(known):
                     if len(texts[i]) > CHUNK:
                         for piece in _parts(texts[i]):
-                            total[i] += weights[_slots([piece], bits)[0][:-1]].sum(axis=(0, 1), dtype=np.float64)
+                            slots = _slots([piece], bits)[0][:-1].ravel()
+                            add_log_likelihoods(total, np.full(len(slots), i), slots, weights)
                 best, prob = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
                 if names:
                     best = total.argmax(axis=1)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from auger.llm import langid
@@ -48,11 +49,22 @@ def test_long_text_counts_every_part(spark, monkeypatch):
     assert got["lang_pred"] == "x"
 
 
-def test_languages_are_bounded_by_cells(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_CELLS", 1 << 12)
-    df = spark.range(12).select(F.concat(F.lit("text"), "id").alias("text"), F.col("id").cast("string").alias("lang"))
+def test_slots_do_not_depend_on_the_languages(spark):
+    df = spark.range(90).select(F.concat(F.lit("text"), "id").alias("text"), F.col("id").cast("string").alias("lang"))
     langs, table = langid.fit(df)
-    assert len(langs) == 12 and table.size <= (1 << 12) + 12
+    assert len(langs) == 90 and table.shape == ((1 << 16) + 1, 90)
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 21])
+def test_sparse_scores_equal_dense_ones(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK_CELLS", block)
+    g = np.random.default_rng(5)
+    weights = g.normal(size=((1 << 8) + 1, 3)).astype(np.float32)
+    texts, slots = np.sort(g.integers(0, 6, 500)), g.integers(0, 1 << 8, 500)
+    want, got = np.zeros((6, 3)), np.zeros((6, 3))
+    np.add.at(want, texts, weights[slots].astype(np.float64))
+    langid.add_log_likelihoods(got, texts, slots, weights)
+    assert np.allclose(want, got)
 
 
 def test_copies_teach_once(spark):
