@@ -6,7 +6,9 @@ lower-case letters and digits with single blanks and looked up among known licen
 the words of each known sentence are put on one line wherever they stand in a row, so that neither a wrapped line
 nor a stop inside a notice ("v. 2.0", "free software; you can") cuts it. The ids found,
 in the order of the text, are matched against the licence rules in the rules' order: a rule is a row of
-ids; where it matches, its ids are used up, so a rule for a whole licence comes before those for parts.
+ids; where it matches, its ids are used up, so a rule for a whole licence comes before those for parts. A mark
+stays in their place, so ids that do not follow each other never match a rule. The rules of ``LAST`` hold only
+where no other does: "All rights reserved." also stands in notices of open licences.
 """
 
 from __future__ import annotations
@@ -115,7 +117,6 @@ RULES = [
     ("CC-BY-ND-4.0", ("ccbynd4-by",)),
     ("CC0-1.0", ("cc0-by",)),
     ("Unlicense", ("unlicense",)),
-    ("Proprietary", ("reserved",)),
     ("AGPL-3.0-or-later", ("agpl3-later", "gpl-warranty", "agpl-details")),
     ("AGPL-3.0-or-later", ("agpl3-later",)),
     ("LGPL-2.1-or-later", ("lgpl21-later", "lgpl-warranty", "lgpl-details")),
@@ -129,6 +130,9 @@ RULES = [
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("ISC", ("isc-grant",)),
 ]
+# Rules that hold where no other does, fixed values.
+LAST = [("Proprietary", ("reserved",))]
+_USED = "#"
 _MARK = "\x01"
 # Between two words of a sentence: one line end at most and no stop before white space; in a sentence of at least
 # LONG words anything, so stops and empty lines inside the notices do not cut them.
@@ -195,16 +199,19 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     found = F.filter(F.transform(sentences(F.col(text)), lambda s: F.element_at(ids, s)), lambda i: i.isNotNull())
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "sentence_ids", "licenses", "unmatched")]
     rows = docs.select(*keep, found.alias("sentence_ids")).where(F.size("sentence_ids") > 0)
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_key(key)).alias("key")) for name, key in RULES])
     left = F.concat_ws("", F.transform("sentence_ids", lambda i: F.concat(F.lit("|"), i, F.lit("|"))))
     start = F.struct(left.alias("left"), F.array().cast("array<string>").alias("names"))
+    # a last rule is tried where no name was found before the last rules
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_key(key)).alias("key"), F.lit(last).alias("last"))
+                      for some, last in ((RULES, False), (LAST, True)) for name, key in some])
+    holds = lambda a, r: F.contains(a["left"], r["key"]) & (~r["last"] | (F.size(a["names"]) == 0))
     match = F.aggregate(rules, start, lambda a, r: F.struct(
-        F.replace(a["left"], r["key"], F.lit("")).alias("left"),
-        F.when(F.contains(a["left"], r["key"]), F.array_union(a["names"], F.array(r["name"]))).otherwise(a["names"]).alias("names")))
+        F.when(holds(a, r), F.replace(a["left"], r["key"], F.lit(_USED))).otherwise(a["left"]).alias("left"),
+        F.when(holds(a, r), F.array_union(a["names"], F.array(r["name"]))).otherwise(a["names"]).alias("names")))
     names = [c for c in rows.columns if c != "sentence_ids"]
     return rows.withColumn("__match", match).select(
         *[F.col(f"`{c}`") for c in names], F.concat_ws(" ", "sentence_ids").alias("sentence_ids"),
-        F.concat_ws(" ", "__match.names").alias("licenses"), F.trim(F.regexp_replace("__match.left", r"\|+", " ")).alias("unmatched"))
+        F.concat_ws(" ", "__match.names").alias("licenses"), F.trim(F.regexp_replace("__match.left", r"[|#]+", " ")).alias("unmatched"))
 
 
 def oracle() -> str:
@@ -220,9 +227,10 @@ def oracle() -> str:
       lambda x: map {{{known}}}[x]), lambda i: i is not null) as ids
   from documents),
 r0 as (select doc_id, ids, array_to_string(list_transform(ids, lambda i: '|' || i || '|'), '') as l, []::varchar[] as names from s where len(ids) > 0)"""]
-    for k, (name, key) in enumerate(RULES):
-        sql.append(f"""r{k + 1} as (select doc_id, ids, replace(l, '{_key(key)}', '') as l,
-  case when contains(l, '{_key(key)}') and not list_contains(names, '{name}') then list_append(names, '{name}') else names end as names from r{k})""")
+    for k, (name, key) in enumerate(RULES + LAST):
+        holds = f"contains(l, '{_key(key)}')" + (" and len(names) = 0" if k >= len(RULES) else "")
+        sql.append(f"""r{k + 1} as (select doc_id, ids, case when {holds} then replace(l, '{_key(key)}', '{_USED}') else l end as l,
+  case when {holds} and not list_contains(names, '{name}') then list_append(names, '{name}') else names end as names from r{k})""")
     return ",\n".join(sql) + f"""
 select doc_id, array_to_string(ids, ' ') as sentence_ids, array_to_string(names, ' ') as licenses,
-       trim(regexp_replace(l, '\\|+', ' ', 'g')) as unmatched from r{len(RULES)}"""
+       trim(regexp_replace(l, '[|#]+', ' ', 'g')) as unmatched from r{len(RULES + LAST)}"""
