@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from auger.llm.words import text_batches
 
-WORDS, PAIRS = 300_000, 500_000  # entries kept per worker; more only cost time again
+WORDS, PAIRS = 600_000, 500_000  # entries kept per worker; more only cost time again
 LONG_WORD = 256  # characters; longer words are not kept
 BYTES = 1_000_000  # of text handled at once
 
@@ -140,22 +140,22 @@ class ByteBpe(dict):
             else:
                 b, below = self.left[b], min(below, rb + 1)
 
-    def _compatible(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.apart(a, b)
-        return known
-
     def last_tokens(self, word: bytes) -> array:
         """The last token of each prefix of ``word``; place 0 is the empty prefix."""
-        last, size, compatible = array("i", [-1]) * (len(word) + 1), self.size, self._compatible
+        last, size, pairs = array("i", [-1]) * (len(word) + 1), self.size, self.pairs
+        if len(pairs) >= PAIRS:
+            pairs.clear()
         for end, token in self.suffixes(word.decode("latin-1")):
             if last[end + 1] < 0:
                 start = end + 1 - size[token]
-                if not start or compatible(last[start], token):
+                if not start:
+                    last[end + 1] = token
+                    continue
+                pair = last[start] << 32 | token
+                apart = pairs.get(pair)
+                if apart is None:
+                    apart = pairs[pair] = self.apart(last[start], token)
+                if apart:
                     last[end + 1] = token
         return last
 
