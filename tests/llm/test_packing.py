@@ -89,3 +89,16 @@ def test_query(spark, sf):
     rows = QUERIES["op1_best_fit_packing"](spark, sf).collect()
     n = check(rows, docs, 1024)
     assert n <= 1.02 * sum(r["length"] for r in rows) / 1024 + 1
+
+
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=10))
+def test_plan_needs_as_many_sequences_as_best_fit_decreasing_of_documents(histogram):
+    capacity, free = 40, []
+    for length in sorted((k for k, n in histogram.items() for _ in range(n)), reverse=True):
+        fits = [i for i, f in enumerate(free) if f >= length]
+        if fits:
+            free[min(fits, key=lambda i: free[i])] -= length
+        else:
+            free.append(capacity - length)
+    plan = packing.plan_best_fit(histogram, capacity)
+    assert len({first + k for _, lo, hi, first, _ in plan for k in range(hi - lo)}) == len(free)

@@ -75,3 +75,62 @@ def test_a_third_of_the_rows_are_toxic_copies(spark):
     assert {r["doc_id"] for r in T.predict(new, model).collect() if r["toxic"]} == {1}
     got = T.predict(df, model).collect()
     assert all(r["toxic"] == (r["doc_id"] >= 1000) for r in got)
+
+
+def plain_loss(w, thresholds, rows, grades, l1):
+    """The objective written out for rows as lists of features."""
+    total = 0.0
+    for features, g in zip(rows, grades):
+        eta = sum(w[f] for f in features)
+        edge = [0.0] + [1 / (1 + np.exp(eta - t)) for t in thresholds] + [1.0]
+        total -= np.log(max(edge[g + 1] - edge[g], 1e-300))
+    return total / len(rows) + l1 * np.abs(w).sum()
+
+
+def test_fit_reaches_the_optimum_of_a_plain_solver():
+    rng = np.random.default_rng(8)
+    n, d, l1 = 120, 6, 0.01
+    rows = [sorted(rng.choice(d, rng.integers(0, 4), replace=False).tolist()) for _ in range(n)]
+    true = np.array([2.5, 1.0, 0.0, -1.5, 0.0, 0.3])
+    eta = np.array([true[r].sum() for r in rows]) + rng.logistic(size=n)
+    grades = (eta > 0.5).astype(int) + (eta > 2.0)
+    index = np.array([f for r in rows for f in r])
+    w, th = T.fit_ordinal(index, np.cumsum([0] + list(map(len, rows))), grades, d, 3, l1, steps=4000)
+    # coordinate search from zero: each parameter in turn, with steps that shrink
+    x = np.concatenate((np.zeros(d), [0.0, 1.0]))
+    loss = lambda x: plain_loss(x[:d], x[d:], rows, grades, l1) if x[d] < x[d + 1] else np.inf
+    best, step = loss(x), 1.0
+    while step > 1e-5:
+        moved = False
+        for j in range(len(x)):
+            for s in (step, -step):
+                y = x.copy()
+                y[j] = 0.0 if j < d and x[j] * (x[j] + s) < 0 else x[j] + s
+                value = loss(y)
+                if value < best - 1e-13:
+                    x, best, moved = y, value, True
+        step = step if moved else step / 2
+    assert abs(plain_loss(w, th, rows, grades, l1) - best) < 1e-5
+    assert np.abs(w - x[:d]).max() < 0.02
+
+
+def test_predict_equals_a_dictionary(spark):
+    import re
+    texts = ["one awful thing", "Awful awful AWFUL", "nothing here", "", None, "unknownword awf awfully", "x" * 9000 + " awful"]
+    feature = {}
+    for p, words in ((None, ("awful", "nothing")), (4, ("awfu", "noth")), (6, ("nothin",))):
+        for x in words:
+            w = T.Words([x], prefixes=T.PREFIXES)
+            feature[p, x] = w.hash[0] if p is None else T.mix(w.prefix[p] + np.uint64(p))[0]
+    weight = dict(zip(feature, (1.5, -0.7, 0.4, -0.2, 0.1)))
+    order = sorted(feature, key=lambda k: int(feature[k]))
+    model = T.Model(np.array([feature[k] for k in order], dtype=np.uint64), np.array([weight[k] for k in order]), np.array([0.5, 1.5]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in T.predict(df, model).collect():
+        words = set(re.findall(r"\w+", (texts[r["doc_id"]] or "").lower()))
+        held = {(None, w) for w in words} | {(p, w[:p]) for w in words for p in T.PREFIXES}
+        eta = sum(v for k, v in weight.items() if k in held)
+        edge = 1 / (1 + np.exp(eta - model.thresholds))
+        p = np.diff([0.0, *edge, 1.0])
+        assert abs(r["expected_severity"] - (p[1] + 2 * p[2])) < 1e-12
+        assert r["grade"] == p.argmax() and r["toxic"] == (edge[0] <= 1 - T.TOXIC_AT)
