@@ -94,14 +94,42 @@ _REGISTRY: dict[str, Callable[..., object]] = {}
 
 
 class _HistogramBoostEstimator:
-    """Boosting on the columns themselves: text columns are split by level sets, however many levels."""
+    """Boosting on the columns themselves: text columns are split by level sets, however many levels. Without
+    columns it takes the slots of the feature vector."""
 
-    def __init__(self, numeric, categorical=(), **settings):
-        self.columns, self.settings = (list(numeric), list(categorical)), settings
+    def __init__(self, numeric=None, categorical=(), n_features=None, features="features", **settings):
+        self.columns = None if numeric is None else (list(numeric), list(categorical))
+        self.n_features, self.features, self.settings = n_features, features, settings
 
     def fit(self, df):
         from auger.operators.learners.histogram_trees import fit_histogram_boosting
-        return fit_histogram_boosting(df, *self.columns, **self.settings)
+        if self.columns:
+            return fit_histogram_boosting(df, *self.columns, **self.settings)
+        slots = _Slots(self.n_features, self.features)
+        return _SlotModel(fit_histogram_boosting(slots.add(df), slots.names, **self.settings), slots)
+
+
+@dataclass
+class _Slots:
+    n: int
+    features: str
+
+    @property
+    def names(self) -> list[str]:
+        return [f"_slot{j}" for j in range(self.n)]
+
+    def add(self, df):
+        arr = vector_to_array(F.col(self.features))
+        return df.withColumns({c: arr[j] for j, c in enumerate(self.names)})
+
+
+@dataclass
+class _SlotModel:
+    inner: object
+    slots: _Slots
+
+    def transform(self, df):
+        return self.inner.transform(self.slots.add(df)).drop(*self.slots.names)
 
 
 def register(name: str, factory: Callable[..., object]) -> None:
@@ -140,7 +168,7 @@ register("glm_lbfgs", builtin.glm)
 register("glm_cv", builtin.glm_cv)
 register("gbm", builtin.gbm)
 register("gbm_newton", lambda n_classes=None, **kw: _BoostEstimator(n_classes=n_classes, **kw))
-register("gbm_histogram", lambda numeric, categorical=(), **kw: _HistogramBoostEstimator(numeric, categorical, **kw))
+register("gbm_histogram", lambda numeric=None, categorical=(), n_features=None, **kw: _HistogramBoostEstimator(numeric, categorical, n_features, **kw))
 register("deep_learning", lambda n_in, n_classes, **kw: _AveragedNetworkEstimator(n_in, n_classes, **kw))
 register("perceptron", lambda n_in, n_classes, **kw: builtin.network(n_in, n_classes, **kw))
 # the original's enum names

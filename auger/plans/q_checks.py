@@ -271,7 +271,7 @@ def tree_as_sql(spark, d):
     return out.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("prediction") != F.col("sql_prediction"), 1)).alias("n_mismatch"))
 
 
-@query("boost_start", "H7 H8 F8", sql="""
+@query("boost_start", "H7 H8", sql="""
 with c as (select event_type, count(*) as n from events group by 1),
 p as (select event_type, cast(row_number() over (order by event_type) - 1 as integer) as k, n / sum(n) over () as p from c),
 m as (select avg(ln(p)) as m from p)
@@ -287,7 +287,7 @@ def boost_start(spark, d):
     return spark.createDataFrame(rows, "k int, start_value double, first_loss double")
 
 
-@query("boost_start_two", "H7 F8", sql="""
+@query("boost_start_two", "H7", sql="""
 with c as (select avg(case when event_type = 'purchase' then 1.0 else 0.0 end) as p1 from events)
 select round(0.5 * ln((1 - p1) / p1), 8) as start_value, round(-(p1 * ln(p1) + (1 - p1) * ln(1 - p1)), 8) as first_loss from c
 """)
@@ -297,7 +297,7 @@ def boost_start_two(spark, d):
     return spark.createDataFrame([(round(m.init[0], 8), round(m.history[0], 8))], "start_value double, first_loss double")
 
 
-@query("glm_optimum", "H5 H6", sql="select count(*) as n, 0.0::double as score0, 0.0::double as score1, 0.0::double as score2 from events")
+@query("glm_optimum", "H5", sql="select count(*) as n, 0.0::double as score0, 0.0::double as score1, 0.0::double as score2 from events")
 def glm_optimum(spark, d):
     """Without a penalty the fitted model solves the score equations: residuals sum to zero against 1 and each input."""
     from auger.operators.learners.glm import fit_glm
@@ -325,7 +325,7 @@ def network_forward(spark, d):
     return out.select("event_id", F.round("p1", 8).alias("p1"), "prediction")
 
 
-@query("tree_stump", "H1 F4 F6", sql="""
+@query("tree_stump", "H1 F4", sql="""
 with f as (
   select value > 55 as y, 'x0' as feature, floor(value / 20) as v from events
   union all select value > 55, 'x1', cast(hour(ts) as double) from events),

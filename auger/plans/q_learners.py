@@ -263,7 +263,7 @@ def _scored(model, test, n_classes=2, label="label"):
                                                    *[f"p{i}" for i in range(n_classes)])
 
 
-@query("spam_text", "A4 G1 G2 H3 F3")
+@query("spam_text", "A4 G1 G2 H3")
 def spam_text_q(spark, d):
     """Hashed tokens -> logistic regression by SGD (20 iterations) -> test predictions."""
     tr, te = _split(labelled_docs(spark, d))

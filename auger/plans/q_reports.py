@@ -133,7 +133,7 @@ def _prediction_table_sql() -> str:
     return NB_SCORED_SQL + 'select event_id as "Event_id", prediction as "Prediction" from scored'
 
 
-@query("prediction_table", "J4 F1 B14", sql=_prediction_table_sql())
+@query("prediction_table", "J4 B14", sql=_prediction_table_sql())
 def prediction_table_q(spark, d):
     from auger.plans.q_learners import naive_bayes_score_q
     return report_table(naive_bayes_score_q(spark, d))
