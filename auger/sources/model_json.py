@@ -51,7 +51,7 @@ def _value(spark, model, names):
     if isinstance(model, _SgdModel):
         return _value(spark, model.inner, names)
     if isinstance(model, LinearSgdModel):
-        return {"kind": model.loss, "weights": [float(w) for w in model.weights], "threshold": float(model.threshold)}
+        return {"kind": model.loss, "weights": [float(w) for w in model.weights], "threshold": None if model.threshold is None else float(model.threshold)}
     if hasattr(model, "coefficients"):
         coef = getattr(model.coefficients, "toArray", lambda: np.asarray(model.coefficients))()
         return {"kind": "linear", "intercept": float(model.intercept), "coefficients": [float(c) for c in coef]}
