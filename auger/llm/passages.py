@@ -337,11 +337,12 @@ def _exact_runs(batches):
                 names=["doc", "odoc", "lo", "hi", "olo", "ohi"])
 
 
-def _exact(docs: DataFrame, matches: DataFrame, passages: DataFrame, scratch: list[DataFrame]) -> DataFrame:
+def _exact(docs: DataFrame, seen: DataFrame, passages: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """Runs of exactly equal stretches that the first owners hide: a document of a smaller id that shares only a
     phrase owns their windows. Equal contents are transitive, so one owner for each is enough."""
-    places = matches.select("doc", "place").unionAll(matches.select(F.col("odoc").alias("doc"), F.col("oplace").alias("place")))
-    places = places.groupBy("doc").agg(F.collect_set("place").alias("places"))  # a document's windows
+    # windows with an owner elsewhere, and those owners; of salted keys, owners have met over all salts and are among the first
+    places = (seen.select(F.explode(F.array_append("owners", F.struct("doc", "place"))).alias("w")).select("w.doc", "w.place")
+              .groupBy("doc").agg(F.collect_set("place").alias("places")))  # a document's windows
     spans = passages.groupBy(F.struct(F.col("doc_id").alias("id"), "text_key").alias("doc")).agg(
         F.collect_list(F.struct("start_word", "end_word")).alias("spans"))  # a document's passages
     # ids may be null: the struct is never, and joins as a whole
@@ -393,7 +394,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     found = matches.groupBy("doc").agg(F.collect_set(F.struct("place", "odoc", "oplace")).alias("m"))  # a document's windows
     runs = write_scratch(found.mapInArrow(_runs, RUN).withColumn("run", number), "runs")
     near = _verified(docs, runs)
-    more = write_scratch(_exact(docs, matches, near, used).withColumn("run", number), "exact-runs")
+    more = write_scratch(_exact(docs, used[0], near, used).withColumn("run", number), "exact-runs")
     for t in [runs, *used]:
         drop_scratch(t)
     exact = _verified(docs, more)
