@@ -20,8 +20,8 @@ l and r, cut at WIDTH - 1 places from c), so a text of n shingles has about 2n /
    each run is verified on its own: the best scoring stretches with a Jaccard similarity of at least 0.8
    and at least 50 words are returned.
 5. An owner that holds only a phrase of a passage hides it. So stretches of 50 words whose windows under all
-   hash functions are shared, and which no passage covers, are compared by the hash of their whole content
-   and verified like the others. Exact repeats are found whatever other documents hold parts of them.
+   hash functions are shared, and which no passage covers, are compared by the hash of their whole content;
+   equal ones are passages. Exact repeats are found whatever other documents hold parts of them.
 """
 
 from __future__ import annotations
@@ -291,8 +291,12 @@ def _open_stretches(batches):
                 steps = np.bincount(left[j == k], minlength=n).astype(np.int64)
                 steps[:n] -= np.bincount(right[j == k] - WIDTH + 2, minlength=n)
                 shared &= np.cumsum(steps[:n]) > 0
+            free = shared.copy()
             for s in spans or ():
-                shared[s["start_word"]:max(s["end_word"] - WORDS + 1, s["start_word"])] = False
+                free[s["start_word"]:max(s["end_word"] - WORDS + 1, s["start_word"])] = False
+            # with the shared ones around them, so that a passage found in part comes back whole
+            count = np.concatenate((np.zeros(WIDTH + 1, dtype=np.int64), np.cumsum(free), np.full(WIDTH, free.sum())))
+            shared &= count[2 * WIDTH + 1:] > count[:-2 * WIDTH - 1]
             edge = np.diff(np.concatenate(([0], shared.view(np.int8), [0])))
             ranges = [{"lo": x, "hi": y} for x, y in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
             if ranges:
@@ -321,7 +325,12 @@ def _stretch_hashes(batches):
                     names=["content", "doc", "at"])
 
 
-def _exact_runs(batches):
+PASSAGE = ("doc_id long, text_key long, start_word long, end_word long, other_doc long, other_start long, "
+           "other_end long, similarity double")
+
+
+def _exact_passages(batches):
+    """Stretches at one distance that overlap or touch are one passage, equal word for word."""
     for b in batches:
         for i, group in enumerate(b.column("m")):
             flat = group.values
@@ -331,14 +340,14 @@ def _exact_runs(batches):
             odoc, at, oat, odocs = odoc[order], at[order], oat[order], odocs.take(pa.array(order))
             cut = np.flatnonzero(np.concatenate(([True], (odoc[1:] != odoc[:-1]) | (np.diff(at - oat) != 0) | (np.diff(at) > WIDTH))))
             last = np.append(cut[1:], len(at)) - 1
-            lo, hi, olo, ohi = (np.maximum(at[cut] - WIDTH, 0), at[last] + 2 * WIDTH, np.maximum(oat[cut] - WIDTH, 0), oat[last] + 2 * WIDTH)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc").take(pa.array(np.full(len(cut), i))), odocs.take(pa.array(cut)), *map(pa.array, (lo, hi, olo, ohi))],
-                names=["doc", "odoc", "lo", "hi", "olo", "ohi"])
+            mine, theirs = b.column("doc").take(pa.array(np.full(len(cut), i))), odocs.take(pa.array(cut))
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": mine.field(0), "text_key": mine.field(1), "start_word": at[cut], "end_word": at[last] + WORDS,
+                 "other_doc": theirs.field(0), "other_start": oat[cut], "other_end": oat[last] + WORDS, "similarity": np.ones(len(cut))})
 
 
 def _exact(docs: DataFrame, seen: DataFrame, passages: DataFrame, scratch: list[DataFrame]) -> DataFrame:
-    """Runs of exactly equal stretches that the first owners hide: a document of a smaller id that shares only a
+    """Passages of exactly equal stretches that the first owners hide: a document of a smaller id that shares only a
     phrase owns their windows. Equal contents are transitive, so one owner for each is enough."""
     # windows with an owner elsewhere, and those owners; of salted keys, owners have met over all salts and are among the first
     places = (seen.select(F.explode(F.array_append("owners", F.struct("doc", "place"))).alias("w")).select("w.doc", "w.place")
@@ -356,7 +365,7 @@ def _exact(docs: DataFrame, seen: DataFrame, passages: DataFrame, scratch: list[
     scratch.append(owners)
     met = hashes.join(owners, "content").where("doc != odoc").groupBy("doc").agg(
         F.collect_set(F.struct("at", "odoc", "oat")).alias("m"))  # a document's stretches
-    return met.mapInArrow(_exact_runs, RUN)
+    return met.mapInArrow(_exact_passages, PASSAGE)
 
 
 def _verified(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -371,9 +380,7 @@ def _verified(docs: DataFrame, runs: DataFrame) -> DataFrame:
     side = lambda rows, name: (rows.join(chunks, ["doc", "chunk"]).groupBy("run")
                                .agg(F.collect_list(F.struct("chunk", "part")).alias(name)))
     whole = runs.join(side(mine, "mine"), "run").join(side(theirs, "theirs"), "run")
-    out = whole.mapInArrow(_verify, "doc_id long, text_key long, start_word long, end_word long, other_doc long, "
-                                    "other_start long, other_end long, similarity double").distinct()
-    out = write_scratch(out, "passages")
+    out = write_scratch(whole.mapInArrow(_verify, PASSAGE).distinct(), "passages")
     drop_scratch(chunks)
     return out
 
@@ -389,19 +396,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     their own, ordered by ``text_key``, the hash of the text. Repeated rows give their passages once."""
     docs = docs.select(F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_key")).alias("doc"), "text")
     used: list[DataFrame] = []
-    matches = _matches(docs, used)
-    number = F.monotonically_increasing_id()
-    found = matches.groupBy("doc").agg(F.collect_set(F.struct("place", "odoc", "oplace")).alias("m"))  # a document's windows
-    runs = write_scratch(found.mapInArrow(_runs, RUN).withColumn("run", number), "runs")
+    found = _matches(docs, used).groupBy("doc").agg(F.collect_set(F.struct("place", "odoc", "oplace")).alias("m"))  # a document's windows
+    runs = write_scratch(found.mapInArrow(_runs, RUN).withColumn("run", F.monotonically_increasing_id()), "runs")
     near = _verified(docs, runs)
-    more = write_scratch(_exact(docs, used[0], near, used).withColumn("run", number), "exact-runs")
-    for t in [runs, *used]:
+    out = write_scratch(near.unionAll(_exact(docs, used[0], near, used)).distinct(), "all-passages")
+    for t in [runs, near, *used]:
         drop_scratch(t)
-    exact = _verified(docs, more)
-    drop_scratch(more)
-    out = write_scratch(near.unionAll(exact).distinct(), "all-passages")
-    drop_scratch(near)
-    drop_scratch(exact)
     return out
 
 
