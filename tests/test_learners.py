@@ -285,3 +285,29 @@ def test_network_does_not_depend_on_the_layout(spark):
     one, four = df.repartition(1), df.orderBy(F.desc("i")).repartition(4)
     a, b = (fit_network_averaged(d, 2, 2, hidden=(4,), epochs=2, rows_per_task=64).theta for d in (one, four))
     assert np.allclose(a, b, atol=1e-9)
+
+
+def test_naive_bayes_tries_few_of_many_classes(monkeypatch):
+    from auger.operators.learners import bayes as B
+    rng = np.random.default_rng(5)
+    n_c, sums = rng.integers(5, 50, 3000), rng.gamma(20.0, 30.0, (3000, 2))
+    prior, theta = np.log(n_c / n_c.sum()), np.log(sums / sums.sum(axis=1, keepdims=True))
+    prior[1::2], theta[1::2] = prior[::2], theta[::2]  # equal classes: the first one wins
+    x = np.column_stack([rng.gamma(1.0, 30.0, 4000), rng.integers(0, 24, 4000)]).astype(float)
+    scores = prior + x[:, :1] * theta[:, 0] + x[:, 1:] * theta[:, 1]
+    used = B._leaders(prior, theta, x.min(axis=0), x.max(axis=0))
+    assert len(used) < 300
+    tried, look = [], B._few_best
+    monkeypatch.setattr(B, "_few_best", lambda part, p, *rest: tried.append(len(part) * len(p)) or look(part, p, *rest))
+    for some in (np.arange(len(prior)), used):
+        s, at = B._best_classes(x, prior[some], theta[some])
+        assert (some[at] == scores.argmax(axis=1)).all() and (s == scores.max(axis=1)).all()
+    assert sum(tried) < scores.size / 5
+    x[3, 0], x[5, 1], x[7] = np.nan, np.inf, [np.inf, np.nan]
+    s, at = B._best_classes(x, prior, theta)
+    old_s, old_at = B._plain_best(x, prior, theta)
+    assert (at == old_at).all() and np.allclose(s, old_s, equal_nan=True)
+    wide, w_theta = rng.gamma(1.0, 5.0, (300, 40)), np.log(rng.dirichlet(np.ones(40), 400))  # nothing to leave out
+    w_prior = np.full(400, -np.log(400))
+    assert (B._best_classes(wide, w_prior, w_theta)[1] == (wide @ w_theta.T + w_prior).argmax(axis=1)).all()
+    assert len(B._leaders(w_prior, w_theta, wide.min(axis=0), wide.max(axis=0))) == 400
