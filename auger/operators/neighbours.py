@@ -6,7 +6,8 @@ Plan:
    copies holding a third of the rows is one point for the search.
 1. Pivots: a bounded, hash-chosen sample of the distinct vectors (size-checked, broadcast).
 2. Every vector goes to its nearest pivot's cell; cells are cut into blocks of at most
-   ``block`` vectors (``hash(id) % n_blocks(cell)``), so no group is larger than a block.
+   ``block`` vectors (``hash(id) % n_blocks(cell)``; by default it grows with the root of the
+   number of vectors), so no group is larger than a block.
 3. Phase 1, per block (``applyInPandas``): the k nearest inside the block. The k-th distance
    ``theta`` bounds the true k-th neighbour distance from above; so does
    ``d(q, pivot_c) + radius_c`` for any cell holding more than k vectors.
@@ -14,7 +15,9 @@ Plan:
    ``d(q, p_c) - radius_c`` and Voronoi bound ``(d(q,p_c)^2 - d(q,p_own)^2) / (2 d(p_own,p_c))``
    allow a point within ``theta``; then to those of the cell's blocks whose own ball bound allows
    it. Queries for one block are cut into chunks of at most ``block``; the block is copied to
-   each chunk.
+   each chunk. A query goes with its ``theta``, so only what is that near leaves a task.
+   In both phases distances come from products of matrices, and what may count is measured
+   again by direct differences.
 5. Per vector, candidates of both phases give the k nearest distinct vectors (all ties at the
    k-th distance kept). Members of copy groups are expanded back: every group's k+1 smallest ids
    are found by a salted tree reduction (bounded windows), and each point takes the k nearest
@@ -37,7 +40,9 @@ from pyspark.sql import functions as F
 from auger.operators.joins import salted_join
 from auger.session import materialize
 
-BLOCK = 4096  # points a task holds; where no bound prunes, a point is routed to n / BLOCK blocks
+BLOCK, MAX_BLOCK = 4096, 32_768  # points a task holds, twice; where no bound prunes, a point is routed to n / block blocks
+MAX_BLOCK_BYTES = 32 << 20
+CELLS = 1 << 21  # distances held at once
 MAX_PIVOT_BYTES = 64 << 20
 MAX_BLOCK_TABLE = 500_000
 EPS = 1e-9
@@ -90,18 +95,57 @@ def _rowdist(A: np.ndarray, ia: np.ndarray, B: np.ndarray, ib: np.ndarray, step:
 
 
 def _knn_block(qids: np.ndarray, Q: np.ndarray, xids: np.ndarray, X: np.ndarray, k: int,
-               chunk: int = 64) -> pd.DataFrame:
-    """Top-k (ties kept) of each query among X, one slice of queries at a time: memory is
-    chunk x |X| distances, never |Q| x |X|."""
-    parts = [_topk(qids[s:s + chunk], _dist_chunked(Q[s:s + chunk], X), xids, k) for s in range(0, len(Q), chunk)]
-    return pd.concat(parts, ignore_index=True) if parts else _empty()
+               theta: np.ndarray | None = None) -> pd.DataFrame:
+    """Top-k (ties kept) of each query among X, those above the query's ``theta`` left out.
+
+    Squared distances come from one product of matrices per slice of queries (``CELLS`` of them at a time, never
+    |Q| x |X|), about the middle of X. What lies within their rounding of the limit is measured again by direct
+    differences, so distances and ties are those of :func:`_dist_chunked`."""
+    if not len(Q) or not len(X):
+        return _empty()
+    mid = X.mean(axis=0)
+    A, B = Q - mid, X - mid
+    aa, bb = np.einsum("ij,ij->i", A, A), np.einsum("ij,ij->i", B, B)
+    near_by = 8 * (X.shape[1] + 4) * np.finfo(float).eps * (aa + bb.max()) + 1e-300
+    if not np.isfinite(near_by).all():
+        parts = [_topk(qids[s:s + 64], _dist_chunked(Q[s:s + 64], X), xids, k) for s in range(0, len(Q), 64)]
+        return pd.concat(parts, ignore_index=True)
+    most = np.finfo(float).max
+    within = np.full(len(Q), np.inf) if theta is None else theta + EPS * (1 + theta)
+    limit = within ** 2 + near_by
+    by_id = np.argsort(xids, kind="stable")
+    first, last = (np.searchsorted(xids, qids, side, sorter=by_id) for side in ("left", "right"))
+    step, parts = max(1, CELLS // len(X)), []
+    for s in range(0, len(Q), step):
+        part = slice(s, s + step)
+        D = A[part] @ B.T
+        D *= -2.0
+        D += bb
+        D += aa[part, None]
+        for r in np.flatnonzero(last[part] > first[part]):  # the query itself
+            D[r, by_id[first[s + r]:last[s + r]]] = np.inf
+        lim = limit[part].copy()
+        free = np.flatnonzero(~np.isfinite(lim))
+        if len(free) and k < len(X):
+            lim[free] = np.partition(D[free], k - 1, axis=1)[:, k - 1] + 2 * near_by[part][free]
+        rows, cols = np.nonzero(D <= np.minimum(lim, most)[:, None])
+        d = _rowdist(Q[part], rows, X, cols)
+        order = np.lexsort((d, rows))
+        rows, cols, d = rows[order], cols[order], d[order]
+        start = np.searchsorted(rows, np.arange(len(D) + 1))
+        kth = np.full(len(D), np.inf)
+        full = np.flatnonzero(np.diff(start) >= k)
+        kth[full] = d[start[full] + k - 1]
+        near = d <= np.minimum(kth, within[part])[rows]
+        parts.append(pd.DataFrame({"i": qids[part][rows[near]], "j": xids[cols[near]], "d": d[near]}))
+    return pd.concat(parts, ignore_index=True)
 
 
 def _mat(series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in series]) if len(series) else np.zeros((0, 0))
 
 
-def _distinct_knn(pts: DataFrame, k: int, block: int, max_pivots: int, seed: int) -> DataFrame:
+def _distinct_knn(pts: DataFrame, k: int, block: int | None, max_pivots: int, seed: int) -> DataFrame:
     """``(i, j, d)`` over distinct vectors ``(_id, _v)``: the k nearest, ties at the k-th kept.
 
     Two pivot levels: coarse cells (at most ``max_pivots``) for cheap pruning, and inside every
@@ -118,6 +162,8 @@ def _distinct_knn(pts: DataFrame, k: int, block: int, max_pivots: int, seed: int
         raise ValueError(f"vectors must be non-null and of one length (found {st['lo']}..{st['hi']})")
     dims = int(st["hi"])
     max_subs = max(16, min(MAX_BLOCK_TABLE, MAX_PIVOT_BYTES // (dims * 8)))
+    if block is None:  # grows with the root of n: so do the copies of a point
+        block = max(BLOCK, min(MAX_BLOCK, 32 * math.isqrt(n), MAX_BLOCK_BYTES // (dims * 8)))
     block = max(block, math.ceil(n / max_subs), k + 1)
     n_piv = int(min(max_pivots, max(1, math.ceil(math.sqrt(n / block)))))
     piv = (pts.orderBy(F.xxhash64(F.col("_id"), F.lit(seed)), "_id").limit(n_piv)
@@ -205,84 +251,77 @@ def _distinct_knn(pts: DataFrame, k: int, block: int, max_pivots: int, seed: int
     q = (blocked.join(theta, blocked["_id"] == theta["i"], "left")
          .select("_id", "_v", "g", "blk", F.coalesce(F.col("theta"), F.lit(float("inf"))).alias("theta")))
 
-    def route(batches):
+    @F.pandas_udf("theta double, blocks array<long>")
+    def route(v: pd.Series, g: pd.Series, blk: pd.Series, theta: pd.Series) -> pd.DataFrame:
         Bg, Bb, Br, bst, bcn, Rs, ns, Sc, Uc, nc, PPm = bB.value
         Sv, sst, scn = bS.value
         Pv = bP.value
         big_c = np.nonzero(nc > k)[0]
         # points per slice: at most ~4M (point, sub-cell) pairs in flight
         step = max(1, min(256, (4 << 20) // max(1, len(Sv))))
-        for pdf in batches:
-            for lo in range(0, len(pdf), step):
-                part = pdf.iloc[lo:lo + step]
-                X = _mat(part["_v"])
-                Dp = _dist_chunked(X, Pv)
-                own_g = part["g"].to_numpy(dtype=np.int64)
-                own_b = part["blk"].to_numpy(dtype=np.int64)
-                own_c = Sc[own_g]
-                th = part["theta"].to_numpy(dtype=float)
-                if len(big_c):
-                    th = np.minimum(th, (Dp[:, big_c] + Uc[big_c][None, :]).min(axis=1))
-                tol = th + EPS * (1 + th)
-                own = Dp[np.arange(len(Dp)), own_c][:, None]
-                sep = PPm[own_c]
+        thetas, blocks = theta.to_numpy(dtype=float).copy(), []
+        for lo in range(0, len(v), step):
+            X = _mat(v.iloc[lo:lo + step])
+            Dp = _dist_chunked(X, Pv)
+            own_g = g.iloc[lo:lo + step].to_numpy(dtype=np.int64)
+            own_b = blk.iloc[lo:lo + step].to_numpy(dtype=np.int64)
+            own_c = Sc[own_g]
+            th = thetas[lo:lo + step]
+            if len(big_c):
+                np.minimum(th, (Dp[:, big_c] + Uc[big_c][None, :]).min(axis=1), out=th)
+            tol = th + EPS * (1 + th)
+            own = Dp[np.arange(len(Dp)), own_c][:, None]
+            sep = PPm[own_c]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                hyper = np.where(sep > 0, (Dp * Dp - own * own) / (2 * sep), 0.0)
+            lb_cell = np.maximum(np.maximum(Dp - Uc[None, :], 0.0), hyper)
+            r, c = np.nonzero(lb_cell <= tol[:, None])  # surviving (point, cell) pairs
+            # expand to the sub-cells of each surviving cell
+            k_s = scn[c]
+            rr = np.repeat(r, k_s)
+            gi = np.repeat(sst[c] - (np.cumsum(k_s) - k_s), k_s) + np.arange(k_s.sum())
+            dq = _rowdist(X, rr, Sv, gi)
+            lb = np.maximum(lb_cell[rr, Sc[gi]], dq - Rs[gi])
+            same = Sc[gi] == own_c[rr]
+            if same.any():
+                og = own_g[rr[same]]
+                dso = _rowdist(X, rr[same], Sv, og)
+                sep2 = _rowdist(Sv, og, Sv, gi[same])
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    hyper = np.where(sep > 0, (Dp * Dp - own * own) / (2 * sep), 0.0)
-                lb_cell = np.maximum(np.maximum(Dp - Uc[None, :], 0.0), hyper)
-                r, c = np.nonzero(lb_cell <= tol[:, None])  # surviving (point, cell) pairs
-                if len(r) == 0:
-                    continue
-                # expand to the sub-cells of each surviving cell
-                k_s = scn[c]
-                rr = np.repeat(r, k_s)
-                gi = np.repeat(sst[c] - np.concatenate([[0], np.cumsum(k_s)[:-1]]), k_s) + np.arange(k_s.sum())
-                dq = _rowdist(X, rr, Sv, gi)
-                lb = np.maximum(lb_cell[rr, Sc[gi]], dq - Rs[gi])
-                same = Sc[gi] == own_c[rr]
-                if same.any():
-                    og = own_g[rr[same]]
-                    dso = _rowdist(X, rr[same], Sv, og)
-                    sep2 = _rowdist(Sv, og, Sv, gi[same])
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        h2 = np.where(sep2 > 0, (dq[same] ** 2 - dso ** 2) / (2 * sep2), 0.0)
-                    lb[same] = np.maximum(lb[same], h2)
-                ok = lb <= tol[rr]
-                rr, gi, dq, lb = rr[ok], gi[ok], dq[ok], lb[ok]
-                if len(rr) == 0:
-                    continue
-                # expand to the blocks of each surviving sub-cell
-                k_b = bcn[gi]
-                r2 = np.repeat(rr, k_b)
-                bi = np.repeat(bst[gi] - np.concatenate([[0], np.cumsum(k_b)[:-1]]), k_b) + np.arange(k_b.sum())
-                lb2 = np.maximum(np.repeat(lb, k_b), np.repeat(dq, k_b) - Br[bi])
-                keep = (lb2 <= tol[r2]) & ~((Bg[bi] == own_g[r2]) & (Bb[bi] == own_b[r2]))
-                r2, bi = r2[keep], bi[keep]
-                if len(r2) == 0:
-                    continue
-                yield pd.DataFrame({"_id": part["_id"].to_numpy(dtype=np.int64)[r2],
-                                    "_v": part["_v"].to_numpy()[r2],
-                                    "g": Bg[bi], "blk": Bb[bi].astype("int32")})
-
-    routed = q.mapInPandas(route, "_id long, _v array<double>, g long, blk int").transform(materialize)
+                    h2 = np.where(sep2 > 0, (dq[same] ** 2 - dso ** 2) / (2 * sep2), 0.0)
+                lb[same] = np.maximum(lb[same], h2)
+            ok = lb <= tol[rr]
+            rr, gi, dq, lb = rr[ok], gi[ok], dq[ok], lb[ok]
+            # expand to the blocks of each surviving sub-cell
+            k_b = bcn[gi]
+            r2 = np.repeat(rr, k_b)
+            bi = np.repeat(bst[gi] - (np.cumsum(k_b) - k_b), k_b) + np.arange(k_b.sum())
+            lb2 = np.maximum(np.repeat(lb, k_b), np.repeat(dq, k_b) - Br[bi])
+            keep = (lb2 <= tol[r2]) & ~((Bg[bi] == own_g[r2]) & (Bb[bi] == own_b[r2]))
+            r2, bi = r2[keep], bi[keep]  # r2 ascends
+            blocks += np.split((Bg[bi] << 32) + Bb[bi], np.searchsorted(r2, np.arange(1, len(X))))
+        return pd.DataFrame({"theta": thetas, "blocks": blocks})
+
+    # one row per point, with the blocks it goes to: the copies are made on the way to the next shuffle
+    routed = (q.select("_id", "_v", route("_v", "g", "blk", "theta").alias("_r")).select("_id", "_v", "_r.theta", "_r.blocks")
+              .where(F.size("blocks") > 0).transform(materialize))
+    routed = routed.select("_id", "_v", "theta", F.explode("blocks").alias("b"))
     # queries per target block -> number of query chunks; one row per block (bounded table),
     # joined by broadcast instead of being shipped as a literal
-    chunks = F.broadcast(routed.groupBy("g", "blk").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("nq")))
-    qside = (routed.join(chunks, ["g", "blk"])
-             .select("g", "blk", F.pmod(F.xxhash64("_id", F.lit(seed + 2)), F.col("nq")).cast("int").alias("qc"),
-                     F.lit(True).alias("is_q"), "_id", "_v"))
-    dside = (blocked.join(chunks, ["g", "blk"])
-             .select("g", "blk", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qc"),
-                     F.lit(False).alias("is_q"), "_id", "_v"))
+    chunks = F.broadcast(routed.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("nq")))
+    qside = (routed.join(chunks, "b")
+             .select("b", F.pmod(F.xxhash64("_id", F.lit(seed + 2)), F.col("nq")).cast("int").alias("qc"), "theta", "_id", "_v"))
+    dside = (blocked.withColumn("b", F.shiftleft("g", 32) + F.col("blk")).join(chunks, "b")
+             .select("b", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qc"),
+                     F.lit(None).cast("double").alias("theta"), "_id", "_v"))  # no query: no limit
 
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-        qs, xs = pdf[pdf["is_q"]], pdf[~pdf["is_q"]]
-        if len(qs) == 0 or len(xs) == 0:
-            return _empty()
-        return _knn_block(qs["_id"].to_numpy(dtype=np.int64), _mat(qs["_v"]),
-                          xs["_id"].to_numpy(dtype=np.int64), _mat(xs["_v"]), k)
+        is_q = pdf["theta"].notna()
+        qs, xs = pdf[is_q], pdf[~is_q]
+        return _knn_block(qs["_id"].to_numpy(dtype=np.int64), _mat(qs["_v"]), xs["_id"].to_numpy(dtype=np.int64),
+                          _mat(xs["_v"]), k, qs["theta"].to_numpy(dtype=float))
 
-    p2 = qside.unionByName(dside).groupBy("g", "blk", "qc").applyInPandas(cross, _SCHEMA)
+    p2 = qside.unionByName(dside).groupBy("b", "qc").applyInPandas(cross, _SCHEMA)
     allc = p1.unionByName(p2)
     # all candidates within the k-th distance (rank keeps every tie at the k-th value)
     return (allc.withColumn("_rk", F.rank().over(Window.partitionBy("i").orderBy("d")))
@@ -308,7 +347,7 @@ def _smallest_ids(members: DataFrame, r: int, block: int, max_m: int, seed: int)
         cur = cur.withColumn("s", F.col("s") % F.lit(S))
 
 
-def knn_join(df: DataFrame, id_col: str, vec_col: str, k: int = 10, block: int = BLOCK,
+def knn_join(df: DataFrame, id_col: str, vec_col: str, k: int = 10, block: int | None = None,
              max_pivots: int = 2048, seed: int = 17) -> DataFrame:
     """``(i, j, d, rank)``: the k nearest other points of every point; ties broken by id."""
     spark = df.sparkSession
@@ -325,7 +364,7 @@ def knn_join(df: DataFrame, id_col: str, vec_col: str, k: int = 10, block: int =
         return (dk.withColumn("rank", F.row_number().over(by_dj)).where(F.col("rank") <= k)
                 .select("i", "j", "d", F.col("rank").cast("int")))
     dk = dk.transform(materialize)
-    small = _smallest_ids(pts, k + 1, block, max_m, seed)
+    small = _smallest_ids(pts, k + 1, block or BLOCK, max_m, seed)
     small_g = small.join(groups.select("_v", "g"), "_v").select("g", "_id")  # <= k+1 rows per group
     own = small_g.select(F.col("g").alias("u"), F.col("_id").alias("j"), F.lit(0.0).alias("d"))
     nbr = (dk.join(small_g.withColumnRenamed("g", "j_g"), dk["j"] == F.col("j_g"))

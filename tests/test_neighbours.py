@@ -72,3 +72,25 @@ def test_knn_and_lof_with_salted_hot_keys(spark, monkeypatch):
     assert all([j for _, j in sorted(got[i])] == [j for _, j in want[i]] for i in ids)
     lof = local_outlier_factor(knn_join(df, "id", "v", k, block=16))
     assert lof.count() == len(ids)
+
+
+def test_block_measures_few_pairs_directly(monkeypatch):
+    import auger.operators.neighbours as N
+    rng = np.random.default_rng(4)
+    X = rng.normal(30, 1, size=(900, 16))
+    X[:50] = rng.normal(-500, 1e-3, size=(50, 16))  # far off and dense
+    X[800:] = np.round(X[800:])
+    X[850:] = X[800:850] + np.eye(16)[0]  # tied distances
+    ids, k = rng.permutation(900) * 3, 7
+    D = N._dist_chunked(X, X)
+    want = N._topk(ids, D, ids, k)
+    pairs, rowdist = [], N._rowdist
+    monkeypatch.setattr(N, "_dist_chunked", lambda *a: pytest.fail("all pairs by direct differences"))
+    monkeypatch.setattr(N, "_rowdist", lambda A, ia, B, ib: pairs.append(len(ia)) or rowdist(A, ia, B, ib))
+    monkeypatch.setattr(N, "CELLS", 10_000)
+    key = lambda t: sorted(zip(t["i"], t["j"], np.round(t["d"], 9)))
+    assert key(N._knn_block(ids, X, ids, X, k)) == key(want)
+    theta = np.sort(D, axis=1)[:, 3]  # with the query itself: the third neighbour's distance
+    near = want[want["d"] <= want["i"].map(dict(zip(ids, theta)))]
+    assert key(N._knn_block(ids, X, ids, X, k, theta)) == key(near)
+    assert sum(pairs) < 20 * len(X)
