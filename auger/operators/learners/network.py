@@ -83,25 +83,17 @@ class AveragedNetwork:
         k = self.layers[-1]
         theta, layers = self.theta, self.layers
         bc = df.sparkSession.sparkContext.broadcast(theta)
-        base = df.withColumn("_x", vector_to_array(F.col(self.features)))
-        schema = base.drop("_x").schema
-        for i in range(k):
-            schema = schema.add(f"p{i}", "double")
-        schema = schema.add(prediction, "double")
+        fields = [f"p{i}" for i in range(k)] + [prediction]
 
-        def score(batches):
+        @F.pandas_udf(", ".join(f"`{c}` double" for c in fields))
+        def score(xs: pd.Series) -> pd.DataFrame:
             params = _unpack(bc.value, layers)
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                P = _forward(params, np.stack(pdf["_x"].to_numpy()))[-1]
-                out = pdf.drop(columns=["_x"])
-                for i in range(k):
-                    out[f"p{i}"] = P[:, i]
-                out[prediction] = P.argmax(axis=1).astype(float)
-                yield out
-
-        return base.mapInPandas(score, schema)
+            P = _forward(params, np.stack(xs.to_numpy()))[-1] if len(xs) else np.zeros((0, k))
+            return pd.DataFrame(np.column_stack([P, P.argmax(axis=1)]), columns=fields)
+
+        # only the inputs go through Python; the other columns, vectors among them, stay where they are
+        out = df.withColumn("_out", score(vector_to_array(F.col(self.features))))
+        return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("_out").getField(c).alias(c) for c in fields])
 
 
 def weight_importances(net: AveragedNetwork) -> np.ndarray:

@@ -111,3 +111,17 @@ def test_metrics_on_empty_input(spark):
     assert M.summary(empty, prob="p1").first()["n_rows"] == 0
     one_class = spark.createDataFrame([(1.0, 0.3, 1.0), (1.0, 0.7, 1.0)], "label double, p1 double, prediction double")
     assert M.auc(one_class, "p1", "label").first()["auc"] is None  # undefined without negatives
+
+
+def test_network_scoring_sends_only_its_inputs_through_python(spark):
+    from pyspark.ml.linalg import Vectors
+    from auger.operators.learners.network import AveragedNetwork, _forward, _unpack, n_params
+    net = AveragedNetwork([3, 4, 2], np.linspace(-1, 1, n_params([3, 4, 2])), features="f")
+    rows = [(i, "x", Vectors.dense([i / 10, float(i % 3), -i / 7])) for i in range(50)]
+    out = net.transform(spark.createDataFrame(rows, ["id", "a.b", "f"]))
+    assert out.columns == ["id", "a.b", "f", "p0", "p1", "prediction"]
+    assert "MapInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()  # which would pass every column
+    P = _forward(_unpack(net.theta, net.layers), np.array([r[2].toArray() for r in rows]))[-1]
+    got = out.orderBy("id").collect()
+    assert np.allclose([[r["p0"], r["p1"]] for r in got], P) and [r["prediction"] for r in got] == P.argmax(axis=1).tolist()
+    assert [r["f"] for r in got] == [r[2] for r in rows]
