@@ -34,6 +34,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 SKETCH, RUNS, DEPTH, LEAF = 64, 8, 4, 64
 CANDIDATE = 0.5  # share of equal sketch tokens; 0.8 lies six standard deviations above
 BLOCK, BLOCK_TOKENS = 512, 1_000_000
+TEXT_BYTES = 500_000  # bytes of text a worker shingles at once
 
 _PLACES = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x51ED270B)) | np.uint64(1)
 _I64 = lambda x: np.ascontiguousarray(x).view(np.int64)
@@ -214,7 +215,7 @@ def _verify(threshold: float):
 def _set_rows(k: int):
     def run(batches):
         for batch in batches:
-            for b in text_batches(batch):
+            for b in text_batches(batch, TEXT_BYTES):
                 values, off = shingle_sets(b.column("text").to_pylist(), k)
                 s1, s2 = signatures(values, off)
                 same = (s1 == b.column("s1").to_numpy()) & (s2 == b.column("s2").to_numpy())
@@ -230,7 +231,7 @@ def _set_rows(k: int):
 def _sketch_rows(k: int):
     def run(batches):
         for batch in batches:
-            for b in text_batches(batch):
+            for b in text_batches(batch, TEXT_BYTES):
                 values, off = shingle_sets(b.column("text").to_pylist(), k)
                 s1, s2 = signatures(values, off)
                 sketch = _sketches(values, off)

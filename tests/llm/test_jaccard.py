@@ -99,3 +99,16 @@ def test_recall_of_the_runs(spark):
     rows = [(i, s.tobytes()) for i, s in enumerate(sketch)]
     edges = {(r["a"], r["b"]) for r in jaccard.candidates(spark.createDataFrame(rows, "row long, sketch binary")).collect()}
     assert sum((i, i + 300) in edges for i in range(300)) >= 297
+
+
+def test_sketching_holds_little_text_at_once(monkeypatch):
+    import pyarrow as pa
+    from auger.llm import jaccard as J
+
+    seen, sets = [], J.shingle_sets
+    monkeypatch.setattr(J, "shingle_sets", lambda texts, k: seen.append(sum(len(t) for t in texts)) or sets(texts, k))
+    texts = [f"{i} some words that go on {i} " * 2000 for i in range(40)]
+    n = pa.array(range(40), pa.int64())
+    batch = pa.RecordBatch.from_arrays([n, n, pa.array(texts), n], names=["row", "doc_id", "text", "text_key"])
+    assert [r for b in J._sketch_rows(5)([batch]) for r in b.column("row").to_pylist()] == list(range(40))
+    assert sum(seen) == sum(map(len, texts)) and max(seen) <= 500_000
